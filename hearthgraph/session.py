@@ -35,6 +35,7 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8", app: str = "h
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

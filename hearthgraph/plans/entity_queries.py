@@ -301,8 +301,9 @@ with lex as (select id, name from (select r_regionkey as id, lower(r_name) as na
              union all select 100 + p_partkey, split_part(p_name, ' ', 1) from part union all select 9000, 'in the'
              union all select 9001, 'of the' union all select 9002, 'the th' union all select 9003, 'den')
              where length(name) >= 3)
-select distinct doc_id as text_id, id from documents join (select distinct id, name from lex) on
-  regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])' || name || '($|[^\\p{L}\\p{N}])')""",
+select doc_id as text_id, id from (select doc_id, '|' || regexp_replace(lower(text), '[^\\p{L}\\p{N} ]', '|', 'g') || '|' as t from documents)
+join (select distinct id, name from lex) on contains(t, ' ' || name || ' ') or contains(t, ' ' || name || '|')
+  or contains(t, '|' || name || ' ') or contains(t, '|' || name || '|')""",
 )
 def g04(spark, sf):
     r = table(spark, sf, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.lower("r_name").alias("name"))

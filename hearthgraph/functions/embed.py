@@ -7,8 +7,11 @@ any order and the same on every engine.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import HAN, fold_han_raw
 
@@ -74,8 +77,15 @@ def hash_weights(texts: DataFrame, dims: int = 768) -> DataFrame:
 
 def hash_vectors(texts: DataFrame, dims: int = 768) -> DataFrame:
     """(id, text) -> (id, embedding array<float>) normalized; a text has at most `dims` entries to gather."""
-    per = hash_weights(texts, dims).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.lit(UNIT))
-    v = per.select("id", dense.alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return v.withColumn("n", norm).select("id", F.transform("v", lambda x: (x / F.col("n")).cast("double")).alias("embedding"))
+    per = hash_weights(texts, dims).groupBy("id").agg(F.collect_list(F.struct("dim", "weight")).alias("m"))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def dense(at: pd.Series, weight: pd.Series) -> pd.Series:
+        def one(i, w):
+            v = np.zeros(dims)
+            v[i] = np.asarray(w, dtype=float) / UNIT
+            return v / (np.linalg.norm(v) or 1.0)
+
+        return pd.Series([one(i, w) for i, w in zip(at, weight)])
+
+    return per.select("id", dense(F.col("m.dim"), F.col("m.weight")).alias("embedding"))

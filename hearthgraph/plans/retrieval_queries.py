@@ -248,11 +248,6 @@ def hashed(spark, sf):
     return qv, cv
 
 
-cte(
-    "dense_vectors",
-    """select id, list(coalesce(weight, 0)::double order by d) as v from (select id, unnest(range(768)) as d from (select distinct id from embed_weights)) g
-       left join embed_weights w using (id) where true group by id""",
-)
 cte(
     "dense_vectors",
     """select id, list_transform(range(768), lambda i: coalesce(m[i], 0)::double) as v from (

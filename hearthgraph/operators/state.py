@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..model import visible
 
 OPEN = ["inbox", "active", "waiting"]
-NO_DATE = F.lit(None).cast("date")
 
 
 def open_items(who: DataFrame, commitments: DataFrame, tasks: DataFrame, allowed: int = 1) -> DataFrame:
@@ -113,9 +112,6 @@ def merge_tasks(base: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     )
 
 
-BRANCH_REL = {"chosen": "chose", "rejected": "rejected", "considered": "considered"}
-
-
 def branch_rel(status: Column) -> Column:
     return F.when(status == "chosen", "chose").when(status == "rejected", "rejected").otherwise("considered")
 

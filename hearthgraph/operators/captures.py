@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import capture as P
+from ..session import materialize
 
 FLOOR = 0.7
 # fixed values: words that do not make two titles alike
@@ -34,9 +35,10 @@ def duplicate_titles(new: DataFrame, existing: DataFrame, threshold: float = 0.5
         c = df.select("id", title_tokens(F.col("title")).alias("toks"), F.col("due")).filter(F.size("toks") > 0)
         return c.select(F.col("id").alias(side), "toks", "due", F.xxhash64(F.array_join("toks", " "), F.col("due").cast("string")).alias("case"))
 
-    n = cases(new, "new_id")
+    # each side is read several times below: write the small case tables once
+    n = materialize(cases(new, "new_id"), "titles")
     nc = n.groupBy("toks", "due", "case").agg(F.lit(1).alias("_one")).drop("_one")
-    oc = cases(existing, "open_id").groupBy("toks", "due", "case").agg(F.max("open_id").alias("open_id"))
+    oc = materialize(cases(existing, "open_id").groupBy("toks", "due", "case").agg(F.max("open_id").alias("open_id")), "titles")
     vocab = nc.select("toks").union(oc.select("toks")).distinct().select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
 
     def ranked(c: DataFrame) -> DataFrame:
@@ -82,6 +84,7 @@ def route(captures: DataFrame, open_tasks: DataFrame, org_names: DataFrame, toda
     c = captures.select("capture_id", "text", P.classify(F.col("text")).alias("c"), P.completed(F.col("text")).alias("done")).select(
         "capture_id", "text", "c.*", "done"
     )
+    c = materialize(c, "captures")
     c = c.withColumn("due_day", P.due_or_null(F.col("due"), today)).withColumn("note", P.due_note(F.col("due"), today))
     dup = duplicate_titles(
         c.filter("type = 'task'").select(F.col("capture_id").alias("id"), "title", F.col("due_day").alias("due")), open_tasks

@@ -101,12 +101,12 @@ HEALTH_TYPES = [
     ("HKQuantityTypeIdentifierBodyMass", "body_mass", "kg", False),
     ("HKCategoryTypeIdentifierSleepAnalysis", "sleep_minutes", "minutes", True),
 ]
-RECORD = T.StructType([T.StructField(f"_{n}", T.StringType()) for n in ("type", "sourceName", "unit", "startDate", "endDate", "value")])
-
-
 def read_health(spark: SparkSession, path: str) -> DataFrame:
-    """Records of an export; the XML source cuts the file at record tags, whatever its size."""
-    return spark.read.format("xml").option("rowTag", "Record").schema(RECORD).load(path)
+    """Record tags of an export. Text pieces end at '/>', so one file of gigabytes is read by many tasks."""
+    tag = F.regexp_extract("value", r"<Record\b([^>]*)$", 1)
+    attr = lambda n: F.when(F.col("tag").rlike(rf'\b{n}="'), F.regexp_extract("tag", rf'\b{n}="([^"]*)"', 1)).alias(f"_{n}")
+    pieces = spark.read.option("lineSep", "/>").text(path).select(tag.alias("tag")).filter("tag <> ''")
+    return pieces.select(*[attr(n) for n in ("type", "sourceName", "unit", "startDate", "endDate", "value")])
 
 
 def _health_instant(c: str) -> Column:

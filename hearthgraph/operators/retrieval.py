@@ -239,6 +239,15 @@ def reorder_head(ranked: DataFrame, scores: DataFrame, head: int = HEAD) -> Data
     return h.withColumn("new_rank", F.row_number().over(w)).drop("_times")
 
 
+def score_and_reorder(ranked: DataFrame, scorer, head: int = HEAD) -> DataFrame:
+    """Re-rank with a scorer of one's own: a function of the head rows giving a score column.
+
+    A batch the scorer cannot do should give nulls; the queries of that batch then keep their order.
+    """
+    first = ranked.filter(F.col("rank") <= head)
+    return reorder_head(ranked, first.withColumn("rerank", scorer(first)).select("query_id", "chunk_id", "rerank"), head)
+
+
 def cliff_cut(ranked: DataFrame, score: str = "rerank", order: str = "new_rank", min_gap: float = CLIFF) -> DataFrame:
     """Drop everything after the widest score gap worth `min_gap` of the range; first widest gap wins.
 

@@ -11,6 +11,7 @@ from ..session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+RAW: dict[str, str] = {}
 CTES: dict[str, str] = {}
 
 
@@ -57,6 +58,7 @@ def query(name: str, sql: str | None = None):
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
+            RAW[name] = sql
             ORACLES[name] = with_ctes(sql)
         return fn
 

@@ -14,7 +14,7 @@ from ..operators import retrieval as R
 from ..session import materialize, table
 from . import bindings as B
 from .bindings import DOC_NOW, EVENT_NOW
-from .registry import cte, query
+from .registry import CTES, RAW, cte, query
 
 STOP = ", ".join(f"'{w}'" for w in X.ENGLISH_STOP)
 cte("stop_words", f"select unnest([{STOP}]) as term")
@@ -285,8 +285,6 @@ def intent_sql(col: str) -> str:
     )
 
 
-from .registry import CTES  # noqa: E402
-
 CTES["passage_intent"] = CTES["passage_intent"].replace("CASE_INTENT", intent_sql("query"))
 
 
@@ -364,7 +362,7 @@ cte(
          on length(s.name) >= 4 and contains(lower(p.query), s.name)) n
        join documents d on regexp_extract(d.source, '([0-9]+)', 1)::bigint = n.id and d.doc_id % 4 = 0""",
 )
-cte("page_access", f"select parent_id::bigint as parent_id, drills from ({__import__('hearthgraph.plans.metric_queries', fromlist=['x']).ACCESS_SQL})")
+cte("page_access", f"select parent_id::bigint as parent_id, drills from ({RAW['A08_access_counts']})")
 BOOST_SQL = r"""case when len(qt) = 0 or not contains(' ' || array_to_string(tt, ' ') || ' ', ' ' || array_to_string(qt, ' ') || ' ') then 1.0
      when len(qt) = len(tt) then 1 + 0.4 * title_scale
      when len(list_filter(qt, lambda x: not list_contains([TITLE_STOP], x))) >= 2 then 1 + 0.25 * title_scale else 1.0 end""".replace(

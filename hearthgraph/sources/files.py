@@ -103,10 +103,14 @@ HEALTH_TYPES = [
 ]
 def read_health(spark: SparkSession, path: str) -> DataFrame:
     """Record tags of an export. Text pieces end at '/>', so one file of gigabytes is read by many tasks."""
+    return health_tags(spark.read.option("lineSep", "/>").text(path))
+
+
+def health_tags(pieces: DataFrame) -> DataFrame:
+    """(value) text pieces -> the attributes of the record tag each one ends in."""
     tag = F.regexp_extract("value", r"<Record\b([^>]*)$", 1)
     attr = lambda n: F.when(F.col("tag").rlike(rf'\b{n}="'), F.regexp_extract("tag", rf'\b{n}="([^"]*)"', 1)).alias(f"_{n}")
-    pieces = spark.read.option("lineSep", "/>").text(path).select(tag.alias("tag")).filter("tag <> ''")
-    return pieces.select(*[attr(n) for n in ("type", "sourceName", "unit", "startDate", "endDate", "value")])
+    return pieces.select(tag.alias("tag")).filter("tag <> ''").select(*[attr(n) for n in ("type", "sourceName", "unit", "startDate", "endDate", "value")])
 
 
 def _health_instant(c: str) -> Column:

@@ -25,53 +25,52 @@ def duplicate_titles(new: DataFrame, existing: DataFrame, threshold: float = 0.5
     new(id, title, due), existing(id, title, due). Overlap is shared words over the smaller word count;
     two dated titles must lie within `window_days`. Ties go to the newer (larger) open id.
 
-    Titles with the same words and date are one case: both sides shrink to distinct (words, due) before
-    anything is paired, the open side keeping its newest id, so copies never meet each other. Pairs are
-    found through rare words: the smaller of two matching titles shares at least ceil(n/2) of its n
-    words, so one of its n - ceil(n/2) + 1 rarest words must be among the words of the other.
+    Everything is done on distinct word sets, so copies of a title never meet each other. Sets are paired
+    through rare words: the smaller of two matching sets shares at least ceil(n/2) of its n words, so one
+    of its n - ceil(n/2) + 1 rarest words must be among the words of the other. Dates come in afterwards,
+    by equality on the days of the window, with one best open title per (word set, day).
     """
 
-    def cases(df: DataFrame, side: str) -> DataFrame:
-        c = df.select("id", title_tokens(F.col("title")).alias("toks"), F.col("due")).filter(F.size("toks") > 0)
-        return c.select(F.col("id").alias(side), "toks", "due", F.xxhash64(F.array_join("toks", " "), F.col("due").cast("string")).alias("case"))
-
-    # each side is read several times below: write the small case tables once
-    n = materialize(cases(new, "new_id"), "titles")
-    nc = n.groupBy("toks", "due", "case").agg(F.lit(1).alias("_one")).drop("_one")
-    oc = materialize(cases(existing, "open_id").groupBy("toks", "due", "case").agg(F.max("open_id").alias("open_id")), "titles")
-    vocab = nc.select("toks").union(oc.select("toks")).distinct().select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-
-    def ranked(c: DataFrame) -> DataFrame:
-        """Each case with its words from rare to common."""
-        e = c.select("case", F.explode("toks").alias("tok")).join(vocab, "tok")
-        return e.groupBy("case").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda s: s["tok"]).alias("rare"))
-
-    def keys(c: DataFrame, case: str) -> tuple[DataFrame, DataFrame]:
-        r = ranked(c)
-        need = F.ceil(F.size("rare") * F.lit(threshold)).cast("int")
-        short = F.slice("rare", F.lit(1), F.size("rare") - need + 1)
-        return (
-            r.select(F.col("case").alias(case), F.explode(short).alias("tok")),
-            r.select(F.col("case").alias(case), F.explode("rare").alias("tok")),
-        )
-
-    n_short, n_all = keys(nc, "nc")
-    o_short, o_all = keys(oc, "oc")
-    pairs = n_short.join(o_all, "tok").select("nc", "oc").union(n_all.join(o_short, "tok").select("nc", "oc")).distinct()
-    full = (
-        pairs.join(nc.select(F.col("case").alias("nc"), F.col("toks").alias("nt"), F.col("due").alias("nd")), "nc")
-        .join(oc.select(F.col("case").alias("oc"), F.col("toks").alias("ot"), F.col("due").alias("od"), "open_id"), "oc")
-    )
-    score = F.size(F.array_intersect("nt", "ot")) / F.least(F.size("nt"), F.size("ot"))
-    near = F.col("nd").isNull() | F.col("od").isNull() | (F.abs(F.datediff("nd", "od")) <= window_days)
-    best = (
-        full.withColumn("score", score)
-        .filter((F.col("score") >= threshold) & near)
-        .groupBy("nc")
+    def titles(df: DataFrame, side: str) -> DataFrame:
+        c = df.select(F.col("id").alias(side), title_tokens(F.col("title")).alias("toks"), "due").filter(F.size("toks") > 0)
+        return c.withColumn("set", F.sha2(F.array_join("toks", " "), 256))
+
+    # each side is read several times below: write the small title tables once
+    n = materialize(titles(new, "new_id"), "titles")
+    o = materialize(titles(existing, "open_id").groupBy("set", "toks", "due").agg(F.max("open_id").alias("open_id")), "titles")
+    ns, os = n.select("set", "toks").distinct(), o.select("set", "toks").distinct()
+    vocab = ns.union(os).distinct().select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+
+    def ranked(sets: DataFrame, side: str) -> DataFrame:
+        """Each set with its words from rare to common and the length of its rare prefix."""
+        e = sets.select("set", F.explode("toks").alias("tok")).join(vocab, "tok")
+        r = e.groupBy("set").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda s: s["tok"]).alias(f"{side}_words"))
+        need = F.ceil(F.size(f"{side}_words") * F.lit(threshold)).cast("int")
+        return r.select(F.col("set").alias(side), f"{side}_words", (F.size(f"{side}_words") - need + 1).alias("short"))
+
+    nr, orr = ranked(ns, "ns"), ranked(os, "os")
+    all_words = lambda r, side: r.select(side, f"{side}_words", F.explode(f"{side}_words").alias("tok"))
+    rare_words = lambda r, side: r.select(side, f"{side}_words", F.explode(F.slice(f"{side}_words", F.lit(1), F.col("short"))).alias("tok"))
+    cols = ["ns", "ns_words", "os", "os_words"]
+    pairs = rare_words(nr, "ns").join(all_words(orr, "os"), "tok").select(*cols).union(all_words(nr, "ns").join(rare_words(orr, "os"), "tok").select(*cols))
+    score = F.size(F.array_intersect("ns_words", "os_words")) / F.least(F.size("ns_words"), F.size("os_words"))
+    alike = pairs.withColumn("score", score).filter(F.col("score") >= threshold).select("ns", "os", "score").distinct()
+    # best open title per word set and open day
+    by_day = (
+        alike.join(o.select(F.col("set").alias("os"), "due", "open_id"), "os")
+        .groupBy("ns", F.col("due").alias("day"))
         .agg(F.max(F.struct("score", "open_id")).alias("b"))
-        .select(F.col("nc").alias("case"), "b.score", "b.open_id")
     )
-    return n.select("new_id", "case").join(best, "case").select("new_id", "open_id", F.round("score", 3).alias("score"))
+    asked = n.select(F.col("set").alias("ns"), "due").distinct()
+    days = F.sequence(F.date_sub("due", window_days), F.date_add("due", window_days))
+    dated = asked.filter("due is not null").select("ns", "due", F.explode(days).alias("day")).join(by_day.filter("day is not null"), ["ns", "day"])
+    undated_open = asked.filter("due is not null").join(by_day.filter("day is null").drop("day"), "ns")
+    undated_new = asked.filter("due is null").join(by_day.groupBy("ns").agg(F.max("b").alias("b")), "ns")
+    part = lambda d: d.select("ns", "due", "b")
+    best = part(dated).unionByName(part(undated_open)).unionByName(part(undated_new)).groupBy("ns", "due").agg(F.max("b").alias("b"))
+    hit = best.select(F.col("ns").alias("_set"), F.col("due").alias("_due"), "b.score", "b.open_id")
+    j = n.join(hit, (F.col("set") == F.col("_set")) & F.col("due").eqNullSafe(F.col("_due")))
+    return j.select("new_id", "open_id", F.round("score", 3).alias("score"))
 
 
 def route(captures: DataFrame, open_tasks: DataFrame, org_names: DataFrame, today: Column) -> DataFrame:

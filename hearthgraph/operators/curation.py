@@ -119,7 +119,7 @@ def note_sources(mentions: DataFrame, chunks: DataFrame, names: DataFrame, gener
         .join(n, "person_id")
         .filter(F.lower("text").contains(F.col("low")))
         .select("person_id", "chunk_id", "parent_id", "ord", "text", "tier", "updated_on")
-        .distinct()
+        .dropDuplicates(["person_id", "chunk_id"])
     )
 
 
@@ -187,16 +187,28 @@ def _sentence(label: str, col: str, end: str = ".") -> Column:
     return F.when(F.col(col).isNotNull(), F.concat(F.lit(label), F.col(col).cast("string"), F.lit(end)))
 
 
+def digest_sources(decisions: DataFrame, branches: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """(id, ref): every row a digest rests on, one per row rather than gathered into a text."""
+    d = decisions.select("id", F.concat(F.lit("decision:"), F.col("id").cast("string")).alias("ref"))
+    t = transcripts.select(F.col("decision_id").alias("id"), F.concat(F.lit("decision_transcript:"), "ord").alias("ref"))
+    b = branches.select(F.col("decision_id").alias("id"), F.concat(F.lit("decision_branch:"), "label").alias("ref"))
+    only = decisions.select("id")
+    return d.unionByName(t.join(only, "id", "left_semi")).unionByName(b.join(only, "id", "left_semi"))
+
+
 def compile_digests(decisions: DataFrame, branches: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """title, situation, past, takeaway and source list of each decision; tier is the highest of its parts."""
-    one = lambda st: F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == st, F.col("label")))), ", ")
+    """title, situation, past and takeaway of each decision; tier is the highest of its parts.
+
+    `past` is cut at DIGEST_WORDS words and a label has one or more, so only the first DIGEST_WORDS + 1
+    rejected labels of a decision can matter; they are cut to that by rank.
+    """
+    w = Window.partitionBy("decision_id").orderBy("label")
+    few = branches.filter("status = 'rejected'").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= DIGEST_WORDS + 1)
+    rejected = few.groupBy(F.col("decision_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("rejected"))
     b = branches.groupBy(F.col("decision_id").alias("id")).agg(
-        one("rejected").alias("rejected"), F.min(F.when(F.col("status") == "chosen", F.col("label"))).alias("chosen"),
-        F.max("tier").alias("_bt"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- decision_branch:"), "label"))), "\n").alias("_bs"),
-    )
-    t = transcripts.groupBy(F.col("decision_id").alias("id")).agg(
-        F.max("tier").alias("_tt"), F.array_join(F.transform(F.array_sort(F.collect_list("ord")), lambda o: F.concat(F.lit("- decision_transcript:"), o)), "\n").alias("_ts")
-    )
+        F.min(F.when(F.col("status") == "chosen", F.col("label"))).alias("chosen"), F.max("tier").alias("_bt"), F.count(F.lit(1)).alias("_bn")
+    ).join(rejected, "id", "left")
+    t = transcripts.groupBy(F.col("decision_id").alias("id")).agg(F.max("tier").alias("_tt"), F.count(F.lit(1)).alias("_tn"))
     d = decisions.join(b, "id", "left").join(t, "id", "left")
     title = cap_words(F.concat(F.lit("When facing "), F.trim(F.regexp_replace("question", r"\?+$", ""))), TITLE_WORDS, " ...")
     situation = F.concat_ws(" ", "question", "stakes", "reasoning", _sentence("Falsifier: ", "falsifier", ""))
@@ -208,17 +220,17 @@ def compile_digests(decisions: DataFrame, branches: DataFrame, transcripts: Data
     take = F.when(
         F.col("actual_outcome").isNotNull(), F.concat_ws(" ", _sentence("Outcome: ", "actual_outcome"), _sentence("Outcome score: ", "outcome_score", "/100."))
     ).otherwise(F.concat_ws(" ", _sentence("Watch for: ", "expected_outcome"), "falsifier"))
-    source = F.concat_ws("\n", F.concat(F.lit("- decision:"), F.col("id").cast("string")), "_ts", "_bs")
+    sources = F.lit(1) + F.coalesce("_tn", F.lit(0)) + F.coalesce("_bn", F.lit(0))
     take = cap_words(take, DIGEST_WORDS, " ...")
     out = d.select(
         "id", F.concat(F.lit("derived/decisions/"), F.col("id").cast("string"), F.lit(".md")).alias("path"), title.alias("title"),
         cap_words(situation, DIGEST_WORDS, " ...").alias("situation"), cap_words(past, DIGEST_WORDS, " ...").alias("past"),
-        F.when(take != "", take).otherwise("No outcome recorded yet.").alias("takeaway"), source.alias("source"),
+        F.when(take != "", take).otherwise("No outcome recorded yet.").alias("takeaway"), sources.alias("sources"),
         F.greatest("tier", "_bt", "_tt").alias("tier"),
     )
     body = F.concat(
         F.lit("# "), "title", F.lit("\n\ncompiler: nightly\n\n## Situation\n"), "situation", F.lit("\n\n## Past-me decided\n"), "past",
-        F.lit("\n\n## Takeaway\n"), "takeaway", F.lit("\n\n## Source\n"), "source", F.lit("\n"),
+        F.lit("\n\n## Takeaway\n"), "takeaway", F.lit("\n\n## Source\n"), "sources", F.lit(" rows of decision:"), F.col("id").cast("string"), F.lit("\n"),
     )
     return out.withColumn("body", body).withColumn("hash", F.sha2("body", 256))
 

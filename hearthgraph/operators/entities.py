@@ -44,26 +44,19 @@ def named_in(queries: DataFrame, lexicon: DataFrame, gram: int = 3) -> DataFrame
         )
 
     lex = lexicon.select("type", "id", F.lower("name").alias("name")).filter(F.length("name") > 0).distinct()
+    words = lex.select("name").distinct()  # a name shared by many rows is looked up once
     size = F.least(F.length("name"), F.lit(gram))
-    lex_grams = lex.withColumn("gram", F.explode(F.array_distinct(grams(F.col("name"), size))))
-    freq = lex_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
-    key = (
-        lex_grams.join(freq, "gram")
-        .groupBy("type", "id", "name")
-        .agg(F.min_by("gram", F.struct("names", "gram")).alias("gram"))
-    )
+    name_grams = words.withColumn("gram", F.explode(F.array_distinct(grams(F.col("name"), size))))
+    freq = name_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    key = name_grams.join(freq, "gram").groupBy("name").agg(F.min_by("gram", F.struct("names", "gram")).alias("gram"))
     q = queries.select("query_id", F.lower("query").alias("q"))
     lengths = F.array(*[F.lit(n) for n in range(1, gram + 1)])
     q_grams = q.withColumn("n", F.explode(lengths)).filter(F.length("q") >= F.col("n")).select(
         "query_id", F.explode(F.array_distinct(grams(F.col("q"), F.col("n")))).alias("gram")
     )
-    hits = q_grams.join(key, "gram").select("query_id", "type", "id", "name")
-    return (
-        hits.join(q, "query_id")
-        .filter(F.col("q").contains(F.col("name")))
-        .select("query_id", "type", "id")
-        .distinct()
-    )
+    hits = q_grams.join(key, "gram").select("query_id", "name")
+    found = hits.join(q, "query_id").filter(F.col("q").contains(F.col("name"))).select("query_id", "name")
+    return found.join(lex, "name").select("query_id", "type", "id").distinct()
 
 
 def known_mentions(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -81,12 +74,11 @@ def known_mentions(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
         .withColumn("n", F.size(F.split("key", " ")))
         .distinct()
     )
-    longest = lex.agg(F.coalesce(F.max("n"), F.lit(1)).alias("longest"))
+    # the few word counts that names have; a handful of integers
+    counts = sorted(r["n"] for r in lex.select("n").distinct().collect()) or [1]
     w = texts.select("text_id", "text", _words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
     runs = (
-        # a one-row side: how many words the longest name has
-        w.join(F.broadcast(longest), F.lit(True))
-        .withColumn("n", F.explode(F.sequence(F.lit(1), "longest")))
+        w.withColumn("n", F.explode(F.array(*[F.lit(n) for n in counts])))
         .filter(F.size("ws") >= F.col("n"))
         .select(
             "text_id",

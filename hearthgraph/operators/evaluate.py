@@ -61,7 +61,7 @@ def area_report(per_query: DataFrame) -> DataFrame:
     """
     fr = F.col("first_rank")
     hit = lambda n: F.when(fr.between(0, n - 1), 1).otherwise(0)
-    rows = per_query.withColumn("bucket", F.explode(F.array_distinct(F.array(F.col("bucket"), F.lit(None).cast("string")))))
+    rows = per_query.withColumn("latency_ms", F.round("latency_ms", 2)).withColumn("bucket", F.explode(F.array_distinct(F.array(F.col("bucket"), F.lit(None).cast("string")))))
     mean = lambda c: F.round(F.avg(c), 4)
     return rows.groupBy("area", "bucket").agg(
         F.count(F.lit(1)).alias("n"), mean(hit(1)).alias("hit1"), mean(hit(3)).alias("hit3"), mean(hit(5)).alias("hit5"),
@@ -140,13 +140,16 @@ def build_context(cases: DataFrame, beliefs: DataFrame, hits: DataFrame) -> Data
     in_scope = c.join(b, ["user_id", "scope"]).dropDuplicates(["case_id", "id"])
     live = in_scope.filter("pinned and not resolved")
     order = Window.partitionBy("case_id").orderBy("id")
-    pin_all = live.filter("type <> 'open_question' and not superseded").withColumn("pos", F.row_number().over(order))
-    pinned = pin_all.filter(F.col("pos") <= F.col("max_beliefs"))
-    asks = live.filter("type = 'open_question'").withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= F.col("max_questions"))
+    # the largest budgets as plain numbers, so that the rank limit also works before the shuffle
+    most = cases.agg(F.max("max_beliefs").alias("b"), F.max("max_questions").alias("q")).first()
+    first = lambda df, n: df.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= (n or 0))
+    pin_all = live.filter("type <> 'open_question' and not superseded")
+    pinned = first(pin_all, most["b"]).filter(F.col("pos") <= F.col("max_beliefs"))
+    asks = first(live.filter("type = 'open_question'"), most["q"]).filter(F.col("pos") <= F.col("max_questions"))
     # the provider's limit counts pinned hits too, so they are cut first and then left out
     budget = cases.select("case_id", "max_beliefs", "user_id")
     got = hits.join(budget, "case_id").filter(F.col("rank") <= F.col("max_beliefs"))
-    n_all = pin_all.select("case_id", "id").distinct()
+    n_all = pin_all.select("case_id", "id")
     got = got.join(n_all, ["case_id", "id"], "left_anti").join(beliefs.select("id", "type", "participants"), "id")
     extra = got.filter("type = 'relation'").select("case_id", "rank", F.posexplode("participants").alias("p", "id"))
     extra = (

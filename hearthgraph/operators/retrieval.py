@@ -273,7 +273,7 @@ def hybrid_search(
     chunk_vectors: DataFrame | None = None, near: DataFrame | None = None, access: DataFrame | None = None, allowed: int = 1,
     types: list[str] | None = None, scope: DataFrame | None = None, include_derived: bool = False, limit: int = 10,
     rerank: DataFrame | None = None, autocut: bool = False, stop: list[str] | None = None, common: DataFrame | None = None,
-    idf: bool = False,
+    idf: bool = False, index: DataFrame | None = None,
 ) -> DataFrame:
     """The whole pipeline: intent, both arms, fusion, metadata, adjustment, best chunk, rerank, cut, snippet.
 
@@ -283,7 +283,7 @@ def hybrid_search(
     name = X.intent(F.col("query"))
     q = queries.select("query_id", "query", *[c.alias(n) for n, c in X.intent_scales(name).items()])
     seen = chunks.filter(visible(F.col("tier"), allowed))
-    lex = lexical_arm(q, chunks, allowed=allowed, types=types, scope=scope, stop=stop, common=common, idf=idf)
+    lex = lexical_arm(q, chunks, allowed=allowed, types=types, scope=scope, stop=stop, common=common, idf=idf, index=index)
     if query_vectors is not None and chunk_vectors is not None:
         cv = chunk_vectors.join(seen.select("chunk_id", "parent_type", "parent_id"), "chunk_id")
         if scope is None and not types:

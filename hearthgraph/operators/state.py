@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import visible
+from .entities import named_in
 
 OPEN = ["inbox", "active", "waiting"]
 
@@ -13,8 +14,7 @@ OPEN = ["inbox", "active", "waiting"]
 def open_items(who: DataFrame, commitments: DataFrame, tasks: DataFrame, allowed: int = 1) -> DataFrame:
     """Open commitments made to a person (to_whom) and open tasks whose title contains a name (in_title).
 
-    A containing title must contain every word of the name, so titles and names meet on their rarest
-    word by equality and only those pairs are compared; no title is tested against every name.
+    Titles meet names through the gram join of named_in; no title is tested against every name.
     """
     c = (
         commitments.filter((F.col("status") == "open") & visible(F.col("tier"), allowed))
@@ -23,32 +23,13 @@ def open_items(who: DataFrame, commitments: DataFrame, tasks: DataFrame, allowed
         .select("person_id", F.lit("commitment").alias("kind"), "item_id", "due")
     )
     open_t = tasks.filter(F.col("status").isin(OPEN) & visible(F.col("tier"), allowed))
-    n = who.select("person_id", F.lower("in_title").alias("name"))
-    words = F.array_distinct(F.split(F.col("name"), " "))
-    spread = n.withColumn("word", F.explode(words)).filter("word <> ''")
-    freq = spread.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    key = spread.join(freq, "word").groupBy("person_id", "name").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
-    # the first and last word of a name may sit inside a longer word of the title: index their prefixes too
-    tw = F.array_distinct(F.split(F.lower("title"), " "))
-    parts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.filter(tw, lambda x: x != ""),
-                lambda x: F.concat(
-                    F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(x, F.lit(1), i)),
-                    F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(x, i, F.length(x))),
-                ),
-            )
-        )
+    named = named_in(
+        open_t.select(F.col("id").alias("query_id"), F.col("title").alias("query")),
+        who.select(F.lit("person").alias("type"), F.col("person_id").alias("id"), F.col("in_title").alias("name")),
     )
-    t = open_t.select("id", "due", F.lower("title").alias("title"), F.explode(parts).alias("word"))
-    hit = (
-        t.join(key, "word")
-        .filter(F.col("title").contains(F.col("name")))
-        .select("person_id", F.lit("task").alias("kind"), F.col("id").alias("item_id"), "due")
-        .distinct()
-    )
-    return c.unionByName(hit)
+    t = named.select(F.col("query_id").alias("item_id"), F.col("id").alias("person_id"))
+    t = t.join(open_t.select(F.col("id").alias("item_id"), "due"), "item_id").select("person_id", F.lit("task").alias("kind"), "item_id", "due")
+    return c.unionByName(t)
 
 
 def state_now(

@@ -225,11 +225,10 @@ select s_suppkey as call_id, 'agent' as actor, 'tool:search' as verb, substr(sha
 from supplier left join r on call_id = s_suppkey group by s_suppkey, s_name""",
 )
 def s10(spark, sf):
-    from pyspark.sql.window import Window
-
     li = table(spark, sf, "lineitem")
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    ret = li.withColumn("pos", F.row_number().over(w) - 1).select(F.col("l_suppkey").alias("call_id"), "pos", F.col("l_orderkey").cast("string").alias("id"))
+    ret = li.select(
+        F.col("l_suppkey").alias("call_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("pos"), F.col("l_orderkey").cast("string").alias("id")
+    )
     calls = table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("call_id"), F.lit("agent").alias("actor"), F.lit("search").alias("verb"), F.concat(F.lit('{"q":"'), "s_name", F.lit('"}')).alias("params"), F.lit(None).cast("string").alias("error")
     )

@@ -638,10 +638,11 @@ def flagship(spark, sf):
         q.select(F.concat(F.lit("q"), F.col("query_id")).alias("id"), F.col("query").alias("text"))
     )
     v = materialize(EM.hash_vectors(text), "vectors")
-    common = R.common_terms(R.term_table(chunks), chunks.count())
+    index = materialize(R.term_table(chunks.filter("tier = 1")), "terms")
+    common = R.common_terms(index, chunks.filter("tier = 1").count())
     return R.hybrid_search(
         q, chunks, pages, F.lit(DOC_NOW).cast("date"),
         query_vectors=v.filter("id like 'q%'").select(F.substring("id", 2, 20).cast("bigint").alias("query_id"), "embedding"),
         chunk_vectors=v.filter("not id like 'q%'").select(F.col("id").alias("chunk_id"), "embedding"),
-        access=page_access(spark, sf), common=common, idf=True,
+        access=page_access(spark, sf), common=common, idf=True, index=index,
     )

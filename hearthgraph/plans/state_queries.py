@@ -569,8 +569,8 @@ def j13(spark, sf):
     "D03_compile_decision_digests",
     r"""
 with b as (select decision_id as id, coalesce(string_agg(label, ', ' order by label) filter (where status = 'rejected'), '') as rejected, min(label) filter (where status = 'chosen') as chosen,
-                  max(tier) as bt, string_agg('- decision_branch:' || label, chr(10) order by '- decision_branch:' || label) as bs from branches group by 1),
-t as (select decision_id as id, max(tier) as tt, string_agg('- decision_transcript:' || ord::varchar, chr(10) order by ord) as ts from transcripts group by 1),
+                  max(tier) as bt, count(*) as bn from branches group by 1),
+t as (select decision_id as id, max(tier) as tt, count(*) as tn from transcripts group by 1),
 d as (select d.*, b.*, t.* from decisions d semi join digest_cand using (id) left join b on b.id = d.id left join t on t.id = d.id)
 select d.id, 'derived/decisions/' || d.id::varchar || '.md' as path, 'When facing ' || trim(regexp_replace(question, '\?+$', '')) as title,
        concat_ws(' ', question, stakes, reasoning, 'Falsifier: ' || falsifier) as situation,
@@ -578,7 +578,7 @@ select d.id, 'derived/decisions/' || d.id::varchar || '.md' as path, 'When facin
                  'Confidence: ' || confidence::varchar || '/100.', 'Expected: ' || expected_outcome || '.') as past,
        coalesce(nullif(case when actual_outcome is not null then concat_ws(' ', 'Outcome: ' || actual_outcome || '.', 'Outcome score: ' || outcome_score::varchar || '/100.')
             else concat_ws(' ', 'Watch for: ' || expected_outcome || '.', falsifier) end, ''), 'No outcome recorded yet.') as takeaway,
-       concat_ws(chr(10), '- decision:' || d.id::varchar, ts, bs) as source, greatest(d.tier, bt, tt) as tier
+       1 + coalesce(tn, 0) + coalesce(bn, 0) as sources, greatest(d.tier, bt, tt) as tier
 from d""",
 )
 def d03(spark, sf):
@@ -586,6 +586,17 @@ def d03(spark, sf):
     return out.drop("body", "hash")
 
 
+@query(
+    "D03_digest_sources",
+    """
+select id, 'decision:' || id::varchar as ref from digest_cand
+union all select decision_id, 'decision_transcript:' || ord::varchar from transcripts where decision_id in (select id from digest_cand)
+union all select decision_id, 'decision_branch:' || label from branches where decision_id in (select id from digest_cand)""",
+)
+def d03_sources(spark, sf):
+    return D.digest_sources(digest_candidates(spark, sf), B.branches(spark, sf), transcripts(spark, sf))
+
+
 def flag_queue(spark, sf):
     """One night's flags as queue rows: stale people, due reviews and duplicate tasks."""
     p = known_people(spark, sf).select(

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def split_rejects(raw: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -74,12 +73,14 @@ def sync_actions(state: DataFrame, snapshot: DataFrame) -> DataFrame:
 def audit_rows(calls: DataFrame, returned: DataFrame, limit: int = 100) -> DataFrame:
     """One audit row per call: parameter digest, first `limit` returned ids, full count; never content.
 
-    calls(call_id, actor, verb, params, error), returned(call_id, pos, id). Only the first `limit` ids of
-    a call are gathered; the count is an aggregate of its own.
+    calls(call_id, actor, verb, params, error), returned(call_id, pos, id) with pos in return order. The
+    first `limit` ids of a call are cut by rank before they are gathered; the count is an aggregate of its own.
     """
+    w = Window.partitionBy("call_id").orderBy("pos")
+    first = returned.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
     total = returned.groupBy("call_id").agg(F.count(F.lit(1)).alias("returned_count"))
-    ids = returned.filter(F.col("pos") < limit).groupBy("call_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("returned_ids")
+    ids = first.groupBy("call_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"]).alias("returned_ids")
     )
     digest = F.substring(F.sha2("params", 256), 1, 16)
     return calls.join(total, "call_id", "left").join(ids, "call_id", "left").select(
@@ -88,6 +89,3 @@ def audit_rows(calls: DataFrame, returned: DataFrame, limit: int = 100) -> DataF
         F.coalesce("returned_count", F.lit(0).cast("bigint")).alias("returned_count"), "error",
     )
 
-
-def any_of(*checks: Column) -> Column:
-    return reduce(lambda a, b: a | b, checks)

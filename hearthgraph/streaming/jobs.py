@@ -33,9 +33,9 @@ def capture_stream(arrivals: DataFrame, route: Callable[[DataFrame], DataFrame],
     def step(batch: DataFrame, number: int) -> None:
         seen = f"{out}/seen"
         new = batch.dropDuplicates(["path"])
-        earlier = [f"{seen}/batch={i}" for i in range(number) if fs.exists(path(f"{seen}/batch={i}"))]
-        if earlier:
-            new = new.join(spark.read.parquet(*earlier).select("path"), "path", "left_anti")
+        if fs.exists(path(seen)):
+            # a repeated batch must not see its own first try
+            new = new.join(spark.read.parquet(seen).filter(F.col("batch") < number).select("path"), "path", "left_anti")
         gone = new.filter("text is null").select("capture_id", F.lit("file is gone").alias("reason"))
         gone.write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
         route(new.filter("text is not null").drop("path")).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
@@ -77,22 +77,23 @@ def serve_access(buckets: DataFrame, today: Column, days: int = 90) -> DataFrame
 def with_effective_tier(events: DataFrame, grants: DataFrame) -> DataFrame:
     """Each event with the tier its actor could read at that moment; events may be a stream, grants are a table.
 
-    Grants are cut into hour slots of the time they cover, so the interval test meets events by equality
-    on (actor, hour) and a busy actor's grants spread over hours. Overlapping grants count once: the slots
-    keep, per actor and hour, the union of covered minutes as an array.
+    Grants, which last a minute or more, are cut at whole minutes, so the interval test becomes equality on
+    (actor, minute). Within a minute a cut grant starts at its beginning or reaches its end; the latest end
+    of the former and the earliest start of the latter say everything, and both are plain aggregates.
     """
-    hour = lambda c: F.date_trunc("hour", c)
+    minute = lambda c: F.date_trunc("minute", c)
+    after = F.col("slot") + F.expr("interval 1 minute")
     slots = (
-        grants.withColumn("slot", F.explode(F.sequence(hour("granted_at"), hour("expires_at"), F.expr("interval 1 hour"))))
+        grants.withColumn("slot", F.explode(F.sequence(minute("granted_at"), minute("expires_at"), F.expr("interval 1 minute"))))
         .withColumn("start", F.greatest("granted_at", "slot"))
-        .withColumn("end", F.least("expires_at", F.col("slot") + F.expr("interval 1 hour")))
+        .withColumn("end", F.least(F.col("expires_at"), after))
         .filter("start < end")
         .groupBy("actor", "slot")
-        .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+        .agg(F.max(F.when(F.col("start") == F.col("slot"), F.col("end"))).alias("until"), F.min(F.when(F.col("end") == after, F.col("start"))).alias("since"))
     )
-    e = events.withColumn("slot", hour(F.col("happened_at")))
-    live = F.exists("spans", lambda s: (s["start"] <= F.col("happened_at")) & (F.col("happened_at") < s["end"]))
-    return e.join(slots, ["actor", "slot"], "left").withColumn("allowed", F.when(F.coalesce(live, F.lit(False)), 2).otherwise(1)).drop("spans", "slot")
+    e = events.withColumn("slot", minute(F.col("happened_at")))
+    live = (F.col("happened_at") < F.col("until")) | (F.col("happened_at") >= F.col("since"))
+    return e.join(slots, ["actor", "slot"], "left").withColumn("allowed", F.when(F.coalesce(live, F.lit(False)), 2).otherwise(1)).drop("until", "since", "slot")
 
 
 def deliveries(batch_parse: Callable[[DataFrame], DataFrame], state_path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:

@@ -43,8 +43,19 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8", app: str = "h
     return tune(spark)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, text_work: bool | None = None) -> DataFrame:
+    """A table of the folder. Tables whose text is parsed are spread when they arrive in too few pieces."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if (name in ("documents", "pages", "conversations") if text_work is None else text_work) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a scan that yields fewer pieces than there are cores (one large row group); else unchanged.
+
+    On a table of many files this does nothing, so no shuffle is added where the scan is parallel already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

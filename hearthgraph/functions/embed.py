@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import HAN, fold_han_raw
 
@@ -38,13 +37,17 @@ def fnv1a(token: Column) -> Column:
     )
 
 
-def draw(seed: Column, k: Column) -> Column:
-    """k-th (from 1) 32-bit number of the generator started at `seed`."""
-    a = (seed + k.cast("bigint") * F.lit(STEP).cast("bigint")).bitwiseAND(F.lit(MASK))
-    t = _mul32(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1).cast("bigint")))
-    u = _mul32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61).cast("bigint")))
-    t2 = (t + u).bitwiseAND(F.lit(MASK)).bitwiseXOR(t)
-    return t2.bitwiseXOR(F.shiftright(t2, 14))
+def with_draw(df: DataFrame, seed: str, k: Column, out: str) -> DataFrame:
+    """Add the k-th (from 1) 32-bit number of the generator started at `seed`.
+
+    One column per step: every step reads the one before it several times over.
+    """
+    c = F.col
+    d = df.withColumn("_a", (c(seed) + k.cast("bigint") * F.lit(STEP).cast("bigint")).bitwiseAND(F.lit(MASK)))
+    d = d.withColumn("_t", _mul32(c("_a").bitwiseXOR(F.shiftright("_a", 15)), c("_a").bitwiseOR(F.lit(1).cast("bigint"))))
+    d = d.withColumn("_u", _mul32(c("_t").bitwiseXOR(F.shiftright("_t", 7)), c("_t").bitwiseOR(F.lit(61).cast("bigint"))))
+    d = d.withColumn("_t", (c("_t") + c("_u")).bitwiseAND(F.lit(MASK)).bitwiseXOR(c("_t")))
+    return d.withColumn(out, c("_t").bitwiseXOR(F.shiftright("_t", 14))).drop("_a", "_t", "_u")
 
 
 def embed_tokens(text: Column) -> Column:
@@ -55,14 +58,15 @@ def embed_tokens(text: Column) -> Column:
 def hash_weights(texts: DataFrame, dims: int = 768) -> DataFrame:
     """(id, text) -> (id, dim, weight): the sparse vector in units of 2^-32, zero sums kept out.
 
+    The relational form of hash_vectors, for joins on single dimensions and for exact comparison.
+
     Tokens are counted before the draws, so a text with one word a million times costs eight draws.
     """
     counted = texts.select("id", F.explode(embed_tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(
         F.count(F.lit(1)).alias("n")
     )
     seeded = counted.select("id", "n", fnv1a(F.col("token")).alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("j"))
-    # one draw per projection: the generator's terms refer to each other several times over
-    d = seeded.withColumn("r1", draw(F.col("seed"), F.col("j") * 2 + 1)).withColumn("r2", draw(F.col("seed"), F.col("j") * 2 + 2))
+    d = with_draw(with_draw(seeded, "seed", F.col("j") * 2 + 1, "r1"), "seed", F.col("j") * 2 + 2, "r2")
     return (
         d.select(
             "id",
@@ -75,17 +79,38 @@ def hash_weights(texts: DataFrame, dims: int = 768) -> DataFrame:
     )
 
 
-def hash_vectors(texts: DataFrame, dims: int = 768) -> DataFrame:
-    """(id, text) -> (id, embedding array<float>) normalized; a text has at most `dims` entries to gather."""
-    per = hash_weights(texts, dims).groupBy("id").agg(F.collect_list(F.struct("dim", "weight")).alias("m"))
+def _draws(seeds: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dimension, weight) arrays of shape (len(seeds), DRAWS) for one batch of seeds."""
+    mask = np.uint64(MASK)
+    k = np.arange(1, 2 * DRAWS + 1, dtype=np.uint64)
+    a = (seeds[:, None] + k * np.uint64(STEP)) & mask
+    t = ((a ^ (a >> np.uint64(15))) * (a | np.uint64(1))) & mask
+    u = ((t ^ (t >> np.uint64(7))) * (t | np.uint64(61))) & mask
+    t = ((t + u) & mask) ^ t
+    r = t ^ (t >> np.uint64(14))
+    return ((r[:, 0::2] * np.uint64(dims)) >> np.uint64(32)).astype(np.int64), r[:, 1::2] / float(2**31) - 0.5
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def dense(at: pd.Series, weight: pd.Series) -> pd.Series:
-        def one(i, w):
-            v = np.zeros(dims)
-            v[i] = np.asarray(w, dtype=float) / UNIT
-            return v / (np.linalg.norm(v) or 1.0)
 
-        return pd.Series([one(i, w) for i, w in zip(at, weight)])
+def hash_vectors(texts: DataFrame, dims: int = 768) -> DataFrame:
+    """(id, text) -> (id, embedding array<double>) normalized; texts without a token have no vector.
+
+    A text's vector depends on its own tokens only, so this is a projection: seeds are computed beside the
+    scan and an Arrow batch turns them into vectors, without any shuffle.
+    """
 
-    return per.select("id", dense(F.col("m.dim"), F.col("m.weight")).alias("embedding"))
+    def dense(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            every, at = np.unique(np.concatenate(pdf["seeds"].to_list()).astype(np.uint64), return_inverse=True)
+            where, weight = _draws(every, dims)
+            out, start = [], 0
+            for n in pdf["seeds"].map(len):
+                rows = at[start : start + n]
+                start += n
+                v = np.bincount(where[rows].ravel(), weights=weight[rows].ravel(), minlength=dims)
+                out.append(v / (np.linalg.norm(v) or 1.0))
+            yield pd.DataFrame({"id": pdf["id"], "embedding": out})
+
+    seeds = texts.select("id", F.transform(embed_tokens(F.col("text")), fnv1a).alias("seeds")).filter(F.size("seeds") > 0)
+    return seeds.mapInPandas(dense, f"id {dict(texts.dtypes)['id']}, embedding array<double>")

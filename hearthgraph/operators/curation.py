@@ -241,7 +241,7 @@ def compile_digests(decisions: DataFrame, branches: DataFrame, transcripts: Data
 def mask_payload(payload: Column) -> Column:
     """Every content key of a JSON payload, at any depth, shows a placeholder."""
     keys = "|".join(CONTENT_KEYS)
-    scalar = r'"(?:[^"\\\\]|\\\\.)*"|true|false|null|-?[0-9][0-9.eE+-]*'
+    scalar = r'"(?:[^"\\]|\\.)*"|true|false|null|-?[0-9][0-9.eE+-]*'
     pat = rf'"({keys})":(?:{scalar}|\[[^\[\]]*\]|\{{[^{{}}]*\}})'
     return F.regexp_replace(payload, pat, f'"$1":"{HIDDEN}"')
 

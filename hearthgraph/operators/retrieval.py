@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions.stem import stemmed
 from ..model import visible
 from ..session import fits
 
@@ -29,19 +30,23 @@ SALTS = 16
 # ------------------------------------------------------------------ lexical arm
 
 
-def term_table(chunks: DataFrame, stop: list[str] | None = None) -> DataFrame:
-    """(chunk_id, term, tf, first_pos): the searchable index, one row per chunk and term."""
+def term_table(chunks: DataFrame, stop: list[str] | None = None, stem: bool = False) -> DataFrame:
+    """(chunk_id, term, tf, first_pos): the searchable index, one row per chunk and term or stem."""
     stop = X.ENGLISH_STOP if stop is None else stop
     exploded = chunks.select("chunk_id", F.posexplode(X.terms(F.col("text"))).alias("pos", "term"))
     kept = exploded.filter(~F.col("term").isin(stop)) if stop else exploded
-    return kept.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
+    table = kept.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
+    if not stem:
+        return table
+    return stemmed(table).groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos"))
 
 
-def query_terms(queries: DataFrame, stop: list[str] | None = None) -> DataFrame:
+def query_terms(queries: DataFrame, stop: list[str] | None = None, stem: bool = False) -> DataFrame:
     """(query_id, term): distinct folded query tokens; function-character tokens and stop words drop out."""
     stop = X.ENGLISH_STOP if stop is None else stop
     t = queries.select("query_id", F.explode(F.array_distinct(X.terms(F.col("query")))).alias("term"))
-    return t.filter(~X.is_han_stop(F.col("term")) & ~F.col("term").isin(stop))
+    kept = t.filter(~X.is_han_stop(F.col("term")) & ~F.col("term").isin(stop))
+    return stemmed(kept).distinct() if stem else kept
 
 
 def common_terms(terms: DataFrame, chunk_total: int, share: float = 0.2) -> DataFrame:
@@ -78,15 +83,16 @@ def scoped(candidates: DataFrame, scope: DataFrame | None, types: list[str] | No
 
 def lexical_arm(
     queries: DataFrame, chunks: DataFrame, *, allowed: int = 1, types=None, scope=None, limit: int = ARM_LIMIT,
-    stop: list[str] | None = None, common: DataFrame | None = None, idf: bool = False, index: DataFrame | None = None,
+    stop: list[str] | None = None, common: DataFrame | None = None, idf: bool = False, index: DataFrame | None = None, stem: bool = False,
 ) -> DataFrame:
     """(query_id, chunk_id, parent_type, parent_id, positions, lexical, rank): top chunks by matching positions.
 
     Any shared term makes a candidate; its rank value is a tenth of its number of matching positions.
-    `idf=True` weighs each matching term by its rarity instead.
+    `idf=True` weighs each matching term by its rarity instead; `stem=True` matches English stems (an
+    `index` given must then hold stems).
     """
     seen = chunks.filter(visible(F.col("tier"), allowed)).select("chunk_id", "parent_type", "parent_id", "text")
-    idx = index if index is not None else term_table(seen, stop)
+    idx = index if index is not None else term_table(seen, stop, stem)
     if common is not None:
         idx = idx.join(common, "term", "left_anti")
     if idf:
@@ -96,7 +102,7 @@ def lexical_arm(
     else:
         idx = idx.withColumn("gain", F.col("tf") * 0.1)
     # only the terms somebody asks for travel on
-    matched = salted_join(idx.select("chunk_id", "term", "tf", "gain"), query_terms(queries, stop), "term", "chunk_id")
+    matched = salted_join(idx.select("chunk_id", "term", "tf", "gain"), query_terms(queries, stop, stem), "term", "chunk_id")
     scores = matched.groupBy("query_id", "chunk_id").agg(
         F.sum("tf").alias("positions"), F.round(F.sum("gain"), 6).alias("lexical")
     )
@@ -273,7 +279,7 @@ def hybrid_search(
     chunk_vectors: DataFrame | None = None, near: DataFrame | None = None, access: DataFrame | None = None, allowed: int = 1,
     types: list[str] | None = None, scope: DataFrame | None = None, include_derived: bool = False, limit: int = 10,
     rerank: DataFrame | None = None, autocut: bool = False, stop: list[str] | None = None, common: DataFrame | None = None,
-    idf: bool = False, index: DataFrame | None = None,
+    idf: bool = False, index: DataFrame | None = None, stem: bool = False,
 ) -> DataFrame:
     """The whole pipeline: intent, both arms, fusion, metadata, adjustment, best chunk, rerank, cut, snippet.
 
@@ -283,7 +289,7 @@ def hybrid_search(
     name = X.intent(F.col("query"))
     q = queries.select("query_id", "query", *[c.alias(n) for n, c in X.intent_scales(name).items()])
     seen = chunks.filter(visible(F.col("tier"), allowed))
-    lex = lexical_arm(q, chunks, allowed=allowed, types=types, scope=scope, stop=stop, common=common, idf=idf, index=index)
+    lex = lexical_arm(q, chunks, allowed=allowed, types=types, scope=scope, stop=stop, common=common, idf=idf, index=index, stem=stem)
     if query_vectors is not None and chunk_vectors is not None:
         cv = chunk_vectors.join(seen.select("chunk_id", "parent_type", "parent_id"), "chunk_id")
         if scope is None and not types:

@@ -65,6 +65,12 @@ def x02(spark, sf):
     )
 
 
+@query("X02_term_table_stemmed")
+def x02_stemmed(spark, sf):
+    t = R.term_table(visible_chunks(spark, sf).filter("tier = 1"), stem=True)
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("positions"), F.min("first_pos").alias("first_pos"))
+
+
 @query("X03_query_terms", "select query_id, term from passage_terms")
 def x03(spark, sf):
     return R.query_terms(passages(spark, sf))

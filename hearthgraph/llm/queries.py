@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import vectors
+from . import phrases, tokens, vectors
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,16 +18,31 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.length_histogram(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_scores(read(spark, sf_dir, "embeddings"))
 
 
+@query
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(read(spark, sf_dir, "documents"))
+
+
 ORACLES["op5_embedding_near_dedup"] = """
 with recursive v as (
   select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings

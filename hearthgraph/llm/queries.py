@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import phrases, tokens, vectors
+from . import joins, phrases, tokens, vectors
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.similar_groups(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
@@ -69,3 +74,29 @@ s as (
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 """
+ORACLES["op4_ngram_jaccard_join"] = """
+with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+g as (
+  select distinct doc_id, unnest(case when len(w) < 5 then [w] else list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) end) as s
+  from w where len(w) > 0),
+n as (select doc_id, count(*) as n from g group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as m from g a join g b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+link as (select pairs.a, pairs.b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where m / (x.n + y.n - m) >= 0.8),
+reach as (select a as doc_id, a as other from link union select doc_id, b from reach join link on other = a)
+select d.doc_id, coalesce((select min(other) from reach r where r.doc_id = d.doc_id), d.doc_id) as class_id,
+       (select count(*) from link where a = d.doc_id) as n_links
+from documents d
+"""
+ORACLES["op7_substring_dedup"] = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, unnest(range(1, len(w) - 18)) as p, w from w where len(w) >= 20),
+k as (select doc_id, p, w[p:p + 19] as k from s),
+r as (select doc_id, p, row_number() over (partition by k order by doc_id, p) > 1 as again from k),
+gone as (select distinct doc_id, unnest(range(p, p + 20)) as p from r where again),
+left_over as (
+  select doc_id, list(x order by i) as kept from (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from w) u
+  where not exists (select 1 from gone where gone.doc_id = u.doc_id and gone.p = u.i) group by 1)
+select w.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(len(kept), 0))::bigint as n_removed,
+       sha256(coalesce(array_to_string(kept, ' '), '')) as kept_sha256
+from w left join left_over using (doc_id)
+"""

@@ -230,7 +230,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", thres
             same = np.array([_name(t) for t in texts], dtype=np.int64) == b.column("c").to_numpy()
             mine = np.flatnonzero(same)  # a repeated key may bring other texts
             lists = pa.array([np.unique(h[cut[i] : cut[i + 1]]).view(np.int64) for i in mine], pa.list_(pa.int64()))
-            out = b.take(pa.array(mine))
+            out = b.select(["root", "c", "w", "nb"]).take(pa.array(mine))
             yield pa.RecordBatch.from_arrays([out.column(c) for c in ("root", "c", "w", "nb")] + [lists], ["root", "c", "w", "nb", "set"])
 
     spelt = docs.join(group, docs["doc"] == group["rep"]).select("root", "c", "w", "nb", "text")

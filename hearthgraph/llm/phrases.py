@@ -42,12 +42,12 @@ def _anchors(words: Words, window: int):
     return starts[head], counts, gram[at[head]].view(np.int64)
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT, keep_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT, carry: list[str] | None = None) -> DataFrame:
     """Remove each word covered by a window of `window` words whose word sequence also starts earlier.
 
     Earlier means a smaller key, or the same document and an earlier start; windows are judged on the input. Returns
-    (key, n_words, n_removed, kept_sha256), and kept (the words left, joined by one space) if `keep_text`. A null text
-    has no words. Rows without key are compared with nothing but themselves. Rows that share a key are told apart by
+    (key, n_words, n_removed, kept_sha256); with `carry` also kept (the words left, joined by one space), the text as
+    it came, and the columns named. A null text has no words. Rows without key are compared with nothing but themselves. Rows that share a key are told apart by
     their text (in the order of its hash); repeated equal rows count as one document and each get its result.
     An empty table gives no rows.
 
@@ -60,7 +60,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     whole hot passage. Marks return to their documents, where the covered words are removed.
     """
     kind = dict(df.dtypes)[key]
-    docs = df.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    extra = {f"x{i}": c for i, c in enumerate(carry or [])}
+    docs = df.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).alias(x) for x, c in extra.items()]).withColumn("th", F.xxhash64("text"))
     known = docs.where("doc is not null")
     firsts = materialize(known.select("doc", "th", F.sha2("text", 256).alias("sha")).distinct(), "digests")
     owner = firsts.groupBy("sha").agg(F.min(F.struct("doc", "th")).alias("o"))
@@ -81,7 +82,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
             yield pa.RecordBatch.from_arrays([pa.array(anchor[first_of_each(words.doc[start], anchor)])], ["anchor"])
 
     many = known.select("text").mapInArrow(find_once, "anchor long").groupBy("anchor").agg(F.count("*").alias("docs")).where("docs > 1")
-    every = known.mapInArrow(find, f"doc {kind}, th long, start int, n int, anchor long")
+    every = known.select("doc", "th", "text").mapInArrow(find, f"doc {kind}, th long, start int, n int, anchor long")
     shared = every.join(many, "anchor").select("doc", "th", "start", "n", "anchor", (F.col("docs") > hot).alias("hot"))
     own = shared.join(status.where("not copy"), ["doc", "th"], "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("at"))
     own = materialize(own, "anchors")
@@ -147,6 +148,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     marks = parts.mapInArrow(locate, f"doc {kind}, th long, start int, mark long")
     marks = marks.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "mark")).alias("marks"))
 
+    through = ["text", *extra] if carry else []
+
     def strip(batches):
         for b in batches:
             texts = [clean(t.as_py()) for t in b.column("text")]
@@ -176,16 +179,20 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
                 n_removed.append(int(gone.sum()))
                 left = b" ".join(w for w, g in zip(t.split(b" "), gone.tolist()) if not g) if len(at) else t
                 shas.append(hashlib.sha256(left).hexdigest())
-                kept.append(left.decode("utf-8", "surrogatepass") if keep_text else None)
+                kept.append(left.decode("utf-8", "surrogatepass") if carry else None)
             counts = np.diff(words.first)
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("th"), pa.array(counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())], ["doc", "th", "n_words", "n_removed", "kept_sha256", "kept"])
+            brought = [b.column(c) for c in through]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string()), *brought], ["doc", "n_words", "n_removed", "kept_sha256", "kept", *through])
 
     told = status.join(marks, ["doc", "th"], "left")
-    out = f"doc {kind}, th long, n_words long, n_removed long, kept_sha256 string, kept string"
-    main = known.join(told, ["doc", "th"]).select("doc", "th", "text", "copy", "marks").mapInArrow(strip, out)
+    kinds = dict(docs.dtypes)
+    out = f"doc {kind}, n_words long, n_removed long, kept_sha256 string, kept string" + "".join(f", {c} {kinds[c]}" for c in through)
+    cols = ["doc", "text", *extra]
+    main = known.join(told, ["doc", "th"]).select(*cols, "copy", "marks").mapInArrow(strip, out)
     nothing = F.lit(None).cast("array<struct<start:int,mark:bigint>>").alias("marks")
-    nameless = docs.where("doc is null").select("doc", "th", "text", F.lit(False).alias("copy"), nothing).mapInArrow(strip, out)
-    return main.unionByName(nameless).select(F.col("doc").alias(key), "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else []))
+    nameless = docs.where("doc is null").select(*cols, F.lit(False).alias("copy"), nothing).mapInArrow(strip, out)
+    also = ["kept", F.col("text"), *[F.col(x).alias(c) for x, c in extra.items()]] if carry else []
+    return main.unionByName(nameless).select(F.col("doc").alias(key), "n_words", "n_removed", "kept_sha256", *also)
 
 
 def _locate(parts: list[bytes], counts: list[int], window: int, seen: set[bytes], goes_on: bool) -> list[int]:

@@ -12,7 +12,7 @@ from .common import one_per_id
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
 TREES, DEPTH, BINS, LEAST, STEP = 30, 3, 32, 20, 0.3
-LASSO, ROUNDS = 4e-4, 400
+LASSO, ROUNDS = 1e-3, 400
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -62,7 +62,9 @@ class Rule:
 def grow(x: np.ndarray, y: np.ndarray) -> list[Rule]:
     """The distinct paths of boosted trees, each fitted on half of the rows."""
     rng = np.random.default_rng(5)
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for f in range(x.shape[1])]
+    # cuts at quantiles of the rows, and of the values for what is 0 in nearly all rows
+    inner = np.linspace(0, 1, BINS + 1)[1:-1]
+    edges = [np.unique([np.quantile(v, inner, method="lower") for v in (x[:, f], np.unique(x[:, f]))]) for f in range(x.shape[1])]
     bins = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
     score = np.full(len(y), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     rules: dict[tuple, Rule] = {}
@@ -138,9 +140,9 @@ class Classifier:
             share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
             self.rules, self.base = [], float(np.log(share / (1 - share)))
 
-    def score(self, within: str) -> Column:
-        """The rules as one column over the statistics, fields of the struct column `within`."""
-        names = [f"{within}.{n}" for n in self.names]
+    def score(self, prefix: str) -> Column:
+        """The rules as one column over the statistics, columns whose names begin with `prefix`."""
+        names = [prefix + n for n in self.names]
         total = F.lit(self.base)
         for rule, weight in self.rules:
             total = total + F.when(rule.column(names), F.lit(weight)).otherwise(F.lit(0.0))
@@ -170,6 +172,8 @@ def classify(docs: DataFrame, model: Classifier, text: str = "text", threshold:
     """
     stats = statistics(F.col(text))
     rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    wide = docs.select(*[F.col(f"`{c}`") for c in rest], F.struct(*[c.cast("double").alias(n) for n, c in stats.items()]).alias("_stats"))
-    return wide.withColumn("score", model.score("_stats")).drop("_stats").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-
+    # a generator of one row keeps the optimizer from copying the statistics into each rule
+    once = F.inline(F.array(F.struct(*[c.cast("double").alias(f"_stat_{n}") for n, c in stats.items()])))
+    wide = docs.select(*[F.col(f"`{c}`") for c in rest], once)
+    scored = wide.withColumn("score", model.score("_stat_")).select(*[F.col(f"`{c}`") for c in rest], "score")
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

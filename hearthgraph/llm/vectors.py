@@ -68,8 +68,8 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vec: str = "embedding", gro
     row. Null, empty or zero vectors, vectors with components that are null or not finite, and rows without a group
     link with nothing and are kept. Vectors of different length never link. An empty table gives no rows.
 
-    Method: equal vectors are collapsed and weighted. Centres of a spherical k-means assign each vector to a home
-    cell. Two vectors at the threshold lie at most sqrt(2 - 2 * threshold) apart, so a vector also visits every cell
+    Method: equal vectors are collapsed and weighted. Centres of a spherical k-means, as many as the group needs,
+    assign each vector to a home cell. Two vectors at the threshold lie at most sqrt(2 - 2 * threshold) apart, so a vector also visits every cell
     whose dividing plane is that near: no pair is lost at a border. Cells are cut into blocks of bounded size;
     a block holds its home rows and streams its visitors past them, one cosine product per batch. Each block counts
     the links of its own home rows and passes on a spanning forest, so no pair leaves a task.
@@ -83,25 +83,33 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vec: str = "embedding", gro
     dim = dim or 1
     near = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
 
-    x, norms = _scaled(_fit(reps, "v", "rep", dim)) if n else (np.zeros((0, dim)), np.ones(0))
-    centres = spherical_means(x / norms[:, None], min(MOST_CELLS, math.ceil(n / block_rows))) if n else np.zeros((1, dim))
-    square = (centres * centres).sum(axis=1)
-    width = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * centres @ centres.T, 1e-300))
+    fit = _fit(reps, "v", "rep", dim)
+    unit = fit / np.abs(fit).max(axis=1, keepdims=True) if len(fit) else fit
+    unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True)) if len(fit) else unit
+    levels = range(math.ceil(math.log2(max(1, min(MOST_CELLS, math.ceil(n / block_rows))))) + 1)
+    centres = [spherical_means(unit, 2**i) if len(unit) else np.zeros((1, dim)) for i in levels]
+    widths = [np.sqrt(np.maximum((c * c).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * c @ c.T, 1e-300)) for c in centres]
 
     def assign(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             u, norm = _scaled(_matrix(b.column("v"), dim))
-            s = (u / norm[:, None]) @ centres.T
-            home = s.argmax(axis=1)
-            gap = s[np.arange(len(s)), home][:, None] - s
-            row, cell = np.nonzero(gap <= near * width[home])
-            out = b.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([out.column(c) for c in ("grp", "rep", "w", "v")] + [pa.array(cell.astype(np.int32)), pa.array(home[row] == cell)], ["grp", "rep", "w", "v", "cell", "home"])
-
+            u /= norm[:, None]
+            at = b.column("level").to_numpy()
+            for i in np.unique(at):
+                mine = np.flatnonzero(at == i)
+                s = u[mine] @ centres[i].T
+                home = s.argmax(axis=1)
+                row, cell = np.nonzero(s[np.arange(len(s)), home][:, None] - s <= near * widths[i][home])
+                out = b.take(pa.array(mine[row]))
+                yield pa.RecordBatch.from_arrays([out.column(c) for c in ("grp", "rep", "w", "v")] + [pa.array(cell.astype(np.int32)), pa.array(home[row] == cell)], ["grp", "rep", "w", "v", "cell", "home"])
+
+    # a group has about one cell for each block of rows: the centres of the next power of two
+    many = F.ceil(F.log2(F.ceil(F.count("*") / block_rows))).cast("int")
+    sized = reps.join(reps.groupBy("grp").agg(F.least(many, F.lit(len(centres) - 1)).alias("level")), "grp")
     kind = dict(reps.dtypes)["grp"]
-    visits = reps.select("grp", "rep", "w", "v").mapInArrow(assign, f"grp {kind}, rep long, w long, v array<double>, cell int, home boolean")
+    visits = sized.select("grp", "rep", "w", "v", "level").mapInArrow(assign, f"grp {kind}, rep long, w long, v array<double>, cell int, home boolean")
     visits = materialize(visits.withColumn("dim", F.size("v")), "visits")
     cells = visits.where("home").groupBy("grp", "dim", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nb"))
     at = visits.join(cells, ["grp", "dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))

@@ -68,6 +68,7 @@ def grow(x: np.ndarray, y: np.ndarray) -> list[Rule]:
     bins = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
     score = np.full(len(y), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     rules: dict[tuple, Rule] = {}
+    least = max(3, min(LEAST, len(y) // 25))
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
         grad, hess = y - p, np.maximum(p * (1 - p), 1e-9)
@@ -79,14 +80,14 @@ def grow(x: np.ndarray, y: np.ndarray) -> list[Rule]:
             mine = rows & used
             total_g, total_h = grad[mine].sum(), hess[mine].sum()
             best = (1e-6, None, None)
-            if depth < DEPTH and mine.sum() >= 2 * LEAST:
+            if depth < DEPTH and mine.sum() >= 2 * least:
                 for f in feats:
                     size = len(edges[f]) + 1
                     g = np.cumsum(np.bincount(bins[mine, f], grad[mine], size))[:-1]
                     h = np.cumsum(np.bincount(bins[mine, f], hess[mine], size))[:-1]
                     k = np.cumsum(np.bincount(bins[mine, f], minlength=size))[:-1]
                     gain = g * g / (h + 1) + (total_g - g) ** 2 / (total_h - h + 1) - total_g**2 / (total_h + 1)
-                    gain = np.where((k >= LEAST) & (mine.sum() - k >= LEAST), gain, 0)
+                    gain = np.where((k >= least) & (mine.sum() - k >= least), gain, 0)
                     if len(gain) and gain.max() > best[0]:
                         best = (gain.max(), f, int(gain.argmax()))
             if best[1] is None:

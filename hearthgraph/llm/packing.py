@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, pieces
+from .tokens import lengths
 
-#: Units of one bin. The queries count bytes of UTF-8.
-CAPACITY = 8_192
+#: Units of one bin. The queries count tokens.
+CAPACITY = 4_096
 #: Pieces that are packed together; a task holds one such shard at a time.
 SHARD_ROWS = 4_096
 
@@ -101,6 +102,7 @@ def pack(df: DataFrame, key: str = "doc_id", length: str = "length", source: str
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pack the documents table by bytes; documents with the same words are one duplicate cluster."""
+    """Pack the documents table by tokens; documents with the same words are one duplicate cluster."""
     words = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    return pack(docs.select("doc_id", F.octet_length("text").alias("length"), "source", F.xxhash64(words).alias("cluster")), capacity=capacity)
+    measured = lengths(docs.select("doc_id", "text", "source", F.xxhash64(words).alias("cluster")), keep=["doc_id", "source", "cluster"])
+    return pack(measured, capacity=capacity)

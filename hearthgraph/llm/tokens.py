@@ -88,16 +88,19 @@ def encoder(path: str):
     return _RANKS[path]
 
 
-def lengths(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """(length): the number of tokens of each row's whole text; null counts as empty, control strings as text."""
+def lengths(df: DataFrame, text: str = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(length, and the columns `keep`): the number of tokens of each row's whole text; null counts as empty, control strings as text."""
     path = path or _default("byte_bpe_50k.tiktoken")
+    keep = keep or []
+    kinds = dict(df.dtypes)
 
     def run(batches):
         count = encoder(path).encode_ordinary
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(count(t.as_py() or "")) for t in b.column("t")], pa.int64())], ["length"])
+            n = pa.array([len(count(t.as_py() or "")) for t in b.column("_text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([n, *(b.column(c) for c in keep)], ["length", *keep])
 
-    return df.select(F.col(text).alias("t")).mapInArrow(run, "length long")
+    return df.select(F.col(text).alias("_text"), *keep).mapInArrow(run, "length long" + "".join(f", {c} {kinds[c]}" for c in keep))
 
 
 def length_histogram(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:

@@ -5,11 +5,12 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hearthgraph.llm import pages, quality
+from hearthgraph.llm import pages, quality, tokens
 from tests.conftest import SF
 from tests.llm.test_texts import brute_groups, brute_removal, words_of
 
@@ -111,7 +112,8 @@ def test_pipeline_stages(spark):
     whole = {}
     for p in out:
         whole[p.doc_id] = whole.get(p.doc_id, 0) + p.length
-    assert whole == {r.doc_id: len(r.text.encode()) for r in left.collect()}
+    count = tokens.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_ordinary
+    assert whole == {r.doc_id: len(count(r.text)) for r in left.collect()}
 
 
 def test_pipeline_of_awkward_rows(spark):

@@ -18,7 +18,7 @@ WINDOW = 20
 #: Documents that share an anchor from which on its windows are dealt out one by one.
 HOT = 5_000
 #: Segments of one automaton.
-SHARD = 4_096
+SHARD = 2_048
 
 
 def _anchors(words: Words, window: int):
@@ -72,7 +72,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
             words = Words([clean(t.as_py()) for t in b.column("text")])
             start, count, anchor = _anchors(words, window)
             row = words.doc[start]
-            out = b.take(pa.array(row))
+            out = b.select(["doc", "th"]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([out.column("doc"), out.column("th"), pa.array((start - words.first[row]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor)], ["doc", "th", "start", "n", "anchor"])
 
     def find_once(batches):
@@ -107,7 +107,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
                         starts.append(s1)
                         counts.append(n1)
                         parts.append(b" ".join(words[s1 : s1 + n1 + window - 1]))
-            out = b.take(pa.array(rows, pa.int64()))
+            out = b.select(["doc", "th"]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), out.column("doc"), out.column("th"), pa.array(starts, pa.int32()), pa.array(counts, pa.int32()), pa.array(parts, pa.binary())], ["route", "doc", "th", "start", "n", "words"])
 
     parts = known.join(own, ["doc", "th"]).mapInArrow(segments, f"route long, doc {kind}, th long, start int, n int, words binary")

@@ -17,20 +17,24 @@ def any_word(words: str) -> str:
 
 
 # fixed values: the English stop list of the full-text index
-ENGLISH_STOP = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself "
-    "it its itself they them their theirs themselves what which who whom this that these those am is are was were be "
-    "been being have has had having do does did doing a an the and but if or because as until while of at by for with "
-    "about against between into through during before after above below to from up down in out on off over under "
-    "again further then once here there when where why how all any both each few more most other some such no nor "
-    "not only own same so than too very s t can will just don should now"
-).split()
+ENGLISH_STOP = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself",
+    "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this",
+    "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing",
+    "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between",
+    "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again",
+    "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some",
+    "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now",
+]
 
 # fixed values: Han characters that carry no content
 HAN_STOP = "的一了是我不在有这那他她它们你您么什哪里谁个上中下要会能可以和与就都还也很到从把被让为多少每天年月日时候后前先看做去过来吗呢啊吧没好再又只但如果因所然"
 
 # fixed values: filler words of the title match
-TITLE_STOP = "a an and the of to in on for with is are was were my me i it this that about what who when how".split()
+TITLE_STOP = [
+    "a", "an", "and", "the", "of", "to", "in", "on", "for", "with", "is", "are", "was", "were", "my", "me", "i", "it", "this", "that", "about",
+    "what", "who", "when", "how",
+]
 
 # fixed values: cues of the query intent and the months
 TEMPORAL_CUES = [
@@ -42,10 +46,9 @@ EVENT_CUES = [
     "spoke", "happened", "occurred", "trip",
 ]
 ENTITY_CUES = ["who is", "who's", "profile of", "contact for", "page for"]
-MONTHS = (
-    "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|"
-    "nov(?:ember)?|dec(?:ember)?"
-)
+MONTH_NAMES = ["january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december"]
+# a month in full or by its first three letters; May is left out, being a common verb
+MONTHS = "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTH_NAMES)
 
 
 def _hex4(ch: Column) -> Column:

@@ -10,7 +10,7 @@ from ..session import materialize
 
 FLOOR = 0.7
 # fixed values: words that do not make two titles alike
-DEDUP_STOP = "the a an to for of at in on and with by is are be event day".split()
+DEDUP_STOP = ["the", "a", "an", "to", "for", "of", "at", "in", "on", "and", "with", "by", "is", "are", "be", "event", "day"]
 
 
 def title_tokens(title: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions.capture import org_cue
@@ -52,12 +56,12 @@ def phantom_flags(candidates: DataFrame) -> DataFrame:
     )
 
 
-def contradictions(members: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
-    """The first `limit` chunk pairs (a < b) about one entity where opposite claims meet, in (a, b) order.
+def contradictions(members: DataFrame, texts: DataFrame, queue: DataFrame | None = None) -> DataFrame:
+    """(entity, claim, side, chunk_id): all chunks about an entity that take a side in a claim on which sides meet.
 
-    members(entity, chunk_id), texts(chunk_id, text). Flags are set per chunk before anything is paired.
-    Within an entity and a claim only the first 2 * limit chunks of each side can appear in the first
-    `limit` pairs, so the sides are cut to that by rank before they meet.
+    members(entity, chunk_id), texts(chunk_id, text). Every chunk of one side contradicts every chunk of the other,
+    so a group says all its pairs in as many rows as it has chunks. A group of a single chunk that takes both
+    sides is no contradiction. With queue(kind, entity, claim, status), groups with an open item are left out.
     """
     flags = F.array(
         *[
@@ -70,19 +74,13 @@ def contradictions(members: DataFrame, texts: DataFrame, limit: int) -> DataFram
         texts.select("chunk_id", F.explode(F.filter(flags, lambda x: x["on"])).alias("x"))
         .select("chunk_id", F.floor(F.col("x.f") / 2).cast("int").alias("claim"), (F.col("x.f") % 2).alias("side"))
     )
-    m = members.select("entity", "chunk_id").distinct().join(said, "chunk_id")
-    w = Window.partitionBy("entity", "claim", "side").orderBy("chunk_id")
-    m = m.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 2 * limit).drop("rn")
-    x = m.filter("side = 0").select("entity", "claim", F.col("chunk_id").alias("x"))
-    y = m.filter("side = 1").select("entity", "claim", F.col("chunk_id").alias("y"))
-    return (
-        x.join(y, ["entity", "claim"])
-        .filter("x <> y")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .orderBy("a", "b")
-        .limit(limit)
-    )
+    m = members.select("entity", "chunk_id").distinct().join(said, "chunk_id").distinct()
+    met = m.groupBy("entity", "claim").agg(F.min("side").alias("s0"), F.max("side").alias("s1"), F.min("chunk_id").alias("c0"), F.max("chunk_id").alias("c1"))
+    met = met.filter("s0 < s1 and c0 < c1").select("entity", "claim")
+    if queue is not None:
+        open_ = queue.filter("kind = 'contradiction' and status = 'open'").select("entity", "claim").distinct()
+        met = met.join(open_, ["entity", "claim"], "left_anti")
+    return m.join(met, ["entity", "claim"], "left_semi").select("entity", "claim", "side", "chunk_id")
 
 
 # ------------------------------------------------------------------ compiled notes
@@ -238,12 +236,25 @@ def compile_digests(decisions: DataFrame, branches: DataFrame, transcripts: Data
 # ------------------------------------------------------------------ review queue
 
 
-def mask_payload(payload: Column) -> Column:
-    """Every content key of a JSON payload, at any depth, shows a placeholder."""
-    keys = "|".join(CONTENT_KEYS)
-    scalar = r'"(?:[^"\\]|\\.)*"|true|false|null|-?[0-9][0-9.eE+-]*'
-    pat = rf'"({keys})":(?:{scalar}|\[[^\[\]]*\]|\{{[^{{}}]*\}})'
-    return F.regexp_replace(payload, pat, f'"$1":"{HIDDEN}"')
+def _masked(value):
+    if isinstance(value, dict):
+        return {k: HIDDEN if k in CONTENT_KEYS else _masked(v) for k, v in value.items()}
+    return [_masked(v) for v in value] if isinstance(value, list) else value
+
+
+def _mask(payload: str | None) -> str | None:
+    if payload is None:
+        return None
+    try:
+        return json.dumps(_masked(json.loads(payload)), separators=(",", ":"), ensure_ascii=False)
+    except ValueError:
+        return json.dumps(HIDDEN)
+
+
+@F.pandas_udf(StringType())
+def mask_payload(payload: pd.Series) -> pd.Series:
+    """Every value of a content key, whatever it is and at any depth, shows a placeholder; so does a payload that is no JSON."""
+    return payload.map(_mask)
 
 
 def masked_queue(queue: DataFrame, nodes: DataFrame, allowed: int = 1) -> DataFrame:

@@ -198,19 +198,14 @@ def answer_check(answers: DataFrame, expected: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ pairs
 
 
-def pairs_sharing(members: DataFrame, limit: int) -> DataFrame:
-    """The first `limit` unordered member pairs (a < b) that share an entity, in (a, b) order.
+def groups_sharing(members: DataFrame) -> DataFrame:
+    """(entity, member, group_size): the distinct members of every entity that has two or more.
 
-    A pair report is quadratic in the size of a group, so the limit is pushed into the groups: the
-    first `limit` pairs of a group in (a, b) order only involve its first limit + 1 members. Ranks are
-    cut before the shuffle and the answer is the same as pairing everyone and sorting.
+    Each two members of a group are a pair that shares the entity, so this says all pairs without writing them out.
     """
     m = members.select("entity", "member").distinct()
-    w = Window.partitionBy("entity").orderBy("member")
-    head = m.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit + 1).drop("rn")
-    a = head.withColumnRenamed("member", "a")
-    b = head.withColumnRenamed("member", "b")
-    return a.join(b, "entity").filter("a < b").select("a", "b").distinct().orderBy("a", "b").limit(limit)
+    size = m.groupBy("entity").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    return m.join(size, "entity")
 
 
 # ------------------------------------------------------------------ screens and repair

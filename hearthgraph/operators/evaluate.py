@@ -288,8 +288,15 @@ def answer_leakage(candidates: DataFrame, originals: DataFrame, gold: DataFrame)
 def leak_audit(results: DataFrame, sentinels: DataFrame) -> DataFrame:
     """Result rows above the reader's tier: (result_id, reader_tier, sentinel) for each sentinel found in the text.
 
-    results(result_id, reader_tier, text), sentinels(sentinel, tier). Sentinels are single words, found by
-    equality of words.
+    results(result_id, reader_tier, text), sentinels(sentinel, tier). A sentinel is a run of any number of words. Words
+    of the results that open a sentinel are found by equality, and the run from there is compared word by word.
     """
-    w = results.select("result_id", "reader_tier", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}_]+"))).alias("sentinel"))
-    return w.join(sentinels, "sentinel").filter(F.col("tier") > F.col("reader_tier")).select("result_id", "reader_tier", "sentinel")
+    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    s = sentinels.select("sentinel", "tier", words("sentinel").alias("run")).filter(F.size("run") > 0).withColumn("head", F.col("run")[0])
+    r = results.select("result_id", "reader_tier", words("text").alias("ws"))
+    at = r.select("result_id", "reader_tier", F.posexplode("ws").alias("pos", "head")).join(s.select("head").distinct(), "head", "left_semi")
+    hits = at.join(s, "head").filter(F.col("tier") > F.col("reader_tier"))
+    alone = hits.filter(F.size("run") == 1).select("result_id", "reader_tier", "sentinel")
+    longer = hits.filter(F.size("run") > 1).join(r.select("result_id", "ws").distinct(), "result_id")
+    longer = longer.filter(F.slice("ws", F.col("pos") + 1, F.size("run")) == F.col("run")).select("result_id", "reader_tier", "sentinel")
+    return alone.unionByName(longer).distinct()

@@ -342,10 +342,11 @@ def e09(spark, sf):
 @query(
     "E10_leak_audit",
     """
-select p.id as result_id, 1 as reader_tier, 'sentinel_' || p.id::varchar as sentinel from pages_state p where p.tier = 2 and p.id % 3 = 0""",
+select p.id as result_id, 1 as reader_tier, case when p.id % 2 = 0 then 'sentinel_' || p.id::varchar else 'locked page ' || p.id::varchar end as sentinel
+from pages_state p where p.tier = 2 and p.id % 3 = 0""",
 )
 def e10(spark, sf):
     """Pages served to tier-1 readers; a careless server lets every third locked page through."""
-    p = B.pages_state(spark, sf).withColumn("mark", F.concat(F.lit("sentinel_"), "id"))
+    p = B.pages_state(spark, sf).withColumn("mark", F.when(F.col("id") % 2 == 0, F.concat(F.lit("sentinel_"), "id")).otherwise(F.concat(F.lit("locked page "), "id")))
     served = p.filter((F.col("tier") <= 1) | (F.col("id") % 3 == 0)).select(F.col("id").alias("result_id"), F.lit(1).alias("reader_tier"), F.concat("mark", F.lit(" "), "text").alias("text"))
     return E.leak_audit(served, p.select(F.col("mark").alias("sentinel"), "tier"))

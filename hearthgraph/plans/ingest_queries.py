@@ -71,7 +71,7 @@ def s02(spark, sf):
     path = new_folder(spark, "bank")
     rows.write.csv(path, header=True, quote='"', escape='"')
     good, _ = S.parse_bank(S.read_bank_csv(spark, path), BANK)
-    merged = M.keyed_merge(good.limit(0), good, ["account_label", "external_ref"], "occurred_on", update=False)
+    merged = M.keyed_merge(good.limit(0).drop("arrival"), good, ["account_label", "external_ref"], "arrival", update=False)
     return merged.select("external_ref", "occurred_on", "amount_cents", "merchant", "category")
 
 
@@ -88,9 +88,11 @@ def health_xml(spark, sf):
     start = F.when(k % 80 == 2, "bad-date").otherwise(fmt(ts))
     end = fmt(F.expr("date_trunc('second', cast(ts as timestamp)) + make_interval(0, 0, 0, 0, 0, cast(user_id as int), 0)"))
     attr = lambda n, c: F.concat(F.lit(f' {n}="'), c, F.lit('"'))
-    return e.select(
-        F.concat(F.lit("<Record"), attr("type", kind), attr("sourceName", F.concat(F.lit("w"), F.col("user_id"))), attr("startDate", start), attr("endDate", end), attr("value", value), F.lit("/>")).alias("value")
-    )
+    record = lambda v: F.concat(F.lit("<Record"), attr("type", kind), attr("sourceName", F.concat(F.lit("w"), F.col("user_id"))), attr("startDate", start), attr("endDate", end), attr("value", v), F.lit("/>"))
+    # every ninth record is followed by one of the same key and another value, which must not win
+    later = F.when((k % 9 == 4) & (F.col("event_type") != "click"), record(F.lit("-1"))).otherwise("")
+    bad = F.col("event_type").isin("view", "error") & (k % 60 == 1)
+    return e.select(F.concat(record(value), F.when(bad, "").otherwise(later)).alias("value"))
 
 
 cte(
@@ -107,7 +109,7 @@ def s03(spark, sf):
     path = new_folder(spark, "health")
     health_xml(spark, sf).write.text(path)
     good, _ = S.parse_health(S.read_health(spark, path))
-    merged = M.keyed_merge(good.limit(0), good, ["kind", "happened_at", "source"], "value", update=False)
+    merged = M.keyed_merge(good.limit(0).drop("arrival"), good, ["kind", "happened_at", "source"], "arrival", update=False)
     return merged.select("kind", F.unix_micros("happened_at").alias("at_us"), "source", "value")
 
 
@@ -132,8 +134,11 @@ def s04(spark, sf):
         F.when(F.col("turn") > 1, F.concat(F.lit("References: <"), mid(F.lit("0")), F.lit("> <x@y>"))),
         F.when(F.col("turn") == 1, F.concat(F.lit("In-Reply-To: <r"), "conv_id", F.lit("@x.example>"))), F.lit(""), F.col("text"),
     )
-    good, _ = S.parse_mail(c.select(raw.alias("raw")))
-    merged = M.keyed_merge(good.limit(0), good, ["message_id"], "happened_at", update=False)
+    # every seventh message comes a second time, under another subject
+    again = raw.alias("raw"), F.regexp_replace(raw, "Subject: Re", "Subject: Fwd").alias("copy")
+    seen = c.select(*again, "conv_id", "turn").select("conv_id", "turn", F.posexplode(F.when(F.col("conv_id") % 7 == 2, F.array("raw", "copy")).otherwise(F.array("raw"))).alias("n", "raw"))
+    good, _ = S.parse_mail(seen.select("raw", F.struct("n", "conv_id", "turn").alias("arrival")))
+    merged = M.keyed_merge(good.limit(0).drop("arrival"), good, ["message_id"], "arrival", update=False)
     return merged.select("message_id", F.unix_micros("happened_at").alias("at_us"), "from_addr", "subject", "thread_id")
 
 

@@ -355,7 +355,7 @@ def page_near(spark, sf):
     edges = d.select(
         F.lit("page").alias("src_type"), F.col("doc_id").alias("src_id"), F.lit("org").alias("dst_type"),
         F.regexp_extract("source", "([0-9]+)", 1).cast("bigint").alias("dst_id"), F.lit(1).alias("tier"),
-    ).filter("src_id % 4 = 0")
+    )
     near = E.neighbors(named, edges).filter("type = 'page'")
     return near.select(F.col("key").alias("query_id"), F.col("id").alias("parent_id"))
 
@@ -366,7 +366,7 @@ cte(
          select distinct p.query_id, s.id from passages p join (
            select distinct regexp_extract(source, '([0-9]+)', 1)::bigint as id, split_part(lower(text), ' ', 1) as name from documents) s
          on length(s.name) >= 4 and contains(lower(p.query), s.name)) n
-       join documents d on regexp_extract(d.source, '([0-9]+)', 1)::bigint = n.id and d.doc_id % 4 = 0""",
+       join documents d on regexp_extract(d.source, '([0-9]+)', 1)::bigint = n.id""",
 )
 cte("page_access", f"select parent_id::bigint as parent_id, drills from ({RAW['A08_access_counts']})")
 BOOST_SQL = r"""case when len(qt) = 0 or not contains(' ' || array_to_string(tt, ' ') || ' ', ' ' || array_to_string(qt, ' ') || ' ') then 1.0
@@ -517,12 +517,12 @@ def x07(spark, sf):
     "X08_query_intent",
     f"""select conv_id * 100 + turn as query_id, {intent_sql('text')} as intent from conversations
         union all select -item_id - 1, {intent_sql('text')} from benchmark
-        union all select 1000000 + doc_id, {intent_sql("split_part(text, '.', 1)")} from documents""",
+        union all select 1000000 + doc_id, {intent_sql('text')} from documents""",
 )
 def x08(spark, sf):
     c = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("q"))
     b = table(spark, sf, "benchmark").select((-F.col("item_id") - 1).alias("query_id"), F.col("text").alias("q"))
-    d = table(spark, sf, "documents").select((F.lit(1000000) + F.col("doc_id")).alias("query_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("q"))
+    d = table(spark, sf, "documents").select((F.lit(1000000) + F.col("doc_id")).alias("query_id"), F.col("text").alias("q"))
     return c.unionByName(b).unionByName(d).select("query_id", X.intent(F.col("q")).alias("intent"))
 
 

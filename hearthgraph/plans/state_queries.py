@@ -169,9 +169,10 @@ def m04(spark, sf):
 
 
 def capture_texts(spark, sf):
-    """Conversation turns and documents' openings as captures, with a lead-in that exercises each rule."""
+    """Conversation turns and every line of the documents as captures, with a lead-in that exercises each rule."""
     c = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("capture_id"), "text")
-    d = table(spark, sf, "documents").select((F.lit(10000000) + F.col("doc_id")).alias("capture_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("text"))
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    d = d.select((F.lit(1000000000) + F.col("doc_id") * 100000 + F.col("pos")).alias("capture_id"), "text")
     p = table(spark, sf, "part").select(
         (F.lit(20000000) + F.col("p_partkey")).alias("capture_id"),
         F.concat(F.lit("x"), "p_name", F.lit(" "), F.lower("p_brand"), F.lit(" "), F.lower("p_type")).alias("text"),
@@ -194,7 +195,8 @@ cte(
          when 8 then 'Task: sort bins and decide whether to keep ' else '' end) || text
          || (case capture_id % 12 when 0 then ' by 2001-07-01' when 5 then ' by 1999-01-01' || case when capture_id % 24 = 5 then ' - done' else '' end else '' end) as text
   from (select conv_id * 100 + turn as capture_id, text from conversations
-        union all select 10000000 + doc_id, split_part(text, '.', 1) from documents
+        union all select 1000000000 + doc_id * 100000 + pos, line from (
+          select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents)
         union all select 20000000 + p_partkey, 'x' || p_name || ' ' || lower(p_brand) || ' ' || lower(p_type) from part)""",
 )
 cte(
@@ -429,14 +431,21 @@ def claims(spark, sf):
 @query(
     "D01_contradiction_scan",
     """
-with c as (select l_partkey as entity, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey as chunk_id, l_returnflag = 'A' as al, l_returnflag = 'R' as ne,
-                  l_returnflag not in ('A', 'R') as lo, l_linenumber = 1 as ha from lineitem)
-select distinct x.chunk_id as a, y.chunk_id as b from c x join c y on x.entity = y.entity and x.chunk_id < y.chunk_id
-where (x.al and y.ne) or (x.ne and y.al) or (x.lo and y.ha) or (x.ha and y.lo) order by 1, 2 limit 100""",
+with c as (select l_partkey as entity, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey as chunk_id, l_returnflag as f, l_linenumber = 1 as ha from lineitem),
+s as (select distinct entity, chunk_id, 0 as claim, case f when 'A' then 0 else 1 end as side from c where f in ('A', 'R')
+      union select entity, chunk_id, 1, 0 from c where f not in ('A', 'R') union select entity, chunk_id, 1, 1 from c where ha)
+select x.entity, x.claim, x.side, x.chunk_id from s x
+where exists (select 1 from s y where y.entity = x.entity and y.claim = x.claim and y.side <> x.side
+              and (y.chunk_id <> x.chunk_id or exists (select 1 from s z where z.entity = x.entity and z.claim = x.claim and z.chunk_id <> x.chunk_id)))
+  and not (x.entity % 10 = 3 and x.claim = 0)""",
 )
 def d01(spark, sf):
     c = claims(spark, sf)
-    return D.contradictions(c, c.select("chunk_id", "text").distinct(), 100)
+    part = F.col("p_partkey")
+    queue = table(spark, sf, "part").select(
+        F.lit("contradiction").alias("kind"), part.alias("entity"), F.lit(0).alias("claim"), F.when(part % 10 == 3, "open").otherwise("dismissed").alias("status")
+    )
+    return D.contradictions(c, c.select("chunk_id", "text").distinct(), queue)
 
 
 def mention_edges(spark, sf):
@@ -525,14 +534,14 @@ def d02(spark, sf):
 
 def transcripts(spark, sf):
     li = table(spark, sf, "lineitem")
-    return li.filter("l_linenumber <= 2").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.to_date("l_shipdate")).alias("updated_on")).select(
+    return li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.to_date("l_shipdate")).alias("updated_on")).select(
         F.col("l_orderkey").alias("decision_id"), F.col("l_linenumber").alias("ord"), "updated_on", F.lit(1).alias("tier")
     )
 
 
 cte(
     "transcripts",
-    "select l_orderkey as decision_id, l_linenumber as ord, min(l_shipdate)::date as updated_on, 1 as tier from lineitem where l_linenumber <= 2 group by 1, 2",
+    "select l_orderkey as decision_id, l_linenumber as ord, min(l_shipdate)::date as updated_on, 1 as tier from lineitem group by 1, 2",
 )
 
 

@@ -19,16 +19,17 @@ from .retrieval_queries import centroids, vectors
 from .state_queries import capture_texts, routed
 
 
-def as_stream(spark, df, label, files=3):
-    """Write a table as a few files and read the folder as a stream of at most one file per batch."""
+def as_stream(spark, df, label, batches=3):
+    """Write a table in as many pieces as it has, and read the folder as a stream in about `batches` steps."""
     path = new_folder(spark, label)
+    files = max(batches, df.rdd.getNumPartitions())
     df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(path)
 
 
 @query("P01_capture_stream", RAW["M05_route_captures"])
 def p01(spark, sf):
-    """Captures arrive in three files; the rows left behind equal the batch routing."""
+    """Captures arrive in several batches; the rows left behind equal the batch routing."""
     arrivals = capture_texts(spark, sf).withColumn("path", F.concat(F.lit("inbox/"), "capture_id", F.lit(".txt")))
     out = new_folder(spark, "routed")
     J.capture_stream(as_stream(spark, arrivals, "arrivals"), lambda b: routed(spark, sf, b), out, new_folder(spark, "cp"))
@@ -58,18 +59,19 @@ def p03(spark, sf):
 
 @query("P04_incremental_health", "select kind, at_us, source, value from health_samples")
 def p04(spark, sf):
-    """The export arrives as three text files, the middle of it twice."""
+    """The export is delivered twice, each time in as many files as it has pieces."""
     path = new_folder(spark, "health")
     x = health_xml(spark, sf)
-    x.repartition(2).write.text(path)
-    x.repartition(1).write.mode("append").text(path)
-    stream = spark.readStream.option("lineSep", "/>").option("maxFilesPerTrigger", 1).text(path)
+    x.write.text(path)
+    x.write.mode("append").text(path)
+    files = 2 * x.rdd.getNumPartitions()
+    stream = spark.readStream.option("lineSep", "/>").option("maxFilesPerTrigger", -(-files // 3)).text(path)
+    stream = stream.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    placed = lambda b: b.select("value", F.struct("file", "block", F.monotonically_increasing_id().alias("row")).alias("arrival"))
     state = new_folder(spark, "samples")
-    sink = J.deliveries(lambda b: S.parse_health(S.health_tags(b))[0], state, ["kind", "happened_at", "source"], "value")
+    sink = J.deliveries(lambda b: S.parse_health(S.health_tags(placed(b)))[0], state, ["kind", "happened_at", "source"], "happened_at", "arrival")
     J.run_available(stream.writeStream.foreachBatch(sink), new_folder(spark, "cp"))
-    fs = spark._jvm.org.apache.hadoop.fs.Path(state).getFileSystem(spark._jsc.hadoopConfiguration())
-    last = max(int(f.getPath().getName()[1:]) for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(state)))
-    return spark.read.parquet(f"{state}/v{last}").select("kind", F.unix_micros("happened_at").alias("at_us"), "source", "value")
+    return spark.read.parquet(state).select("kind", F.unix_micros("happened_at").alias("at_us"), "source", "value")
 
 
 @query("V03_pluggable_scorer", "select query_id, chunk_id, new_rank::integer as new_rank from (select *, row_number() over (partition by query_id order by rank > 20, case when rank <= 20 then (chunk_id * 37 % 101)::double end desc nulls last, rank) as new_rank from vector_top where rank <= 30)")

@@ -15,6 +15,16 @@ from pyspark.sql.window import Window
 from ..functions import clock
 from .merge import split_rejects
 
+def arrival() -> Column:
+    """Where a row of a file source stands: file, block and place in it. The first of equal keys is the least."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("arrival")
+
+
+def _carried(rows: DataFrame) -> list[str]:
+    """Parsers pass the arrival of their rows on, if they have one."""
+    return [c for c in rows.columns if c == "arrival"]
+
+
 # ------------------------------------------------------------------ calendars
 
 
@@ -73,7 +83,7 @@ class BankProfile:
 
 
 def read_bank_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, quote='"', escape='"')
+    return spark.read.csv(path, header=True, quote='"', escape='"').select("*", arrival())
 
 
 def parse_bank(rows: DataFrame, p: BankProfile) -> tuple[DataFrame, DataFrame]:
@@ -88,6 +98,7 @@ def parse_bank(rows: DataFrame, p: BankProfile) -> tuple[DataFrame, DataFrame]:
         F.to_date(F.try_to_timestamp(F.col(f"`{p.date}`"), F.lit(p.date_format))).alias("occurred_on"),
         (cents if p.negative_is_spend else -cents).alias("amount_cents"), F.lit(p.currency).alias("currency"),
         F.col(f"`{p.merchant}`").alias("merchant"), F.nullif(F.trim(F.col(f"`{p.category}`")), F.lit("")).alias("category"),
+        *_carried(rows),
     )
     return split_rejects(t, {"bad date": F.col("occurred_on").isNull(), "bad amount": F.col("amount_cents").isNull()})
 
@@ -104,14 +115,15 @@ HEALTH_TYPES = [
 ]
 def read_health(spark: SparkSession, path: str) -> DataFrame:
     """Record tags of an export. Text pieces end at '/>', so one file of gigabytes is read by many tasks."""
-    return health_tags(spark.read.option("lineSep", "/>").text(path))
+    return health_tags(spark.read.option("lineSep", "/>").text(path).select("value", arrival()))
 
 
 def health_tags(pieces: DataFrame) -> DataFrame:
     """(value) text pieces -> the attributes of the record tag each one ends in."""
     tag = F.regexp_extract("value", r"<Record\b([^>]*)$", 1)
     attr = lambda n: F.when(F.col("tag").rlike(rf'\b{n}="'), F.regexp_extract("tag", rf'\b{n}="([^"]*)"', 1)).alias(f"_{n}")
-    return pieces.select(tag.alias("tag")).filter("tag <> ''").select(*[attr(n) for n in ("type", "sourceName", "unit", "startDate", "endDate", "value")])
+    kept = _carried(pieces)
+    return pieces.select(tag.alias("tag"), *kept).filter("tag <> ''").select(*[attr(n) for n in ("type", "sourceName", "unit", "startDate", "endDate", "value")], *kept)
 
 
 def _health_instant(c: str) -> Column:
@@ -129,7 +141,7 @@ def parse_health(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     minutes = (F.unix_micros("until") - F.unix_micros("happened_at")) / 60000000
     s = r.select(
         "kind", "happened_at", F.when(F.col("is_duration"), minutes).otherwise(F.col("_value").try_cast("double")).alias("value"), F.col("kind_unit").alias("unit"),
-        F.coalesce("_sourceName", F.lit("apple-health")).alias("source"),
+        F.coalesce("_sourceName", F.lit("apple-health")).alias("source"), *_carried(records),
     )
     return split_rejects(s, {"bad startDate": F.col("happened_at").isNull(), "bad value": F.col("value").isNull()})
 
@@ -139,7 +151,7 @@ def parse_health(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_maildir(spark: SparkSession, path: str) -> DataFrame:
     """Messages under cur and new, one row each; dot files are left out by the file source itself."""
-    return spark.read.text([f"{path}/cur", f"{path}/new"], wholetext=True).select(F.col("value").alias("raw"))
+    return spark.read.text([f"{path}/cur", f"{path}/new"], wholetext=True).select(F.col("value").alias("raw"), arrival())
 
 
 def parse_mail(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +172,7 @@ def parse_mail(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     mid = F.regexp_replace(header("message-id"), "[<>]", "")
     m = messages.select(
         mid.alias("message_id"), when.alias("happened_at"), F.coalesce(angled(header("from")), header("from")).alias("from_addr"), header("subject").alias("subject"),
-        F.coalesce(angled(header("references")), angled(header("in-reply-to")), mid).alias("thread_id"), F.lit(2).alias("tier"),
+        F.coalesce(angled(header("references")), angled(header("in-reply-to")), mid).alias("thread_id"), F.lit(2).alias("tier"), *_carried(messages),
     )
     bad = F.col("message_id").isNull() | F.col("from_addr").isNull() | F.col("happened_at").isNull()
     return split_rejects(m, {"missing message-id/from/date": bad})

@@ -24,13 +24,13 @@ def keyed_merge(state: DataFrame, batch: DataFrame, keys: list[str], order: str,
     """State after a batch, with `outcome`: kept, inserted or updated.
 
     Insert mode keeps what is stored and takes the first of equal keys in the batch; update mode
-    replaces it and takes the last. `order` is the batch column that says first and last. Columns of the
-    result are those of the state. Running the same batch again changes nothing.
+    replaces it and takes the last. `order` is the batch column that says first and last (when a row arrived); rows
+    of equal order are told apart by a hash of the row. Columns of the result are those of the state. Running the same batch again changes nothing.
     """
     cols = state.columns
     rest = [c for c in cols if c not in keys]
     pick = F.max_by if update else F.min_by
-    one = batch.groupBy(*keys).agg(pick(F.struct(*rest), F.col(order)).alias("_n"))
+    one = batch.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*rest))).alias("_n"))
     both = state.select(*keys, F.struct(*rest).alias("_o")).join(one, keys, "full")
     new, old = F.col("_n").isNotNull(), F.col("_o").isNotNull()
     value = F.coalesce("_n", "_o") if update else F.coalesce("_o", "_n")

@@ -22,26 +22,17 @@ def run_available(query_writer, checkpoint: str) -> None:
 def capture_stream(arrivals: DataFrame, route: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
     """Route new captures once per path into `out`, one folder per batch.
 
-    arrivals(path, capture_id, text). A batch repeated after a failure overwrites its own folder, and a
-    path seen in an earlier batch is never routed again, so each path is decided exactly once. A row
-    without text (its file is gone) is kept as rejected.
+    arrivals(path, capture_id, text). Paths seen before are dropped by the stream's own state, which is dealt out
+    by path and restored with the checkpoint; a batch repeated after a failure sees the same rows and overwrites its
+    own folder. So each path is decided exactly once. A row without text (its file is gone) is kept as rejected.
     """
-    spark = arrivals.sparkSession
-    fs = spark._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark._jsc.hadoopConfiguration())
-    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
 
     def step(batch: DataFrame, number: int) -> None:
-        seen = f"{out}/seen"
-        new = batch.dropDuplicates(["path"])
-        if fs.exists(path(seen)):
-            # a repeated batch must not see its own first try
-            new = new.join(spark.read.parquet(seen).filter(F.col("batch") < number).select("path"), "path", "left_anti")
-        gone = new.filter("text is null").select("capture_id", F.lit("file is gone").alias("reason"))
+        gone = batch.filter("text is null").select("capture_id", F.lit("file is gone").alias("reason"))
         gone.write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
-        route(new.filter("text is not null").drop("path")).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-        new.select("path").write.mode("overwrite").parquet(f"{seen}/batch={number}")
+        route(batch.filter("text is not null").drop("path")).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
-    run_available(arrivals.writeStream.foreachBatch(step), checkpoint)
+    run_available(arrivals.dropDuplicates(["path"]).writeStream.foreachBatch(step), checkpoint)
 
 
 def access_buckets(log: DataFrame, horizon: str = "90 days") -> DataFrame:
@@ -96,17 +87,22 @@ def with_effective_tier(events: DataFrame, grants: DataFrame) -> DataFrame:
     return e.join(slots, ["actor", "slot"], "left").withColumn("allowed", F.when(F.coalesce(live, F.lit(False)), 2).otherwise(1)).drop("until", "since", "slot")
 
 
-def deliveries(batch_parse: Callable[[DataFrame], DataFrame], state_path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """Sink that merges each delivery into a state table, insert-if-absent; a repeated batch changes nothing.
+def deliveries(batch_parse: Callable[[DataFrame], DataFrame], state_path: str, keys: list[str], time: str, order: str) -> Callable[[DataFrame, int], None]:
+    """Sink that adds each delivery to a state table, insert-if-absent; a repeated batch changes nothing.
 
-    The state is written as one version per batch; the newest version is the table.
+    The state is append-only: a batch writes the rows whose key is new, once, under its own number and the day of
+    `time` (one of the keys). To know what is new it reads the keys of the days that it brings rows for, so the time of
+    a batch follows the batch and not the state. Within a batch the first by `order` wins.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         good = batch_parse(batch)
-        old = f"{state_path}/v{number}"
-        state = spark.read.parquet(old) if number else good.limit(0)
-        keyed_merge(state, good, keys, order, update=False).drop("outcome").write.mode("overwrite").parquet(f"{state_path}/v{number + 1}")
+        first = keyed_merge(good.limit(0).drop(order), good, keys, order, update=False).drop("outcome").withColumn("day", F.to_date(time))
+        if number:  # earlier batches only: a repeated batch must not see its own first try
+            old = spark.read.parquet(state_path).filter(F.col("batch") < number).select(*keys, "day")
+            known = old.join(first.select("day").distinct(), "day", "left_semi")
+            first = first.join(known, [*keys, "day"], "left_anti")
+        first.write.mode("overwrite").partitionBy("day").parquet(f"{state_path}/batch={number}")
 
     return step

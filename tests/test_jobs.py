@@ -14,26 +14,35 @@ from hearthgraph.sources import files as S
 from hearthgraph.sources import merge as M
 
 
-def test_pairs_limit_equals_pairing_everyone(spark):
+def test_groups_say_every_pair(spark):
     rnd = random.Random(3)
-    rows = [(rnd.choice("aaab"), rnd.randint(0, 60)) for _ in range(200)]
-    want = sorted({(x, y) for e in "ab" for x, y in itertools.combinations(sorted({m for g, m in rows if g == e}), 2)})[:25]
-    got = [tuple(r) for r in E.pairs_sharing(spark.createDataFrame(rows, "entity string, member int"), 25).collect()]
-    assert got == want
+    rows = [(rnd.choice("aaabcd"), rnd.randint(0, 60)) for _ in range(60)] + [("alone", 1), ("alone", 1)]
+    want = {(e, x, y) for e in "abcd" for x, y in itertools.combinations(sorted({m for g, m in rows if g == e}), 2)}
+    got = E.groups_sharing(spark.createDataFrame(rows, "entity string, member int")).collect()
+    assert {(x["entity"], *sorted((x["member"], y["member"]))) for x, y in itertools.combinations(got, 2) if x["entity"] == y["entity"]} == want
+    assert all(r["group_size"] == len({m for g, m in rows if g == r["entity"]}) for r in got)
 
 
-def test_contradictions_limit_equals_pairing_everyone(spark):
+def test_contradictions_say_every_pair(spark):
     rnd = random.Random(5)
     says = ["he always sings", "he NEVER sings", "she loves rain", "she hates rain", "a vegetarian", "ate a steak", "quiet"]
-    rows = [(rnd.choice("aab"), i, rnd.choice(says)) for i in range(80)]
+    rows = [(rnd.choice("aab"), i, rnd.choice(says)) for i in range(40)] + [("c", 90, "always and never"), ("d", 91, "always and never"), ("d", 92, "always")]
     sides = [(0, 1), (2, 3), (4, 5)]
 
+    def on(text):
+        return {says.index(text)} if text in says else {0, 1} if "never" in text else {0}
+
     def clash(a, b):
-        return any({says.index(a), says.index(b)} == set(s) for s in sides)
+        return any({x, y} == set(s) for s in sides for x in on(a) for y in on(b))
 
-    want = sorted({(x[1], y[1]) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and clash(x[2], y[2])})[:15]
+    want = {(x[0], x[1], y[1]) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and clash(x[2], y[2])}
     df = spark.createDataFrame(rows, "entity string, chunk_id int, text string")
-    assert [tuple(r) for r in D.contradictions(df, df.select("chunk_id", "text"), 15).collect()] == want
+    got = D.contradictions(df, df.select("chunk_id", "text")).collect()
+    pairs = {(x["entity"], *sorted((x["chunk_id"], y["chunk_id"]))) for x in got for y in got if (x["entity"], x["claim"]) == (y["entity"], y["claim"]) and x["side"] < y["side"] and x["chunk_id"] != y["chunk_id"]}
+    assert pairs == want
+    queue = spark.createDataFrame([("contradiction", "a", 0, "open"), ("contradiction", "b", 0, "dismissed")], "kind string, entity string, claim int, status string")
+    left = D.contradictions(df, df.select("chunk_id", "text"), queue).collect()
+    assert {tuple(r) for r in left} == {tuple(r) for r in got if (r["entity"], r["claim"]) != ("a", 0)}
 
 
 def test_duplicate_titles_equals_comparing_all(spark):
@@ -237,3 +246,28 @@ def test_masking_is_deep(spark):
     p = '{"a":{"title":"x, \\"y\\"","k":[1]},"text":null,"id":7}'
     r = spark.createDataFrame([(p,)], "p string").select(D.mask_payload(F.col("p")).alias("m")).first()["m"]
     assert r == '{"a":{"title":"[above current tier]","k":[1]},"text":"[above current tier]","id":7}'
+    hidden = '"[above current tier]"'
+    cases = {
+        '{"a":{"text":{"x":{"y":1}},"title":[["deep"]]}}': f'{{"a":{{"text":{hidden},"title":{hidden}}}}}',
+        '{ "title" : "secret" }': f'{{"title":{hidden}}}',
+        '[{"body": "é"}, 2]': f'[{{"body":{hidden}}},2]',
+        '{"title": secret}': hidden,
+        None: None,
+    }
+    df = spark.createDataFrame(list(cases.items()), "p string, want string")
+    assert all(x["m"] == x["want"] for x in df.withColumn("m", D.mask_payload(F.col("p"))).collect())
+
+
+def test_merge_keeps_the_first_arrival(spark):
+    state = spark.createDataFrame([], "k int, v int")
+    batch = spark.createDataFrame([(1, 500, 1), (1, 400, 2), (2, 7, 5), (2, 9, 5)], "k int, v int, at int")
+    first = {r["k"]: r["v"] for r in M.keyed_merge(state, batch, ["k"], "at", update=False).collect()}
+    again = {r["k"]: r["v"] for r in M.keyed_merge(state, batch.orderBy(F.desc("v")), ["k"], "at", update=False).collect()}
+    assert first[1] == 500 and first == again
+    assert {r["k"]: r["v"] for r in M.keyed_merge(state, batch, ["k"], "at", update=True).collect()}[1] == 400
+
+
+def test_leaks_of_several_words(spark):
+    res = spark.createDataFrame([(1, 1, "see the red fox here"), (2, 2, "red fox"), (3, 1, "red, fox"), (4, 1, "fox red")], "result_id int, reader_tier int, text string")
+    marks = spark.createDataFrame([("red fox", 2), ("here", 2), ("see", 1)], "sentinel string, tier int")
+    assert sorted(tuple(r) for r in V.leak_audit(res, marks).collect()) == [(1, 1, "here"), (1, 1, "red fox"), (3, 1, "red fox")]

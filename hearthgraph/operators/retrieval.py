@@ -25,6 +25,8 @@ COMPILED_SOURCES = ["job:notes", "job:decision-digest"]
 COMPILED_BY = "system:curate"
 HEAD, CLIFF = 20, 0.35
 SALTS = 16
+# queries that one block of vectors is multiplied with at a time
+TILE = 256
 
 
 # ------------------------------------------------------------------ lexical arm
@@ -49,19 +51,12 @@ def query_terms(queries: DataFrame, stop: list[str] | None = None, stem: bool =
     return stemmed(kept).distinct() if stem else kept
 
 
-def common_terms(terms: DataFrame, chunk_total: int, share: float = 0.2) -> DataFrame:
-    """Terms standing in more than `share` of the chunks: a stop list for languages without one."""
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > share * chunk_total).select("term")
-
-
 def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
     """Equi-join where one key may own a third of `big`.
 
-    A small side of checked size goes to every task. Beyond that the hot keys are spread: `big` gets a
-    salt from its own unique column and `small` one copy per salt, so no task sees a whole key.
+    `big` gets a salt from its own unique column and `small` one copy per salt, so no task sees a whole key. Where
+    `small` is small, Catalyst's size check ships it instead.
     """
-    if fits(small):
-        return big.join(F.broadcast(small), key)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, [key, "_salt"]).drop("_salt")
@@ -73,36 +68,45 @@ def top_per_query(df: DataFrame, score: str, limit: int, tie: str = "chunk_id")
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def scoped(candidates: DataFrame, scope: DataFrame | None, types: list[str] | None = None) -> DataFrame:
-    """Keep candidates whose type is asked for and whose parent is in the query's own scope, if it has one."""
+def in_scope(pairs: DataFrame, scope: tuple[DataFrame, DataFrame], other: str = "parent_id") -> DataFrame:
+    """Pairs (query_id, other) whose two sides share a scope.
+
+    scope is (query_id, g) and (other, g): the key stays on both sides, so pairs are tested, never made.
+    """
+    asks, has = scope
+    return pairs.join(asks.select("query_id", "g").distinct(), "query_id").join(has.select(other, "g").distinct(), [other, "g"]).drop("g")
+
+
+def scoped(candidates: DataFrame, scope: tuple[DataFrame, DataFrame] | None, types: list[str] | None = None) -> DataFrame:
+    """Keep candidates whose type is asked for and whose parent is in the query's own scope, if scopes are given."""
     out = candidates.filter(F.col("parent_type").isin(types)) if types else candidates
-    if scope is None:
-        return out
-    return out.join(scope.select("query_id", "parent_id"), ["query_id", "parent_id"], "left_semi")
+    return out if scope is None else in_scope(out, scope)
 
 
 def lexical_arm(
     queries: DataFrame, chunks: DataFrame, *, allowed: int = 1, types=None, scope=None, limit: int = ARM_LIMIT,
-    stop: list[str] | None = None, common: DataFrame | None = None, idf: bool = False, index: DataFrame | None = None, stem: bool = False,
+    stop: list[str] | None = None, common: float | None = None, idf: bool = False, index: DataFrame | None = None, stem: bool = False,
 ) -> DataFrame:
     """(query_id, chunk_id, parent_type, parent_id, positions, lexical, rank): top chunks by matching positions.
 
     Any shared term makes a candidate; its rank value is a tenth of its number of matching positions.
-    `idf=True` weighs each matching term by its rarity instead; `stem=True` matches English stems (an
-    `index` given must then hold stems).
+    `common` drops terms that stand in more than this share of the chunks (a stop list for languages without one),
+    `idf=True` weighs each matching term by its rarity; `stem=True` matches English stems (an `index` given must then
+    hold stems). The index is cut to the terms somebody asks for before anything is counted or moved.
     """
     seen = chunks.filter(visible(F.col("tier"), allowed)).select("chunk_id", "parent_type", "parent_id", "text")
     idx = index if index is not None else term_table(seen, stop, stem)
-    if common is not None:
-        idx = idx.join(common, "term", "left_anti")
-    if idf:
-        total = seen.count()
-        df = idx.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        idx = idx.join(df, "term").withColumn("gain", F.log(F.lit(float(total)) / F.col("df")))
-    else:
-        idx = idx.withColumn("gain", F.col("tf") * 0.1)
-    # only the terms somebody asks for travel on
-    matched = salted_join(idx.select("chunk_id", "term", "tf", "gain"), query_terms(queries, stop, stem), "term", "chunk_id")
+    asked = query_terms(queries, stop, stem)
+    idx = idx.select("chunk_id", "term", "tf").join(asked.select("term").distinct(), "term", "left_semi")
+    gain = F.col("tf") * 0.1
+    if idf or common is not None:
+        total = seen.agg(F.count(F.lit(1))).scalar()
+        stats = idx.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("total", total)
+        if common is not None:
+            stats = stats.filter(F.col("df") <= common * F.col("total"))
+        asked = asked.join(stats, "term")
+        gain = F.log(F.col("total").cast("double") / F.col("df")) if idf else gain
+    matched = salted_join(idx, asked, "term", "chunk_id").withColumn("gain", gain)
     scores = matched.groupBy("query_id", "chunk_id").agg(
         F.sum("tf").alias("positions"), F.round(F.sum("gain"), 6).alias("lexical")
     )
@@ -122,19 +126,28 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _best(qids: np.ndarray, q: np.ndarray, ids: pd.Series, vecs: np.ndarray, limit: int) -> pd.DataFrame:
-    """Per query the `limit` best of one block, ties by id, on similarities rounded to 6 places."""
-    sims = np.round(q @ _unit(vecs).T, 6)
+    """Per query the `limit` best of one block, ties by id, on similarities rounded to 6 places; TILE queries at a time."""
     order = np.argsort(ids.to_numpy(), kind="stable")
-    sims, ids = sims[:, order], ids.to_numpy()[order]
-    k = min(limit, sims.shape[1])
-    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-    return pd.DataFrame(
-        {"query_id": np.repeat(qids, k), "chunk_id": ids[top].ravel(), "cosine": np.take_along_axis(sims, top, 1).ravel()}
-    )
+    unit, ids = _unit(vecs)[order].T, ids.to_numpy()[order]
+    k = min(limit, len(ids))
+    who, what, how = [], [], []
+    for lo in range(0, len(qids), TILE):
+        sims = np.round(q[lo : lo + TILE] @ unit, 6)
+        floor = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k]
+        row, col = np.nonzero(sims >= floor[:, None])  # a few more than k where scores are equal
+        val = sims[row, col]
+        at = np.lexsort((col, -val, row))
+        row, col, val = row[at], col[at], val[at]
+        first = np.searchsorted(row, np.arange(len(sims)))
+        keep = np.arange(len(row)) - first[row] < k
+        who.append(qids[lo + row[keep]])
+        what.append(ids[col[keep]])
+        how.append(val[keep])
+    return pd.DataFrame({"query_id": np.concatenate(who), "chunk_id": np.concatenate(what), "cosine": np.concatenate(how)})
 
 
 def vector_arm(
-    queries: DataFrame, vectors: DataFrame, *, limit: int = ARM_LIMIT, small_rows: int = 4096, shard_rows: int = 50_000,
+    queries: DataFrame, vectors: DataFrame, *, limit: int = ARM_LIMIT, small_rows: int = 4096, shard_rows: int = 8_192,
 ) -> DataFrame:
     """(query_id, chunk_id, cosine, rank): the exact nearest chunks of each query.
 
@@ -277,8 +290,8 @@ def cliff_cut(ranked: DataFrame, score: str = "rerank", order: str = "new_rank",
 def hybrid_search(
     queries: DataFrame, chunks: DataFrame, meta: DataFrame, now: Column, *, query_vectors: DataFrame | None = None,
     chunk_vectors: DataFrame | None = None, near: DataFrame | None = None, access: DataFrame | None = None, allowed: int = 1,
-    types: list[str] | None = None, scope: DataFrame | None = None, include_derived: bool = False, limit: int = 10,
-    rerank: DataFrame | None = None, autocut: bool = False, stop: list[str] | None = None, common: DataFrame | None = None,
+    types: list[str] | None = None, scope: tuple[DataFrame, DataFrame] | None = None, include_derived: bool = False, limit: int = 10,
+    rerank: DataFrame | None = None, autocut: bool = False, stop: list[str] | None = None, common: float | None = None,
     idf: bool = False, index: DataFrame | None = None, stem: bool = False,
 ) -> DataFrame:
     """The whole pipeline: intent, both arms, fusion, metadata, adjustment, best chunk, rerank, cut, snippet.
@@ -291,7 +304,11 @@ def hybrid_search(
     seen = chunks.filter(visible(F.col("tier"), allowed))
     lex = lexical_arm(q, chunks, allowed=allowed, types=types, scope=scope, stop=stop, common=common, idf=idf, index=index, stem=stem)
     if query_vectors is not None and chunk_vectors is not None:
-        cv = chunk_vectors.join(seen.select("chunk_id", "parent_type", "parent_id"), "chunk_id")
+        # a vector table that carries tier and parent is filtered where it is read
+        if {"parent_type", "parent_id", "tier"} <= set(chunk_vectors.columns):
+            cv = chunk_vectors.filter(visible(F.col("tier"), allowed))
+        else:
+            cv = chunk_vectors.join(seen.select("chunk_id", "parent_type", "parent_id"), "chunk_id")
         if scope is None and not types:
             vec = vector_arm(query_vectors, cv)
         else:
@@ -299,7 +316,7 @@ def hybrid_search(
     else:
         vec = lex.select("query_id", "chunk_id").limit(0).withColumn("cosine", F.lit(0.0)).withColumn("rank", F.lit(1))
     # a candidate list holds at most 100 chunks per query: everything from here on is small
-    cand = fuse(vec, lex, q).join(seen.select("chunk_id", "parent_type", "parent_id", "text"), "chunk_id")
+    cand = fuse(vec, lex, q).join(seen.select("chunk_id", "parent_type", "parent_id"), "chunk_id")
     m = meta.filter(visible(F.col("tier"), allowed)).select(
         F.col("id").alias("parent_id"), F.substring("title", 1, 120).alias("title"), "updated_on", "created_by", "source", "derived"
     )
@@ -315,7 +332,7 @@ def hybrid_search(
         d = d.withColumn("drills", F.lit(0).cast("bigint"))
     d = d.withColumn("age_days", F.datediff(now, "updated_on")).withColumn("boost", X.title_boost(F.col("query"), F.col("title"), F.col("title_scale")))
     scored = d.withColumn("score", adjust(include_derived)).select(
-        "query_id", "query", "chunk_id", "parent_type", "parent_id", "score", "title", "text", "updated_on", "created_by", "derived"
+        "query_id", "query", "chunk_id", "parent_type", "parent_id", "score", "title", "updated_on", "created_by", "derived"
     )
     best = best_per_parent(scored)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
@@ -325,21 +342,24 @@ def hybrid_search(
         if autocut:
             ranked = cliff_cut(ranked)
         ranked = ranked.withColumn("rank", F.col("new_rank")).drop("new_rank", "rerank", "reranked")
-    return ranked.filter(F.col("rank") <= limit).select(
+    # the text joins what is left, for the snippet only
+    shown = ranked.filter(F.col("rank") <= limit).join(seen.select("chunk_id", "text"), "chunk_id")
+    return shown.select(
         "query_id", "rank", F.col("parent_type").alias("type"), F.col("parent_id").alias("id"), "chunk_id", "title",
         X.snippet(F.col("text"), F.col("query")).alias("snippet"), F.round("score", 4).alias("score"), "updated_on", "derived", "created_by",
     )
 
 
-def scoped_vector_arm(query_vectors: DataFrame, vectors: DataFrame, scope: DataFrame | None, types=None, limit: int = ARM_LIMIT) -> DataFrame:
-    """Nearest chunks inside each query's own haystack: the scope table is the join, nothing is paired beyond it."""
+def scoped_vector_arm(query_vectors: DataFrame, vectors: DataFrame, scope: tuple[DataFrame, DataFrame] | None, types=None, limit: int = ARM_LIMIT) -> DataFrame:
+    """Nearest chunks inside each query's own haystack: queries meet the vectors of their scope and no others."""
     v = vectors.filter(F.col("parent_type").isin(types)) if types else vectors
     if scope is None:
         return vector_arm(query_vectors, v, limit=limit)
-    s = scope.select("query_id", "parent_id").distinct()
-    pairs = v.join(s, "parent_id").join(query_vectors.select("query_id", F.col("embedding").alias("qe")), "query_id")
+    asks, has = scope
+    v = v.join(has.select("parent_id", "g").distinct(), "parent_id").select("chunk_id", "g", F.col("embedding").cast("array<double>").alias("embedding"))
+    q = query_vectors.join(asks.select("query_id", "g").distinct(), "query_id").select("query_id", "g", F.col("embedding").cast("array<double>").alias("qe"))
     dot = F.aggregate(F.zip_with("embedding", "qe", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     den = size("embedding") * size("qe")
     cos = F.round(F.when(den > 0, dot / den).otherwise(0.0), 6)
-    return top_per_query(pairs.select("query_id", "chunk_id", cos.alias("cosine")), "cosine", limit)
+    return top_per_query(v.join(q, "g").select("query_id", "chunk_id", cos.alias("cosine")), "cosine", limit)

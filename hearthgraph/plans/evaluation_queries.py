@@ -141,8 +141,9 @@ def e05(spark, sf):
     t = table(spark, sf, "conversations")
     q = t.filter("role = 'user'").select(F.col("conv_id").alias("query_id"), F.concat(F.lit("type"), F.col("conv_id") % 3).alias("type")).distinct()
     ids = t.select(F.col("conv_id").alias("id")).distinct().withColumn("g", F.col("id") % 21)
-    ev = q.withColumn("g", F.col("query_id") % 21).join(ids, "g").select("query_id", "id")
-    return E.session_recall(q, scoped_conversations(spark, sf), ev)
+    hits = scoped_conversations(spark, sf).select("query_id", "id", "rank")
+    ev = R.in_scope(hits.select("query_id", "id"), (q.select("query_id", (F.col("query_id") % 21).alias("g")), ids), "id")
+    return E.session_recall(q, hits, ev)
 
 
 # ------------------------------------------------------------------ precision cases

@@ -113,7 +113,7 @@ def f02(spark, sf):
     """Each passage searches only the documents of one source."""
     q = passages(spark, sf)
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("parent_id"), "source")
-    scope = q.withColumn("source", F.concat(F.lit("src"), F.col("query_id") % 20)).join(d, "source").select("query_id", "parent_id")
+    scope = q.select("query_id", F.concat(F.lit("src"), F.col("query_id") % 20).alias("g")), d.select("parent_id", F.col("source").alias("g"))
     out = R.lexical_arm(q, visible_chunks(spark, sf), scope=scope, types=["page"])
     return out.select("query_id", "chunk_id", "positions", "rank")
 
@@ -486,7 +486,7 @@ def scoped_conversations(spark, sf):
         F.lit("chat").alias("source"), F.lit(False).alias("derived"),
     )
     group = lambda c: F.pmod(F.col(c), F.lit(7)).alias("g")
-    scope = first.select("query_id", group("query_id")).join(meta.select(F.col("id").alias("parent_id"), group("id")), "g").drop("g")
+    scope = first.select("query_id", group("query_id")), meta.select(F.col("id").alias("parent_id"), group("id"))
     # a haystack's lexical weight follows the intent; with one arm it scales out
     return R.hybrid_search(first, chunks, meta, F.lit(DOC_NOW).cast("date"), scope=scope)
 
@@ -653,12 +653,13 @@ def flagship(spark, sf):
     text = chunks.filter("tier = 1").select(F.col("chunk_id").alias("id"), "text").unionByName(
         q.select(F.concat(F.lit("q"), F.col("query_id")).alias("id"), F.col("query").alias("text"))
     )
-    v = materialize(EM.hash_vectors(text), "vectors")
+    v = materialize(EM.hash_vectors(text).withColumn("embedding", F.col("embedding").cast("array<float>")), "vectors")
     index = materialize(R.term_table(chunks.filter("tier = 1")), "terms")
-    common = R.common_terms(index, chunks.filter("tier = 1").count())
     return R.hybrid_search(
         q, chunks, pages, F.lit(DOC_NOW).cast("date"),
         query_vectors=v.filter("id like 'q%'").select(F.substring("id", 2, 20).cast("bigint").alias("query_id"), "embedding"),
-        chunk_vectors=v.filter("not id like 'q%'").select(F.col("id").alias("chunk_id"), "embedding"),
-        access=page_access(spark, sf), common=common, idf=True, index=index,
+        chunk_vectors=v.filter("not id like 'q%'").select(
+            F.col("id").alias("chunk_id"), "embedding", F.lit("page").alias("parent_type"), F.substring_index("id", ":", 1).cast("bigint").alias("parent_id"), F.lit(1).alias("tier")
+        ),
+        access=page_access(spark, sf), common=0.2, idf=True, index=index,
     )

@@ -55,10 +55,6 @@ def state_now(
     return cal.unionByName(due).unionByName(com).unionByName(rev).unionByName(moved)
 
 
-def nulls_last(*cols: str) -> list[Column]:
-    return [F.asc_nulls_last(c) for c in cols]
-
-
 def agenda(tasks: DataFrame, first: Column, last: Column, allowed: int = 1) -> DataFrame:
     """Open tasks due in [first, last] with their day's total; order by due, title for display."""
     t = tasks.filter(F.col("status").isin(OPEN) & F.col("due").between(first, last) & visible(F.col("tier"), allowed))
@@ -116,6 +112,16 @@ def decision_branches(decisions: DataFrame, explicit: DataFrame) -> DataFrame:
     return given.unionByName(implied).withColumn("rel", branch_rel(F.col("status")))
 
 
+def restatus_branches(branches: DataFrame, changes: DataFrame) -> DataFrame:
+    """Branches after status changes(decision_id, label, status); the relation of a branch's edge follows its status.
+
+    A branch that several changes name takes the greatest status; a change of an unknown branch does nothing.
+    """
+    c = changes.groupBy("decision_id", "label").agg(F.max("status").alias("_s"))
+    out = branches.join(c, ["decision_id", "label"], "left").withColumn("_new", F.coalesce("_s", "status"))
+    return out.select("decision_id", "label", F.col("_new").alias("status"), branch_rel(F.col("_new")).alias("rel"), (F.col("_new") != F.col("status")).alias("rewritten"))
+
+
 def review_decisions(decisions: DataFrame, outcomes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply outcomes(id, actual_outcome, score, lesson): decisions, new principles, learned_from edges."""
     d, o = decisions.alias("d"), outcomes.alias("o")

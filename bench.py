@@ -50,6 +50,10 @@ def main() -> None:
     total = round(sum(times.values()), 3)
     out = {"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}
     passages = table(spark, sf_dir, "benchmark").count()
+    if not only:
+        m = plans.QUERIES["R05_search_quality"](spark, sf_dir).toPandas()
+        at = lambda k: round(float(m["first_rank"].between(0, k - 1).mean()), 4)
+        out["search_quality"] = {"hit1": at(1), "hit3": at(3), "hit5": at(5), "mrr": round(float(m["reciprocal_rank"].mean()), 4), "ndcg5": round(float(m["ndcg"].mean()), 4)}
     if "R05_hybrid_search_chunked" in times:
         out["search_queries_per_sec"] = round(passages / times["R05_hybrid_search_chunked"], 2)
     print(json.dumps(out))

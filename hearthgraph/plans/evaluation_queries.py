@@ -9,7 +9,7 @@ from ..operators import retrieval as R
 from ..session import table
 from . import bindings as B
 from .registry import RAW, cte, query
-from .retrieval_queries import scoped_conversations
+from .retrieval_queries import hits, scoped_conversations
 
 
 def ranked(spark, sf, by="o_totalprice"):
@@ -23,12 +23,10 @@ def relevant(spark, sf):
     return o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("key"))
 
 
-def ir_cte(name, by):
-    cte(
-        name,
-        f"""
-  with r as (select * from (select o_custkey as query_id, o_orderkey as key, row_number() over (partition by o_custkey order by {by} desc, o_orderkey) as rank from orders) where rank <= 10),
-  q as (select o_custkey as query_id, o_orderkey as key from orders where o_orderstatus = 'P' and o_orderpriority <> '1-URGENT'),
+def ir_sql(ranked_sql, relevant_sql):
+    return f"""
+  with r as ({ranked_sql}),
+  q as ({relevant_sql}),
   t as (select query_id, count(*) as n_rel from q group by 1),
   j as (select r.*, q.key is not null as rel from r left join q using (query_id, key)),
   p as (select query_id, count(*) filter (where rel and rank <= 5) as hits, min(rank) filter (where rel) as first,
@@ -37,8 +35,12 @@ def ir_cte(name, by):
          (coalesce(hits, 0) > 0)::integer as hit, round(coalesce(1::double / first, 0), 6) as reciprocal_rank,
          round(case when n_rel > 0 then coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_rel, 5) + 1), lambda i: round(1 / log2(i + 1), 12))) else 0 end, 6) as ndcg,
          coalesce(first - 1, -1)::integer as first_rank
-  from p full join t using (query_id)""",
-    )
+  from p full join t using (query_id)"""
+
+
+def ir_cte(name, by):
+    best = f"select * from (select o_custkey as query_id, o_orderkey as key, row_number() over (partition by o_custkey order by {by} desc, o_orderkey) as rank from orders) where rank <= 10"
+    cte(name, ir_sql(best, "select o_custkey as query_id, o_orderkey as key from orders where o_orderstatus = 'P' and o_orderpriority <> '1-URGENT'"))
 
 
 ir_cte("ir", "o_totalprice")
@@ -51,6 +53,26 @@ def e01(spark, sf):
     return E.ir_metrics(ranked(spark, sf), relevant(spark, sf))
 
 
+def passage_pages(spark, sf):
+    """(query_id, key): readable pages that contain a passage. Runs of its second to fourth word find them, then the text decides."""
+    words = lambda c: F.split(c, r"\s+")
+    p = B.passages(spark, sf).withColumn("run", F.array_join(F.slice(words("query"), 2, 3), " "))
+    d = B.pages_state(spark, sf).filter("tier = 1").select(F.col("id").alias("key"), "text")
+    ws = words("text")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 2, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, 3), " "))
+    near = d.select("key", F.explode(F.array_distinct(runs)).alias("run")).join(p, "run")
+    return near.join(d, "key").filter(F.col("text").contains(F.col("query"))).select("query_id", "key").distinct()
+
+
+@query(
+    "R05_search_quality",
+    ir_sql("select query_id, id as key, rank from hits", "select p.query_id, d.id as key from passages p join pages_state d on contains(d.text, p.query) and d.tier = 1"),
+)
+def r05_quality(spark, sf):
+    """Are the pages that hold a passage among its hits, and how high?"""
+    return E.ir_metrics(hits(spark, sf).select("query_id", F.col("id").alias("key"), "rank"), passage_pages(spark, sf))
+
+
 def per_query(spark, sf, by="o_totalprice"):
     m = E.ir_metrics(ranked(spark, sf, by), relevant(spark, sf))
     c = table(spark, sf, "customer")

@@ -126,3 +126,15 @@ select w.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(len(kept), 0))::b
        sha256(coalesce(array_to_string(kept, ' '), '')) as kept_sha256
 from w left join left_over using (doc_id)
 """
+ORACLES["op3_chat_formatting"] = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (select *, length(role || text) + len(regexp_extract_all(role, '<\\*(?:turn>|text>|/turn>|\|endoftext\|>)')) + len(regexp_extract_all(text, '<\\*(?:turn>|text>|/turn>|\|endoftext\|>)'))
+             + length('<turn><text></turn>') as n from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
+       sum(n)::bigint as formatted_chars
+from e group by conv_id
+"""

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from itertools import islice
+from operator import eq
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import one_per_id
 
@@ -15,29 +21,40 @@ TREES, DEPTH, BINS, LEAST, STEP = 30, 3, 32, 20, 0.3
 LASSO, ROUNDS = 1e-3, 400
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Numbers about a whole text; none of them reads anything but the text."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1))
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    without = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
-    words = F.greatest(count(r"\S+"), F.lit(1))
-    lines = F.split(t, "\n")
-    return {
-        "length": F.log1p(F.length(t).cast("double")),
-        "word_length": n / words,
-        "symbols": without("#$%&*+/<=>@\\^_`{|}~[]") / n,
-        "bars": without("|") / n,
-        "shouts": without("!?") / n,
-        "stops": without(".,;:") / n,
-        "digits": without("0123456789") / n,
-        "capitals": count(r"\p{Lu}") / n,
-        "letters": (F.length(t) - F.length(F.regexp_replace(t, r"\p{L}+", ""))) / n,
-        "short_words": count(r"(?<!\S)\S{1,3}(?!\S)") / words,
-        "doubled": count(r"(?<!\S)(\S++)(?=\s\1(?!\S))") / words,
-        "lines": F.size(lines) / words,
-        "repeated_lines": 1 - F.size(F.array_distinct(lines)) / F.size(lines),
-    }
+#: What is measured of a text, each a number of its own: see `measure`.
+STATISTICS = ["length", "word_length", "symbols", "bars", "shouts", "stops", "digits", "capitals", "letters", "short_words", "doubled", "lines", "repeated_lines"]
+_CLASSES = {"symbols": b"#$%&*+/<=>@\\^_`{|}~[]", "bars": b"|", "shouts": b"!?", "stops": b".,;:", "digits": b"0123456789"}
+
+
+def _shares() -> np.ndarray:
+    """A row of weights over the 256 byte values for each class of characters."""
+    out = np.zeros((len(_CLASSES) + 2, 256))
+    for i, chars in enumerate(_CLASSES.values()):
+        out[i, list(chars)] = 1
+    out[-2, 65:91] = 1  # capitals: of ASCII only
+    out[-1, [*range(65, 91), *range(97, 123), *range(128, 256)]] = 1  # letters: of ASCII, and all bytes beyond
+    return out
+
+
+_SHARES = _shares()
+
+
+def measure(text: str) -> list[float]:
+    """The statistics of one whole text: shares of its bytes, words or lines; none reads anything but the text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    classes = _SHARES @ np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256) / max(1, len(raw))
+    words, lines = raw.split(), raw.split(b"\n")
+    many = max(1, len(words))
+    short = sum(1 for w in words if len(w) < 4)
+    doubled = sum(map(eq, words, islice(words, 1, None)))
+    return [math.log1p(len(raw)), len(raw) / many, *classes, short / many, doubled / many, len(lines) / many, 1 - len(set(lines)) / len(lines)]
+
+
+@F.arrow_udf(StructType([StructField(n, DoubleType()) for n in STATISTICS]))
+def statistics(texts: pa.Array) -> pa.Array:
+    """The statistics of a column of texts, as a struct; a null text counts as empty."""
+    rows = np.array([measure(t.as_py() or "") for t in texts]).reshape(-1, len(STATISTICS))
+    return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(STATISTICS))], STATISTICS)
 
 
 class Rule:
@@ -159,10 +176,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     marked = one_per_id(labels.select(key, "quality"), key, "quality").where(F.col("quality").isin(0, 1) & ~held_out(key))
     few = marked.orderBy(F.xxhash64(F.col(key), F.lit(3)), key).limit(fit_rows)  # the bound that allows the broadcast
     texts = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("_t")).join(F.broadcast(few), key)
-    stats = statistics(F.col("_t"))
-    got = texts.select(key, "quality", *[c.cast("double").alias(n) for n, c in stats.items()]).distinct().toArrow().sort_by([(key, "ascending"), *((n, "ascending") for n in stats)])
-    x = np.stack([got.column(n).to_numpy() for n in stats], axis=1) if got.num_rows else np.zeros((0, len(stats)))
-    return Classifier(list(stats), x, got.column("quality").to_numpy().astype(np.float64) if got.num_rows else np.zeros(0))
+    got = texts.select(key, "quality", statistics("_t").alias("s")).select(key, "quality", "s.*").distinct().toArrow()
+    got = got.sort_by([(key, "ascending"), *((n, "ascending") for n in STATISTICS)])
+    x = np.stack([got.column(n).to_numpy() for n in STATISTICS], axis=1) if got.num_rows else np.zeros((0, len(STATISTICS)))
+    return Classifier(STATISTICS, x, got.column("quality").to_numpy().astype(np.float64) if got.num_rows else np.zeros(0))
 
 
 def classify(docs: DataFrame, model: Classifier, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -171,10 +188,9 @@ def classify(docs: DataFrame, model: Classifier, text: str = "text", threshold:
     Null texts are scored as empty ones, every row keeps its columns and gets a score, whatever the table holds. The
     statistics are computed once, beside the scan; columns of the table named like the results are replaced.
     """
-    stats = statistics(F.col(text))
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    # a generator of one row keeps the optimizer from copying the statistics into each rule
-    once = F.inline(F.array(F.struct(*[c.cast("double").alias(f"_stat_{n}") for n, c in stats.items()])))
-    wide = docs.select(*[F.col(f"`{c}`") for c in rest], once)
-    scored = wide.withColumn("score", model.score("_stat_")).select(*[F.col(f"`{c}`") for c in rest], "score")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
+    wide = docs.select(*rest, statistics(text).alias("_stat"))
+    # a generator of one row keeps the optimizer from copying the struct into each rule
+    wide = wide.select(*rest, F.inline(F.array("_stat")).alias(*[f"_stat_{n}" for n in STATISTICS]))
+    scored = wide.withColumn("score", model.score("_stat_")).select(*rest, "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -72,9 +72,8 @@ def test_rules_as_columns_and_held_out_accuracy(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = quality.fit(docs, labels)
     scored = quality.classify(docs, model)
-    stats = quality.statistics(F.col("text"))
-    rows = scored.join(labels, "doc_id").select("doc_id", "quality", "score", "predicted", *[c.cast("double").alias(n) for n, c in stats.items()]).collect()
-    x = np.array([[r[n] for n in stats] for r in rows])
+    rows = scored.join(labels, "doc_id").select("doc_id", "quality", "score", "predicted", "text").collect()
+    x = np.array([quality.measure(r.text or "") for r in rows])
     total = model.base + sum(w * k.holds(x) for k, w in model.rules)
     assert np.allclose(1 / (1 + np.exp(-total)), [r.score for r in rows])
     out = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]

@@ -131,32 +131,40 @@ def build_context(cases: DataFrame, beliefs: DataFrame, hits: DataFrame) -> Data
     """(case_id, section, id, pos): pinned, relevant and questions of each case, within its budget.
 
     cases(case_id, user_id, scopes, max_beliefs, max_questions), beliefs(id, user_id, type, scopes, pinned,
-    superseded, resolved, participants), hits(case_id, id, rank) of the scoped search. Beliefs meet cases
-    on (user, scope); what is pinned leaves the hits; relations bring in their participants; the lists are
-    cut to the budget as top-k reports.
+    superseded, resolved, participants), hits(case_id, id, rank) of the scoped search. Only the first beliefs of a
+    (user, scope) can be in a list that is cut by id, so beliefs are cut to the largest budget before they meet
+    cases. What is pinned leaves the hits; relations bring in their participants; whether a hit or participant is in
+    scope is read off the belief itself. The lists are cut to the budget as top-k reports.
     """
     c = cases.select("case_id", "user_id", "max_beliefs", "max_questions", F.explode("scopes").alias("scope"))
-    b = beliefs.select("*", F.explode("scopes").alias("scope")).drop("scopes")
-    in_scope = c.join(b, ["user_id", "scope"]).dropDuplicates(["case_id", "id"])
-    live = in_scope.filter("pinned and not resolved")
+    live = F.col("pinned") & ~F.col("resolved")
+    pin = F.coalesce(live & (F.col("type") != "open_question") & ~F.col("superseded"), F.lit(False))
+    b = beliefs.select("id", "user_id", "type", "participants", "scopes", pin.alias("pin"), (live & (F.col("type") == "open_question")).alias("ask"))
     order = Window.partitionBy("case_id").orderBy("id")
     # the largest budgets as plain numbers, so that the rank limit also works before the shuffle
     most = cases.agg(F.max("max_beliefs").alias("b"), F.max("max_questions").alias("q")).first()
-    first = lambda df, n: df.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= (n or 0))
-    pin_all = live.filter("type <> 'open_question' and not superseded")
-    pinned = first(pin_all, most["b"]).filter(F.col("pos") <= F.col("max_beliefs"))
-    asks = first(live.filter("type = 'open_question'"), most["q"]).filter(F.col("pos") <= F.col("max_questions"))
+
+    def first(flag: str, n: int | None) -> DataFrame:
+        alike = Window.partitionBy("user_id", "scope").orderBy("id")
+        few = b.filter(flag).select("id", "user_id", F.explode("scopes").alias("scope")).distinct()
+        few = few.withColumn("_r", F.row_number().over(alike)).filter(F.col("_r") <= (n or 0)).drop("_r")
+        met = c.join(few, ["user_id", "scope"]).dropDuplicates(["case_id", "id"])
+        return met.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= (n or 0))
+
+    pinned = first("pin", most["b"]).filter(F.col("pos") <= F.col("max_beliefs"))
+    asks = first("ask", most["q"]).filter(F.col("pos") <= F.col("max_questions"))
     # the provider's limit counts pinned hits too, so they are cut first and then left out
-    budget = cases.select("case_id", "max_beliefs", "user_id")
-    got = hits.join(budget, "case_id").filter(F.col("rank") <= F.col("max_beliefs"))
-    n_all = pin_all.select("case_id", "id")
-    got = got.join(n_all, ["case_id", "id"], "left_anti").join(beliefs.select("id", "type", "participants"), "id")
+    budget = cases.select("case_id", "max_beliefs", F.col("user_id").alias("_user"), F.col("scopes").alias("_scopes"))
+    mine = F.coalesce((F.col("user_id") == F.col("_user")) & F.arrays_overlap("scopes", "_scopes"), F.lit(False))
+    got = hits.join(budget, "case_id").filter(F.col("rank") <= F.col("max_beliefs")).join(b, "id")
+    got = got.filter(~(mine & F.col("pin"))).select("case_id", "id", "rank", "type", "participants")
     extra = got.filter("type = 'relation'").select("case_id", "rank", F.posexplode("participants").alias("p", "id"))
     extra = (
-        extra.join(in_scope.select("case_id", "id").distinct(), ["case_id", "id"], "left_semi")
-        .join(n_all, ["case_id", "id"], "left_anti").join(got.select("case_id", "id"), ["case_id", "id"], "left_anti")
+        extra.join(budget, "case_id").join(b.drop("type", "participants"), "id").filter(mine & ~F.col("pin"))
+        .join(got.select("case_id", "id"), ["case_id", "id"], "left_anti")
         .groupBy("case_id", "id").agg(F.min(F.struct("rank", "p")).alias("o"))
     )
+    budget = budget.select("case_id", "max_beliefs")
     rows = got.select("case_id", "id", F.struct(F.lit(0).alias("x"), F.col("rank").alias("r"), F.lit(0).alias("p")).alias("o")).unionByName(
         extra.select("case_id", "id", F.struct(F.lit(1).alias("x"), F.col("o.rank").alias("r"), F.col("o.p").alias("p")).alias("o"))
     )

@@ -25,8 +25,8 @@ def relevant(spark, sf):
 
 def ir_sql(ranked_sql, relevant_sql):
     return f"""
-  with r as ({ranked_sql}),
-  q as ({relevant_sql}),
+  with r as materialized ({ranked_sql}),
+  q as materialized ({relevant_sql}),
   t as (select query_id, count(*) as n_rel from q group by 1),
   j as (select r.*, q.key is not null as rel from r left join q using (query_id, key)),
   p as (select query_id, count(*) filter (where rel and rank <= 5) as hits, min(rank) filter (where rel) as first,
@@ -58,9 +58,10 @@ def passage_pages(spark, sf):
     words = lambda c: F.split(c, r"\s+")
     p = B.passages(spark, sf).withColumn("run", F.array_join(F.slice(words("query"), 2, 3), " "))
     d = B.pages_state(spark, sf).filter("tier = 1").select(F.col("id").alias("key"), "text")
-    ws = words("text")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 2, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, 3), " "))
-    near = d.select("key", F.explode(F.array_distinct(runs)).alias("run")).join(p, "run")
+    # each word with the two after it; a short text ends in empty places
+    ws = d.select("key", words("text").alias("w")).select("key", F.arrays_zip("w", F.slice("w", 2, F.size("w")).alias("x"), F.slice("w", 3, F.size("w")).alias("y")).alias("z"))
+    runs = ws.select("key", F.explode("z").alias("z")).select("key", F.concat_ws(" ", "z.w", "z.x", "z.y").alias("run"))
+    near = runs.join(p, "run").select("key", "query_id", "query").distinct()
     return near.join(d, "key").filter(F.col("text").contains(F.col("query"))).select("query_id", "key").distinct()
 
 

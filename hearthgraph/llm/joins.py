@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, pieces
+from .common import Forest, components, materialize, pieces
 from .words import Words, clean, mix
 
 SHINGLE = 5
@@ -92,26 +92,32 @@ def _paths(rate: float, roots: list[int] | None):
 
 
 def _candidates(low: float, high: float):
-    """Stars (a, b) over sets of one bucket that may be similar, by their sketches.
+    """A spanning forest (a, b) over the sets of one bucket that may be similar, by their sketches.
 
     A set is compared with the leaders of its bucket. It is tied to each that agrees in `low` of the tokens or more,
     and becomes a leader itself unless one agrees in `high`. In a bucket of up to BUCKET rows every set is a leader,
-    so all pairs are compared.
+    so all pairs are compared. A tie is passed on only if it joins two trees, so a bucket sends fewer ties than rows.
     """
 
     def run(batches):
-        lead, ids, many = np.zeros((0, TOKENS), np.uint32), np.zeros(0, np.int64), 0
+        lead, ids, many, forest = np.zeros((0, TOKENS), np.uint32), np.zeros(0, np.int64), 0, Forest()
         for new, b in pieces(batches, ["path"]):
             if new:
-                lead, ids, many = np.zeros((0, TOKENS), np.uint32), np.zeros(0, np.int64), b.column("n")[0].as_py()
+                lead, ids, many, forest = np.zeros((0, TOKENS), np.uint32), np.zeros(0, np.int64), b.column("n")[0].as_py(), Forest()
             tokens, who = _sketch(b.column("sketch")), b.column("c").to_numpy()
             left, right = [], []
+
+            def tie(a: int, b: int) -> None:
+                if forest.find(a) != forest.find(b):
+                    forest.join(a, b)
+                    left.append(a)
+                    right.append(b)
+
             fresh = np.arange(len(who))
             if len(ids):
                 agree = _agree(tokens, lead)
                 for i, j in zip(*np.nonzero(agree >= low)):
-                    left.append(who[i])
-                    right.append(ids[j])
+                    tie(int(who[i]), int(ids[j]))
                 if many > BUCKET:
                     fresh = np.flatnonzero(agree.max(axis=1) < high)
             if len(fresh):
@@ -120,8 +126,7 @@ def _candidates(low: float, high: float):
                 for i in range(len(fresh)):
                     near = [j for j in leads if mine[i, j] >= low]
                     for j in near:
-                        left.append(who[fresh[i]])
-                        right.append(who[fresh[j]])
+                        tie(int(who[fresh[i]]), int(who[fresh[j]]))
                     if many <= BUCKET or not any(mine[i, j] >= high for j in near):
                         leads.append(i)
                 lead, ids = np.vstack([lead, tokens[fresh[leads]]]), np.concatenate([ids, who[fresh[leads]]])

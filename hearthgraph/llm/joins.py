@@ -238,7 +238,8 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", thres
             out = b.select(["root", "c", "w", "nb"]).take(pa.array(mine))
             yield pa.RecordBatch.from_arrays([out.column(c) for c in ("root", "c", "w", "nb")] + [lists], ["root", "c", "w", "nb", "set"])
 
-    spelt = docs.join(group, docs["doc"] == group["rep"]).select("root", "c", "w", "nb", "text")
+    # the groups grow with the corpus, so the texts are dealt out at every size
+    spelt = docs.join(group.hint("merge"), docs["doc"] == group["rep"]).select("root", "c", "w", "nb", "text")
     spelt = spelt.mapInArrow(spell, "root long, c long, w long, nb int, set array<long>")
     own = F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))

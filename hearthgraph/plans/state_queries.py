@@ -654,13 +654,15 @@ def d08(spark, sf):
     "J15_dossier",
     """
 with e as (select * from edges_tiered where tier <= 1),
-around as (select src_type as t, src_id as id, edge_id from e where src_type = 'person' union select dst_type, dst_id, edge_id from e where dst_type = 'person'),
-ne as (select id, least(count(*), 20) as edges from around group by 1),
-ia as (select person_id as id, least(count(*), 20) as interactions, max(occurred_on) as last_seen from interactions where tier <= 1 group by 1),
+around as (select src_id as id, edge_id, rel, dst_type, dst_id, created_on from e where src_type = 'person' union select dst_id, edge_id, rel, dst_type, dst_id, created_on from e where dst_type = 'person'),
+ar as (select *, row_number() over (partition by id order by created_on desc, edge_id) as rn from around),
+ne as (select id, count(*) as edges, string_agg(rel || ' ' || dst_type || ' ' || dst_id::varchar, ', ' order by rn) as related from ar where rn <= 20 group by 1),
+ir as (select *, row_number() over (partition by person_id order by occurred_on desc, id desc) as rn from interactions where tier <= 1),
+ia as (select person_id as id, count(*) as interactions, string_agg(id::varchar || ' ' || kind || ' ' || occurred_on::varchar, ', ' order by rn) as met from ir where rn <= 20 group by 1),
 oc as (select p.id, count(*) as open_commitments from people p join commitments c on c.status = 'open' and c.tier <= 1 and lower(c.to_whom) = lower(p.canonical_name) group by 1),
 lc as (select person_id as id, max(occurred_on) as last_contact from interactions group by 1)
-select p.id, p.canonical_name, coalesce(ne.edges, 0) as edges, coalesce(ia.interactions, 0) as interactions, coalesce(oc.open_commitments, 0) as open_commitments,
-       ia.interactions is null as locked, case when date_diff('day', coalesce(lc.last_contact, p.updated_on), date '2001-06-15') > 30
+select p.id, p.canonical_name, p.relation, coalesce(ne.edges, 0) as edges, coalesce(ne.related, '') as related, coalesce(ia.interactions, 0) as interactions, coalesce(ia.met, '') as met,
+       coalesce(oc.open_commitments, 0) as open_commitments, ia.interactions is null as locked, case when date_diff('day', coalesce(lc.last_contact, p.updated_on), date '2001-06-15') > 30
          then 'last contact ' || date_diff('day', coalesce(lc.last_contact, p.updated_on), date '2001-06-15')::varchar || ' days ago' end as staleness
 from people p left join ne using (id) left join ia using (id) left join oc using (id) left join lc using (id) where p.tier <= 1""",
 )
@@ -671,7 +673,10 @@ def j15(spark, sf):
         known_people(spark, sf), B.edges_tiered(spark, sf), B.nodes(spark, sf), B.interactions(spark, sf), B.commitments(spark, sf), B.tasks(spark, sf), today()
     )
     return d.select(
-        "id", "canonical_name", F.size("related").cast("bigint").alias("edges"), F.size("interactions").cast("bigint").alias("interactions"),
+        "id", "canonical_name", "relation", F.size("related").cast("bigint").alias("edges"),
+        F.array_join(F.transform("related", lambda x: F.concat_ws(" ", x["rel"], x["dst_type"], x["dst_id"].cast("string"))), ", ").alias("related"),
+        F.size("interactions").cast("bigint").alias("interactions"),
+        F.array_join(F.transform("interactions", lambda x: F.concat_ws(" ", x["interaction_id"].cast("string"), x["kind"], x["occurred_on"].cast("string"))), ", ").alias("met"),
         "open_commitments", "locked", "staleness",
     )
 

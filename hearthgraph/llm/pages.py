@@ -18,7 +18,6 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 DROPPED = {"nav", "aside", "form", "button", "select", "option", "fieldset", "menu", "dialog", "svg", "canvas", "object", "audio", "video", "map", "head"}
 #: Dropped unless they stand inside the article.
 FRAME = {"header", "footer"}
-MAIN = {"article", "main"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option",
@@ -41,26 +40,35 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
-#: What the markup says of a line: it stands in a part that is no main text, in no such part, or in the article.
-BESIDE, OPEN, ARTICLE = range(3)
+#: What the markup says of a line: it stands in a part that is no main text, in no such part, in the main part of the
+#: page, or in an article.
+BESIDE, OPEN, CENTRE, ARTICLE = range(4)
+
+
+MAIN = {"main": CENTRE, "article": ARTICLE}
+
+
+def protected(found: list[tuple[str, int]]) -> int:
+    """The kind of the lines that are the text for sure: those of articles, else of the main part, if there are any."""
+    return max((kind for _, kind in found if kind >= CENTRE), default=ARTICLE)
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
-    """The lines of a page in order, with what the markup says of each: BESIDE, OPEN or ARTICLE.
+    """The lines of a page in order, with what the markup says of each: BESIDE, OPEN, CENTRE or ARTICLE.
 
     A line is the text of a block. White space in it is one space; empty lines, comments and raw elements (scripts,
     styles) are left out. Unclosed and misnested tags are tolerated.
     """
     out: list[tuple[str, int]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # (element, dropped, in the article)
-    inside = dropped = False
+    stack: list[tuple[str, bool, int]] = []  # (element, dropped, kind of its lines)
+    dropped, inside = False, OPEN
 
     def flush() -> None:
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                out.append((line, BESIDE if dropped else ARTICLE if inside else OPEN))
+                out.append((line, BESIDE if dropped else inside))
             text.clear()
 
     at = 0
@@ -79,18 +87,18 @@ def blocks(page: str) -> list[tuple[str, int]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
-                    dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, OPEN)
                     break
         elif name not in VOID:
             for closed in CLOSES.get(name, ()):
                 if stack and stack[-1][0] == closed:
                     stack.pop()
-            before = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            before = (stack[-1][1], stack[-1][2]) if stack else (False, OPEN)
             attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[4])} if m[4].strip() else {}
             label = f"{attrs.get('class', '')} {attrs.get('id', '')}"
             bad = (
                 name in DROPPED
-                or (name in FRAME and not before[1])
+                or (name in FRAME and before[1] == OPEN)
                 or "hidden" in attrs
                 or attrs.get("aria-hidden") == "true"
                 or attrs.get("role", "").lower() in ROLES
@@ -98,7 +106,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
                 or (name not in ("html", "body") and name not in MAIN and bool(MARKED.search(label)))
                 or (name in MAIN and bool(re.search(r"\b(?:comment|related|ad|teaser)", label, re.I)))
             )
-            dropped, inside = before[0] or bad, before[1] or (name in MAIN and not bad)
+            dropped, inside = before[0] or bad, max(before[1], 0 if bad else MAIN.get(name, 0))
             if not m[5]:
                 stack.append((name, dropped, inside))
             else:
@@ -110,10 +118,10 @@ def blocks(page: str) -> list[tuple[str, int]]:
 
 
 def main_lines(found: list[tuple[str, int]], gone: set[int]) -> list[str]:
-    """The article's lines; without an article, the open lines that differencing left."""
-    article = [t for t, kind in found if kind == ARTICLE]
-    loose = [(t, kind) for t, kind in found if kind != ARTICLE]
-    return article or [t for i, (t, kind) in enumerate(loose) if i not in gone and kind == OPEN]
+    """The article's lines (or the main part's); without them, the open lines that differencing left."""
+    sure = protected(found)
+    text = [t for t, kind in found if kind == sure]
+    return text or [t for i, (t, kind) in enumerate(found) if i not in gone and kind == OPEN]
 
 
 def shared(mine: list[int], other: list[int]) -> set[int]:
@@ -157,7 +165,7 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
     with the neighbour whose path has the longer common beginning (the earlier one of equals), their lines are aligned
     by the longest common subsequence, and shared lines are deleted, unless the two pages have the same lines
     altogether. Shared lines alone do not tell a menu of one page's own from text, nor a paragraph that two articles
-    quote from a notice. So the lines of an article are not compared but kept whole, and markup rules then
+    quote from a notice. So the lines of an article (or, without one, of the main part) are not compared but kept whole, and markup rules then
     drop what is left of menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 
     Only line hashes travel to the neighbours. Ordering is by range over host, path and key, so a hot host is many
@@ -172,7 +180,9 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
         for b in batches:
             got = []
             for p in b.column("html").to_pylist():
-                got.append([_hash(t) for t, kind in blocks(p or "") if kind != ARTICLE])
+                found = blocks(p or "")
+                sure = protected(found)
+                got.append([_hash(t) for t, kind in found if kind != sure])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "h", "host", "path")), pa.array(got, pa.list_(pa.int64()))], ["id", "h", "host", "path", "lines"])
 
     kind = kinds[key]

@@ -32,6 +32,8 @@ def text_of(page):
         ('<div class="cookie-notice">we use</div><article><p>shadow header download</p></article>', "shadow header download"),
         ('<article class="post"><p>p</p></article><section id="comments"><article class="comment"><p>c</p></article></section>', "p"),
         ("<p>unclosed <b>x", "unclosed x"),
+        ("<main><p>path</p><article><header><h1>t</h1></header><p>a</article><p>more like this</main>", "t a"),
+        ("<p>top</p><main><p>m</p></main><p>end</p>", "m"),
     ],
 )
 def test_markup(page, text):

@@ -62,40 +62,30 @@ def named_in(queries: DataFrame, lexicon: DataFrame, gram: int = 3) -> DataFrame
 def known_mentions(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(text_id, type, id, name): lexicon names of 3+ characters present at word boundaries.
 
-    A name is a run of words, so the text's word runs are joined to the lexicon on (first word,
-    word count) turned into one key: the lowercased run itself. Equality replaces a pattern per name.
-    The literal spelling is verified afterwards, since the run ignores what stands between words.
+    Texts and names are cut into words and what stands between them. Words of a text that open a name are found by
+    equality, so only those travel; a longer name is then compared piece by piece from there on. A name may begin or
+    end with other characters: the text must have them too, and no word may touch them.
     """
-    lex = (
-        lexicon.select("type", "id", "name", F.lower("name").alias("low"))
-        .filter(F.length("name") >= 3)
-        .withColumn("key", F.array_join(_words(F.col("name")), " "))
-        .filter(F.col("key") != "")
-        .withColumn("n", F.size(F.split("key", " ")))
-        .distinct()
-    )
-    # the few word counts that names have; a handful of integers
-    counts = sorted(r["n"] for r in lex.select("n").distinct().collect()) or [1]
-    w = texts.select("text_id", "text", _words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
-    runs = (
-        w.withColumn("n", F.explode(F.array(*[F.lit(n) for n in counts])))
-        .filter(F.size("ws") >= F.col("n"))
-        .select(
-            "text_id",
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.size("ws") - F.col("n") + 1),
-                        lambda i: F.array_join(F.slice("ws", i, F.col("n")), " "),
-                    )
-                )
-            ).alias("key"),
-        )
-    )
-    cand = runs.join(lex.select("key", "type", "id", "name", "low"), "key").select("text_id", "type", "id", "name", "low")
-    ok = cand.join(texts.select("text_id", F.lower("text").alias("t")), "text_id").filter(
-        F.expr(r"t rlike concat('(?<![\\p{L}\\p{N}])\\Q', low, '\\E(?![\\p{L}\\p{N}])')")
-    )
+    word = r"^[\p{L}\p{N}]"
+    cut = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
+    lex = lexicon.filter(F.length("name") >= 3).select("type", "id", "name", cut("name").alias("t")).distinct()
+    outer = lambda c: F.coalesce(F.when(~c.rlike(word), c), F.lit(""))
+    lex = lex.withColumn("lead", outer(F.col("t")[0])).withColumn("trail", F.when(F.size("t") > 1, outer(F.element_at("t", -1))).otherwise(""))
+    skip = F.when(F.col("lead") != "", 1).otherwise(0)
+    lex = lex.withColumn("core", F.slice("t", skip + 1, F.greatest(F.size("t") - skip - F.when(F.col("trail") != "", 1).otherwise(0), F.lit(0)))).drop("t")
+    lex = lex.filter(F.size("core") > 0).withColumn("head", F.col("core")[0])
+    body = texts.select("text_id", cut("text").alias("ts"))
+    at = body.select("text_id", F.posexplode("ts").alias("pos", "head")).join(lex.select("head").distinct(), "head", "left_semi")
+    hits = at.join(lex, "head")
+    plain = (F.size("core") == 1) & (F.col("lead") == "") & (F.col("trail") == "")
+    longer = hits.filter(~plain).join(body, "text_id")
+    piece = lambda i: F.coalesce(F.get("ts", i), F.lit(""))
+    before, after = piece(F.col("pos") - 1), piece(F.col("pos") + F.size("core"))
+    same = F.slice("ts", F.col("pos") + 1, F.size("core")) == F.col("core")
+    # an outer character that fills the whole gap would touch the next word, unless the text ends there
+    led = (F.col("lead") == "") | (before.endswith(F.col("lead")) & ((before != F.col("lead")) | (F.col("pos") == 1)))
+    trailed = (F.col("trail") == "") | (after.startswith(F.col("trail")) & ((after != F.col("trail")) | (F.col("pos") + F.size("core") == F.size("ts") - 1)))
+    ok = hits.filter(plain).select("text_id", "type", "id", "name").unionByName(longer.filter(same & led & trailed).select("text_id", "type", "id", "name"))
     return ok.groupBy("text_id", "type", "id").agg(F.min("name").alias("name"))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Largest table (rows) that an operator may ship to every task by itself. Everything else is left
 # to Catalyst, whose broadcast threshold is a size check of its own.
 SMALL_ROWS = 4096
+# folders of local sessions that name none
+_OWN: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -67,8 +69,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="hearthgraph-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        named = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="hearthgraph-"))
     return named
 
 

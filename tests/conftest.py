@@ -11,8 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     s = local_session("8", "8", "tests")
-    s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()

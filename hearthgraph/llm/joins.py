@@ -20,7 +20,7 @@ TOKENS = 64
 #: Buckets of up to so many sets are compared pair by pair; larger ones are split again.
 BUCKET = 256
 #: Most splits of one bucket. What is still large then are near copies; they are compared with leaders.
-DEPTH = 4
+DEPTH = 3
 TARGET_RECALL = 0.9999
 #: Documents, and words, of one block of the exact comparison.
 BLOCK_ROWS, BLOCK_WORDS = 512, 400_000

@@ -49,7 +49,7 @@ MAIN = {"main": CENTRE, "article": ARTICLE}
 
 
 def protected(found: list[tuple[str, int]]) -> int:
-    """The kind of the lines that are the text for sure: those of articles, else of the main part, if there are any."""
+    """The kind of the lines that are the text by the markup alone: those of articles, else of the main part, if there are any."""
     return max((kind for _, kind in found if kind >= CENTRE), default=ARTICLE)
 
 
@@ -117,11 +117,25 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def main_lines(found: list[tuple[str, int]], gone: set[int]) -> list[str]:
-    """The article's lines (or the main part's); without them, the open lines that differencing left."""
+def main_lines(found: list[tuple[str, int]], gone: set[int], compared: bool = False) -> list[str]:
+    """The lines that are main text; `gone` are positions among the lines that stand in neither article nor main part.
+
+    A page that was compared keeps the lines of articles and of the main part, and the open lines that no neighbour
+    shares. If there was no page to compare with, the markup alone decides: the article's lines (or the main part's),
+    or all open lines of a page without such parts.
+    """
     sure = protected(found)
-    text = [t for t, kind in found if kind == sure]
-    return text or [t for i, (t, kind) in enumerate(found) if i not in gone and kind == OPEN]
+    if not compared and any(kind == sure for _, kind in found):
+        return [t for t, kind in found if kind == sure]
+    text, at = [], 0
+    for t, kind in found:
+        if kind >= CENTRE:
+            text.append(t)
+            continue
+        if kind == OPEN and at not in gone:
+            text.append(t)
+        at += 1
+    return text
 
 
 def shared(mine: list[int], other: list[int]) -> set[int]:
@@ -163,10 +177,12 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
 
     Every page is compared with the page with the nearest URL: pages of a host are ordered by path, a page is paired
     with the neighbour whose path has the longer common beginning (the earlier one of equals), their lines are aligned
-    by the longest common subsequence, and shared lines are deleted, unless the two pages have the same lines
-    altogether. Shared lines alone do not tell a menu of one page's own from text, nor a paragraph that two articles
-    quote from a notice. So the lines of an article (or, without one, of the main part) are not compared but kept whole, and markup rules then
-    drop what is left of menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+    by the longest common subsequence, and shared lines are deleted; lines that only this page has are kept, inside
+    the article or not. A neighbour with the same text is a copy and is passed over, adverts, menus and the like set aside. Shared lines
+    alone do not tell a paragraph that two articles quote from a notice, so the lines of articles and of the main part
+    are not compared but kept whole; and unshared lines alone do not tell a menu of one page's own from text, so
+    markup rules drop menus, headers, footers, sidebars, notices, adverts, forms and reader comments. A page that has
+    no neighbour on its host but copies is left to the markup: its article, else its main part, else its open lines.
 
     Only line hashes travel to the neighbours. Ordering is by range over host, path and key, so a hot host is many
     ranges; pages at the border of two ranges meet their neighbour through a table of the ranges' ends.
@@ -178,25 +194,26 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
 
     def lines(batches):
         for b in batches:
-            got = []
+            got, whole = [], []
             for p in b.column("html").to_pylist():
                 found = blocks(p or "")
-                sure = protected(found)
-                got.append([_hash(t) for t, kind in found if kind != sure])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "h", "host", "path")), pa.array(got, pa.list_(pa.int64()))], ["id", "h", "host", "path", "lines"])
+                text = [t for t, kind in found if kind != BESIDE]
+                whole.append(_hash("\n".join(text)) if text else None)
+                got.append([_hash(t) for t, kind in found if kind < CENTRE])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "h", "host", "path")), pa.array(whole, pa.int64()), pa.array(got, pa.list_(pa.int64()))], ["id", "h", "host", "path", "whole", "lines"])
 
     kind = kinds[key]
     loose = rows.withColumn("place", place).withColumn("host", host).withColumn("path", path).select("id", "h", "host", "path", "html")
-    loose = loose.mapInArrow(lines, f"id {kind}, h long, host string, path string, lines array<long>").where("host is not null and host <> '' and size(lines) > 0")
+    loose = loose.mapInArrow(lines, f"id {kind}, h long, host string, path string, whole long, lines array<long>").where("host is not null and host <> '' and whole is not null")
     order = ["host", "path", "id", "h"]
     ranged = materialize(loose.distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "lines")
-    near = F.struct("host", "path", "lines")
+    near = F.struct("host", "path", "whole", "lines")
     inside = Window.partitionBy("part").orderBy(*order)
     ends = ranged.groupBy("part").agg(F.min_by(near, F.struct(*order)).alias("low"), F.max_by(near, F.struct(*order)).alias("high"))
     across = Window.orderBy("part")  # a row for each range
     ends = ends.select("part", F.lag("high").over(across).alias("left_end"), F.lead("low").over(across).alias("right_end"))
     met = ranged.withColumn("before", F.lag(near).over(inside)).withColumn("after", F.lead(near).over(inside)).join(ends, "part")
-    met = met.select("id", "h", "host", "path", "lines", F.coalesce("before", "left_end").alias("before"), F.coalesce("after", "right_end").alias("after"))
+    met = met.select("id", "h", "host", "path", "whole", "lines", F.coalesce("before", "left_end").alias("before"), F.coalesce("after", "right_end").alias("after"))
 
     def differ(batches):
         for b in batches:
@@ -204,15 +221,14 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
             for r in b.to_pylist():
                 best = None
                 for other in (r["before"], r["after"]):
-                    if other and other["host"] == r["host"]:
+                    if other and other["host"] == r["host"] and other["whole"] != r["whole"]:
                         n = _common(other["path"] or "", r["path"] or "")
                         if best is None or n > best[0]:
                             best = (n, other["lines"])
-                gone = shared(r["lines"], best[1]) if best and best[1] != r["lines"] else set()
-                out.append(sorted(gone))
+                out.append(sorted(shared(r["lines"], best[1])) if best else None)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), pa.array(out, pa.list_(pa.int32()))], ["id", "h", "gone"])
 
-    gone = met.mapInArrow(differ, f"id {kind}, h long, gone array<int>").where("size(gone) > 0")
+    gone = met.mapInArrow(differ, f"id {kind}, h long, gone array<int>").where("gone is not null")
     # null keys are values here, so they are joined by a null-safe condition on a key made of both
     tag = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull(), "h")
     gone = gone.select(tag.alias("tag"), "gone").groupBy("tag").agg(F.first("gone").alias("gone"))
@@ -222,7 +238,7 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
         for b in batches:
             texts = []
             for p, g in zip(b.column("html"), b.column("gone").to_pylist()):
-                texts.append(" ".join(main_lines(blocks(p.as_py() or ""), set(g or ()))))
+                texts.append(" ".join(main_lines(blocks(p.as_py() or ""), set(g or ()), g is not None)))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(extract, f"id {kind}, url {kinds[url]}, text string, n_chars long").withColumnRenamed("id", key).withColumnRenamed("url", url)

@@ -69,6 +69,23 @@ def test_differencing(spark):
     assert pages.main_text(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_differencing_decides_beside_an_article(spark):
+    def page(i, kind):
+        body = {"article": f"<article><p>text {i}</p><p>quoted</p></article>", "main": f"<main><p>body {i}</p><article>teaser {i}</article></main>"}[kind]
+        return f"<p>Home of news</p><p>lead {i}</p>{body}<nav>own menu {i}</nav><p>Read all about it</p>"
+
+    rows = [(i, f"https://a.example/x/{i}", page(i, "article")) for i in range(12)] + [(i, f"https://b.example/x/{i}", page(i, "main")) for i in range(20, 32)]
+    # only the article differs; a copy of page 40 with another advert is passed over; a page alone is left to the markup
+    rows += [(i, f"https://c.example/{i}", f"<p>menu</p><article>only {i}</article>") for i in (33, 34)]
+    rows += [(i, f"https://d.example/{i}", f"<p>top</p><div class='ad'>buy {i}</div><p>lead</p><article>same</article>") for i in (40, 41)] + [(42, "https://d.example/42", "<p>top</p><article>other</article>")]
+    rows += [(50, "https://e.example/", page(50, "article"))]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], PAGES).repartition(5)
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    want = {i: f"lead {i} text {i} quoted" for i in range(12)} | {i: f"lead {i} body {i} teaser {i}" for i in range(20, 32)}
+    want |= {33: "only 33", 34: "only 34", 40: "same", 41: "lead same", 42: "other", 50: "text 50 quoted"}
+    assert got == want
+
+
 def test_rules_as_columns_and_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("score", F.lit("clash"))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

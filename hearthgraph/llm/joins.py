@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, materialize, pieces
+from .common import components, materialize, pieces
 from .words import Words, clean, mix
 
 SHINGLE = 5
@@ -19,8 +19,10 @@ THRESHOLD = 0.8
 TOKENS = 64
 #: Buckets of up to so many sets are compared pair by pair; larger ones are split again.
 BUCKET = 256
-#: Most splits of one bucket. What is still large then are near copies; they are compared with leaders.
+#: Longest path. Buckets that are still large then, or that a split does not part, are compared in blocks.
 DEPTH = 3
+#: Sets of one block of a large bucket; a task compares two blocks at a time.
+PAIR_ROWS = 4096
 TARGET_RECALL = 0.9999
 #: Documents, and words, of one block of the exact comparison.
 BLOCK_ROWS, BLOCK_WORDS = 512, 400_000
@@ -73,7 +75,7 @@ def _sketch(col: pa.Array) -> np.ndarray:
 
 
 def _paths(rate: float, roots: list[int] | None):
-    """The next level: from the roots (one for each run), or from the path that a row has."""
+    """The next level: from the roots (one for each run), or from the path that a row has, with that path and its size."""
 
     def run(batches):
         for b in batches:
@@ -85,63 +87,61 @@ def _paths(rate: float, roots: list[int] | None):
             else:
                 steps = [np.full(len(tokens), r, dtype=np.uint64) for r in roots]
             got = [_choose(tokens, p, rate) for p in steps]
-            row, path = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column("c").take(pa.array(row))], ["path", "c"])
+            row, path = pa.array(np.concatenate([g[0] for g in got])), np.concatenate([g[1] for g in got])
+            out = {"path": pa.array(path.view(np.int64)), "c": b.column("c").take(row)}
+            if roots is None:
+                out |= {"parent": b.column("path").take(row), "m": b.column("n").take(row)}
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def _candidates(low: float, high: float):
-    """A spanning forest (a, b) over the sets of one bucket that may be similar, by their sketches.
+def _candidates(low: float):
+    """A spanning forest (a, b) over the sets of one block, or of two blocks of a bucket, that may be similar.
 
-    A set is compared with the leaders of its bucket. It is tied to each that agrees in `low` of the tokens or more,
-    and becomes a leader itself unless one agrees in `high`. In a bucket of up to BUCKET rows every set is a leader,
-    so all pairs are compared. A tie is passed on only if it joins two trees, so a bucket sends fewer ties than rows.
+    Every pair that agrees in `low` of the tokens or more is tied. A tie is passed on only if it joins two trees, so a
+    task sends fewer ties than it reads rows; it holds two blocks of a bucket at most.
     """
 
+    def close(held):
+        tokens = np.concatenate([_sketch(b.column("sketch")) for b in held])
+        who = np.concatenate([b.column("c").to_numpy() for b in held])
+        half = None
+        if held[0].column("i")[0].as_py() != held[0].column("j")[0].as_py():
+            half = int(np.concatenate([b.column("side").to_numpy(zero_copy_only=False) for b in held]).argmax())  # sides are sorted
+        mark = np.arange(len(who))
+        rest = len(who) if half is None else half
+        for lo in range(0, rest, BUCKET):
+            hi = min(lo + BUCKET, rest)
+            start = lo if half is None else half
+            linked = _agree(tokens[lo:hi], tokens[start:]) >= math.ceil(low * TOKENS)
+            for i in np.flatnonzero(linked.any(axis=1)):
+                near = mark[start:][linked[i]]
+                if (near != mark[lo + i]).any():
+                    groups = np.append(np.unique(near), mark[lo + i])
+                    mark[np.isin(mark, groups)] = groups.min()
+        at = np.flatnonzero(mark != np.arange(len(mark)))
+        return pa.RecordBatch.from_arrays([pa.array(who[mark[at]], pa.int64()), pa.array(who[at], pa.int64())], ["a", "b"])
+
     def run(batches):
-        lead, ids, many, forest = np.zeros((0, TOKENS), np.uint32), np.zeros(0, np.int64), 0, Forest()
-        for new, b in pieces(batches, ["path"]):
-            if new:
-                lead, ids, many, forest = np.zeros((0, TOKENS), np.uint32), np.zeros(0, np.int64), b.column("n")[0].as_py(), Forest()
-            tokens, who = _sketch(b.column("sketch")), b.column("c").to_numpy()
-            left, right = [], []
-
-            def tie(a: int, b: int) -> None:
-                if forest.find(a) != forest.find(b):
-                    forest.join(a, b)
-                    left.append(a)
-                    right.append(b)
-
-            fresh = np.arange(len(who))
-            if len(ids):
-                agree = _agree(tokens, lead)
-                for i, j in zip(*np.nonzero(agree >= low)):
-                    tie(int(who[i]), int(ids[j]))
-                if many > BUCKET:
-                    fresh = np.flatnonzero(agree.max(axis=1) < high)
-            if len(fresh):
-                mine = _agree(tokens[fresh], tokens[fresh])
-                leads: list[int] = []
-                for i in range(len(fresh)):
-                    near = [j for j in leads if mine[i, j] >= low]
-                    for j in near:
-                        tie(int(who[fresh[i]]), int(who[fresh[j]]))
-                    if many <= BUCKET or not any(mine[i, j] >= high for j in near):
-                        leads.append(i)
-                lead, ids = np.vstack([lead, tokens[fresh[leads]]]), np.concatenate([ids, who[fresh[leads]]])
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        held: list[pa.RecordBatch] = []
+        for new, b in pieces(batches, ["path", "i", "j"]):
+            if new and held:
+                yield close(held)
+                held = []
+            held.append(b)
+        if held:
+            yield close(held)
 
     return run
 
 
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The share of equal tokens of each row of x with each row of y."""
-    out = np.zeros((len(x), len(y)), dtype=np.int16)
+    """The number of equal tokens of each row of x with each row of y."""
+    out = np.zeros((len(x), len(y)), dtype=np.uint8)
     for i in range(TOKENS):
         out += x[:, i][:, None] == y[:, i][None, :]
-    return out / TOKENS
+    return out
 
 
 def _overlaps(rows: list[np.ndarray]) -> np.ndarray:
@@ -176,8 +176,11 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", thres
     Method (chosen paths). Texts with the same words form a class. Each class is sketched by TOKENS minimum hashes.
     In each run, a random function of the path so far picks 1 / threshold of the tokens of a set (in expectation) and
     sends the set to a bucket for each; a similar pair meets again with near certainty in one of the runs, whose
-    number follows from the target recall. Buckets of two to BUCKET sets are compared, larger ones are split by the
-    next token, up to DEPTH times. Sketches in a bucket give candidate ties, their components candidate groups.
+    number follows from the target recall. Buckets of two to BUCKET
+    sets are compared, larger ones are split by the next token, up to paths of DEPTH tokens. If the parts
+    of a bucket hold more than half as many rows as it had (near copies never separate), it is compared unsplit.
+    All pairs of a bucket are compared, in pairs of blocks dealt out by a hash, so no task holds a large bucket.
+    Sketches in a bucket give candidate ties, their components candidate groups.
     Inside a group all pairs are verified with the real shingles, in blocks of bounded size that report link counts
     and a spanning forest; so within a group no link is lost, whichever bucket tied it.
     """
@@ -200,26 +203,32 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", thres
     classes = materialize(classes, "classes")
     sets = classes.select("c", "sketch")
 
-    # a run keeps a pair at the threshold with probability 1 - 1/e or more while its buckets are split once
     rate = 1 / (threshold * TOKENS)
     runs = max(1, math.ceil(math.log(1 - recall) / -1.0))
     roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D)).tolist()
     step = sets.mapInArrow(_paths(rate, roots), "path long, c long")
-    leaves = None
+    leaves = large = None
     for depth in range(DEPTH):
         sizes = step.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         step = materialize(step.join(sizes, "path"), "buckets")
+        if large is not None:
+            kept = step.groupBy("parent", "m").agg(F.count("*").alias("k")).where("2 * k > m").select("parent")
+            kept = materialize(kept, "unparted")
+            leaves = leaves.unionByName(large.join(kept.withColumnRenamed("parent", "path"), "path", "left_semi").select("path", "c", "n"))
+            step = step.join(kept, "parent", "left_anti")
         large = step.where(F.col("n") > BUCKET)
         last = depth == DEPTH - 1 or large.isEmpty()
-        done = step if last else step.where(F.col("n") <= BUCKET)
+        done = (step if last else step.where(F.col("n") <= BUCKET)).select("path", "c", "n")
         leaves = done if leaves is None else leaves.unionByName(done)
         if last:
             break
-        step = large.join(sets, "c").select("path", "c", "sketch").mapInArrow(_paths(rate, None), "path long, c long")
-    # estimates from 64 tokens stray by 0.06; ties leave room for that, and for the step over a leader
-    low, high = threshold - 0.25, threshold - 0.03
-    met = leaves.join(sets, "c").repartition("path").sortWithinPartitions("path", "c")
-    ties = met.mapInArrow(_candidates(low, high), "a long, b long").distinct()
+        step = large.join(sets, "c").select("path", "n", "c", "sketch").mapInArrow(_paths(rate, None), "path long, c long, parent long, m long")
+    # estimates from 64 tokens stray by 0.06; ties leave room for that
+    blocks = F.ceil(F.col("n") / PAIR_ROWS).cast("int")
+    met = leaves.join(sets, "c").withColumn("own", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "c", "sketch")
+    met = met.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "side", "c")
+    ties = met.mapInArrow(_candidates(threshold - 0.25), "a long, b long").distinct()
     group = components(ties)
     group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "c")
     group = classes.select("c", "rep", "w", "nw").join(group, "c")

@@ -4,9 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from hearthgraph.llm import joins, phrases
+from hearthgraph.llm.common import Forest
 
 SCHEMA = "doc_id long, text string, source string, c long, n long, anchor string"
 
@@ -114,6 +117,39 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_groups(docs, 0.8)
 
 
+def test_every_pair_of_a_large_bucket_is_compared():
+    r = np.random.default_rng(1)
+    n, nb = 700, 3
+    sketch = r.integers(0, 2**32, (n, joins.TOKENS), dtype=np.uint32)
+    for i in range(1, n):  # chains of sets that agree with the one before only
+        if i % 5:
+            sketch[i, :40] = sketch[i - 1, :40][r.permutation(40)] if i % 7 == 0 else sketch[i - 1, :40]
+    rows = []
+    for c in range(n):
+        own = c * 7919 % nb
+        rows += [(1, min(own, o), max(own, o), own > o, c, sketch[c].tobytes()) for o in range(nb)]
+    rows.sort(key=lambda x: x[:5])
+    names = ["path", "i", "j", "side", "c", "sketch"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in rows[k : k + 100]]) for k in range(0, len(rows), 100)]
+    forest, ties = Forest(), 0
+    for b in joins._candidates(0.55)(iter(batches)):
+        ties += b.num_rows
+        for a, z in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+            forest.join(a, z)
+    want = Forest()
+    for a, z in zip(*np.nonzero((sketch[:, None, :] == sketch[None, :, :]).sum(axis=2) >= 0.55 * joins.TOKENS)):
+        want.join(int(a), int(z))
+    assert [forest.find(c) for c in range(n)] == [want.find(c) for c in range(n)] and ties < len(rows)
+
+
+def test_large_buckets_are_dealt_out_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BUCKET", 4)
+    monkeypatch.setattr(joins, "PAIR_ROWS", 8)
+    docs = corpus(7, 90) + [(1000 + i, " ".join([f"b{k}" for k in range(120)] + [f"n{i}"])) for i in range(70)]
+    got = joins.similar_groups(table(spark, docs)).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_groups(docs, 0.8)
+
+
 def test_groups_of_awkward_rows(spark):
     t = "a b c d e f g"
     got = joins.similar_groups(table(spark, [(1, t), (1, t), (2, t), (None, t), (3, None), (4, None), (1, "x y z u v w")])).collect()

@@ -96,6 +96,27 @@ def _paths(rate: float, roots: list[int] | None):
     return run
 
 
+def run_count(threshold: float, recall: float) -> int:
+    """Runs after which a pair at the threshold has met with probability `recall`, if its buckets are split to DEPTH.
+
+    Each of the pair's tokens is common with probability `threshold`. With m common tokens, a run keeps the pair for one
+    more level with probability 1 - (1 - rate * s)^m, s being the probability for the levels below; runs are
+    independent once m is known.
+    """
+    rate = 1 / (threshold * TOKENS)
+    odds, lost = [], []
+    for m in range(TOKENS + 1):
+        s = 1.0
+        for _ in range(DEPTH):
+            s = 1 - (1 - rate * s) ** m
+        odds.append(math.comb(TOKENS, m) * threshold**m * (1 - threshold) ** (TOKENS - m))
+        lost.append(1 - s)
+    runs = 1
+    while sum(p * q**runs for p, q in zip(odds, lost)) > 1 - recall:
+        runs += 1
+    return runs
+
+
 def _candidates(low: float):
     """A spanning forest (a, b) over the sets of one block, or of two blocks of a bucket, that may be similar.
 
@@ -176,7 +197,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", thres
     Method (chosen paths). Texts with the same words form a class. Each class is sketched by TOKENS minimum hashes.
     In each run, a random function of the path so far picks 1 / threshold of the tokens of a set (in expectation) and
     sends the set to a bucket for each; a similar pair meets again with near certainty in one of the runs, whose
-    number follows from the target recall. Buckets of two to BUCKET
+    number follows from the target recall for a pair whose buckets are all split (run_count). Buckets of two to BUCKET
     sets are compared, larger ones are split by the next token, up to paths of DEPTH tokens. If the parts
     of a bucket hold more than half as many rows as it had (near copies never separate), it is compared unsplit.
     All pairs of a bucket are compared, in pairs of blocks dealt out by a hash, so no task holds a large bucket.
@@ -204,8 +225,7 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", thres
     sets = classes.select("c", "sketch")
 
     rate = 1 / (threshold * TOKENS)
-    runs = max(1, math.ceil(math.log(1 - recall) / -1.0))
-    roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D)).tolist()
+    roots = mix(np.arange(1, run_count(threshold, recall) + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D)).tolist()
     step = sets.mapInArrow(_paths(rate, roots), "path long, c long")
     leaves = large = None
     for depth in range(DEPTH):

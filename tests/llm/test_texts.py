@@ -1,6 +1,7 @@
 """Similarity join and substring removal against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -117,6 +118,26 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_groups(docs, 0.8)
 
 
+def test_pairs_at_the_threshold_outlast_all_splits(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BUCKET", 1)  # every bucket is split
+    docs = []
+    for i in range(1500):  # 50 shingles of 62 are shared: 0.806
+        own = [f"{i}w{k}" for k in range(60)]
+        docs += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:54] + [f"{i}x{k}" for k in range(6)]))]
+    got = joins.similar_groups(table(spark, docs)).collect()
+    assert sum(r.class_id != r.doc_id - r.doc_id % 2 or r.n_links != 1 for r in got) <= 2
+
+
+def test_runs_follow_from_the_deepest_level():
+    rate, sure = 1 / (0.8 * joins.TOKENS), 0.0
+    for m in range(joins.TOKENS + 1):
+        s = 1.0
+        for _ in range(joins.DEPTH):
+            s = 1 - (1 - rate * s) ** m
+        sure += math.comb(joins.TOKENS, m) * 0.8**m * 0.2 ** (joins.TOKENS - m) * (1 - (1 - s) ** joins.run_count(0.8, 0.9999))
+    assert sure >= 0.9999
+
+
 def test_every_pair_of_a_large_bucket_is_compared():
     r = np.random.default_rng(1)
     n, nb = 700, 3

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, joins, packing, pages, phrases, quality, tokens, vectors
-from .common import read
+from . import chat, joins, lines, packing, pages, phrases, quality, tokens, vectors
+from .common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +75,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return lines.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 ORACLES["op5_embedding_near_dedup"] = """
 with recursive v as (
   select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
@@ -138,3 +145,15 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
        sum(n)::bigint as formatted_chars
 from e group by conv_id
 """
+ORACLES["op12_line_dedup"] = """
+with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+p as (select doc_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as line from t),
+k as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from p),
+r as (select key, min(doc_id) as first from k where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+m as (select k.*, coalesce(k.doc_id <> r.first, false) as gone from k left join r using (key))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from m group by doc_id
+"""

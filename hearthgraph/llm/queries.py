@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, joins, lines, packing, pages, phrases, quality, tokens, vectors
+from . import chat, joins, lines, packing, pages, phrases, prefixes, quality, tokens, vectors
 from .common import prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,13 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id").cast("long")
+    turns = read(spark, sf_dir, "conversations")
+    return prefixes.prefix_trie(prefixes.sequences(turns, conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9))
+
+
 ORACLES["op5_embedding_near_dedup"] = """
 with recursive v as (
   select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
@@ -157,3 +164,23 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from m group by doc_id
 """
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(c::varchar, ''),
+  lambda ch: [ascii(ch)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda acc, x: case when x >= 0 then xor(acc, x) else xor(acc >> 1, 3988292384 * (acc & 1)) end))"""
+ORACLES["op13_prefix_trie"] = f"""
+with t as (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+own as (select c, list({{'r': role, 't': text}} order by turn nulls first, role, text) as l from t group by c),
+rebuilt as (
+  select o.c, list_concat(coalesce(b.l, [])[1:o.h], o.l[o.h + 1:]) as l
+  from (select c, l, {_CRC32} % 9 as h from own) o left join own b on b.c = o.c - o.c % 5),
+pre as (select c, l[1:d] as p, d, len(l) as n from (select c, l, unnest(range(0, len(l) + 1)) as d from rebuilt)),
+node as (
+  select p, min(d) as d, min(c) as c, count(*) as n, coalesce(string_agg(c::varchar, ',' order by c) filter (n = d), '') as ends,
+         case when min(d) > 0 then (count(*) - 1) * octet_length(encode(p[-1].t)) else 0 end as saved from pre group by p),
+kids as (select p[1:d - 1] as p, count(*) as k from node where d > 0 group by 1),
+up as (select node.p as v, unnest(list_transform(range(0, d + 1), lambda i: node.p[1:i])) as p, saved, kids.k is null as leaf from node left join kids on kids.p = node.p),
+total as (select p, sum(saved)::bigint as saved, (count(*) filter (leaf))::bigint as leaves from up group by p)
+select node.c as conv_id, node.d as depth, par.c as parent_conv_id, node.n as n_convs, coalesce(kids.k, 0) as n_children,
+       total.leaves as n_leaves, total.saved as saved_tokens, sha256(node.ends) as ends_sha256
+from node join total using (p) left join kids using (p) left join node par on node.d > 0 and par.p = node.p[1:node.d - 1]
+"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: A shorter key never counts as repeated: blank lines, brackets, list marks.
 MIN_CHARS = 10
 #: White space that is stripped from both ends of a line: x20 and x09 to x0D.
@@ -53,8 +55,8 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text",
     counted and each is returned with its own lines; equal rows give equal rows. A row without id is no document: it
     keeps its lines and no line is dropped for its sake. An empty table gives no rows. Other columns are not read.
 
-    Lines are exploded beside the scan as (document, position, 128 bits of the key); the counts have partial sums
-    before their shuffle; lines meet the repeated keys in a join that Spark splits where a key is hot; only the
+    Lines are exploded beside the scan as (document, position, 128 bits of the key) and written once; the counts have
+    partial sums before their shuffle; lines meet the repeated keys in a join that Spark splits where a key is hot; only the
     places of dropped lines travel on, and the texts meet them once. A text is cut at its dropped places and what
     lies between is joined, in time linear in the text.
     """
@@ -62,8 +64,9 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text",
     row = ["doc", "t1", "t2"]
     lines = docs.where("doc is not null").select("doc", *_identity(F.col("t"), "t1", "t2"), F.posexplode(split_lines(F.col("t"))).alias("pos", "line"))
     named = lines.select(*row, "pos", line_key(F.col("line")).alias("k")).where(F.char_length("k") >= min_chars)
-    places = named.select(*row, "pos", *_identity(F.col("k"), "k1", "k2"))
-    repeated = repeated_keys(places.select("doc", "k1", "k2"), min_docs)
+    places = materialize(named.select(*row, "pos", *_identity(F.col("k"), "k1", "k2")), "lines")
+    # written, so that the join has a shuffle of its own, which Spark can split where a key is hot
+    repeated = materialize(repeated_keys(places.select("doc", "k1", "k2"), min_docs), "repeated")
     gone = places.join(repeated, ["k1", "k2"]).where("doc <> first").groupBy(*row).agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     met = docs.select("doc", "t", *_identity(F.col("t"), "t1", "t2")).join(gone, row, "left")
 

@@ -102,7 +102,10 @@ def pack(df: DataFrame, key: str = "doc_id", length: str = "length", source: str
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pack the documents table by tokens; documents with the same words are one duplicate cluster."""
+    """Pack the documents table by tokens; documents with the same words are one duplicate cluster.
+
+    A null text, or one without words, is nobody's copy and has no tokens to speak of: it conflicts with nothing.
+    """
     words = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    measured = lengths(docs.select("doc_id", "text", "source", F.xxhash64(words).alias("cluster")), keep=["doc_id", "source", "cluster"])
+    measured = lengths(docs.select("doc_id", "text", "source", F.when(words != "", F.xxhash64(words)).alias("cluster")), keep=["doc_id", "source", "cluster"])
     return pack(measured, capacity=capacity)

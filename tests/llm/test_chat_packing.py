@@ -105,3 +105,10 @@ def test_pack(spark):
             assert len(names) == len(set(names))
         assert len({p.doc_id for p in held if p.doc_id is not None}) == len([p for p in held if p.doc_id is not None])
     assert packing.pack(spark.createDataFrame([], "doc_id long, length long, source string, cluster string")).collect() == []
+
+
+def test_documents_without_words_conflict_with_nothing(spark):
+    rows = [(i, t, f"s{i}") for i, t in enumerate([None, None, None, "", "", " \n", "copy of it", " copy  of it "])]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    bins = {r.doc_id: (r.shard, r.bin) for r in got}
+    assert len({bins[i] for i in range(6)}) == 1 and bins[6] != bins[7] and len(got) == 8

@@ -172,11 +172,12 @@ def held_out(key: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> Classifier:
-    """Fit on at most `fit_rows` labelled rows that are not held out; a repeated label counts once, its smallest."""
+    """Fit on at most `fit_rows` labelled rows that are not held out; a repeated label counts once, its smallest, and a repeated key by its text of the smallest statistics."""
     marked = one_per_id(labels.select(key, "quality"), key, "quality").where(F.col("quality").isin(0, 1) & ~held_out(key))
     few = marked.orderBy(F.xxhash64(F.col(key), F.lit(3)), key).limit(fit_rows)  # the bound that allows the broadcast
     texts = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("_t")).join(F.broadcast(few), key)
-    got = texts.select(key, "quality", statistics("_t").alias("s")).select(key, "quality", "s.*").distinct().toArrow()
+    # one row a key, however many texts it has: the bound holds for what the driver gets, too
+    got = texts.select(key, "quality", statistics("_t").alias("s")).groupBy(key, "quality").agg(F.min("s").alias("s")).select(key, "quality", "s.*").toArrow()
     got = got.sort_by([(key, "ascending"), *((n, "ascending") for n in STATISTICS)])
     x = np.stack([got.column(n).to_numpy() for n in STATISTICS], axis=1) if got.num_rows else np.zeros((0, len(STATISTICS)))
     return Classifier(STATISTICS, x, got.column("quality").to_numpy().astype(np.float64) if got.num_rows else np.zeros(0))
@@ -189,8 +190,11 @@ def classify(docs: DataFrame, model: Classifier, text: str = "text", threshold:
     statistics are computed once, beside the scan; columns of the table named like the results are replaced.
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
-    wide = docs.select(*rest, statistics(text).alias("_stat"))
+    own = "_stat"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    wide = docs.select(*rest, statistics(text).alias(own))
     # a generator of one row keeps the optimizer from copying the struct into each rule
-    wide = wide.select(*rest, F.inline(F.array("_stat")).alias(*[f"_stat_{n}" for n in STATISTICS]))
-    scored = wide.withColumn("score", model.score("_stat_")).select(*rest, "score")
+    wide = wide.select(*rest, F.inline(F.array(own)).alias(*[f"{own}_{n}" for n in STATISTICS]))
+    scored = wide.withColumn("score", model.score(f"{own}_")).select(*rest, "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

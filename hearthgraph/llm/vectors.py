@@ -172,8 +172,8 @@ def top_scores(df: DataFrame, key: str = "vec_id", vec: str = "embedding", k: in
 
     Components become floor(scale * x). Queries are the rows whose id is divisible by `every`, candidates all other
     rows. Rows without id, and vectors that are null, empty, or hold null or non-finite components take no part. A
-    repeated id keeps its smallest vector; missing components of a shorter vector count as zero. Scores must fit
-    a long. An empty table gives no rows.
+    repeated id keeps its smallest vector; missing components of a shorter vector count as zero. Neither does a vector
+    of which floor(scale * x) does not fit a long; the scores of all others must. An empty table gives no rows.
 
     Method: with one more component, sqrt(M - |x|^2) for a row and 0 for a query, the highest products are the
     shortest distances. Every row is keyed by its nearest pivot and its distance to it, and rows of one pivot are
@@ -182,14 +182,14 @@ def top_scores(df: DataFrame, key: str = "vec_id", vec: str = "embedding", k: in
     Equal vectors are stored once with their k + 1 smallest ids, since no more of them can be in an answer.
     """
     more = k + 1
-    ints = F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("long"))
-    base = one_per_id(df.select(key, F.col(vec).cast("array<double>").alias("v")), key, "v").where(finite(F.col("v"))).select(F.col(key).alias("id"), ints.alias("v"))
+    ints = F.transform("v", lambda x: F.when(F.abs(F.lit(float(scale)) * x) < 2.0**62, F.floor(F.lit(float(scale)) * x).cast("long")))
+    base = one_per_id(df.select(key, F.col(vec).cast("array<double>").alias("v")), key, "v").where(finite(F.col("v"))).select(F.col(key).alias("id"), ints.alias("v")).where(F.forall("v", lambda x: x.isNotNull()))
     base = materialize(base.withColumn("h", F.xxhash64("v")).withColumn("asks", F.col("id") % every == 0), "ints")
     few = base.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("r") <= more)
     ids = few.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     asked = base.groupBy("h", "v").agg(F.min("id").alias("rep"), F.max("asks").alias("asks"))
-    # long arithmetic, exact: squares of the norms decide the added component
-    norm2 = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    # squares of the norms decide the added component; as doubles, since those of long vectors may pass a long
+    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     reps = materialize(asked.join(ids, ["h", "v"]).select("rep", "asks", "ids", "v", norm2.alias("q2")), "classes")
     n, top2, dim = reps.agg(F.count("*"), F.max("q2"), F.max(F.size("v"))).first()
     n, top2, dim = n or 0, float(top2 or 0), dim or 1
@@ -230,7 +230,7 @@ def top_scores(df: DataFrame, key: str = "vec_id", vec: str = "embedding", k: in
                 far = apart(np.hstack([x, np.zeros((len(x), 1))]), pivots)
                 yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("q2"), pa.array([list(enumerate(r)) for r in far.tolist()], pa.list_(pa.struct([("pivot", pa.int32()), ("dist", pa.float64())])))], ["rep", "q2", "far"])
 
-    seen = reps.where("asks").select("rep", "q2", "v").mapInArrow(reach, "rep long, q2 long, far array<struct<pivot:int,dist:double>>")
+    seen = reps.where("asks").select("rep", "q2", "v").mapInArrow(reach, "rep long, q2 double, far array<struct<pivot:int,dist:double>>")
     seen = seen.select("rep", "q2", F.explode("far").alias("f")).select("rep", "q2", "f.pivot", F.col("f.dist").alias("to"))
     # the triangle inequality: no row of a ring is nearer to the query than this
     least = F.greatest(F.col("low") - F.col("to"), F.col("to") - F.col("high"), F.lit(0.0))

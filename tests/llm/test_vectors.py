@@ -91,3 +91,10 @@ def test_top_scores(spark, block):
 def test_top_scores_of_nothing(spark):
     assert vectors.top_scores(spark.createDataFrame([], SCHEMA)).collect() == []
     assert vectors.top_scores(spark.createDataFrame([(20, [1.0], 1, "", 1)], SCHEMA)).collect() == []
+
+
+def test_top_scores_with_outliers(spark):
+    data = [(i, [float(i % 7), -float(i % 5)], 1, "x", 1) for i in range(60)]
+    out = vectors.top_scores(spark.createDataFrame([*data, (100, [5e7, 0.0], 1, "x", 1), (120, [1e30, 1.0], 1, "x", 1)], SCHEMA), block_rows=16)
+    want = brute_top([*data, (100, [5e7, 0.0], 1, "x", 1)], 20, 20, 64)
+    assert sorted(tuple(r) for r in out.collect()) == want

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import visible
+from ..session import materialize
 
 # fixed values: cue substrings that mark an organisation name, and bare pronouns
 ORG_NAME_CUES = (
@@ -59,34 +60,43 @@ def named_in(queries: DataFrame, lexicon: DataFrame, gram: int = 3) -> DataFrame
     return found.join(lex, "name").select("query_id", "type", "id").distinct()
 
 
-def known_mentions(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(text_id, type, id, name): lexicon names of 3+ characters present at word boundaries.
+def known_mentions(texts: DataFrame, lexicon: DataFrame, keys: tuple[str, ...] = ("text_id",), extra: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, type, id, name): lexicon names of 3+ characters present at word boundaries of each text.
 
-    Texts and names are cut into words and what stands between them. Words of a text that open a name are found by
-    equality, so only those travel; a longer name is then compared piece by piece from there on. A name may begin or
-    end with other characters: the text must have them too, and no word may touch them.
+    Texts and names are cut into words and what stands between them. Each word of a text travels with as many pieces as
+    the longest name has and meets the names that open with it by equality; the rest of a name is compared piece by
+    piece in the same row. A name may begin or end with other characters: the text must have them too, and no word may
+    touch them. Of an entity's names that are there the first is told: by the lexicon's column `ord` if it has one,
+    then by name. `extra` columns of the lexicon come with it.
     """
     word = r"^[\p{L}\p{N}]"
     cut = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
-    lex = lexicon.filter(F.length("name") >= 3).select("type", "id", "name", cut("name").alias("t")).distinct()
+    ord_ = F.col("ord") if "ord" in lexicon.columns else F.lit(0)
+    lex = lexicon.filter(F.length("name") >= 3).select("type", "id", ord_.alias("ord"), "name", *extra, cut("name").alias("t")).distinct()
     outer = lambda c: F.coalesce(F.when(~c.rlike(word), c), F.lit(""))
     lex = lex.withColumn("lead", outer(F.col("t")[0])).withColumn("trail", F.when(F.size("t") > 1, outer(F.element_at("t", -1))).otherwise(""))
     skip = F.when(F.col("lead") != "", 1).otherwise(0)
     lex = lex.withColumn("core", F.slice("t", skip + 1, F.greatest(F.size("t") - skip - F.when(F.col("trail") != "", 1).otherwise(0), F.lit(0)))).drop("t")
-    lex = lex.filter(F.size("core") > 0).withColumn("head", F.col("core")[0])
-    body = texts.select("text_id", cut("text").alias("ts"))
-    at = body.select("text_id", F.posexplode("ts").alias("pos", "head")).join(lex.select("head").distinct(), "head", "left_semi")
+    # written, since three branches read it and its size then tells Spark how to join
+    lex = materialize(lex.filter(F.size("core") > 0).withColumn("head", F.col("core")[0]).withColumn("n", F.size("core")), "lexicon")
+    longest = lex.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).scalar()
+
+    # words stand at every second place
+    body = texts.select(*keys, cut("text").alias("ts")).filter(F.size("ts") > 0).withColumn("longest", longest)
+    first = F.when(F.col("ts")[0].rlike(word), 0).otherwise(1)
+    place = lambda i: F.struct(
+        F.get("ts", i).alias("head"), F.coalesce(F.get("ts", i - 1), F.lit("")).alias("before"), F.slice("ts", i + 1, F.col("longest") + 1).alias("run"), (i == 1).alias("opens"), (F.size("ts") - i).alias("rest")
+    )
+    places = F.transform(F.when(F.size("ts") > first, F.sequence(first, F.size("ts") - 1, F.lit(2))), place)
+    at = body.select(*keys, F.explode(places).alias("w")).select(*keys, "w.*")
     hits = at.join(lex, "head")
-    plain = (F.size("core") == 1) & (F.col("lead") == "") & (F.col("trail") == "")
-    longer = hits.filter(~plain).join(body, "text_id")
-    piece = lambda i: F.coalesce(F.get("ts", i), F.lit(""))
-    before, after = piece(F.col("pos") - 1), piece(F.col("pos") + F.size("core"))
-    same = F.slice("ts", F.col("pos") + 1, F.size("core")) == F.col("core")
+    after = F.coalesce(F.get("run", F.col("n")), F.lit(""))
+    same = F.slice("run", F.lit(1), F.col("n")) == F.col("core")
     # an outer character that fills the whole gap would touch the next word, unless the text ends there
-    led = (F.col("lead") == "") | (before.endswith(F.col("lead")) & ((before != F.col("lead")) | (F.col("pos") == 1)))
-    trailed = (F.col("trail") == "") | (after.startswith(F.col("trail")) & ((after != F.col("trail")) | (F.col("pos") + F.size("core") == F.size("ts") - 1)))
-    ok = hits.filter(plain).select("text_id", "type", "id", "name").unionByName(longer.filter(same & led & trailed).select("text_id", "type", "id", "name"))
-    return ok.groupBy("text_id", "type", "id").agg(F.min("name").alias("name"))
+    led = (F.col("lead") == "") | (F.col("before").endswith(F.col("lead")) & ((F.col("before") != F.col("lead")) | F.col("opens")))
+    trailed = (F.col("trail") == "") | (after.startswith(F.col("trail")) & ((after != F.col("trail")) | (F.col("rest") == F.col("n") + 1)))
+    named = hits.filter(same & led & trailed).groupBy(*keys, "type", "id").agg(F.min(F.struct("ord", "name", *extra)).alias("f"))
+    return named.select(*keys, "type", "id", "f.name", *[F.col(f"f.{c}") for c in extra])
 
 
 def resolve(asked: DataFrame, people_names: DataFrame, org_names: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from hearthgraph.operators import captures as K
 from hearthgraph.operators import curation as D
 from hearthgraph.operators import entities as E
 from hearthgraph.operators import evaluate as V
-from hearthgraph.operators import extraction as X
 from hearthgraph.sources import files as S
 from hearthgraph.sources import merge as M
 
@@ -193,46 +192,6 @@ def test_sessions_file(spark, tmp_path):
     assert len(r) == 1 and (r[0]["request"], r[0]["outcome"], r[0]["files"], r[0]["prompts"]) == ("grow ferns", "all set", ["/a.py"], 2)
 
 
-@pytest.mark.parametrize(
-    "text,people,orgs",
-    [
-        ("My manager is Ida Holm.", [("Ida Holm", "manager")], []),
-        ("Vet: Dr. Olav Moe came by.", [("Olav Moe", "vet")], []),
-        ("Tor — my older mentor — joined Saltworks AS.", [("Tor", "mentor")], ["Saltworks AS"]),
-        ("Ida Holm, our firmware lead, left.", [("Ida Holm", None)], []),
-        ("Per (dad) works at Brine's north wing.", [("Per", "father")], ["Brine"]),
-        ("She is my manager.", [], []),
-        ("We met at Wuhan for work.", [], []),
-        ("The supplier is Kelp Line, sadly.", [], ["Kelp Line"]),
-    ],
-)
-def test_mentions(spark, text, people, orgs):
-    s = X.sentences(spark.createDataFrame([(1, text)], "text_id int, text string"))
-    assert sorted((r["name"], r["relation"]) for r in X.person_mentions(s).collect()) == sorted(people)
-    assert sorted(r["org"] for r in X.org_mentions(s).collect()) == sorted(orgs)
-
-
-def test_work_grains(spark):
-    texts = [
-        (1, "My boss is Ida Holm at Brine AS."),
-        (2, "Ida Holm, our lead, is in. We work for Brine AS."),
-        (3, "My colleague Tor.\n\nBrine AS sails.\n\nBrine AS rests."),
-        (4, "My sister Eva.\n\nBrine AS sails.\n\nBrine AS rests."),
-    ]
-    s = X.sentences(spark.createDataFrame(texts, "text_id int, text string"))
-    got = {(r["text_id"], r["person"], r["org"], r["confidence"]) for r in X.works_at(s, X.person_mentions(s), X.org_mentions(s)).collect()}
-    assert got == {(1, "Ida Holm", "Brine AS", 0.85), (2, "Ida Holm", "Brine AS", 0.7), (3, "Tor", "Brine AS", 0.6)}
-
-
-def test_resolution(spark):
-    found = spark.createDataFrame([("Ida", None), ("Tor Lund", "mentor"), ("Eva Moe", None), ("Tor", None), ("Per", None)], "name string, relation string")
-    people = spark.createDataFrame([(1, "Ida Holm", None), (2, "Eva", "sister")], "id bigint, canonical_name string, relation string")
-    alias = spark.createDataFrame([], "id bigint, alias string")
-    got = {r["name"]: (r["id"], r["how"]) for r in X.resolve_people(found, people, alias).collect()}
-    assert got["Ida"] == ("1", "first name") and got["Eva Moe"] == ("2", "upgraded")
-    assert got["Tor"][0] == got["Tor Lund"][0] and got["Tor Lund"][1] == "created" and got["Per"][1] == "created"
-
-
 def test_ir_metrics(spark):
     ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "x", 1)], "query_id int, key string, rank int")
     rel = spark.createDataFrame([(1, "b"), (1, "z"), (3, "q")], "query_id int, key string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -319,3 +321,59 @@ def retype_orgs(edges: DataFrame, mapping: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct(*rest), F.struct("created_on", "edge_id")).alias("_e"))
         .select("src_type", "src_id", "rel", "dst_type", "dst_id", "_e.*")
     )
+
+
+class Retyped(NamedTuple):
+    """What a repair leaves: every table whole, and one row for each organisation that was asked about."""
+
+    people: DataFrame
+    person_aliases: DataFrame
+    orgs: DataFrame
+    edges: DataFrame
+    mapping: DataFrame
+
+
+def retype(people: DataFrame, person_aliases: DataFrame, orgs: DataFrame, org_aliases: DataFrame, edges: DataFrame, asked: DataFrame, now: Column) -> Retyped:
+    """Organisations that are people become people: asked(org_id, relation, reason), a row for each organisation.
+
+    The person of that name (canonical or alias, case folded, smallest id) is reused, else made, one for each name. It
+    gets the organisation's name and aliases as aliases, the relation if it has none, and points to the organisation it
+    supersedes (the smallest, if it supersedes none yet). Edges move on both ends; those that then join a person with
+    itself go, and of equal ones the oldest stays. The organisation is kept, retired with a reason and the first
+    stamp. mapping(org_id, person_id, outcome, edges) says reused, created or unknown (no such organisation) and counts
+    the person's edges afterwards. Ids are strings from here on. A second run changes nothing.
+
+    One mapping table is joined to each of the others; nothing is gathered, and each result is a table of its own.
+    """
+    text = lambda c: F.col(c).cast("string").alias(c)
+    want = asked.groupBy(F.col("org_id").cast("string").alias("org_id")).agg(F.max("relation").alias("relation"), F.max("reason").alias("reason"))
+    o = orgs.select(text("id"), "canonical_name", *[c for c in orgs.columns if c not in ("id", "canonical_name")])
+    p = people.select(text("id"), "canonical_name", "relation", F.col("supersedes_id").cast("string").alias("supersedes_id") if "supersedes_id" in people.columns else F.lit(None).cast("string").alias("supersedes_id"))
+    a = person_aliases.select(text("id"), "alias")
+    known = names(p, a).groupBy(F.lower("name").alias("low")).agg(F.min("id").alias("person_id"))
+    m = want.join(o.select(F.col("id").alias("org_id"), "canonical_name"), "org_id", "left").withColumn("low", F.lower("canonical_name")).join(known, "low", "left")
+    outcome = F.when(F.col("low").isNull(), "unknown").when(F.col("person_id").isNotNull(), "reused").otherwise("created")
+    made = F.when(F.col("low").isNotNull(), F.concat(F.lit("person-"), F.substring(F.sha2("low", 256), 1, 16)))
+    m = materialize(m.withColumn("outcome", outcome).withColumn("person_id", F.coalesce("person_id", made)), "retyped")
+    found = m.filter("outcome <> 'unknown'")
+
+    given = found.groupBy("person_id").agg(F.min_by("canonical_name", "org_id").alias("_n"), F.max("relation").alias("_r"), F.min("org_id").alias("_o"))
+    after = p.join(given, p["id"] == given["person_id"], "full_outer").select(
+        F.coalesce("id", "person_id").alias("id"), F.coalesce("canonical_name", "_n").alias("canonical_name"), F.coalesce("relation", "_r").alias("relation"), F.coalesce("supersedes_id", "_o").alias("supersedes_id")
+    )
+    theirs = org_aliases.select(F.col("id").cast("string").alias("org_id"), "alias").join(found.select("org_id", "person_id"), "org_id")
+    aliases = a.unionByName(found.select(F.col("person_id").alias("id"), F.col("canonical_name").alias("alias"))).unionByName(theirs.select(F.col("person_id").alias("id"), "alias")).distinct()
+
+    e = edges.withColumns({"src_id": F.col("src_id").cast("string"), "dst_id": F.col("dst_id").cast("string")})
+    moved = materialize(retype_orgs(e, found.select("org_id", "person_id")), "moved")
+    counts = edge_degree(moved, "person").withColumnRenamed("id", "person_id")
+    mapping = m.join(counts, "person_id", "left").select("org_id", "person_id", "outcome", F.when(F.col("outcome") != "unknown", F.coalesce("edges", F.lit(0).cast("long"))).alias("edges"))
+
+    stamp = [F.col(c) if c in orgs.columns else F.lit(None).cast(t).alias(c) for c, t in (("retired_on", "date"), ("retired_reason", "string"))]
+    rest = [c for c in o.columns if c not in ("retired", "retired_on", "retired_reason")]
+    gone = found.select(F.col("org_id").alias("id"), F.coalesce("reason", F.lit("retyped to person")).alias("_why"))
+    hit = F.col("_why").isNotNull()
+    retired = o.select(*rest, "retired", *stamp).join(gone, "id", "left").select(
+        *rest, (F.col("retired") | hit).alias("retired"), F.when(hit, F.coalesce("retired_on", now)).otherwise(F.col("retired_on")).alias("retired_on"), F.when(hit, F.coalesce("retired_reason", "_why")).otherwise(F.col("retired_reason")).alias("retired_reason")
+    )
+    return Retyped(after, aliases, retired, moved, mapping)

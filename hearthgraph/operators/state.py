@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import visible
@@ -62,12 +62,25 @@ def agenda(tasks: DataFrame, first: Column, last: Column, allowed: int = 1) -> D
     return t.join(per_day, "due").select("due", "id", "title", "status", "day_total")
 
 
+def _latest(col: str, order: str) -> Column:
+    """The last value given: nulls give none."""
+    return F.max_by(col, F.when(F.col(col).isNotNull(), F.col(order))).alias(col)
+
+
 def merge_tasks(base: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     """Apply task changes: null keeps the old value, 'done' stamps completed_on, no id inserts as 'inbox'.
 
-    Result has `outcome`: kept, updated, inserted or rejected (an id that does not exist).
+    changes(id, key, title, status, due) may have `arrived`, the order in which they came: several changes of one task
+    act as if applied one by one, so that of each field the last value given holds, and a task that was done once has
+    its stamp. Without `arrived` they come in the order of their keys. Result has `outcome`: kept, updated, inserted or
+    rejected (an id that does not exist).
     """
-    b, c = base.alias("b"), changes.alias("c")
+    order = F.struct(F.col("arrived") if "arrived" in changes.columns else F.lit(0), "key")
+    c = changes.withColumn("_at", order)
+    fields = ["key", "title", "status", "due"]
+    folded = c.filter("id is not null").groupBy("id").agg(*[_latest(f, "_at") for f in fields], F.coalesce(F.bool_or(F.col("status") == "done"), F.lit(False)).alias("was_done"))
+    made = c.filter("id is null").select("id", *fields, F.coalesce(F.col("status") == "done", F.lit(False)).alias("was_done"))
+    b, c = base.alias("b"), folded.unionByName(made).alias("c")
 
     def pick(col: str) -> Column:
         return F.coalesce(F.col(f"c.{col}"), F.col(f"b.{col}"))
@@ -84,7 +97,7 @@ def merge_tasks(base: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
         pick("title").alias("title"),
         F.when(fresh, F.coalesce("c.status", F.lit("inbox"))).otherwise(pick("status")).alias("status"),
         pick("due").alias("due"),
-        F.when(F.col("c.status") == "done", now).otherwise(F.col("b.completed_on")).alias("completed_on"),
+        F.when(F.col("c.was_done"), now).otherwise(F.col("b.completed_on")).alias("completed_on"),
         outcome,
     )
 
@@ -123,21 +136,29 @@ def restatus_branches(branches: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def review_decisions(decisions: DataFrame, outcomes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Apply outcomes(id, actual_outcome, score, lesson): decisions, new principles, learned_from edges."""
-    d, o = decisions.alias("d"), outcomes.alias("o")
-    hit = F.col("o.id").isNotNull()
-    others = [F.col(f"d.{c}") for c in decisions.columns if c not in ("actual_outcome", "outcome_score", "reviewed_on")]
-    after = d.join(o, F.col("d.id") == F.col("o.id"), "left").select(
+    """Apply outcomes(id, actual_outcome, score, lesson): decisions, new principles, learned_from edges.
+
+    Outcomes may have `arrived`, the order in which they came. Several outcomes of one decision act as if applied one by
+    one: the last outcome holds, and the last score given. Each lesson is a principle of its own, numbered from the
+    second on; the decision points to the last.
+    """
+    o = outcomes.withColumn("_at", F.struct(F.col("arrived") if "arrived" in outcomes.columns else F.lit(0), "actual_outcome", "score", "lesson"))
+    learned = o.join(decisions.select("id"), "id", "left_semi").filter(F.length("lesson") > 0)
+    learned = learned.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("_at")))
+    name = F.concat_ws("-", F.lit("principle"), F.col("id").cast("string"), F.when(F.col("n") > 1, F.col("n").cast("string")))
+    learned = learned.withColumn("principle_id", name)
+    last = o.groupBy("id").agg(F.max_by("actual_outcome", "_at").alias("_outcome"), F.max_by("score", F.when(F.col("score").isNotNull(), F.col("_at"))).alias("_score"), F.lit(True).alias("_hit"))
+    points = learned.groupBy("id").agg(F.max_by("principle_id", "n").alias("principle_id"))
+    after = decisions.join(last, "id", "left").join(points, "id", "left")
+    others = [c for c in decisions.columns if c not in ("actual_outcome", "outcome_score", "reviewed_on", "principle_id")]
+    after = after.select(
         *others,
-        F.when(hit, F.col("o.actual_outcome")).otherwise(F.col("d.actual_outcome")).alias("actual_outcome"),
-        F.coalesce("o.score", "d.outcome_score").alias("outcome_score"),
-        F.when(hit, now).otherwise(F.col("d.reviewed_on")).alias("reviewed_on"),
-        F.when(F.length("o.lesson") > 0, F.concat(F.lit("principle-"), F.col("d.id"))).alias("principle_id"),
-    )
-    learned = outcomes.join(decisions.select("id"), "id", "left_semi").filter(F.length("lesson") > 0)
-    principles = learned.select(
-        F.concat(F.lit("principle-"), "id").alias("id"), F.col("lesson").alias("rule"), F.col("id").alias("learned_from")
+        F.when(F.col("_hit"), F.col("_outcome")).otherwise(F.col("actual_outcome")).alias("actual_outcome"),
+        F.coalesce("_score", "outcome_score").alias("outcome_score"),
+        F.when(F.col("_hit"), now).otherwise(F.col("reviewed_on")).alias("reviewed_on"),
+        "principle_id",
     )
+    principles = learned.select(F.col("principle_id").alias("id"), F.col("lesson").alias("rule"), F.col("id").alias("learned_from"))
     edges = principles.select(
         F.lit("principle").alias("src_type"), F.col("id").alias("src_id"), F.lit("learned_from").alias("rel"),
         F.lit("decision").alias("dst_type"), F.col("learned_from").alias("dst_id"),

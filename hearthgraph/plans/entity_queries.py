@@ -331,6 +331,88 @@ def g08(spark, sf):
     return E.retype_orgs(B.edges(spark, sf), m).select("edge_id", "src_type", "src_id", "rel", "dst_type", "dst_id")
 
 
+cte(
+    "retype_map",
+    """
+  select a.org_id, a.relation, a.reason, o.canonical_name, case when o.id is null then 'unknown' when k.id is not null then 'reused' else 'created' end as outcome,
+         case when o.id is not null then coalesce(k.id, 'person-' || substr(sha256(lower(o.canonical_name)), 1, 16)) end as person_id
+  from (select s_suppkey::varchar as org_id, case when s_suppkey % 4 = 0 then 'friend' end as relation, case when s_suppkey % 6 = 0 then 'a person' end as reason from supplier where s_suppkey % 2 = 0
+        union all select (s_suppkey + 1000000)::varchar, null, null from supplier where s_suppkey % 50 = 0) a
+  left join orgs o on o.id::varchar = a.org_id
+  left join (select low, min(id) as id from (select lower(canonical_name) as low, id::varchar as id from people union all select lower(alias), id::varchar from person_aliases) group by low) k on k.low = lower(o.canonical_name)""",
+)
+cte(
+    "retyped_edges",
+    """
+  with m as (
+    select case when sm.person_id is not null then 'person' else src_type end as src_type, coalesce(sm.person_id, src_id::varchar) as src_id, rel,
+           case when dm.person_id is not null then 'person' else dst_type end as dst_type, coalesce(dm.person_id, dst_id::varchar) as dst_id, edge_id, created_on
+    from edges left join retype_map sm on src_type = 'org' and src_id::varchar = sm.org_id and sm.person_id is not null
+    left join retype_map dm on dst_type = 'org' and dst_id::varchar = dm.org_id and dm.person_id is not null),
+  k as (select * from m where not (src_type = 'person' and dst_type = 'person' and src_id = dst_id)),
+  t as (select *, (src_type = 'person' and src_id in (select person_id from retype_map)) or (dst_type = 'person' and dst_id in (select person_id from retype_map)) as touched from k),
+  r as (select *, row_number() over (partition by src_type, src_id, rel, dst_type, dst_id order by created_on, edge_id) as rn from t)
+  select edge_id, src_type, src_id, rel, dst_type, dst_id from r where rn = 1 or not coalesce(touched, false)""",
+)
+
+
+def retyped(spark, sf):
+    """Every other supplier turns out to be a person; some of those asked about do not exist."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf, "supplier")
+    asked = s.filter(k % 2 == 0).select(k.alias("org_id"), F.when(k % 4 == 0, "friend").alias("relation"), F.when(k % 6 == 0, "a person").alias("reason"))
+    ghosts = s.filter(k % 50 == 0).select((k + 1000000).alias("org_id"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("string").alias("reason"))
+    now = F.lit(TODAY).cast("date")
+    return E.retype(B.people(spark, sf), B.person_aliases(spark, sf), B.orgs(spark, sf), B.org_aliases(spark, sf), B.edges(spark, sf), asked.unionByName(ghosts), now)
+
+
+@query(
+    "G08_retype_mapping",
+    """
+select org_id, person_id, outcome, case when outcome <> 'unknown' then coalesce(n, 0) end as edges from retype_map left join (
+  select id, count(*) as n from (select edge_id, src_id as id from retyped_edges where src_type = 'person' union select edge_id, dst_id from retyped_edges where dst_type = 'person') group by id) on id = person_id""",
+)
+def g08_mapping(spark, sf):
+    return retyped(spark, sf).mapping
+
+
+@query("G08_retyped_edges", "select * from retyped_edges")
+def g08_edges(spark, sf):
+    return retyped(spark, sf).edges.select("edge_id", "src_type", "src_id", "rel", "dst_type", "dst_id")
+
+
+@query(
+    "G08_retyped_people",
+    """
+with g as (select person_id, arg_min(canonical_name, org_id) as n, max(relation) as relation, min(org_id) as org_id from retype_map where outcome <> 'unknown' group by 1)
+select coalesce(p.id::varchar, g.person_id) as id, coalesce(p.canonical_name, g.n) as canonical_name, coalesce(p.relation, g.relation) as relation, g.org_id as supersedes_id
+from people p full join g on g.person_id = p.id::varchar""",
+)
+def g08_people(spark, sf):
+    return retyped(spark, sf).people
+
+
+@query(
+    "G08_retyped_aliases",
+    """
+select id::varchar as id, alias from person_aliases union select person_id, canonical_name from retype_map where outcome <> 'unknown'
+union select person_id, a.alias from retype_map m join org_aliases a on a.id::varchar = m.org_id where outcome <> 'unknown'""",
+)
+def g08_aliases(spark, sf):
+    return retyped(spark, sf).person_aliases
+
+
+@query(
+    "G08_retyped_orgs",
+    """
+select o.id::varchar as id, o.canonical_name, o.tier, o.retired or m.org_id is not null as retired, case when m.org_id is not null then date '2001-06-15' end as retired_on,
+       case when m.org_id is not null then coalesce(m.reason, 'retyped to person') end as retired_reason
+from orgs o left join retype_map m on m.org_id = o.id::varchar""",
+)
+def g08_orgs(spark, sf):
+    return retyped(spark, sf).orgs
+
+
 @query(
     "G09_relation_answers",
     """

@@ -58,13 +58,17 @@ def f08(spark, sf):
 @query(
     "M01_task_merge",
     """
-with changes as (select o_orderkey as id, case when o_orderkey % 4 = 0 then 'renamed ' || o_orderkey::varchar end as title,
-                        case when o_orderkey % 6 = 0 then 'done' end as status, null::date as due from orders where o_orderkey % 2 = 0
-                 union all select o_orderkey + 100000000, 'ghost', 'done', null from orders where o_orderkey % 500 = 1),
+with each as (select o_orderkey as id, case when o_orderkey % 4 = 0 then 'renamed ' || o_orderkey::varchar end as title,
+                     case when o_orderkey % 6 = 0 then 'done' end as status, null::date as due, 1 as arrived from orders where o_orderkey % 2 = 0
+              union all select o_orderkey, 'again ' || o_orderkey::varchar, case when o_orderkey % 20 = 0 then 'waiting' end, case when o_orderkey % 30 = 0 then o_orderdate::date + 7 end, 2
+              from orders where o_orderkey % 10 = 0
+              union all select o_orderkey + 100000000, 'ghost', 'done', null, 1 from orders where o_orderkey % 500 = 1),
+changes as (select id, arg_max(title, arrived) filter (title is not null) as title, arg_max(status, arrived) filter (status is not null) as status,
+                   arg_max(due, arrived) filter (due is not null) as due, coalesce(bool_or(status = 'done'), false) as was_done from each group by id),
 fresh as (select 'new-' || o_orderkey::varchar as key, 'New from ' || o_orderkey::varchar as title,
                  case when o_orderkey % 3 = 0 then 'done' end as status, o_orderdate::date as due from orders where o_orderkey % 700 = 3)
 select coalesce(b.id, c.id) as id, null::varchar as new_key, coalesce(c.title, b.title) as title, coalesce(c.status, b.status) as status,
-       coalesce(c.due, b.due) as due, case when c.status = 'done' then date '2001-06-15' end as completed_on,
+       coalesce(c.due, b.due) as due, case when c.was_done then date '2001-06-15' end as completed_on,
        case when b.id is null then 'rejected' when c.id is not null then 'updated' else 'kept' end as outcome
 from tasks b full join changes c on b.id = c.id
 union all
@@ -76,17 +80,21 @@ def m01(spark, sf):
     no_date = F.lit(None).cast("date")
     edits = o.filter(k % 2 == 0).select(
         k.alias("id"), k.cast("string").alias("key"), F.when(k % 4 == 0, F.concat(F.lit("renamed "), k)).alias("title"),
-        F.when(k % 6 == 0, "done").alias("status"), no_date.alias("due"),
+        F.when(k % 6 == 0, "done").alias("status"), no_date.alias("due"), F.lit(1).alias("arrived"),
+    )
+    later = o.filter(k % 10 == 0).select(
+        k.alias("id"), k.cast("string").alias("key"), F.concat(F.lit("again "), k).alias("title"), F.when(k % 20 == 0, "waiting").alias("status"),
+        F.when(k % 30 == 0, F.date_add(F.to_date("o_orderdate"), 7)).alias("due"), F.lit(2).alias("arrived"),
     )
     ghosts = o.filter(k % 500 == 1).select(
-        (k + 100000000).alias("id"), k.cast("string").alias("key"), F.lit("ghost").alias("title"), F.lit("done").alias("status"), no_date.alias("due")
+        (k + 100000000).alias("id"), k.cast("string").alias("key"), F.lit("ghost").alias("title"), F.lit("done").alias("status"), no_date.alias("due"), F.lit(1).alias("arrived")
     )
     fresh = o.filter(k % 700 == 3).select(
         F.lit(None).cast("bigint").alias("id"), F.concat(F.lit("new-"), k).alias("key"), F.concat(F.lit("New from "), k).alias("title"),
-        F.when(k % 3 == 0, "done").alias("status"), F.to_date("o_orderdate").alias("due"),
+        F.when(k % 3 == 0, "done").alias("status"), F.to_date("o_orderdate").alias("due"), F.lit(1).alias("arrived"),
     )
     base = B.tasks(spark, sf).withColumn("completed_on", no_date)
-    return S.merge_tasks(base, edits.unionByName(ghosts).unionByName(fresh), today())
+    return S.merge_tasks(base, edits.unionByName(later).unionByName(ghosts).unionByName(fresh), today())
 
 
 def options(spark, sf):
@@ -116,26 +124,54 @@ def m02(spark, sf):
     return S.decision_branches(options(spark, sf), given)
 
 
-@query(
-    "M03_decision_review",
+cte(
+    "outcomes",
     """
-select d.id, case when o.id is not null then 'went as planned' else d.actual_outcome end as actual_outcome,
-       coalesce(o.score, d.outcome_score) as outcome_score, case when o.id is not null then date '2001-06-15' else d.reviewed_on end as reviewed_on,
-       case when o.lesson is not null then 'principle-' || d.id::varchar end as principle_id
-from decisions d left join (select o_orderkey as id, case when o_orderkey % 10 = 0 then (o_orderkey % 100)::integer end as score,
-                                   case when o_orderkey % 15 = 0 then 'ship early' end as lesson
-                            from orders where o_orderkey % 5 = 0 and o_orderstatus = 'P') o using (id)""",
+  select o_orderkey as id, 'went as planned' as actual_outcome, case when o_orderkey % 10 = 0 then (o_orderkey % 100)::integer end as score,
+         case when o_orderkey % 15 = 0 then 'ship early' end as lesson, 1 as arrived from orders where o_orderkey % 5 = 0 and o_orderstatus = 'P'
+  union all
+  select o_orderkey, 'came back', case when o_orderkey % 30 = 0 then 7 end, case when o_orderkey % 45 = 0 then 'ask twice' end, 2 from orders where o_orderkey % 15 = 0 and o_orderstatus = 'P'""",
 )
-def m03(spark, sf):
+
+
+def outcomes(spark, sf):
+    """What became of decisions; every third is reviewed a second time."""
     k = F.col("o_orderkey")
-    out = table(spark, sf, "orders").filter((k % 5 == 0) & (F.col("o_orderstatus") == "P")).select(
+    o = table(spark, sf, "orders").filter((k % 5 == 0) & (F.col("o_orderstatus") == "P"))
+    first = o.select(
         k.alias("id"), F.lit("went as planned").alias("actual_outcome"), F.when(k % 10 == 0, (k % 100).cast("int")).alias("score"),
-        F.when(k % 15 == 0, "ship early").alias("lesson"),
+        F.when(k % 15 == 0, "ship early").alias("lesson"), F.lit(1).alias("arrived"),
+    )
+    again = o.filter(k % 15 == 0).select(
+        k.alias("id"), F.lit("came back").alias("actual_outcome"), F.when(k % 30 == 0, F.lit(7)).alias("score"), F.when(k % 45 == 0, "ask twice").alias("lesson"), F.lit(2).alias("arrived"),
     )
-    after, _, _ = S.review_decisions(B.decisions(spark, sf), out, today())
+    return first.unionByName(again)
+
+
+@query(
+    "M03_decision_review",
+    """
+with l as (select id, arg_max(actual_outcome, arrived) as actual_outcome, arg_max(score, arrived) filter (score is not null) as score, count(lesson) as lessons from outcomes group by id)
+select d.id, case when l.id is not null then l.actual_outcome else d.actual_outcome end as actual_outcome,
+       coalesce(l.score, d.outcome_score) as outcome_score, case when l.id is not null then date '2001-06-15' else d.reviewed_on end as reviewed_on,
+       case when lessons > 0 then 'principle-' || d.id::varchar || case when lessons > 1 then '-' || lessons::varchar else '' end end as principle_id
+from decisions d left join l using (id)""",
+)
+def m03(spark, sf):
+    after, _, _ = S.review_decisions(B.decisions(spark, sf), outcomes(spark, sf), today())
     return after.select("id", "actual_outcome", "outcome_score", "reviewed_on", "principle_id")
 
 
+@query(
+    "M03_principles",
+    """
+with l as (select id, lesson, row_number() over (partition by id order by arrived) as n from outcomes where lesson is not null)
+select 'principle-' || id::varchar || case when n > 1 then '-' || n::varchar else '' end as id, lesson as rule, id as learned_from from l""",
+)
+def m03_principles(spark, sf):
+    return S.review_decisions(B.decisions(spark, sf), outcomes(spark, sf), today())[1]
+
+
 @query(
     "M04_interaction_merge",
     """

@@ -5,6 +5,9 @@ chunks: chunk_id, parent_type, parent_id, ord, text, tier. queries: query_id, qu
 
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions.stem import stemmed
 from ..model import visible
-from ..session import fits
+from ..session import fits, materialize
 
 # fixed values: candidates per arm, fusion constant, blend and bands of the score
 ARM_LIMIT, RRF_K = 50, 60
@@ -267,6 +270,49 @@ def score_and_reorder(ranked: DataFrame, scorer, head: int = HEAD) -> DataFrame:
     return reorder_head(ranked, first.withColumn("rerank", scorer(first)).select("query_id", "chunk_id", "rerank"), head)
 
 
+def ask_scorer(rows: DataFrame, scorer, seconds: float = 30.0) -> DataFrame:
+    """(query_id, chunk_id, rerank, reason): what an outside scorer says of each query's rows, or why it counts for nothing.
+
+    scorer(rows of one query, in order of rank) gives a score for each row, or (place, score) pairs. If it raises, takes
+    longer than `seconds`, answers for too few or too many rows, names a place twice or one that is not there, or gives
+    a score that is null or not finite, all scores of this query are null and `reason` says so; no other query is
+    touched and the job goes on. Rows are those of a cut list (the head of a ranking), so a query is one small group.
+    """
+    kinds = dict(rows.dtypes)
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, rerank double, reason string"
+
+    def judged(pdf: pd.DataFrame) -> tuple[list[float | None], str | None]:
+        n = len(pdf)
+        pool = ThreadPoolExecutor(1)
+        try:
+            said = list(pool.submit(scorer, pdf).result(timeout=seconds))
+        except TimeoutError:
+            return [None] * n, "too late"
+        except Exception as e:  # noqa: BLE001  whatever an outside scorer raises, the order stays
+            return [None] * n, f"raised {type(e).__name__}"
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+        if len(said) != n:
+            return [None] * n, f"{len(said)} scores for {n} rows"
+        try:
+            if said and isinstance(said[0], tuple | list):
+                places = [int(i) for i, _ in said]
+                if sorted(places) != list(range(n)):
+                    return [None] * n, "a place twice or out of range"
+                said = [x for _, x in sorted(zip(places, (x for _, x in said)))]
+            scores = [float(x) for x in said]
+        except (TypeError, ValueError):
+            return [None] * n, "not a number"
+        return (scores, None) if all(map(math.isfinite, scores)) else ([None] * n, "not finite")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rank", "chunk_id"])
+        scores, reason = judged(pdf)
+        return pd.DataFrame({"query_id": pdf["query_id"], "chunk_id": pdf["chunk_id"], "rerank": pd.Series(scores, index=pdf.index, dtype="float64"), "reason": pd.Series([reason] * len(pdf), index=pdf.index, dtype="object")})
+
+    return rows.groupBy("query_id").applyInPandas(run, schema)
+
+
 def cliff_cut(ranked: DataFrame, score: str = "rerank", order: str = "new_rank", min_gap: float = CLIFF) -> DataFrame:
     """Drop everything after the widest score gap worth `min_gap` of the range; first widest gap wins.
 
@@ -291,13 +337,14 @@ def hybrid_search(
     queries: DataFrame, chunks: DataFrame, meta: DataFrame, now: Column, *, query_vectors: DataFrame | None = None,
     chunk_vectors: DataFrame | None = None, near: DataFrame | None = None, access: DataFrame | None = None, allowed: int = 1,
     types: list[str] | None = None, scope: tuple[DataFrame, DataFrame] | None = None, include_derived: bool = False, limit: int = 10,
-    rerank: DataFrame | None = None, autocut: bool = False, stop: list[str] | None = None, common: float | None = None,
+    rerank=None, autocut: bool = False, stop: list[str] | None = None, common: float | None = None,
     idf: bool = False, index: DataFrame | None = None, stem: bool = False,
 ) -> DataFrame:
     """The whole pipeline: intent, both arms, fusion, metadata, adjustment, best chunk, rerank, cut, snippet.
 
     meta: id, title, tier, updated_on, created_by, source, derived. near: (query_id, parent_id) pairs one
     hop from a named entity. access: (parent_id, drills). Without vectors the lexical arm stands alone.
+    rerank: scores (query_id, chunk_id, rerank), or a scorer that is asked for the head of each list (see ask_scorer).
     """
     name = X.intent(F.col("query"))
     q = queries.select("query_id", "query", *[c.alias(n) for n, c in X.intent_scales(name).items()])
@@ -338,6 +385,10 @@ def hybrid_search(
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     ranked = best.withColumn("rank", F.row_number().over(w))
     if rerank is not None:
+        if callable(rerank):
+            # the scorer reads the texts of the head, which is written so that it is asked once
+            head = materialize(ranked.filter(F.col("rank") <= HEAD).join(seen.select("chunk_id", "text"), "chunk_id").select("query_id", "query", "chunk_id", "rank", "text"), "head")
+            rerank = materialize(ask_scorer(head, rerank), "scores")
         ranked = reorder_head(ranked, rerank)
         if autocut:
             ranked = cliff_cut(ranked)
@@ -350,16 +401,36 @@ def hybrid_search(
     )
 
 
-def scoped_vector_arm(query_vectors: DataFrame, vectors: DataFrame, scope: tuple[DataFrame, DataFrame] | None, types=None, limit: int = ARM_LIMIT) -> DataFrame:
-    """Nearest chunks inside each query's own haystack: queries meet the vectors of their scope and no others."""
+def scoped_vector_arm(
+    query_vectors: DataFrame, vectors: DataFrame, scope: tuple[DataFrame, DataFrame] | None, types=None, limit: int = ARM_LIMIT, *, block_rows: int = 8_192, query_rows: int = 1_024,
+) -> DataFrame:
+    """Nearest chunks inside each query's own haystack: queries meet the vectors of their scope and no others.
+
+    scope is asks(query_id, g) and has(parent_id, g); a query may ask several haystacks, a parent may be in several.
+    A haystack's vectors are dealt over blocks of about `block_rows` and its queries over blocks of `query_rows`, so
+    that a haystack of any size becomes many groups of bounded size; each is one matrix product that keeps `limit` rows a
+    query. A chunk found in two haystacks of a query counts once.
+    """
     v = vectors.filter(F.col("parent_type").isin(types)) if types else vectors
     if scope is None:
         return vector_arm(query_vectors, v, limit=limit)
     asks, has = scope
-    v = v.join(has.select("parent_id", "g").distinct(), "parent_id").select("chunk_id", "g", F.col("embedding").cast("array<double>").alias("embedding"))
-    q = query_vectors.join(asks.select("query_id", "g").distinct(), "query_id").select("query_id", "g", F.col("embedding").cast("array<double>").alias("qe"))
-    dot = F.aggregate(F.zip_with("embedding", "qe", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    den = size("embedding") * size("qe")
-    cos = F.round(F.when(den > 0, dot / den).otherwise(0.0), 6)
-    return top_per_query(v.join(q, "g").select("query_id", "chunk_id", cos.alias("cosine")), "cosine", limit)
+    schema = f"query_id {dict(query_vectors.dtypes)['query_id']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, cosine double"
+    v = v.filter(F.col("embedding").isNotNull()).join(has.select("parent_id", "g").distinct(), "parent_id").select("g", "chunk_id", "embedding")
+    q = query_vectors.filter(F.col("embedding").isNotNull()).join(asks.select("query_id", "g").distinct(), "query_id").select("g", "query_id", "embedding")
+    parts = lambda d, rows, name: d.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    sizes = materialize(parts(v, block_rows, "nv").join(parts(q, query_rows, "nq"), "g"), "haystacks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    vs = v.join(sizes, "g").select("g", F.pmod(F.xxhash64("chunk_id"), F.col("nv")).cast("int").alias("vb"), every("nq").alias("qb"), "chunk_id", "embedding")
+    qs = q.join(sizes, "g").select("g", every("nv").alias("vb"), F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int").alias("qb"), "query_id", "embedding")
+
+    def meet(vp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
+        if vp.empty or qp.empty:
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "cosine": []})
+        qm = _unit(np.stack(qp["embedding"].to_numpy()).astype(float))
+        return _best(qp["query_id"].to_numpy(), qm, vp["chunk_id"], np.stack(vp["embedding"].to_numpy()).astype(float), limit)
+
+    at = ["g", "vb", "qb"]
+    near = vs.groupBy(*at).cogroup(qs.groupBy(*at)).applyInPandas(meet, schema)
+    once = near.groupBy("query_id", "chunk_id").agg(F.max("cosine").alias("cosine"))
+    return top_per_query(once, "cosine", limit)

@@ -450,6 +450,51 @@ def r05(spark, sf):
     return hits(spark, sf).drop("type")
 
 
+cte(
+    "reranked_hits",
+    """
+  with b as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank, count(*) over (partition by query_id) as many from best_chunks),
+  s as (select *, case when rank <= 20 and query_id % 4 <> 0 and many > 1 then (length(text) % 101)::double end as rr from b),
+  n as (select *, row_number() over (partition by query_id order by rank > 20, rr desc nulls last, rank) as new_rank from s),
+  g as (select *, lead(rr) over (partition by query_id order by new_rank) as nxt, max(rr) over (partition by query_id) - min(rr) over (partition by query_id) as span from n),
+  c as (select query_id, arg_min(new_rank, (-round((rr - nxt) / span, 9), new_rank)) filter (where span > 0 and round((rr - nxt) / span, 9) >= 0.35) as cut from g group by query_id)
+  select g.* from g join c using (query_id) where cut is null or new_rank <= cut""",
+)
+
+
+@query("R05_search_reranked", "select query_id, new_rank::integer as rank, parent_id as id, chunk_id, round(score, 4) as score from reranked_hits where new_rank <= 10")
+def r05_reranked(spark, sf):
+    """Every stage on: a scorer that reads the texts and fails on every fourth query, then the cut at the cliff."""
+
+    def scorer(rows):
+        if rows["query_id"].iloc[0] % 4 == 0:
+            raise ConnectionError("nobody answers")
+        return (rows["text"].str.len() % 101).astype(float).tolist()
+
+    return hits(spark, sf, rerank=scorer, autocut=True).select("query_id", "rank", "id", "chunk_id", "score")
+
+
+@query(
+    "R06_scoped_vectors",
+    """
+with asks as (select vec_id as query_id, embedding, g from (select vec_id, embedding, unnest(case when vec_id % 50 = 0 then [label % 4, 4 + vec_id % 3] else [label % 4] end) as g from embeddings where vec_id % 25 = 0)),
+has as (select vec_id as chunk_id, embedding, unnest([label % 4, 4 + vec_id % 3]) as g from embeddings),
+s as (select distinct query_id, chunk_id, round(list_cosine_similarity(asks.embedding::double[], has.embedding::double[]), 6) as cosine from asks join has using (g)),
+r as (select *, row_number() over (partition by query_id order by cosine desc, chunk_id) as rank from s)
+select query_id, chunk_id, cosine, rank::integer as rank from r where rank <= 50""",
+)
+def r06_vectors(spark, sf):
+    """Vectors searched inside haystacks that overlap; some queries ask two of them."""
+    e = table(spark, sf, "embeddings")
+    first, second = F.col("label").cast("long") % 4, 4 + F.col("vec_id") % 3
+    has = e.select(F.col("vec_id").alias("parent_id"), F.explode(F.array(first, second)).alias("g"))
+    q = e.filter("vec_id % 25 = 0")
+    asks = q.select(F.col("vec_id").alias("query_id"), F.explode(F.when(F.col("vec_id") % 50 == 0, F.array(first, second)).otherwise(F.array(first))).alias("g"))
+    emb = F.col("embedding").cast("array<double>").alias("embedding")
+    v = e.select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("parent_id"), emb)
+    return R.scoped_vector_arm(q.select(F.col("vec_id").alias("query_id"), emb), v, (asks, has)).select("query_id", "chunk_id", "cosine", "rank")
+
+
 @query(
     "R06_scoped_search",
     r"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import embed as EM
 from ..operators import chunking as C
 from ..operators import retrieval as R
-from ..session import new_folder, table
+from ..session import materialize, new_folder, table
 from ..sources import files as S
 from ..streaming import jobs as J
 from . import bindings as B
@@ -85,6 +85,26 @@ def v03(spark, sf):
     return R.score_and_reorder(near, lambda c: scorer(c["chunk_id"])).select("query_id", "chunk_id", "new_rank")
 
 
+@query(
+    "V03_fail_open_scorer",
+    """
+select query_id, chunk_id, query_id % 3 = 1 as reranked, row_number() over (partition by query_id order by rank > 20, case when rank <= 20 and query_id % 3 = 1 then (chunk_id * 37 % 101)::double end desc nulls last, rank)::integer as new_rank
+from vector_top where rank <= 30""",
+)
+def v03_fail_open(spark, sf):
+    """The scorer fails on two queries of three, in two ways; these keep their order."""
+
+    def scorer(rows):
+        if rows["query_id"].iloc[0] % 3 == 0:
+            raise ConnectionError("nobody answers")
+        scores = (rows["chunk_id"] * 37 % 101).astype(float).tolist()
+        return scores if rows["query_id"].iloc[0] % 3 == 1 else scores[:-1]
+
+    near = materialize(R.vector_arm(centroids(spark, sf), vectors(spark, sf), limit=30), "near")
+    scores = materialize(R.ask_scorer(near.filter(F.col("rank") <= R.HEAD), scorer), "scores")
+    return R.reorder_head(near, scores).select("query_id", "chunk_id", "reranked", "new_rank")
+
+
 @query("D07_embed_backlog_drained", """
 select d.doc_id::varchar as chunk_id, case when d.doc_id in (select vec_id from embeddings) then 'old-model' else 'hash-768' end as embed_model
 from documents d where (d.doc_id in (select vec_id from embeddings)) or (regexp_matches(lower(d.text), '[a-z0-9]{2}'))""")

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +85,41 @@ def test_result_does_not_depend_on_partitions(spark):
     a = R.lexical_arm(q, chunks.repartition(1), limit=7).orderBy("query_id", "rank").collect()
     b = R.lexical_arm(q, chunks.repartition(13), limit=7).orderBy("query_id", "rank").collect()
     assert a == b and len(a) == 14
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 7, "query_rows": 2}])
+def test_scoped_vectors_are_the_nearest_of_their_haystacks(spark, sizes):
+    rng = np.random.default_rng(2)
+    vecs, qs = rng.normal(size=(90, 5)), rng.normal(size=(9, 5))
+    member = {j: {j % 3, 3 + j % 2} for j in range(90)}
+    asked = {i: {i % 3} if i % 2 else {i % 3, 3 + i % 2} for i in range(9)}
+    v = spark.createDataFrame([(j, j, [float(x) for x in vecs[j]]) for j in range(90)] + [(500, 500, None)], "chunk_id bigint, parent_id bigint, embedding array<double>")
+    q = spark.createDataFrame([(i, [float(x) for x in qs[i]]) for i in range(9)], "query_id bigint, embedding array<double>")
+    has = spark.createDataFrame([(j, g) for j, gs in member.items() for g in gs] + [(500, 0)], "parent_id bigint, g int")
+    asks = spark.createDataFrame([(i, g) for i, gs in asked.items() for g in gs], "query_id bigint, g int")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = np.round(unit(qs) @ unit(vecs).T, 6)
+    want = {(i, j) for i in range(9) for j in sorted((j for j in range(90) if member[j] & asked[i]), key=lambda j: (-sims[i, j], j))[:6]}
+    got = [(r["query_id"], r["chunk_id"]) for r in R.scoped_vector_arm(q, v, (asks, has), limit=6, **sizes).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_a_scorer_fails_open(spark):
+    def scorer(rows):
+        n, kind = len(rows), rows["query_id"].iloc[0]
+        if kind == 1:
+            raise RuntimeError("no")
+        if kind == 2:
+            time.sleep(5)
+        good = [float(i) for i in range(n)]
+        answers = {3: good[:-1], 4: [*good[:-1], float("inf")], 5: [*good[:-1], None], 6: [(0, 1.0)] * n, 7: [(i, -float(i)) for i in reversed(range(n))], 8: ["x"] * n, 9: good + [1.0]}
+        return answers.get(kind, good)
+
+    ranked = spark.createDataFrame([(q, f"c{i}", i) for q in range(11) for i in range(1, 5)], "query_id int, chunk_id string, rank int")
+    said = R.ask_scorer(ranked.filter("rank <= 3"), scorer, seconds=1.0).cache()
+    why = {r["query_id"]: r["reason"] for r in said.collect()}
+    assert {q for q, w in why.items() if w is None} == {0, 7, 10} and why[1] == "raised RuntimeError" and why[2] == "too late" and why[3] == "2 scores for 3 rows"
+    out = R.reorder_head(ranked, said, head=3).collect()
+    order = {q: [r["chunk_id"] for r in sorted(out, key=lambda r: r["new_rank"]) if r["query_id"] == q] for q in range(11)}
+    assert order[0] == order[10] == ["c3", "c2", "c1", "c4"] and order[7] == ["c1", "c2", "c3", "c4"]
+    assert all(order[q] == ["c1", "c2", "c3", "c4"] for q in range(1, 10))

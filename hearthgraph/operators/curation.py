@@ -233,6 +233,26 @@ def compile_digests(decisions: DataFrame, branches: DataFrame, transcripts: Data
     return out.withColumn("body", body).withColumn("hash", F.sha2("body", 256))
 
 
+def merge_digests(pages: DataFrame, digests: DataFrame, now: Column) -> DataFrame:
+    """The digest pages after a compile run, with `status`: created, updated, retiered, unchanged or kept.
+
+    pages(path, title, body, hash, tier, first_seen, updated_on) is what earlier runs wrote. A digest with the hash of its
+    page changes nothing but, where it differs, the tier; any other replaces title, body and hash and is stamped.
+    Pages without a digest in this run stay as they are. first_seen never changes. The same run again changes nothing.
+    """
+    p = pages.select("path", F.struct("title", "body", "hash", "tier", "first_seen", "updated_on").alias("p"))
+    d = digests.select("path", F.struct("title", "body", "hash", "tier").alias("d"))
+    new, old = F.col("d").isNotNull(), F.col("p").isNotNull()
+    same = F.col("p.hash").eqNullSafe(F.col("d.hash"))
+    status = F.when(~new, "kept").when(~old, "created").when(~same, "updated").when(~F.col("p.tier").eqNullSafe(F.col("d.tier")), "retiered").otherwise("unchanged")
+    written = new & (~old | ~same)
+    pick = lambda c, yes: F.when(yes, F.col(f"d.{c}")).otherwise(F.col(f"p.{c}")).alias(c)
+    return p.join(d, "path", "full").select(
+        "path", pick("title", written), pick("body", written), pick("hash", written), pick("tier", new),
+        F.coalesce("p.first_seen", now).alias("first_seen"), F.when(written, now).otherwise(F.col("p.updated_on")).alias("updated_on"), status.alias("status"),
+    )
+
+
 # ------------------------------------------------------------------ review queue
 
 
@@ -247,7 +267,7 @@ def _mask(payload: str | None) -> str | None:
         return None
     try:
         return json.dumps(_masked(json.loads(payload)), separators=(",", ":"), ensure_ascii=False)
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested deeper than can be read
         return json.dumps(HIDDEN)
 
 

@@ -199,12 +199,34 @@ select coalesce(b.k, c.k) as o_orderkey, coalesce(c.status, b.status) as status,
 from b full join c on b.k = c.k""",
 )
 def s07(spark, sf):
+    base, batch = order_batch(spark, sf)
+    return M.keyed_merge(base, batch, ["o_orderkey"], "v", update=True)
+
+
+@query(
+    "S07_merge_stats",
+    """
+with b as (select o_orderkey as k, o_orderstatus as status, o_totalprice as price from orders where o_orderkey % 3 <> 0),
+raw as (select o_orderkey as k, case when o_orderkey % 2 = 0 then 'X' else o_orderstatus end as status, o_totalprice + v - 1 as price, v from orders, (values (0), (1)) x(v) where o_orderkey % 4 <> 0),
+c as (select k, arg_max(status, v) as status, arg_max(price, v) as price from raw where price >= 50000 group by 1)
+select (select count(*) from raw) as total, count(case when b.k is null then 1 end) as inserted,
+       count(case when b.k is not null and c.k is not null and (c.status <> b.status or c.price <> b.price) then 1 end) as updated,
+       (select count(*) from raw where price < 50000) as skipped
+from b full join c on b.k = c.k""",
+)
+def s07_stats(spark, sf):
+    base, batch = order_batch(spark, sf)
+    good, bad = M.split_rejects(batch, {"too cheap": F.col("price") < 50000})
+    return M.merge_stats(batch, M.keyed_merge(base, good, ["o_orderkey"], "v", update=True), bad)
+
+
+def order_batch(spark, sf):
     o = table(spark, sf, "orders")
     base = o.filter("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
     batch = o.filter("o_orderkey % 4 <> 0").withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "X").otherwise(F.col("o_orderstatus")).alias("status"), (F.col("o_totalprice") + F.col("v") - 1).alias("price"), "v"
     )
-    return M.keyed_merge(base, batch, ["o_orderkey"], "v", update=True)
+    return base, batch
 
 
 @query(

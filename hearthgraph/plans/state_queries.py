@@ -631,6 +631,35 @@ def d03(spark, sf):
     return out.drop("body", "hash")
 
 
+def prior_digests(spark, sf):
+    """What an earlier run left: some digests are not there yet, some read otherwise, some had another tier; one page has lost its decision."""
+    d = D.compile_digests(digest_candidates(spark, sf), B.branches(spark, sf), transcripts(spark, sf))
+    k = F.col("id") % 4
+    first = F.lit("2001-01-01").cast("date")
+    old = d.filter(k != 0).select(
+        "path", "title", F.when(k == 1, "before").otherwise(F.col("body")).alias("body"), F.when(k == 1, "before").otherwise(F.col("hash")).alias("hash"),
+        F.when(k == 2, 3 - F.col("tier")).otherwise(F.col("tier")).alias("tier"), first.alias("first_seen"), first.alias("updated_on"),
+    )
+    lost = table(spark, sf, "orders").groupBy().agg(F.max("o_orderkey").alias("m")).select(
+        F.concat(F.lit("derived/decisions/"), F.col("m") + 1, F.lit(".md")).alias("path"), F.lit("t").alias("title"), F.lit("b").alias("body"), F.lit("h").alias("hash"), F.lit(1).alias("tier"), first.alias("first_seen"), first.alias("updated_on")
+    )
+    return d, old.unionByName(lost)
+
+
+@query(
+    "D03_digest_status",
+    """
+with t as (select decision_id as id, max(tier) as tt from transcripts group by 1), b as (select decision_id as id, max(tier) as bt from branches group by 1)
+select 'derived/decisions/' || d.id::varchar || '.md' as path, greatest(d.tier, bt, tt) as tier, case d.id % 4 when 0 then 'created' when 1 then 'updated' when 2 then 'retiered' else 'unchanged' end as status,
+       case when d.id % 4 = 0 then date '2001-06-15' else date '2001-01-01' end as first_seen, case when d.id % 4 <= 1 then date '2001-06-15' else date '2001-01-01' end as updated_on
+from decisions d semi join digest_cand using (id) left join b on b.id = d.id left join t on t.id = d.id
+union all select 'derived/decisions/' || (max(o_orderkey) + 1)::varchar || '.md', 1, 'kept', date '2001-01-01', date '2001-01-01' from orders""",
+)
+def d03_status(spark, sf):
+    d, old = prior_digests(spark, sf)
+    return D.merge_digests(old, d, today()).select("path", "tier", "status", "first_seen", "updated_on")
+
+
 @query(
     "D03_digest_sources",
     """
@@ -717,6 +746,74 @@ def j15(spark, sf):
     )
 
 
+cte("org_meetings", "select i.id, i.kind, i.occurred_on, i.tier, l.org_id from (select distinct l_orderkey as id, l_suppkey as org_id from lineitem) l join interactions i using (id)")
+
+
+@query(
+    "J15_org_dossier",
+    """
+with e as (select * from edges_tiered where tier <= 1),
+around as (select src_id as id, edge_id, rel, src_type, src_id, created_on from e where src_type = 'org' union select dst_id, edge_id, rel, src_type, src_id, created_on from e where dst_type = 'org'),
+ar as (select *, row_number() over (partition by id order by created_on desc, edge_id) as rn from around),
+ne as (select id, count(*) as edges, string_agg(rel || ' ' || src_type || ' ' || src_id::varchar, ', ' order by rn) as related from ar where rn <= 20 group by 1),
+ir as (select *, row_number() over (partition by org_id order by occurred_on desc, id desc) as rn from org_meetings where tier <= 1),
+ia as (select org_id as id, count(*) as interactions, string_agg(id::varchar || ' ' || kind || ' ' || occurred_on::varchar, ', ' order by rn) as met from ir where rn <= 20 group by 1)
+select o.id, o.canonical_name, coalesce(ne.edges, 0) as edges, coalesce(ne.related, '') as related, coalesce(ia.interactions, 0) as interactions, coalesce(ia.met, '') as met, ia.interactions is null as locked,
+       case when date_diff('day', date '2001-01-01' + (o.id % 160)::integer, date '2001-06-15') > 30
+         then 'row ' || date_diff('day', date '2001-01-01' + (o.id % 160)::integer, date '2001-06-15')::varchar || ' days ago' end as staleness
+from orgs o left join ne using (id) left join ia using (id) where o.tier <= 1""",
+)
+def j15_orgs(spark, sf):
+    from ..operators.dossier import org_dossiers
+
+    orgs = B.orgs(spark, sf).withColumn("updated_on", F.expr("date_add(date'2001-01-01', cast(id % 160 as int))"))
+    d = org_dossiers(orgs, B.edges_tiered(spark, sf), B.nodes(spark, sf), org_meetings(spark, sf), today())
+    return d.select(
+        "id", "canonical_name", F.size("related").cast("bigint").alias("edges"),
+        F.array_join(F.transform("related", lambda x: F.concat_ws(" ", x["rel"], x["src_type"], x["src_id"].cast("string"))), ", ").alias("related"),
+        F.size("interactions").cast("bigint").alias("interactions"),
+        F.array_join(F.transform("interactions", lambda x: F.concat_ws(" ", x["interaction_id"].cast("string"), x["kind"], x["occurred_on"].cast("string"))), ", ").alias("met"), "locked", "staleness",
+    )
+
+
+def org_meetings(spark, sf):
+    """Interactions kept under an organisation: one for each supplier of an order."""
+    li, i = table(spark, sf, "lineitem"), B.interactions(spark, sf)
+    return li.select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("org_id")).distinct().join(i.drop("person_id"), "id")
+
+
+@query(
+    "J15_decision_dossier",
+    """
+with t as (select decision_id as id, count(*) as turns, string_agg(ord::varchar, ',' order by ord) as transcript from transcripts where tier <= 1 group by 1),
+b as (select *, row_number() over (partition by decision_id order by updated_on, label) as rn from branches where tier <= 1),
+bb as (select decision_id as id, count(*) as ways, string_agg(label || ' ' || status, ', ' order by rn) as branches from b group by 1)
+select d.id, question, coalesce(turns, 0) as turns, coalesce(transcript, '') as transcript, coalesce(ways, 0) as ways, coalesce(bb.branches, '') as branches,
+       case when date_diff('day', d.updated_on, date '2001-06-15') > 30 then 'row ' || date_diff('day', d.updated_on, date '2001-06-15')::varchar || ' days ago' end as staleness
+from decisions d left join t using (id) left join bb using (id) where d.tier <= 1""",
+)
+def j15_decisions(spark, sf):
+    from ..operators.dossier import decision_dossiers
+
+    d = decision_dossiers(B.decisions(spark, sf), B.edges_tiered(spark, sf), B.nodes(spark, sf), transcripts(spark, sf), B.branches(spark, sf), today())
+    return d.select(
+        "id", "question", "turns", F.array_join(F.transform("transcript", lambda x: x["ord"].cast("string")), ",").alias("transcript"),
+        "ways", F.array_join(F.transform("branches", lambda x: F.concat_ws(" ", x["label"], x["status"])), ", ").alias("branches"), "staleness",
+    )
+
+
+@query(
+    "J15_decision_timeline",
+    """
+select decision_id, 'transcript' as part, ord::integer as place, ''::varchar as label, transcripts.updated_on from transcripts join decisions d on d.id = decision_id where transcripts.tier <= 1 and d.tier <= 1
+union all select decision_id, 'branch', row_number() over (partition by decision_id order by b.updated_on, label)::integer, label, b.updated_on from branches b join decisions d on d.id = decision_id where b.tier <= 1 and d.tier <= 1""",
+)
+def j15_timeline(spark, sf):
+    from ..operators.dossier import decision_timeline
+
+    return decision_timeline(B.decisions(spark, sf), transcripts(spark, sf), B.branches(spark, sf))
+
+
 ZONES = ["Asia/Singapore", "America/New_York", "Europe/Oslo"]
 
 

@@ -24,13 +24,6 @@ def f01_unnamed(spark, sf):
     return model.allowed_anyone(B.grants(spark, sf), F.lit(AT).cast("timestamp"))
 
 
-@query("S07_merge_stats", f"select 900::integer as total, count(case outcome when 'inserted' then 1 end) as inserted, count(case outcome when 'updated' then 1 end) as updated, 7::integer as skipped from ({RAW['S07_keyed_merge']})")
-def s07_stats(spark, sf):
-    from ..sources.merge import merge_stats
-
-    return merge_stats(900, QUERIES["S07_keyed_merge"](spark, sf), 7)
-
-
 @query(
     "A05_nightly_rollup",
     """

@@ -38,12 +38,10 @@ def keyed_merge(state: DataFrame, batch: DataFrame, keys: list[str], order: str,
     return both.select(*keys, value.alias("_v"), outcome.alias("outcome")).select(*keys, "_v.*", "outcome")
 
 
-def merge_stats(total: int, merged: DataFrame, rejected: int) -> DataFrame:
-    """total, inserted, updated, skipped of one run."""
-    return merged.agg(
-        F.lit(total).alias("total"), F.count(F.when(F.col("outcome") == "inserted", 1)).alias("inserted"),
-        F.count(F.when(F.col("outcome") == "updated", 1)).alias("updated"), F.lit(rejected).alias("skipped"),
-    )
+def merge_stats(raw: DataFrame, merged: DataFrame, rejected: DataFrame) -> DataFrame:
+    """total, inserted, updated, skipped of one run, counted from what came, what the merge did and what was rejected."""
+    says = raw.select(F.lit("total").alias("what")).unionByName(rejected.select(F.lit("skipped").alias("what"))).unionByName(merged.select(F.col("outcome").alias("what")))
+    return says.agg(*[F.count_if(F.col("what") == own).alias(name) for own, name in (("total", "total"), ("inserted", "inserted"), ("updated", "updated"), ("skipped", "skipped"))])
 
 
 def absent(state: DataFrame, snapshot: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from hearthgraph.operators import captures as K
 from hearthgraph.operators import curation as D
 from hearthgraph.operators import entities as E
 from hearthgraph.operators import evaluate as V
+from hearthgraph.operators import state as S_state
 from hearthgraph.sources import files as S
 from hearthgraph.sources import merge as M
 
@@ -211,6 +212,7 @@ def test_masking_is_deep(spark):
         '{ "title" : "secret" }': f'{{"title":{hidden}}}',
         '[{"body": "é"}, 2]': f'[{{"body":{hidden}}},2]',
         '{"title": secret}': hidden,
+        "[" * 100_000 + "]" * 100_000: hidden,
         None: None,
     }
     df = spark.createDataFrame(list(cases.items()), "p string, want string")
@@ -230,3 +232,35 @@ def test_leaks_of_several_words(spark):
     res = spark.createDataFrame([(1, 1, "see the red fox here"), (2, 2, "red fox"), (3, 1, "red, fox"), (4, 1, "fox red")], "result_id int, reader_tier int, text string")
     marks = spark.createDataFrame([("red fox", 2), ("here", 2), ("see", 1)], "sentinel string, tier int")
     assert sorted(tuple(r) for r in V.leak_audit(res, marks).collect()) == [(1, 1, "here"), (1, 1, "red fox"), (3, 1, "red fox")]
+
+
+def test_digest_pages_keep_what_did_not_change(spark):
+    day = lambda x: F.lit(x).cast("date")
+    digests = spark.createDataFrame([("a", "A", "new", "h1", 1), ("b", "B", "same", "h2", 2), ("c", "C", "first", "h3", 1), ("d", "D", "same", "h4", 1)], "path string, title string, body string, hash string, tier int")
+    none = digests.withColumns({"first_seen": day("2000-01-01"), "updated_on": day("2000-01-01")}).limit(0)
+    pages = spark.createDataFrame([("a", "A", "old", "h0", 1), ("b", "B", "same", "h2", 1), ("d", "D", "same", "h4", 1), ("e", "E", "lost", "h5", 2)], "path string, title string, body string, hash string, tier int")
+    pages = pages.withColumns({"first_seen": day("2000-01-01"), "updated_on": day("2000-01-01")})
+    after = D.merge_digests(pages, digests, day("2001-01-01")).cache()
+    got = {r["path"]: (r["status"], r["body"], r["tier"], str(r["first_seen"])[:4], str(r["updated_on"])[:4]) for r in after.collect()}
+    assert got == {
+        "a": ("updated", "new", 1, "2000", "2001"), "b": ("retiered", "same", 2, "2000", "2000"), "c": ("created", "first", 1, "2001", "2001"), "d": ("unchanged", "same", 1, "2000", "2000"), "e": ("kept", "lost", 2, "2000", "2000")
+    }
+    again = D.merge_digests(after.drop("status"), digests, day("2002-01-01"))
+    assert {r["status"] for r in again.collect()} == {"unchanged", "kept"} and again.drop("status").exceptAll(after.drop("status")).count() == 0
+    assert {r["status"] for r in D.merge_digests(none, digests, day("2001-01-01")).collect()} == {"created"}
+
+
+def test_changes_act_one_by_one(spark):
+    now = F.lit("2001-01-01").cast("date")
+    base = spark.createDataFrame([(1, "t", "inbox", None, None), (2, "u", "active", None, None)], "id long, title string, status string, due date, completed_on date")
+    kinds = "id long, key string, title string, status string, due date, arrived int"
+    changes = spark.createDataFrame([(1, "a", "first", "done", None, 1), (1, "b", None, "active", None, 2), (1, "c", "last", None, None, 3), (9, "d", "x", None, None, 1), (9, "e", "y", None, None, 2), (None, "f", "new", None, None, 1), (None, "g", "new", "done", None, 1)], kinds)
+    got = sorted((r["id"] or 0, r["new_key"], r["title"], r["status"], str(r["completed_on"]), r["outcome"]) for r in S_state.merge_tasks(base, changes, now).collect())
+    assert got == [
+        (0, "f", "new", "inbox", "None", "inserted"), (0, "g", "new", "done", "2001-01-01", "inserted"), (1, None, "last", "active", "2001-01-01", "updated"), (2, None, "u", "active", "None", "kept"), (9, None, "y", None, "None", "rejected")
+    ]
+    decisions = spark.createDataFrame([(1, None, 3, None), (2, None, None, None)], "id long, actual_outcome string, outcome_score int, reviewed_on date")
+    outcomes = spark.createDataFrame([(1, "bad", 5, "be slow", 1), (1, "good", None, "be quick", 2), (7, "x", 1, "y", 1)], "id long, actual_outcome string, score int, lesson string, arrived int")
+    after, principles, edges = S_state.review_decisions(decisions, outcomes, now)
+    assert sorted(tuple(map(str, r)) for r in after.collect()) == [("1", "good", "5", "2001-01-01", "principle-1-2"), ("2", "None", "None", "None", "None")]
+    assert sorted(tuple(r) for r in principles.collect()) == [("principle-1", "be slow", 1), ("principle-1-2", "be quick", 1)] and edges.count() == 2

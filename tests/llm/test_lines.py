@@ -74,7 +74,7 @@ def test_no_python_in_the_plan(spark):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 6), st.lists(st.sampled_from([SAME, SAME + " ", "x" * 10, "X" * 10, "x" * 9, "", " ", "É" * 10, "é" * 10, "\x00" * 10]), max_size=8).map("\n".join)), max_size=12))
 def test_any_rows(spark, rows):
     assert got(spark, rows) == brute(rows)

@@ -204,36 +204,41 @@ def m04(spark, sf):
 # ------------------------------------------------------------------ captures
 
 
+def own_id(place, source):
+    """A number that no other capture has: a text holds fewer than 2^31 lines or turns, and each source has its own remainder."""
+    return place.cast("bigint") * 3 + source
+
+
 def capture_texts(spark, sf):
     """Conversation turns and every line of the documents as captures, with a lead-in that exercises each rule."""
-    c = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("capture_id"), "text")
+    c = table(spark, sf, "conversations").select(own_id(F.col("conv_id") * (1 << 31) + F.col("turn"), 0).alias("capture_id"), "text")
     d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    d = d.select((F.lit(1000000000) + F.col("doc_id") * 100000 + F.col("pos")).alias("capture_id"), "text")
+    d = d.select(own_id(F.col("doc_id") * (1 << 31) + F.col("pos"), 1).alias("capture_id"), "text")
     p = table(spark, sf, "part").select(
-        (F.lit(20000000) + F.col("p_partkey")).alias("capture_id"),
+        own_id(F.col("p_partkey"), 2).alias("capture_id"),
         F.concat(F.lit("x"), "p_name", F.lit(" "), F.lower("p_brand"), F.lit(" "), F.lower("p_type")).alias("text"),
     )
-    n = F.col("capture_id") % 12
+    n = F.expr("capture_id div 3") % 12
     lead = (
         F.when(n == 0, "todo: ").when(n == 1, "Met Anna Berg about ").when(n == 2, "Decided: done with ").when(n == 3, "unclear: ")
         .when(n == 4, "Feeling tired, I saw ").when(n == 5, "task pack and ship ").when(n == 6, "called with Vendor Ltd on ").when(n == 7, "Decision: ")
         .when(n == 8, "Task: sort bins and decide whether to keep ").otherwise("")
     )
-    tail = F.when(n == 0, " by 2001-07-01").when(n == 5, F.concat(F.lit(" by 1999-01-01"), F.when(F.col("capture_id") % 24 == 5, " - done").otherwise(""))).otherwise("")
+    tail = F.when(n == 0, " by 2001-07-01").when(n == 5, F.concat(F.lit(" by 1999-01-01"), F.when(F.expr("capture_id div 3") % 24 == 5, " - done").otherwise(""))).otherwise("")
     return c.unionByName(d).unionByName(p).select("capture_id", F.concat(lead, "text", tail).alias("text"))
 
 
 cte(
     "capture_texts",
     """
-  select capture_id, (case capture_id % 12 when 0 then 'todo: ' when 1 then 'Met Anna Berg about ' when 2 then 'Decided: done with ' when 3 then 'unclear: '
+  select capture_id, (case (capture_id // 3) % 12 when 0 then 'todo: ' when 1 then 'Met Anna Berg about ' when 2 then 'Decided: done with ' when 3 then 'unclear: '
          when 4 then 'Feeling tired, I saw ' when 5 then 'task pack and ship ' when 6 then 'called with Vendor Ltd on ' when 7 then 'Decision: '
          when 8 then 'Task: sort bins and decide whether to keep ' else '' end) || text
-         || (case capture_id % 12 when 0 then ' by 2001-07-01' when 5 then ' by 1999-01-01' || case when capture_id % 24 = 5 then ' - done' else '' end else '' end) as text
-  from (select conv_id * 100 + turn as capture_id, text from conversations
-        union all select 1000000000 + doc_id * 100000 + pos, line from (
+         || (case (capture_id // 3) % 12 when 0 then ' by 2001-07-01' when 5 then ' by 1999-01-01' || case when (capture_id // 3) % 24 = 5 then ' - done' else '' end else '' end) as text
+  from (select (conv_id * 2147483648 + turn) * 3 as capture_id, text from conversations
+        union all select (doc_id * 2147483648 + pos) * 3 + 1, line from (
           select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents)
-        union all select 20000000 + p_partkey, 'x' || p_name || ' ' || lower(p_brand) || ' ' || lower(p_type) from part)""",
+        union all select p_partkey * 3 + 2, 'x' || p_name || ' ' || lower(p_brand) || ' ' || lower(p_type) from part)""",
 )
 cte(
     "capture_lines",

@@ -261,6 +261,17 @@ def reorder_head(ranked: DataFrame, scores: DataFrame, head: int = HEAD) -> Data
     return h.withColumn("new_rank", F.row_number().over(w)).drop("_times")
 
 
+def wording(query: Column, text: Column) -> Column:
+    """How much of the query's wording a text has: the share of its different words, and of its words side by side, that are there too."""
+
+    def said(c: Column) -> Column:
+        side = lambda t: F.filter(F.zip_with(t, F.slice(t, F.lit(2), F.size(t)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
+        return F.array_distinct(F.get(F.transform(F.array(X.terms(c)), lambda t: F.concat(t, side(t))), F.lit(0)))
+
+    asked = said(query)
+    return F.when(F.size(asked) > 0, F.round(F.size(F.array_intersect(asked, said(text))) / F.size(asked), 6)).otherwise(F.lit(0.0))
+
+
 def score_and_reorder(ranked: DataFrame, scorer, head: int = HEAD) -> DataFrame:
     """Re-rank with a scorer of one's own: a function of the head rows giving a score column.
 
@@ -337,14 +348,15 @@ def hybrid_search(
     queries: DataFrame, chunks: DataFrame, meta: DataFrame, now: Column, *, query_vectors: DataFrame | None = None,
     chunk_vectors: DataFrame | None = None, near: DataFrame | None = None, access: DataFrame | None = None, allowed: int = 1,
     types: list[str] | None = None, scope: tuple[DataFrame, DataFrame] | None = None, include_derived: bool = False, limit: int = 10,
-    rerank=None, autocut: bool = False, stop: list[str] | None = None, common: float | None = None,
+    rerank=None, head: int = HEAD, autocut: bool = False, stop: list[str] | None = None, common: float | None = None,
     idf: bool = False, index: DataFrame | None = None, stem: bool = False,
 ) -> DataFrame:
     """The whole pipeline: intent, both arms, fusion, metadata, adjustment, best chunk, rerank, cut, snippet.
 
     meta: id, title, tier, updated_on, created_by, source, derived. near: (query_id, parent_id) pairs one
     hop from a named entity. access: (parent_id, drills). Without vectors the lexical arm stands alone.
-    rerank: scores (query_id, chunk_id, rerank), or a scorer that is asked for the head of each list (see ask_scorer).
+    rerank orders the first `head` hits anew: scores (query_id, chunk_id, rerank), a column over `query` and `text` (see
+    wording), or an outside scorer that is asked for each query's head (see ask_scorer).
     """
     name = X.intent(F.col("query"))
     q = queries.select("query_id", "query", *[c.alias(n) for n, c in X.intent_scales(name).items()])
@@ -385,11 +397,11 @@ def hybrid_search(
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     ranked = best.withColumn("rank", F.row_number().over(w))
     if rerank is not None:
-        if callable(rerank):
-            # the scorer reads the texts of the head, which is written so that it is asked once
-            head = materialize(ranked.filter(F.col("rank") <= HEAD).join(seen.select("chunk_id", "text"), "chunk_id").select("query_id", "query", "chunk_id", "rank", "text"), "head")
-            rerank = materialize(ask_scorer(head, rerank), "scores")
-        ranked = reorder_head(ranked, rerank)
+        if not isinstance(rerank, DataFrame):
+            # only the head is read with its texts; it is written so that an outside scorer is asked once
+            first = ranked.filter(F.col("rank") <= head).join(seen.select("chunk_id", "text"), "chunk_id").select("query_id", "query", "chunk_id", "rank", "text")
+            rerank = first.select("query_id", "chunk_id", rerank.alias("rerank")) if isinstance(rerank, Column) else materialize(ask_scorer(materialize(first, "head"), rerank), "scores")
+        ranked = reorder_head(ranked, rerank, head)
         if autocut:
             ranked = cliff_cut(ranked)
         ranked = ranked.withColumn("rank", F.col("new_rank")).drop("new_rank", "rerank", "reranked")

@@ -474,6 +474,24 @@ def r05_reranked(spark, sf):
     return hits(spark, sf, rerank=scorer, autocut=True).select("query_id", "rank", "id", "chunk_id", "score")
 
 
+_SAID = "list_distinct(list_concat({0}, list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])))"
+
+
+@query(
+    "R05_search_worded",
+    f"""
+with b as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank, count(*) over (partition by query_id) as many,
+                  {toks_sql('query')} as qt, {toks_sql('text')} as tt from best_chunks),
+s as (select *, {_SAID.format('qt')} as q, {_SAID.format('tt')} as t from b),
+n as (select *, row_number() over (partition by query_id order by case when rank <= 100 and many > 1 then round(len(list_intersect(q, t)) / len(q), 6) end desc nulls last, rank) as new_rank from s)
+select query_id, new_rank::integer as rank, parent_id as id, chunk_id, round(score, 4) as score from n where new_rank <= 10""",
+)
+def r05_worded(spark, sf):
+    """All candidates ordered anew by how much of the query's wording they have."""
+    found = hits(spark, sf, rerank=R.wording(F.col("query"), F.col("text")), head=2 * R.ARM_LIMIT)
+    return found.select("query_id", "rank", "id", "chunk_id", "score")
+
+
 @query(
     "R06_scoped_vectors",
     """
@@ -691,7 +709,7 @@ def d07(spark, sf):
 
 @query("R05_hybrid_search_chunked")
 def flagship(spark, sf):
-    """Every benchmark passage over the chunker's own chunks, common terms dropped, both arms."""
+    """Every benchmark passage over the chunker's own chunks: both arms, then all candidates ordered by the wording they share."""
     pages = B.pages_state(spark, sf)
     chunks = materialize(page_chunks(spark, sf), "chunks")
     q = passages(spark, sf)
@@ -706,5 +724,5 @@ def flagship(spark, sf):
         chunk_vectors=v.filter("not id like 'q%'").select(
             F.col("id").alias("chunk_id"), "embedding", F.lit("page").alias("parent_type"), F.substring_index("id", ":", 1).cast("bigint").alias("parent_id"), F.lit(1).alias("tier")
         ),
-        access=page_access(spark, sf), common=0.2, idf=True, index=index,
+        access=page_access(spark, sf), common=0.2, idf=True, index=index, rerank=R.wording(F.col("query"), F.col("text")), head=2 * R.ARM_LIMIT,
     )

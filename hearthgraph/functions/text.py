@@ -46,9 +46,10 @@ EVENT_CUES = [
     "spoke", "happened", "occurred", "trip",
 ]
 ENTITY_CUES = ["who is", "who's", "profile of", "contact for", "page for"]
-MONTH_NAMES = ["january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december"]
 # a month in full or by its first three letters; May is left out, being a common verb
-MONTHS = "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTH_NAMES)
+MONTHS = (
+    "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+)
 
 
 def _hex4(ch: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import files as S
 from ..sources import merge as M
+from ..sources.page_store import PageStore
 from ..session import new_folder, table
 from . import bindings as B
 from .registry import cte, query
@@ -160,6 +161,56 @@ def s05(spark, sf):
     return M.sync_actions(state, new)
 
 
+def page_trees(spark, sf):
+    """The page table as two snapshots of a tree of files: a third of the pages stay, the others change in one way each."""
+    p = table(spark, sf, "pages")
+    k = F.col("page_id") % 9
+    head = lambda late: F.concat(F.lit("---\ntitle: 'Page "), "page_id", F.lit("'\ntier: "), F.when(late & (k == 3), "2").otherwise("1"), F.when((late & (k == 4)) | (~late & (k == 5)), "\nstatus: deleted").otherwise(""), F.lit("\n---\n"))
+    body = lambda late: F.when(late & (k == 2), F.concat("html", F.lit("\n\nnew end"))).when(late & (k == 6), "").otherwise(F.col("html"))
+    tree = lambda late: S.parse_pages(p.filter(k != (1 if late else 0)).select(F.concat(F.lit("p/"), "page_id", F.lit(".md")).alias("path"), F.concat(head(F.lit(late)), body(F.lit(late))).alias("raw")))
+    return tree(False), tree(True)
+
+
+def synced_store(spark, sf):
+    store = PageStore(spark, new_folder(spark, "page-store")).create()
+    first, second = page_trees(spark, sf)
+    return store, store.sync(first), store.sync(second), store.sync(second)
+
+
+TREE = """(select page_id, page_id % 9 as k, 'p/' || page_id::varchar || '.md' as path from pages)"""
+
+
+@query(
+    "S05_sync_counts",
+    f"""
+select 1 as sync, count(case when k not in (0, 5) then 1 end) as scanned, count(case when k not in (0, 5) then 1 end) as changed, 0::bigint as unchanged, 0::bigint as deleted from {TREE}
+union all select 2, count(case when k not in (1, 4) then 1 end), count(case when k in (0, 2, 3, 5, 6) then 1 end), count(case when k in (7, 8) then 1 end), count(case when k in (1, 4) then 1 end) from {TREE}
+union all select 3, count(case when k not in (1, 4) then 1 end), 0, count(case when k not in (1, 4) then 1 end), 0 from {TREE}""",
+)
+def s05_counts(spark, sf):
+    """A first snapshot, a second, and the second once more."""
+    _, *counts = synced_store(spark, sf)
+    one, two, three = (c.select(F.lit(i).alias("sync"), "*") for i, c in enumerate(counts, 1))
+    return one.unionByName(two).unionByName(three)
+
+
+@query(
+    "S05_synced_index",
+    f"""
+with t as (select page_id, k, path, case when k = 2 then html || chr(10) || chr(10) || 'new end' when k = 6 then '' else html end as body from {TREE} join pages using (page_id))
+select path, 'Page ' || page_id::varchar as title, (case when k = 3 then 2 else 1 end)::integer as tier, case when k in (1, 4) then 'deleted' else 'active' end as status,
+       length(body) as chars, k not in (1, 4, 6) as indexed, case when k in (1, 4, 6) then 0 when k = 3 then 2 else 1 end::bigint as chunk_tier, k = 2 as new_end from t""",
+)
+def s05_index(spark, sf):
+    """Pages and chunks of the store after the syncs."""
+    store, *_ = synced_store(spark, sf)
+    per = store.chunks().groupBy(F.col("parent_id").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.max("tier").alias("ct"), F.max(F.col("text").endswith("new end")).alias("end"))
+    return store.pages().join(per, "path", "left").select(
+        "path", "title", "tier", "status", F.length("body").cast("bigint").alias("chars"), F.col("n").isNotNull().alias("indexed"),
+        F.coalesce("ct", F.lit(0)).cast("bigint").alias("chunk_tier"), F.coalesce("end", F.lit(False)).alias("new_end"),
+    )
+
+
 @query(
     "U04_absent_from_snapshot",
     "select page_id, url from pages where page_id % 2 = 0 and page_id % 6 <> 0",

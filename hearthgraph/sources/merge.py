@@ -49,8 +49,8 @@ def absent(state: DataFrame, snapshot: DataFrame, keys: list[str]) -> DataFrame:
     return state.filter("status = 'active'").join(snapshot.select(*keys).distinct(), keys, "left_anti")
 
 
-def sync_actions(state: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """(path, action): insert, update, retier, reactivate, noop or delete.
+def compare_pages(state: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(path, action, retiered): insert, update, retier, reactivate, noop or delete, and whether a stored tier changes.
 
     state(path, hash, tier, status), snapshot(path, hash, tier, status); a snapshot row marked deleted
     counts as absent.
@@ -65,7 +65,13 @@ def sync_actions(state: DataFrame, snapshot: DataFrame) -> DataFrame:
         .when(F.col("ot") != F.col("nt"), "retier")
         .otherwise("noop")
     )
-    return s.join(n, "path", "full").select("path", action.alias("action")).filter("action <> 'gone'")
+    retiered = F.coalesce(F.col("ot") != F.col("nt"), F.lit(False)).alias("retiered")
+    return s.join(n, "path", "full").select("path", action.alias("action"), retiered).filter("action <> 'gone'")
+
+
+def sync_actions(state: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(path, action) of compare_pages."""
+    return compare_pages(state, snapshot).drop("retiered")
 
 
 def audit_rows(calls: DataFrame, returned: DataFrame, limit: int = 100) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions.stem import stemmed
 from ..model import visible
-from ..session import fits, materialize
+from ..session import fits, materialize, new_folder
 
 # fixed values: candidates per arm, fusion constant, blend and bands of the score
 ARM_LIMIT, RRF_K = 50, 60
@@ -128,8 +128,11 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
-def _best(qids: np.ndarray, q: np.ndarray, ids: pd.Series, vecs: np.ndarray, limit: int) -> pd.DataFrame:
-    """Per query the `limit` best of one block, ties by id, on similarities rounded to 6 places; TILE queries at a time."""
+def _best(qids: np.ndarray, q: np.ndarray, ids: pd.Series, vecs: np.ndarray, limit: int, least: np.ndarray | None = None) -> pd.DataFrame:
+    """Per query the `limit` best of one block, ties by id, on similarities rounded to 6 places; TILE queries at a time.
+
+    `least` says for each query below which similarity nothing is wanted.
+    """
     order = np.argsort(ids.to_numpy(), kind="stable")
     unit, ids = _unit(vecs)[order].T, ids.to_numpy()[order]
     k = min(limit, len(ids))
@@ -137,6 +140,8 @@ def _best(qids: np.ndarray, q: np.ndarray, ids: pd.Series, vecs: np.ndarray, lim
     for lo in range(0, len(qids), TILE):
         sims = np.round(q[lo : lo + TILE] @ unit, 6)
         floor = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k]
+        if least is not None:
+            floor = np.fmax(floor, least[lo : lo + TILE])
         row, col = np.nonzero(sims >= floor[:, None])  # a few more than k where scores are equal
         val = sims[row, col]
         at = np.lexsort((col, -val, row))
@@ -149,53 +154,65 @@ def _best(qids: np.ndarray, q: np.ndarray, ids: pd.Series, vecs: np.ndarray, lim
     return pd.DataFrame({"query_id": np.concatenate(who), "chunk_id": np.concatenate(what), "cosine": np.concatenate(how)})
 
 
-def vector_arm(
-    queries: DataFrame, vectors: DataFrame, *, limit: int = ARM_LIMIT, small_rows: int = 4096, shard_rows: int = 8_192,
-) -> DataFrame:
+def _best_of_task(batches, qm: np.ndarray, limit: int) -> pd.DataFrame | None:
+    """The `limit` best of all batches of a task for each row of `qm`; what is kept so far bars weaker rows of later batches."""
+    kept, least, rows = None, np.full(len(qm), -np.inf), np.arange(len(qm))
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        got = _best(rows, qm, pdf["chunk_id"], np.stack(pdf["embedding"].to_numpy()).astype(float), limit, least)
+        if kept is not None:
+            got = pd.concat([kept, got]).sort_values(["query_id", "cosine", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(limit)
+        kept = got
+        by = kept.groupby("query_id")["cosine"].agg(["size", "min"])
+        full = by[by["size"] == limit]
+        least[full.index.to_numpy()] = full["min"].to_numpy()
+    return kept
+
+
+def _near_some(local: pd.DataFrame, v: DataFrame, schema: str, limit: int):
+    """(near, broadcast): the best of each task for the queries of a frame of checked size, which travels to the scan."""
+    packed = v.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(), _unit(np.stack(local["embedding"].to_numpy()).astype(float))))
+
+    def scan(batches):
+        qids, qm = packed.value
+        best = _best_of_task(batches, qm, limit)
+        if best is not None:
+            yield best.assign(query_id=qids[best["query_id"].to_numpy()])
+
+    return v.mapInPandas(scan, schema), packed
+
+
+def vector_arm(queries: DataFrame, vectors: DataFrame, *, limit: int = ARM_LIMIT, small_rows: int = 4096) -> DataFrame:
     """(query_id, chunk_id, cosine, rank): the exact nearest chunks of each query.
 
     queries(query_id, embedding) x vectors(chunk_id, embedding). A query table of checked size travels to
-    the scan, which multiplies block by block and keeps the best `limit` per block. A larger one is met
-    in shards: vectors are hashed into shards, queries into blocks, and every (shard, block) pair is one
-    group of bounded size. Either way only `limit` rows per query and block are shuffled to the final cut.
+    the scan, which multiplies block by block and keeps the best `limit` per query and task. A larger one is written in
+    waves of about `small_rows` queries, and each wave is such a scan whose result is written: a vector is never
+    shuffled or copied, it is read once for `small_rows` queries, and neither the driver nor a task holds more than one wave.
+    Only `limit` rows per query and task are shuffled to the final cut.
     """
     spark = vectors.sparkSession
-    qt = dict(queries.dtypes)["query_id"]
-    ct = dict(vectors.dtypes)["chunk_id"]
-    schema = f"query_id {qt}, chunk_id {ct}, cosine double"
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, cosine double"
     v = vectors.select("chunk_id", "embedding").filter(F.col("embedding").isNotNull())
     q = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
     if fits(q, small_rows):
         local = q.toPandas()
         if local.empty:
             return spark.createDataFrame([], f"{schema}, rank int")
-        packed = spark.sparkContext.broadcast((local["query_id"].to_numpy(), _unit(np.stack(local["embedding"].to_numpy()).astype(float))))
-
-        def scan(batches):
-            qids, qm = packed.value
-            for pdf in batches:
-                if len(pdf):
-                    yield _best(qids, qm, pdf["chunk_id"], np.stack(pdf["embedding"].to_numpy()).astype(float), limit)
-
-        near = v.mapInPandas(scan, schema)
-    else:
-        shards = max(1, -(-v.count() // shard_rows))
-        blocks = max(1, -(-q.count() // small_rows))
-        vs = v.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards))).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        )
-        qs = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
-            "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint")))
-        )
-
-        def meet(vp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
-            if vp.empty or qp.empty:
-                return pd.DataFrame({"query_id": [], "chunk_id": [], "cosine": []})
-            qm = _unit(np.stack(qp["embedding"].to_numpy()).astype(float))
-            return _best(qp["query_id"].to_numpy(), qm, vp["chunk_id"], np.stack(vp["embedding"].to_numpy()).astype(float), limit)
-
-        near = vs.groupBy("shard", "block").cogroup(qs.groupBy("shard", "block")).applyInPandas(meet, schema)
-    return top_per_query(near, "cosine", limit)
+        return top_per_query(_near_some(local, v, schema, limit)[0], "cosine", limit)
+    waves = -(-q.count() // small_rows)
+    asked, out = new_folder(spark, "waves"), new_folder(spark, "near")
+    q = q.withColumn("wave", F.pmod(F.xxhash64("query_id"), F.lit(waves)).cast("int"))
+    q.repartition("wave").write.partitionBy("wave").parquet(asked)
+    q = spark.read.schema(q.schema).parquet(asked)
+    for wave in range(waves):
+        local = q.filter(F.col("wave") == wave).drop("wave").toPandas()
+        if not local.empty:
+            near, packed = _near_some(local, v, schema, limit)
+            top_per_query(near, "cosine", limit).write.parquet(f"{out}/wave={wave}")
+            packed.destroy()
+    return spark.read.schema(f"{schema}, rank int").parquet(f"{out}/wave=*")
 
 
 # ------------------------------------------------------------------ fusion and ranking

@@ -154,6 +154,19 @@ def r02(spark, sf):
     return R.vector_arm(centroids(spark, sf), vectors(spark, sf)).select("query_id", "chunk_id", "cosine", "rank")
 
 
+@query(
+    "R02_many_queries",
+    """select query_id, chunk_id, cosine, rank::integer as rank from (
+         select *, row_number() over (partition by query_id order by cosine desc, chunk_id) as rank from (
+           select a.vec_id as query_id, b.vec_id as chunk_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine
+           from embeddings a, embeddings b)) where rank <= 10""",
+)
+def r02_many(spark, sf):
+    """Every vector asks for its nearest, in waves of 256 queries."""
+    v = vectors(spark, sf)
+    return R.vector_arm(v.withColumnRenamed("chunk_id", "query_id"), v, limit=10, small_rows=256)
+
+
 @query(
     "W05_score_cliff_cut",
     """

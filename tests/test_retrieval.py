@@ -1,6 +1,7 @@
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,8 +19,26 @@ def test_vector_arm_paths_agree_with_brute_force(spark):
     sims = np.round(unit(qs) @ unit(vecs).T, 6)
     want = {(i, j) for i in range(11) for j in sorted(range(300), key=lambda j: (-sims[i, j], j))[:5]}
     small = {(r["query_id"], r["chunk_id"]) for r in R.vector_arm(q, v, limit=5).collect()}
-    blocks = {(r["query_id"], r["chunk_id"]) for r in R.vector_arm(q, v, limit=5, small_rows=4, shard_rows=70).collect()}
-    assert small == want == blocks
+    waves = [(r["query_id"], r["chunk_id"]) for r in R.vector_arm(q, v, limit=5, small_rows=4).collect()]
+    assert small == want == set(waves) and len(waves) == len(want)
+
+
+def test_best_of_a_task_equals_the_best_of_all_rows():
+    rng = np.random.default_rng(1)
+    vecs, qs = rng.integers(-1, 2, size=(400, 3)).astype(float), rng.normal(size=(300, 3))  # many ties
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    sims = np.round(unit(qs) @ unit(vecs).T, 6)
+    ids = rng.permutation(400)
+    frame = pd.DataFrame({"chunk_id": ids, "embedding": list(vecs)})
+    got = R._best_of_task((frame.iloc[lo : lo + 37] for lo in range(0, 400, 37)), unit(qs), 6)
+    want = {(i, ids[j]) for i in range(300) for j in sorted(range(400), key=lambda j: (-sims[i, j], ids[j]))[:6]}
+    assert {(r.query_id, r.chunk_id) for r in got.itertuples()} == want and len(got) == len(want)
+
+
+def test_vectors_are_not_shuffled(spark):
+    v = spark.range(500).selectExpr("id as chunk_id", "array(cast(id as double), 1d) as embedding")
+    near, _ = R._near_some(v.limit(3).selectExpr("chunk_id as query_id", "embedding").toPandas(), v, "query_id bigint, chunk_id bigint, cosine double", 5)
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
 
 
 def test_salted_join_equals_plain_join(spark):

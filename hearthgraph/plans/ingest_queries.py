@@ -143,6 +143,34 @@ def s04(spark, sf):
     return merged.select("message_id", F.unix_micros("happened_at").alias("at_us"), "from_addr", "subject", "thread_id")
 
 
+@query(
+    "S04_maildir",
+    """
+with c as (select conv_id, count(*) as turns, count(case when text is not null then 1 end) as said from conversations group by conv_id)
+select 'c' || conv_id::varchar || '@x.example' as message_id, epoch_us(timestamp '2024-03-01 08:00:00' + to_minutes(conv_id)) as at_us, 'user' || conv_id::varchar || '@x.example' as from_addr,
+       turns::varchar || ' turns' as subject, case when conv_id % 3 = 0 then 'root@x.example' else 'c' || conv_id::varchar || '@x.example' end as thread_id, 'kept' as outcome from c where conv_id % 13 <> 4
+union all select null, case when conv_id % 2 = 0 then epoch_us(timestamp '2024-03-01 08:00:00' + to_minutes(conv_id)) end, 'user' || conv_id::varchar || '@x.example', turns::varchar || ' turns', case when conv_id % 3 = 0 then 'root@x.example' end, 'missing message-id/from/date' from c where conv_id % 13 = 4""",
+)
+def s04_maildir(spark, sf):
+    """Each conversation as one mail in a folder of its own kind, read back through the file reader; its turns are the body."""
+    c = table(spark, sf, "conversations")
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    m = c.groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), "\n\n").alias("body"), F.count(F.lit(1)).alias("turns"))
+    k, when = F.col("conv_id"), F.expr("timestamp'2024-03-01 08:00:00' + make_interval(0, 0, 0, 0, 0, cast(conv_id as int), 0)")
+    raw = F.concat_ws(
+        "\n", F.concat(F.lit("From: user"), k, F.lit("@x.example")), F.when(k % 13 != 4, F.concat(F.lit("Message-ID: <c"), k, F.lit("@x.example>"))),
+        F.when((k % 13 != 4) | (k % 2 == 0), F.concat(F.lit("Date: "), F.date_format(when, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0000 (UTC)"))),
+        F.concat(F.lit("Subject: "), F.col("turns"), F.lit("\n turns")), F.when(k % 3 == 0, "References: <root@x.example>"), F.lit(""), F.col("body"),
+    )
+    path = new_folder(spark, "maildir")
+    for folder, some in (("cur", k % 2 == 0), ("new", k % 2 == 1)):
+        m.filter(some).select(k.alias("mail"), raw.alias("value")).repartition("mail").write.partitionBy("mail").text(f"{path}/{folder}")
+    good, bad = S.parse_mail(S.read_maildir(spark, path))
+    merged = M.keyed_merge(good.limit(0).drop("arrival"), good, ["message_id"], "arrival", update=False).withColumn("outcome", F.lit("kept"))
+    out = merged.unionByName(bad.drop("arrival").withColumnRenamed("reason", "outcome"))
+    return out.select("message_id", F.unix_micros("happened_at").alias("at_us"), "from_addr", "subject", "thread_id", "outcome")
+
+
 @query(
     "S05_pages_sync",
     """
@@ -239,6 +267,38 @@ def s06(spark, sf):
     return S.session_summaries(t).drop("files", "n_files")
 
 
+@query(
+    "S06_session_files",
+    r"""
+with t as (select conv_id, turn, role, trim(text) as text, role = 'user' and (conv_id + turn) % 5 = 0 as is_meta from conversations),
+p as (select conv_id, count(*) as prompts, arg_min(text, turn) as first from t where role = 'user' and not is_meta and text <> '' and not starts_with(text, '<') group by 1 having count(*) >= 2),
+a as (select conv_id, arg_max(text, turn) as final from t where role = 'assistant' and text <> '' group by 1),
+s as (select conv_id, min(turn) as a, max(turn) as z from t group by 1),
+e as (select conv_id, '/src/f' || ((turn * 5 + i + conv_id) % 23)::varchar || '.py' as file, min(turn * 8 + i) as pos from t, (select unnest(range(8)) as i) where role = 'assistant' group by 1, 2),
+n as (select conv_id, string_agg(file, ',' order by pos) filter (where rn <= 20) as files, count(*) as n_files from (select *, row_number() over (partition by conv_id order by pos) as rn from e) group by 1),
+f as (select p.conv_id, prompts, a, z, files, n_files, trim(regexp_replace(first, '\s+', ' ', 'g')) as r, trim(regexp_replace(final, '\s+', ' ', 'g')) as o
+      from p join s using (conv_id) left join a using (conv_id) left join n using (conv_id))
+select conv_id::varchar as session_id, prompts, case when length(r) <= 500 then r else rtrim(substr(r, 1, 499)) || '…' end as request,
+       coalesce(case when length(o) <= 700 then o else rtrim(substr(o, 1, 699)) || '…' end, '(no final summary)') as outcome,
+       strftime(timestamp '2031-03-01 09:00:00' + to_minutes(a), '%Y-%m-%dT%H:%M:%S') as first_turn, strftime(timestamp '2031-03-01 09:00:00' + to_minutes(z), '%Y-%m-%dT%H:%M:%S') as last_turn,
+       coalesce(files, '') as files, coalesce(n_files, 0) as n_files from f""",
+)
+def s06_files(spark, sf):
+    """Conversations as transcripts of JSON lines, read back: some prompts are not the user's own, each answer edits eight files."""
+    c = table(spark, sf, "conversations")
+    k, t = F.col("conv_id"), F.col("turn")
+    when = F.date_format(F.expr("timestamp'2031-03-01 09:00:00' + make_interval(0, 0, 0, 0, 0, cast(turn as int), 0)"), "yyyy-MM-dd'T'HH:mm:ss")
+    edit = lambda i: F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.when(i % 2 == 0, "Edit").otherwise("Write").alias("name"), F.struct(F.concat(F.lit("/src/f"), (t * 5 + i + k) % 23, F.lit(".py")).alias("file_path")).alias("input"))
+    # a tool that only reads does not touch its file
+    look = F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("Read").alias("name"), F.struct(F.lit("/etc/seen").alias("file_path")).alias("input"))
+    says = F.struct(F.lit("text").alias("type"), F.col("text"), F.lit(None).cast("string").alias("name"), F.struct(F.lit(None).cast("string").alias("file_path")).alias("input"))
+    blocks = F.concat(F.array(says, look), F.transform(F.sequence(F.lit(0), F.lit(7)), edit))
+    line = lambda content: F.to_json(F.struct(k.cast("string").alias("session_id"), F.col("role").alias("type"), ((F.col("role") == "user") & ((k + t) % 5 == 0)).alias("isMeta"), when.alias("timestamp"), F.struct("role", content.alias("content")).alias("message")))
+    path = new_folder(spark, "transcripts")
+    c.select(F.when(F.col("role") == "assistant", line(blocks)).otherwise(line(F.col("text"))).alias("value")).write.text(path)
+    return S.session_summaries(S.read_sessions(spark, path)).withColumn("files", F.array_join("files", ","))
+
+
 @query(
     "S07_keyed_merge",
     """

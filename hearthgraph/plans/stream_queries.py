@@ -14,7 +14,7 @@ from ..streaming import jobs as J
 from . import bindings as B
 from .bindings import EVENT_NOW
 from .ingest_queries import health_xml
-from .registry import RAW, query
+from .registry import CTES, RAW, cte, query
 from .retrieval_queries import centroids, vectors
 from .state_queries import capture_texts, routed
 
@@ -109,7 +109,34 @@ def v03_fail_open(spark, sf):
 select d.doc_id::varchar as chunk_id, case when d.doc_id in (select vec_id from embeddings) then 'old-model' else 'hash-768' end as embed_model
 from documents d where (d.doc_id in (select vec_id from embeddings)) or (regexp_matches(lower(d.text), '[a-z0-9]{2}'))""")
 def d07(spark, sf):
+    return drained(spark, sf).select("chunk_id", "embed_model")
+
+
+def drained(spark, sf):
     c = B.pages_state(spark, sf).select(F.col("id").cast("string").alias("chunk_id"), "text", "tier")
     e = table(spark, sf, "embeddings").join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     v = e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit("old-model").alias("embed_model"))
-    return C.drain_embed_backlog(c, v, EM.hash_vectors, "hash-768").select("chunk_id", "embed_model")
+    return C.drain_embed_backlog(c, v, EM.hash_vectors, "hash-768")
+
+
+# the statements of the offline embedding once more, over the texts of the backlog
+cte("drain_input", "select doc_id::varchar as id, text from documents where doc_id not in (select vec_id from embeddings)")
+for _old, _new, _from, _to in (
+    ("lex_embed_tokens", "drain_tokens", "embed_input", "drain_input"), ("token_seeds", "drain_seeds", "lex_embed_tokens", "drain_tokens"), ("token_draws", "drain_draws", "token_seeds", "drain_seeds"),
+):
+    cte(_new, CTES[_old].replace(_from, _to))
+cte("drain_weights", CTES["embed_weights"].replace("lex_embed_tokens", "drain_tokens").replace("token_draws", "drain_draws"))
+
+
+@query(
+    "D07_drained_vectors",
+    """
+select id as chunk_id, 'hash-768' as embed_model, count(*) as filled, round(sum((dim + 1) * weight::double) / sqrt(sum(weight::double ** 2)), 4) as checksum from drain_weights group by id
+union all
+select vec_id::varchar, 'old-model', len(list_filter(embedding, lambda x: x <> 0)), round(list_sum(list_transform(embedding, lambda x, i: i * x::double)), 4) from embeddings where vec_id in (select doc_id from documents)""",
+)
+def d07_vectors(spark, sf):
+    """The vectors themselves: how many components are filled, and the sum of all by their place."""
+    x = F.col("embedding")
+    placed = F.aggregate(F.zip_with(x, F.sequence(F.lit(1), F.size(x)), lambda a, i: a * i), F.lit(0.0), lambda s, a: s + a)
+    return drained(spark, sf).select("chunk_id", "embed_model", F.size(F.filter(x, lambda a: a != 0)).cast("bigint").alias("filled"), F.round(placed, 4).alias("checksum"))

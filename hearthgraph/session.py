@@ -26,6 +26,9 @@ def tune(spark: SparkSession) -> SparkSession:
         # split a hot key even where that costs one more exchange
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # what streams have seen lies on disk, and a batch writes its changes only: its time does not follow the history
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }.items():
         spark.conf.set(key, value)
     return spark

@@ -151,7 +151,7 @@ def parse_health(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_maildir(spark: SparkSession, path: str) -> DataFrame:
     """Messages under cur and new, one row each; dot files are left out by the file source itself."""
-    return spark.read.text([f"{path}/cur", f"{path}/new"], wholetext=True).select(F.col("value").alias("raw"), arrival())
+    return spark.read.option("recursiveFileLookup", "true").text([f"{path}/cur", f"{path}/new"], wholetext=True).select(F.col("value").alias("raw"), arrival())
 
 
 def parse_mail(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

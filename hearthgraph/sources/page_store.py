@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.chunking import chunk_pages, replace_chunks
+from ..operators.chunking import chunk_pages
 from ..session import materialize
 from .merge import compare_pages
 
@@ -77,7 +77,9 @@ class PageStore:
         keys = work.select(F.lit("page").alias("parent_type"), F.col("path").alias("parent_id"), "bucket")
         # one row without a chunk for each page, so that a bucket whose last chunk goes is still overwritten
         marks = keys.select(none("string").alias("chunk_id"), "parent_type", "parent_id", none("int").alias("ord"), none("string").alias("text"), none("int").alias("tier"), "bucket")
-        self._write(replace_chunks(self._chunk_rows().filter(here), keys, made.unionByName(marks)), "chunks")
+        # what is made belongs to the named pages alone, so only the old rows meet them
+        others = self._chunk_rows().filter(here).join(keys.drop("bucket"), ["parent_type", "parent_id"], "left_anti")
+        self._write(others.unionByName(made).unionByName(marks), "chunks")
 
         old = self.pages().filter(here).join(work.select("path", "action"), "path", "left")
         kept = old.filter("action is null or action = 'delete'").withColumn("status", F.when(F.col("action") == "delete", "deleted").otherwise(F.col("status")))

@@ -8,7 +8,7 @@ any order and the same on every engine.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,32 +55,8 @@ def embed_tokens(text: Column) -> Column:
     return F.filter(parts, lambda t: F.length(t) >= 2)
 
 
-def hash_weights(texts: DataFrame, dims: int = 768) -> DataFrame:
-    """(id, text) -> (id, dim, weight): the sparse vector in units of 2^-32, zero sums kept out.
-
-    The relational form of hash_vectors, for joins on single dimensions and for exact comparison.
-
-    Tokens are counted before the draws, so a text with one word a million times costs eight draws.
-    """
-    counted = texts.select("id", F.explode(embed_tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    seeded = counted.select("id", "n", fnv1a(F.col("token")).alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("j"))
-    d = with_draw(with_draw(seeded, "seed", F.col("j") * 2 + 1, "r1"), "seed", F.col("j") * 2 + 2, "r2")
-    return (
-        d.select(
-            "id",
-            F.shiftright(F.col("r1") * dims, 32).cast("int").alias("dim"),
-            (F.col("n") * (F.col("r2") * 2 - F.lit(2**31))).alias("w"),
-        )
-        .groupBy("id", "dim")
-        .agg(F.sum("w").alias("weight"))
-        .filter("weight <> 0")
-    )
-
-
 def _draws(seeds: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(dimension, weight) arrays of shape (len(seeds), DRAWS) for one batch of seeds."""
+    """(dimension, weight in units of 2^-32) arrays of shape (len(seeds), DRAWS) for one batch of seeds."""
     mask = np.uint64(MASK)
     k = np.arange(1, 2 * DRAWS + 1, dtype=np.uint64)
     a = (seeds[:, None] + k * np.uint64(STEP)) & mask
@@ -88,29 +64,71 @@ def _draws(seeds: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
     u = ((t ^ (t >> np.uint64(7))) * (t | np.uint64(61))) & mask
     t = ((t + u) & mask) ^ t
     r = t ^ (t >> np.uint64(14))
-    return ((r[:, 0::2] * np.uint64(dims)) >> np.uint64(32)).astype(np.int64), r[:, 1::2] / float(2**31) - 0.5
+    return ((r[:, 0::2] * np.uint64(dims)) >> np.uint64(32)).astype(np.int64), r[:, 1::2].astype(np.int64) * 2 - 2**31
+
+
+def _rows(batch: pa.RecordBatch, dims: int):
+    """(row, dimension, weight) of every draw of a batch, and its number of rows."""
+    seeds = batch.column("seeds")
+    n = np.diff(seeds.offsets.to_numpy())
+    every, at = np.unique(seeds.flatten().to_numpy().astype(np.uint64), return_inverse=True)
+    where, weight = _draws(every, dims)
+    return np.repeat(np.arange(len(n)), n * DRAWS), where[at].ravel(), weight[at].ravel()
+
+
+def _few(batches, rows: int = 2048):
+    """Slices of at most `rows` rows, so that what is made of them stays small whatever the batch size."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def _seeds(tokens: Column) -> Column:
+    return F.transform(tokens, fnv1a).alias("seeds")
+
+
+def hash_weights(texts: DataFrame, dims: int = 768) -> DataFrame:
+    """(id, text) -> (id, dim, weight): the sparse vector in units of 2^-32, zero sums kept out.
+
+    The relational form of hash_vectors, for joins on single dimensions and for exact comparison.
+
+    The texts of an id are brought together, once; draws are summed in whole numbers inside the Arrow batch
+    that makes them, so that only an id's own sums leave it and no draw is shuffled or spilled.
+    """
+
+    def summed(batches):
+        for batch in _few(batches):
+            row, where, weight = _rows(batch, dims)
+            key, at = np.unique(row * dims + where, return_inverse=True)
+            total = np.zeros(len(key), dtype=np.int64)
+            np.add.at(total, at, weight)
+            key, total = key[total != 0], total[total != 0]
+            ends = np.searchsorted(key, np.arange(batch.num_rows + 1) * dims).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((key % dims).astype(np.int32), total)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "dim", "weight"])
+
+    tokens = F.flatten(F.collect_list(embed_tokens(F.col("text"))))
+    seeds = texts.groupBy("id").agg(tokens.alias("tokens")).select("id", _seeds(F.col("tokens"))).filter(F.size("seeds") > 0)
+    sums = seeds.mapInArrow(summed, f"id {dict(texts.dtypes)['id']}, dim array<int>, weight array<bigint>")
+    return sums.select("id", F.explode(F.arrays_zip("dim", "weight")).alias("w")).select("id", "w.dim", "w.weight")
 
 
 def hash_vectors(texts: DataFrame, dims: int = 768) -> DataFrame:
     """(id, text) -> (id, embedding array<double>) normalized; texts without a token have no vector.
 
-    A text's vector depends on its own tokens only, so this is a projection: seeds are computed beside the
-    scan and an Arrow batch turns them into vectors, without any shuffle.
+    Columns beside id and text come along. A text's vector depends on its own tokens only, so this is a projection:
+    seeds are computed beside the scan and an Arrow batch turns them into vectors, without any shuffle.
     """
+    rest = [c for c in texts.columns if c != "text"]
 
     def dense(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            every, at = np.unique(np.concatenate(pdf["seeds"].to_list()).astype(np.uint64), return_inverse=True)
-            where, weight = _draws(every, dims)
-            out, start = [], 0
-            for n in pdf["seeds"].map(len):
-                rows = at[start : start + n]
-                start += n
-                v = np.bincount(where[rows].ravel(), weights=weight[rows].ravel(), minlength=dims)
-                out.append(v / (np.linalg.norm(v) or 1.0))
-            yield pd.DataFrame({"id": pdf["id"], "embedding": out})
-
-    seeds = texts.select("id", F.transform(embed_tokens(F.col("text")), fnv1a).alias("seeds")).filter(F.size("seeds") > 0)
-    return seeds.mapInPandas(dense, f"id {dict(texts.dtypes)['id']}, embedding array<double>")
+        for batch in _few(batches):
+            row, where, weight = _rows(batch, dims)
+            v = np.bincount(row * dims + where, weights=weight / UNIT, minlength=batch.num_rows * dims).reshape(-1, dims)
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            norm[norm == 0] = 1.0
+            vectors = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * dims, pa.array((v / norm).ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), vectors], names=[*rest, "embedding"])
+
+    seeds = texts.select(*rest, _seeds(embed_tokens(F.col("text")))).filter(F.size("seeds") > 0)
+    return seeds.mapInArrow(dense, ", ".join(f"`{c}` {t}" for c, t in texts.select(*rest).dtypes) + ", embedding array<double>")

@@ -140,6 +140,8 @@ def build_context(cases: DataFrame, beliefs: DataFrame, hits: DataFrame) -> Data
     live = F.col("pinned") & ~F.col("resolved")
     pin = F.coalesce(live & (F.col("type") != "open_question") & ~F.col("superseded"), F.lit(False))
     b = beliefs.select("id", "user_id", "type", "participants", "scopes", pin.alias("pin"), (live & (F.col("type") == "open_question")).alias("ask"))
+    # beliefs are small where they are stored and large as rows with their lists: they meet cases by a shuffle, and the driver holds none
+    b = b.hint("merge")
     order = Window.partitionBy("case_id").orderBy("id")
     # the largest budgets as plain numbers, so that the rank limit also works before the shuffle
     most = cases.agg(F.max("max_beliefs").alias("b"), F.max("max_questions").alias("q")).first()
@@ -148,7 +150,7 @@ def build_context(cases: DataFrame, beliefs: DataFrame, hits: DataFrame) -> Data
         alike = Window.partitionBy("user_id", "scope").orderBy("id")
         few = b.filter(flag).select("id", "user_id", F.explode("scopes").alias("scope")).distinct()
         few = few.withColumn("_r", F.row_number().over(alike)).filter(F.col("_r") <= (n or 0)).drop("_r")
-        met = c.join(few, ["user_id", "scope"]).dropDuplicates(["case_id", "id"])
+        met = c.join(few.hint("merge"), ["user_id", "scope"]).dropDuplicates(["case_id", "id"])
         return met.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= (n or 0))
 
     pinned = first("pin", most["b"]).filter(F.col("pos") <= F.col("max_beliefs"))
@@ -156,11 +158,11 @@ def build_context(cases: DataFrame, beliefs: DataFrame, hits: DataFrame) -> Data
     # the provider's limit counts pinned hits too, so they are cut first and then left out
     budget = cases.select("case_id", "max_beliefs", F.col("user_id").alias("_user"), F.col("scopes").alias("_scopes"))
     mine = F.coalesce((F.col("user_id") == F.col("_user")) & F.arrays_overlap("scopes", "_scopes"), F.lit(False))
-    got = hits.join(budget, "case_id").filter(F.col("rank") <= F.col("max_beliefs")).join(b, "id")
+    got = hits.join(budget.hint("merge"), "case_id").filter(F.col("rank") <= F.col("max_beliefs")).join(b, "id")
     got = got.filter(~(mine & F.col("pin"))).select("case_id", "id", "rank", "type", "participants")
     extra = got.filter("type = 'relation'").select("case_id", "rank", F.posexplode("participants").alias("p", "id"))
     extra = (
-        extra.join(budget, "case_id").join(b.drop("type", "participants"), "id").filter(mine & ~F.col("pin"))
+        extra.join(budget.hint("merge"), "case_id").join(b.drop("type", "participants").hint("merge"), "id").filter(mine & ~F.col("pin"))
         .join(got.select("case_id", "id"), ["case_id", "id"], "left_anti")
         .groupBy("case_id", "id").agg(F.min(F.struct("rank", "p")).alias("o"))
     )
@@ -297,14 +299,16 @@ def leak_audit(results: DataFrame, sentinels: DataFrame) -> DataFrame:
     """Result rows above the reader's tier: (result_id, reader_tier, sentinel) for each sentinel found in the text.
 
     results(result_id, reader_tier, text), sentinels(sentinel, tier). A sentinel is a run of any number of words. Words
-    of the results that open a sentinel are found by equality, and the run from there is compared word by word.
+    of the results that open a sentinel are found by equality, and the run from there meets the sentinels as a whole, so a
+    first word that many sentinels share makes no pairs.
     """
     words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     s = sentinels.select("sentinel", "tier", words("sentinel").alias("run")).filter(F.size("run") > 0).withColumn("head", F.col("run")[0])
     r = results.select("result_id", "reader_tier", words("text").alias("ws"))
-    at = r.select("result_id", "reader_tier", F.posexplode("ws").alias("pos", "head")).join(s.select("head").distinct(), "head", "left_semi")
-    hits = at.join(s, "head").filter(F.col("tier") > F.col("reader_tier"))
-    alone = hits.filter(F.size("run") == 1).select("result_id", "reader_tier", "sentinel")
-    longer = hits.filter(F.size("run") > 1).join(r.select("result_id", "ws").distinct(), "result_id")
-    longer = longer.filter(F.slice("ws", F.col("pos") + 1, F.size("run")) == F.col("run")).select("result_id", "reader_tier", "sentinel")
-    return alone.unionByName(longer).distinct()
+    lengths = s.select("head", F.size("run").alias("n")).distinct()
+    at = r.select("result_id", "reader_tier", F.posexplode("ws").alias("pos", "head")).join(lengths, "head")
+    alone = at.filter("n = 1").join(s.filter(F.size("run") == 1).select("sentinel", "tier", "head"), "head")
+    longer = at.filter("n > 1").join(r.select("result_id", "ws").distinct(), "result_id").withColumn("run", F.slice("ws", F.col("pos") + 1, F.col("n"))).drop("ws", "head")
+    longer = longer.join(s.filter(F.size("run") > 1).select("sentinel", "tier", "run"), "run")
+    told = lambda d: d.filter(F.col("tier") > F.col("reader_tier")).select("result_id", "reader_tier", "sentinel")
+    return told(alone).unionByName(told(longer)).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import evaluate as E
 from ..operators import retrieval as R
@@ -205,8 +206,12 @@ def cases(spark, sf):
 def case_hits(spark, sf, b, c):
     """The scoped search of a case: its user's parts of the brand in scope, dearest first."""
     price = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_retailprice")
-    s = b.select("id", "user_id", F.get("scopes", F.lit(0)).alias("scope")).join(c.select("case_id", "user_id", F.get("scopes", F.lit(0)).alias("scope")), ["user_id", "scope"])
-    j = s.join(price, "id").select(F.col("case_id").alias("query_id"), F.col("id").alias("chunk_id"), "p_retailprice")
+    s = b.select("id", "user_id", F.get("scopes", F.lit(0)).alias("scope")).join(price.hint("merge"), "id")
+    # cases of one user and scope have the same dearest 20, so no case meets all parts of its scope
+    dearest = Window.partitionBy("user_id", "scope").orderBy(F.desc("p_retailprice"), "id")
+    s = s.withColumn("_r", F.row_number().over(dearest)).filter(F.col("_r") <= 20)
+    j = s.join(c.select("case_id", "user_id", F.get("scopes", F.lit(0)).alias("scope")).hint("merge"), ["user_id", "scope"])
+    j = j.select(F.col("case_id").alias("query_id"), F.col("id").alias("chunk_id"), "p_retailprice")
     return R.top_per_query(j, "p_retailprice", 20).select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("id"), "rank")
 
 
@@ -255,8 +260,9 @@ def e06_context(spark, sf):
 def expectations(spark, sf):
     """Expected of each case: its brand's small-numbered parts, none beyond a number, at most five, order of two."""
     b, c = beliefs(spark, sf), cases(spark, sf)
-    j = b.select("id", "user_id", F.get("scopes", F.lit(0)).alias("scope")).join(c.select("case_id", "user_id", F.get("scopes", F.lit(0)).alias("scope")), ["user_id", "scope"])
-    per = j.groupBy("case_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    ends = b.groupBy("user_id", F.get("scopes", F.lit(0)).alias("scope")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    j = c.select("case_id", "user_id", F.get("scopes", F.lit(0)).alias("scope")).join(ends, ["user_id", "scope"])
+    per = j.groupBy("case_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     e = lambda sec, rule, i, o, n: F.struct(F.lit(sec).alias("section"), F.lit(rule).alias("rule"), i.cast("bigint").alias("id"), o.cast("bigint").alias("other"), n.cast("int").alias("n"))
     no = F.lit(None)
     return per.select(

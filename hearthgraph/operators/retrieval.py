@@ -6,6 +6,7 @@ chunks: chunk_id, parent_type, parent_id, ord, text, tier. queries: query_id, qu
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -86,37 +87,117 @@ def scoped(candidates: DataFrame, scope: tuple[DataFrame, DataFrame] | None, typ
     return out if scope is None else in_scope(out, scope)
 
 
+def _block_matches(chunks: pd.DataFrame, asked: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Per query of a block the `limit` best chunks of a block, ties by id; chunks(chunk_id, terms, tfs), asked(ask, terms, gains).
+
+    Without gains a matching position counts a tenth. A query sums the postings of its own terms, so nothing is made per pair.
+    """
+    chunks = chunks.sort_values("chunk_id", kind="stable")
+    ids, n = chunks["chunk_id"].to_numpy(), len(chunks)
+    words, vocabulary = pd.factorize(np.concatenate(asked["terms"].to_list()))
+    code = pd.Index(vocabulary).get_indexer(np.concatenate(chunks["terms"].to_list()))
+    row, tf = np.repeat(np.arange(n), chunks["terms"].map(len)), np.concatenate(chunks["tfs"].to_list())
+    at = np.argsort(code, kind="stable")
+    code, row, tf = code[at], row[at], tf[at].astype(float)
+    start = np.searchsorted(code, np.arange(len(vocabulary) + 1))
+    ends = np.cumsum(asked["terms"].map(len).to_numpy())
+    who, what, many, how = [], [], [], []
+    for ask, gains, end in zip(asked["ask"], asked["gains"], ends):
+        mine = words[end - len(gains) : end]
+        spans = [slice(start[w], start[w + 1]) for w in mine]
+        where = np.concatenate([row[x] for x in spans])
+        positions = np.bincount(where, weights=np.concatenate([tf[x] for x in spans]), minlength=n)
+        if np.isnan(gains).any():
+            score = np.round(positions * 0.1, 6)
+        else:
+            score = np.round(np.bincount(where, weights=np.repeat(gains, [x.stop - x.start for x in spans]), minlength=n), 6)
+        found = np.flatnonzero(positions)
+        if len(found) > limit:
+            found = found[score[found] >= np.partition(score[found], len(found) - limit)[len(found) - limit]]
+            found = found[np.argsort(-score[found], kind="stable")[:limit]]
+        who.extend([ask] * len(found))
+        what.append(ids[found])
+        many.append(positions[found].astype(np.int64))
+        how.append(score[found])
+    return pd.DataFrame({"ask": pd.Series(who, dtype=object), "chunk_id": np.concatenate(what), "positions": np.concatenate(many), "lexical": np.concatenate(how)})
+
+
+def _best_matches(asked: DataFrame, idx: DataFrame, chunk_groups: DataFrame, ask_groups: DataFrame | None, limit: int, block_rows: int, query_rows: int) -> DataFrame:
+    """(query_id, chunk_id, positions, lexical): at least the `limit` best chunks of each query and group; one group, 0, if queries have none.
+
+    A group's chunks are dealt over blocks of about `block_rows` and its queries over blocks of `query_rows`. Every pair of
+    blocks is one task's group and leaves `limit` rows a query, so a (query, chunk) pair is never shuffled or written.
+    """
+    kinds = dict(asked.dtypes)
+    q = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "gain")).alias("t"))
+    v = idx.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("t"))
+    v = v.withColumn("g", F.lit(0)) if ask_groups is None else v.join(chunk_groups.distinct(), "chunk_id")
+    q = q.withColumn("g", F.lit(0)) if ask_groups is None else q.join(ask_groups.distinct(), "query_id")
+    # how many blocks there are follows the number of chunks, for which no text is cut into terms
+    parts = lambda d, rows, name: d.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    sizes = materialize(parts(chunk_groups, block_rows, "nv").join(parts(q.select("g"), query_rows, "nq"), "g"), "blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = ["g", "vb", "qb"]
+    vs = v.join(sizes, "g").select(
+        "g", F.pmod(F.xxhash64("chunk_id"), F.col("nv")).cast("int").alias("vb"), every("nq").alias("qb"), "chunk_id", F.col("t.term").alias("terms"), F.col("t.tf").alias("tfs")
+    )
+    qs = q.join(sizes, "g").select(
+        "g", every("nv").alias("vb"), F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int").alias("qb"), F.col("query_id").cast("string").alias("ask"),
+        F.col("t.term").alias("terms"), F.transform("t.gain", lambda x: F.coalesce(x, F.lit(float("nan")))).alias("gains"),
+    )
+    schema = f"ask string, chunk_id {dict(idx.dtypes)['chunk_id']}, positions bigint, lexical double"
+
+    def meet(vp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
+        if vp.empty or qp.empty:
+            return pd.DataFrame({"ask": [], "chunk_id": [], "positions": [], "lexical": []})
+        return _block_matches(vp, qp, limit)
+
+    near = vs.groupBy(*at).cogroup(qs.groupBy(*at)).applyInPandas(meet, schema)
+    return near.select(F.col("ask").cast(kinds["query_id"]).alias("query_id"), "chunk_id", "positions", "lexical")
+
+
 def lexical_arm(
     queries: DataFrame, chunks: DataFrame, *, allowed: int = 1, types=None, scope=None, limit: int = ARM_LIMIT,
     stop: list[str] | None = None, common: float | None = None, idf: bool = False, index: DataFrame | None = None, stem: bool = False,
+    block_rows: int = 4_096, query_rows: int = 4_096,
 ) -> DataFrame:
     """(query_id, chunk_id, parent_type, parent_id, positions, lexical, rank): top chunks by matching positions.
 
     Any shared term makes a candidate; its rank value is a tenth of its number of matching positions.
     `common` drops terms that stand in more than this share of the chunks (a stop list for languages without one),
     `idf=True` weighs each matching term by its rarity; `stem=True` matches English stems (an `index` given must then
-    hold stems). The index is cut to the terms somebody asks for before anything is counted or moved.
+    hold stems). The index is cut to the terms somebody asks for before anything is counted or moved, queries meet the
+    chunks of their own scope only, and a block of chunks keeps `limit` rows a query.
     """
-    seen = chunks.filter(visible(F.col("tier"), allowed)).select("chunk_id", "parent_type", "parent_id", "text")
-    idx = index if index is not None else term_table(seen, stop, stem)
+    seen = chunks.filter(visible(F.col("tier"), allowed) & F.col("chunk_id").isNotNull()).select("chunk_id", "parent_type", "parent_id", "text")
+    # a chunk's terms stay where its text is dealt to, so the text is moved once and its terms never
+    idx = index if index is not None else term_table(seen.repartition("chunk_id"), stop, stem)
     asked = query_terms(queries, stop, stem)
     idx = idx.select("chunk_id", "term", "tf").join(asked.select("term").distinct(), "term", "left_semi")
-    gain = F.col("tf") * 0.1
+    gain = F.lit(None).cast("double")
     if idf or common is not None:
+        # counted before it is matched: written, so that no text is cut into terms twice
+        idx = materialize(idx, "asked_terms")
         total = seen.agg(F.count(F.lit(1))).scalar()
         stats = idx.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("total", total)
         if common is not None:
             stats = stats.filter(F.col("df") <= common * F.col("total"))
         asked = asked.join(stats, "term")
         gain = F.log(F.col("total").cast("double") / F.col("df")) if idf else gain
-    matched = salted_join(idx, asked, "term", "chunk_id").withColumn("gain", gain)
-    scores = matched.groupBy("query_id", "chunk_id").agg(
-        F.sum("tf").alias("positions"), F.round(F.sum("gain"), 6).alias("lexical")
-    )
-    if scope is None and not types:
+    asked = asked.select("query_id", "term", gain.alias("gain"))
+    kept = seen.filter(F.col("parent_type").isin(types)) if types else seen
+    if types and scope is None:
+        idx = idx.join(kept.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    chunk_groups, ask_groups = kept.select("chunk_id", F.lit(0).alias("g")), None
+    if scope is not None:
+        ask_groups, has = scope[0].select("query_id", "g"), scope[1].select("parent_id", "g")
+        chunk_groups = kept.select("chunk_id", "parent_id").join(has.distinct(), "parent_id").select("chunk_id", "g")
+    scores = _best_matches(asked, idx, chunk_groups, ask_groups, limit, block_rows, query_rows)
+    if scope is not None:  # a chunk that a query finds in two of its scopes is told apart below
+        scores = scores.distinct()
+    elif not types:
         scores = top_per_query(scores, "lexical", limit).drop("rank")
-        return top_per_query(scores.join(seen.drop("text"), "chunk_id"), "lexical", limit)
-    return top_per_query(scoped(scores.join(seen.drop("text"), "chunk_id"), scope, types), "lexical", limit)
+    return top_per_query(scoped(scores.join(kept.drop("text"), "chunk_id"), scope, types), "lexical", limit)
 
 
 # ------------------------------------------------------------------ vector arm
@@ -363,7 +444,7 @@ def cliff_cut(ranked: DataFrame, score: str = "rerank", order: str = "new_rank",
 
 def hybrid_search(
     queries: DataFrame, chunks: DataFrame, meta: DataFrame, now: Column, *, query_vectors: DataFrame | None = None,
-    chunk_vectors: DataFrame | None = None, near: DataFrame | None = None, access: DataFrame | None = None, allowed: int = 1,
+    chunk_vectors: DataFrame | None = None, near: DataFrame | Callable[[DataFrame], DataFrame] | None = None, access: DataFrame | None = None, allowed: int = 1,
     types: list[str] | None = None, scope: tuple[DataFrame, DataFrame] | None = None, include_derived: bool = False, limit: int = 10,
     rerank=None, head: int = HEAD, autocut: bool = False, stop: list[str] | None = None, common: float | None = None,
     idf: bool = False, index: DataFrame | None = None, stem: bool = False,
@@ -371,7 +452,7 @@ def hybrid_search(
     """The whole pipeline: intent, both arms, fusion, metadata, adjustment, best chunk, rerank, cut, snippet.
 
     meta: id, title, tier, updated_on, created_by, source, derived. near: (query_id, parent_id) pairs one
-    hop from a named entity. access: (parent_id, drills). Without vectors the lexical arm stands alone.
+    hop from a named entity, or a function that keeps those of the candidates' pairs. access: (parent_id, drills). Without vectors the lexical arm stands alone.
     rerank orders the first `head` hits anew: scores (query_id, chunk_id, rerank), a column over `query` and `text` (see
     wording), or an outside scorer that is asked for each query's head (see ask_scorer).
     """
@@ -391,13 +472,14 @@ def hybrid_search(
             vec = scoped_vector_arm(query_vectors, cv, scope, types)
     else:
         vec = lex.select("query_id", "chunk_id").limit(0).withColumn("cosine", F.lit(0.0)).withColumn("rank", F.lit(1))
-    # a candidate list holds at most 100 chunks per query: everything from here on is small
-    cand = fuse(vec, lex, q).join(seen.select("chunk_id", "parent_type", "parent_id"), "chunk_id")
+    # a candidate list holds at most 100 chunks per query: everything from here on is small, and it is written so that it is found once
+    cand = materialize(fuse(vec, lex, q).join(seen.select("chunk_id", "parent_type", "parent_id"), "chunk_id"), "candidates")
     m = meta.filter(visible(F.col("tier"), allowed)).select(
         F.col("id").alias("parent_id"), F.substring("title", 1, 120).alias("title"), "updated_on", "created_by", "source", "derived"
     )
     d = cand.join(m, "parent_id").join(q, "query_id")
     if near is not None:
+        near = near(cand.select("query_id", "parent_id")) if callable(near) else near
         d = d.join(near.select("query_id", "parent_id").distinct().withColumn("near", F.lit(True)), ["query_id", "parent_id"], "left")
         d = d.withColumn("near", F.coalesce("near", F.lit(False)))
     else:

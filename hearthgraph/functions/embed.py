@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +114,31 @@ def hash_weights(texts: DataFrame, dims: int = 768) -> DataFrame:
     return sums.select("id", F.explode(F.arrays_zip("dim", "weight")).alias("w")).select("id", "w.dim", "w.weight")
 
 
+def seeded(texts: DataFrame) -> DataFrame:
+    """(..., text) -> (..., seeds): what a text's vector is made of, a number for each of its tokens."""
+    return texts.select(*[c for c in texts.columns if c != "text"], _seeds(embed_tokens(F.coalesce("text", F.lit("")))))
+
+
+def dense(batch: pa.RecordBatch, dims: int = 768) -> np.ndarray:
+    """The normalized vectors of a batch of seeds, one row each."""
+    row, where, weight = _rows(batch, dims)
+    v = np.bincount(row * dims + where, weights=weight / UNIT, minlength=batch.num_rows * dims).reshape(-1, dims)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    norm[norm == 0] = 1.0
+    return v / norm
+
+
+def dense_single(batch: pa.RecordBatch) -> np.ndarray:
+    """The same in single precision, as an index stores them."""
+    return dense(batch).astype(np.float32)
+
+
+def spoken(batches):
+    """Small batches of seeds, without the rows that have none."""
+    for batch in batches:
+        yield from _few([batch.filter(pc.greater(pc.list_value_length(batch.column("seeds")), 0))])
+
+
 def hash_vectors(texts: DataFrame, dims: int = 768) -> DataFrame:
     """(id, text) -> (id, embedding array<double>) normalized; texts without a token have no vector.
 
@@ -121,14 +147,9 @@ def hash_vectors(texts: DataFrame, dims: int = 768) -> DataFrame:
     """
     rest = [c for c in texts.columns if c != "text"]
 
-    def dense(batches):
-        for batch in _few(batches):
-            row, where, weight = _rows(batch, dims)
-            v = np.bincount(row * dims + where, weights=weight / UNIT, minlength=batch.num_rows * dims).reshape(-1, dims)
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            norm[norm == 0] = 1.0
-            vectors = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * dims, pa.array((v / norm).ravel()))
+    def made(batches):
+        for batch in spoken(batches):
+            vectors = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * dims, pa.array(dense(batch, dims).ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), vectors], names=[*rest, "embedding"])
 
-    seeds = texts.select(*rest, _seeds(embed_tokens(F.col("text")))).filter(F.size("seeds") > 0)
-    return seeds.mapInArrow(dense, ", ".join(f"`{c}` {t}" for c, t in texts.select(*rest).dtypes) + ", embedding array<double>")
+    return seeded(texts).mapInArrow(made, ", ".join(f"`{c}` {t}" for c, t in texts.select(*rest).dtypes) + ", embedding array<double>")

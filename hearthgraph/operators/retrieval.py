@@ -11,11 +11,14 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions.embed import spoken
 from ..functions.stem import stemmed
 from ..model import visible
 from ..session import fits, materialize, new_folder
@@ -31,6 +34,8 @@ HEAD, CLIFF = 20, 0.35
 SALTS = 16
 # queries that one block of vectors is multiplied with at a time
 TILE = 256
+# different terms of all queries, as many as may travel to the texts; with more, terms meet by a join
+VOCABULARY = 200_000
 
 
 # ------------------------------------------------------------------ lexical arm
@@ -87,18 +92,39 @@ def scoped(candidates: DataFrame, scope: tuple[DataFrame, DataFrame] | None, typ
     return out if scope is None else in_scope(out, scope)
 
 
+def _asked_in(chunks: DataFrame, words: list[str]) -> DataFrame:
+    """(chunk_id, terms, tfs): which of the words each chunk row has, by their place in the list, and how often; found beside the scan."""
+    packed = chunks.sparkSession.sparkContext.broadcast(words)
+
+    def found(batches):
+        vocabulary = pa.array(packed.value, pa.string())
+        for batch in batches:
+            said = batch.column("said")
+            code = pc.fill_null(pc.index_in(said.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(said)), pc.list_value_length(said).to_numpy(zero_copy_only=False))
+            key, tf = np.unique((row * len(vocabulary) + code)[code >= 0], return_counts=True)
+            some, first = np.unique(key // max(1, len(vocabulary)), return_index=True)
+            ends = pa.array(np.append(first, len(key)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((key % max(1, len(vocabulary))).astype(np.int32), tf.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(some)), *lists], names=["chunk_id", "terms", "tfs"])
+
+    said = chunks.select("chunk_id", X.terms(F.coalesce("text", F.lit(""))).alias("said"))
+    return said.mapInArrow(found, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, terms array<int>, tfs array<bigint>")
+
+
 def _block_matches(chunks: pd.DataFrame, asked: pd.DataFrame, limit: int) -> pd.DataFrame:
     """Per query of a block the `limit` best chunks of a block, ties by id; chunks(chunk_id, terms, tfs), asked(ask, terms, gains).
 
     Without gains a matching position counts a tenth. A query sums the postings of its own terms, so nothing is made per pair.
+    Rows of one chunk id are one chunk.
     """
-    chunks = chunks.sort_values("chunk_id", kind="stable")
-    ids, n = chunks["chunk_id"].to_numpy(), len(chunks)
+    at, ids = pd.factorize(chunks["chunk_id"], sort=True)
+    ids, n = np.asarray(ids), len(ids)
     words, vocabulary = pd.factorize(np.concatenate(asked["terms"].to_list()))
     code = pd.Index(vocabulary).get_indexer(np.concatenate(chunks["terms"].to_list()))
-    row, tf = np.repeat(np.arange(n), chunks["terms"].map(len)), np.concatenate(chunks["tfs"].to_list())
-    at = np.argsort(code, kind="stable")
-    code, row, tf = code[at], row[at], tf[at].astype(float)
+    row, tf = np.repeat(at, chunks["terms"].map(len)), np.concatenate(chunks["tfs"].to_list()).astype(float)
+    key, place = np.unique((code.astype(np.int64) * n + row)[code >= 0], return_inverse=True)
+    code, row, tf = key // n, key % n, np.bincount(place, weights=tf[code >= 0], minlength=len(key))
     start = np.searchsorted(code, np.arange(len(vocabulary) + 1))
     ends = np.cumsum(asked["terms"].map(len).to_numpy())
     who, what, many, how = [], [], [], []
@@ -127,20 +153,18 @@ def _best_matches(asked: DataFrame, idx: DataFrame, chunk_groups: DataFrame, ask
 
     A group's chunks are dealt over blocks of about `block_rows` and its queries over blocks of `query_rows`. Every pair of
     blocks is one task's group and leaves `limit` rows a query, so a (query, chunk) pair is never shuffled or written.
+    idx(chunk_id, terms, tfs) may have several rows of a chunk id; they meet in their block.
     """
     kinds = dict(asked.dtypes)
     q = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "gain")).alias("t"))
-    v = idx.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("t"))
-    v = v.withColumn("g", F.lit(0)) if ask_groups is None else v.join(chunk_groups.distinct(), "chunk_id")
+    v = idx.withColumn("g", F.lit(0)) if ask_groups is None else idx.join(chunk_groups.distinct(), "chunk_id")
     q = q.withColumn("g", F.lit(0)) if ask_groups is None else q.join(ask_groups.distinct(), "query_id")
     # how many blocks there are follows the number of chunks, for which no text is cut into terms
     parts = lambda d, rows, name: d.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
     sizes = materialize(parts(chunk_groups, block_rows, "nv").join(parts(q.select("g"), query_rows, "nq"), "g"), "blocks")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = ["g", "vb", "qb"]
-    vs = v.join(sizes, "g").select(
-        "g", F.pmod(F.xxhash64("chunk_id"), F.col("nv")).cast("int").alias("vb"), every("nq").alias("qb"), "chunk_id", F.col("t.term").alias("terms"), F.col("t.tf").alias("tfs")
-    )
+    vs = v.join(sizes, "g").select("g", F.pmod(F.xxhash64("chunk_id"), F.col("nv")).cast("int").alias("vb"), every("nq").alias("qb"), "chunk_id", "terms", "tfs")
     qs = q.join(sizes, "g").select(
         "g", every("nv").alias("vb"), F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int").alias("qb"), F.col("query_id").cast("string").alias("ask"),
         F.col("t.term").alias("terms"), F.transform("t.gain", lambda x: F.coalesce(x, F.lit(float("nan")))).alias("gains"),
@@ -159,27 +183,37 @@ def _best_matches(asked: DataFrame, idx: DataFrame, chunk_groups: DataFrame, ask
 def lexical_arm(
     queries: DataFrame, chunks: DataFrame, *, allowed: int = 1, types=None, scope=None, limit: int = ARM_LIMIT,
     stop: list[str] | None = None, common: float | None = None, idf: bool = False, index: DataFrame | None = None, stem: bool = False,
-    block_rows: int = 4_096, query_rows: int = 4_096,
+    block_rows: int = 4_096, query_rows: int = 4_096, vocabulary: int = VOCABULARY,
 ) -> DataFrame:
     """(query_id, chunk_id, parent_type, parent_id, positions, lexical, rank): top chunks by matching positions.
 
     Any shared term makes a candidate; its rank value is a tenth of its number of matching positions.
     `common` drops terms that stand in more than this share of the chunks (a stop list for languages without one),
     `idf=True` weighs each matching term by its rarity; `stem=True` matches English stems (an `index` given must then
-    hold stems). The index is cut to the terms somebody asks for before anything is counted or moved, queries meet the
-    chunks of their own scope only, and a block of chunks keeps `limit` rows a query.
+    hold stems). The index is cut to the terms somebody asks for before anything is counted or moved: up to `vocabulary`
+    terms travel to the texts and a chunk leaves the scan as the numbers of those it has; more terms, stems and an
+    `index` given meet by a join. Queries meet the chunks of their own scope only, and a block of chunks keeps `limit` rows a query.
     """
     seen = chunks.filter(visible(F.col("tier"), allowed) & F.col("chunk_id").isNotNull()).select("chunk_id", "parent_type", "parent_id", "text")
-    # a chunk's terms stay where its text is dealt to, so the text is moved once and its terms never
-    idx = index if index is not None else term_table(seen.repartition("chunk_id"), stop, stem)
     asked = query_terms(queries, stop, stem)
-    idx = idx.select("chunk_id", "term", "tf").join(asked.select("term").distinct(), "term", "left_semi")
+    words = asked.select("term").distinct()
+    local = words.limit(vocabulary + 1).toPandas()["term"].tolist() if index is None and not stem else []
+    if 0 < len(local) <= vocabulary:
+        idx = _asked_in(seen, local)
+        coded = seen.sparkSession.createDataFrame(pd.DataFrame({"term": local, "code": np.arange(len(local), dtype=np.int32)}), "term string, code int")
+        asked = asked.join(coded, "term").select("query_id", F.col("code").alias("term"))
+    else:
+        # a chunk's terms stay where its text is dealt to, so the text is moved once and its terms never
+        rows = index if index is not None else term_table(seen.repartition("chunk_id"), stop, stem)
+        rows = rows.select("chunk_id", "term", "tf").join(words, "term", "left_semi")
+        idx = rows.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("t")).select("chunk_id", F.col("t.term").alias("terms"), F.col("t.tf").alias("tfs"))
     gain = F.lit(None).cast("double")
     if idf or common is not None:
-        # counted before it is matched: written, so that no text is cut into terms twice
-        idx = materialize(idx, "asked_terms")
+        # counted before it is matched: written, so that no text is cut into terms twice; one row a chunk, which counts once
+        one = idx.groupBy("chunk_id").agg(F.collect_list(F.struct("terms", "tfs")).alias("r"))
+        idx = materialize(one.select("chunk_id", F.flatten("r.terms").alias("terms"), F.flatten("r.tfs").alias("tfs")), "asked_terms")
         total = seen.agg(F.count(F.lit(1))).scalar()
-        stats = idx.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("total", total)
+        stats = idx.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("total", total)
         if common is not None:
             stats = stats.filter(F.col("df") <= common * F.col("total"))
         asked = asked.join(stats, "term")
@@ -235,13 +269,13 @@ def _best(qids: np.ndarray, q: np.ndarray, ids: pd.Series, vecs: np.ndarray, lim
     return pd.DataFrame({"query_id": np.concatenate(who), "chunk_id": np.concatenate(what), "cosine": np.concatenate(how)})
 
 
-def _best_of_task(batches, qm: np.ndarray, limit: int) -> pd.DataFrame | None:
-    """The `limit` best of all batches of a task for each row of `qm`; what is kept so far bars weaker rows of later batches."""
+def _best_of_task(blocks, qm: np.ndarray, limit: int) -> pd.DataFrame | None:
+    """The `limit` best of all blocks (ids, matrix) of a task for each row of `qm`; what is kept so far bars weaker rows of later blocks."""
     kept, least, rows = None, np.full(len(qm), -np.inf), np.arange(len(qm))
-    for pdf in batches:
-        if pdf.empty:
+    for ids, vecs in blocks:
+        if ids.empty:
             continue
-        got = _best(rows, qm, pdf["chunk_id"], np.stack(pdf["embedding"].to_numpy()).astype(float), limit, least)
+        got = _best(rows, qm, ids, vecs, limit, least)
         if kept is not None:
             got = pd.concat([kept, got]).sort_values(["query_id", "cosine", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(limit)
         kept = got
@@ -251,37 +285,45 @@ def _best_of_task(batches, qm: np.ndarray, limit: int) -> pd.DataFrame | None:
     return kept
 
 
-def _near_some(local: pd.DataFrame, v: DataFrame, schema: str, limit: int):
+def _near_some(local: pd.DataFrame, v: DataFrame, schema: str, limit: int, dense=None):
     """(near, broadcast): the best of each task for the queries of a frame of checked size, which travels to the scan."""
     packed = v.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(), _unit(np.stack(local["embedding"].to_numpy()).astype(float))))
 
-    def scan(batches):
+    def best_of(blocks):
         qids, qm = packed.value
-        best = _best_of_task(batches, qm, limit)
+        best = _best_of_task(blocks, qm, limit)
         if best is not None:
             yield best.assign(query_id=qids[best["query_id"].to_numpy()])
 
-    return v.mapInPandas(scan, schema), packed
+    def scan(batches):
+        yield from best_of((pdf["chunk_id"], np.stack(pdf["embedding"].to_numpy()).astype(float)) for pdf in batches if not pdf.empty)
+
+    def make_and_scan(batches):
+        blocks = ((b.column("chunk_id").to_pandas(), dense(b).astype(float)) for b in spoken(batches))
+        yield from (pa.RecordBatch.from_pandas(best, preserve_index=False) for best in best_of(blocks))
+
+    return v.mapInPandas(scan, schema) if dense is None else v.mapInArrow(make_and_scan, schema), packed
 
 
-def vector_arm(queries: DataFrame, vectors: DataFrame, *, limit: int = ARM_LIMIT, small_rows: int = 4096) -> DataFrame:
+def vector_arm(queries: DataFrame, vectors: DataFrame, *, limit: int = ARM_LIMIT, small_rows: int = 4096, dense: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> DataFrame:
     """(query_id, chunk_id, cosine, rank): the exact nearest chunks of each query.
 
     queries(query_id, embedding) x vectors(chunk_id, embedding). A query table of checked size travels to
     the scan, which multiplies block by block and keeps the best `limit` per query and task. A larger one is written in
     waves of about `small_rows` queries, and each wave is such a scan whose result is written: a vector is never
     shuffled or copied, it is read once for `small_rows` queries, and neither the driver nor a task holds more than one wave.
-    Only `limit` rows per query and task are shuffled to the final cut.
+    Only `limit` rows per query and task are shuffled to the final cut. With `dense`, which makes the vectors of a batch
+    of seeds (see functions.embed), vectors has a column `seeds` and each vector is made where it is multiplied.
     """
     spark = vectors.sparkSession
     schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, cosine double"
-    v = vectors.select("chunk_id", "embedding").filter(F.col("embedding").isNotNull())
+    v = vectors.select("chunk_id", "embedding").filter(F.col("embedding").isNotNull()) if dense is None else vectors.select("chunk_id", "seeds")
     q = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
     if fits(q, small_rows):
         local = q.toPandas()
         if local.empty:
             return spark.createDataFrame([], f"{schema}, rank int")
-        return top_per_query(_near_some(local, v, schema, limit)[0], "cosine", limit)
+        return top_per_query(_near_some(local, v, schema, limit, dense)[0], "cosine", limit)
     waves = -(-q.count() // small_rows)
     asked, out = new_folder(spark, "waves"), new_folder(spark, "near")
     q = q.withColumn("wave", F.pmod(F.xxhash64("query_id"), F.lit(waves)).cast("int"))
@@ -290,7 +332,7 @@ def vector_arm(queries: DataFrame, vectors: DataFrame, *, limit: int = ARM_LIMIT
     for wave in range(waves):
         local = q.filter(F.col("wave") == wave).drop("wave").toPandas()
         if not local.empty:
-            near, packed = _near_some(local, v, schema, limit)
+            near, packed = _near_some(local, v, schema, limit, dense)
             top_per_query(near, "cosine", limit).write.parquet(f"{out}/wave={wave}")
             packed.destroy()
     return spark.read.schema(f"{schema}, rank int").parquet(f"{out}/wave=*")
@@ -447,12 +489,12 @@ def hybrid_search(
     chunk_vectors: DataFrame | None = None, near: DataFrame | Callable[[DataFrame], DataFrame] | None = None, access: DataFrame | None = None, allowed: int = 1,
     types: list[str] | None = None, scope: tuple[DataFrame, DataFrame] | None = None, include_derived: bool = False, limit: int = 10,
     rerank=None, head: int = HEAD, autocut: bool = False, stop: list[str] | None = None, common: float | None = None,
-    idf: bool = False, index: DataFrame | None = None, stem: bool = False,
+    idf: bool = False, index: DataFrame | None = None, stem: bool = False, dense: Callable[[pa.RecordBatch], np.ndarray] | None = None,
 ) -> DataFrame:
     """The whole pipeline: intent, both arms, fusion, metadata, adjustment, best chunk, rerank, cut, snippet.
 
     meta: id, title, tier, updated_on, created_by, source, derived. near: (query_id, parent_id) pairs one
-    hop from a named entity, or a function that keeps those of the candidates' pairs. access: (parent_id, drills). Without vectors the lexical arm stands alone.
+    hop from a named entity, or a function that keeps those of the candidates' pairs. access: (parent_id, drills). Without vectors the lexical arm stands alone. dense: see vector_arm, for a search without types and scope.
     rerank orders the first `head` hits anew: scores (query_id, chunk_id, rerank), a column over `query` and `text` (see
     wording), or an outside scorer that is asked for each query's head (see ask_scorer).
     """
@@ -467,7 +509,7 @@ def hybrid_search(
         else:
             cv = chunk_vectors.join(seen.select("chunk_id", "parent_type", "parent_id"), "chunk_id")
         if scope is None and not types:
-            vec = vector_arm(query_vectors, cv)
+            vec = vector_arm(query_vectors, cv, dense=dense)
         else:
             vec = scoped_vector_arm(query_vectors, cv, scope, types)
     else:
@@ -498,14 +540,14 @@ def hybrid_search(
     if rerank is not None:
         if not isinstance(rerank, DataFrame):
             # only the head is read with its texts; it is written so that an outside scorer is asked once
-            first = ranked.filter(F.col("rank") <= head).join(seen.select("chunk_id", "text"), "chunk_id").select("query_id", "query", "chunk_id", "rank", "text")
+            first = materialize(ranked.filter(F.col("rank") <= head), "ranked").join(seen.select("chunk_id", "text"), "chunk_id").select("query_id", "query", "chunk_id", "rank", "text")
             rerank = first.select("query_id", "chunk_id", rerank.alias("rerank")) if isinstance(rerank, Column) else materialize(ask_scorer(materialize(first, "head"), rerank), "scores")
         ranked = reorder_head(ranked, rerank, head)
         if autocut:
             ranked = cliff_cut(ranked)
         ranked = ranked.withColumn("rank", F.col("new_rank")).drop("new_rank", "rerank", "reranked")
-    # the text joins what is left, for the snippet only
-    shown = ranked.filter(F.col("rank") <= limit).join(seen.select("chunk_id", "text"), "chunk_id")
+    # the text joins what is left, for the snippet only; that is written, so that its size is known and the texts need not move
+    shown = materialize(ranked.filter(F.col("rank") <= limit), "shown").join(seen.select("chunk_id", "text"), "chunk_id")
     return shown.select(
         "query_id", "rank", F.col("parent_type").alias("type"), F.col("parent_id").alias("id"), "chunk_id", "title",
         X.snippet(F.col("text"), F.col("query")).alias("snippet"), F.round("score", 4).alias("score"), "updated_on", "derived", "created_by",

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import evaluate as E
 from ..operators import retrieval as R
-from ..session import table
+from ..session import materialize, table
 from . import bindings as B
 from .registry import RAW, cte, query
 from .retrieval_queries import hits, scoped_conversations
@@ -62,7 +62,8 @@ def passage_pages(spark, sf):
     # each word with the two after it; a short text ends in empty places
     ws = d.select("key", words("text").alias("w")).select("key", F.arrays_zip("w", F.slice("w", 2, F.size("w")).alias("x"), F.slice("w", 3, F.size("w")).alias("y")).alias("z"))
     runs = ws.select("key", F.explode("z").alias("z")).select("key", F.concat_ws(" ", "z.w", "z.x", "z.y").alias("run"))
-    near = runs.join(p, "run").select("key", "query_id", "query").distinct()
+    # written, so that its size is known and the texts need not move
+    near = materialize(runs.join(p, "run").select("key", "query_id", "query").distinct(), "near")
     return near.join(d, "key").filter(F.col("text").contains(F.col("query"))).select("query_id", "key").distinct()
 
 

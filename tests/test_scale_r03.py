@@ -136,3 +136,49 @@ def test_beliefs_meet_cases_by_a_shuffle(spark):
     got = {tuple(r) for r in made.collect()}
     assert {r for r in got if r[1] == "pinned"} == {(1, "pinned", 0, 1), (1, "pinned", 2, 2)} and (2, "relevant", 5, 1) in got
     assert first.count("BroadcastHashJoin") <= 1  # what is used up is counted by case and may travel
+
+
+@pytest.mark.parametrize("at_once", [100, 2])
+def test_words_that_open_no_name_stay_beside_the_scan(spark, at_once):
+    said = {1: "Ada Moe met Bob at Cyl Works.", 2: "nothing of note", 3: "bob saw Cyl Work and Dag Holm", 4: "Ada, Bo; (Eli)", 5: None}
+    lex = [("person", "1", "Ada Moe"), ("person", "2", "Bob"), ("org", "3", "Cyl Works"), ("person", "4", "Dag"), ("person", "5", "(Eli)"), ("person", "6", "Fay")]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        # whatever Spark thinks of the size of a table: a run of words was shuffled for each word of the texts before
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = E.known_mentions(spark.createDataFrame(list(said.items()), "text_id int, text string"), spark.createDataFrame(lex, "type string, id string, name string"), at_once=at_once)
+        how = plan(got)
+        rows = {(r["text_id"], r["id"]) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert rows == {(1, "1"), (1, "2"), (3, "2"), (1, "3"), (3, "4"), (4, "5")}
+    assert how.count("BroadcastHashJoin") == (1 if at_once == 100 else 3)
+
+
+@pytest.mark.parametrize("idf", [False, True])
+def test_lexical_terms_are_told_beside_the_scan(spark, idf):
+    # a chunk id that stands in two rows is one chunk, and a term counts once for its rarity
+    rows = [("a", "lamp harbor lamp"), ("a", "lamp brine"), ("b", "harbor the the"), ("c", None), ("d", ""), ("e", "tallow"), (None, "lamp")]
+    c = spark.createDataFrame([(k, "page", 1, 0, t, 1) for k, t in rows], "chunk_id string, parent_type string, parent_id int, ord int, text string, tier int")
+    q = spark.createDataFrame([(1, "lamp harbor"), (2, "the"), (3, None), (4, "harbor Harbor brine")], "query_id int, query string")
+    read = lambda d: sorted((r["query_id"], r["chunk_id"], r["positions"], r["lexical"], r["rank"]) for r in d.collect())
+    here = R.lexical_arm(q, c, idf=idf)
+    # terms of all texts were counted in long form and joined before; many words still are
+    assert read(here) == read(R.lexical_arm(q, c, idf=idf, vocabulary=1))
+    assert "MapInArrow" in plan(R._asked_in(c, ["lamp"])) and "Exchange" not in plan(R._asked_in(c, ["lamp"]))
+    assert {(r[0], r[1], r[2]) for r in read(here)} == {(1, "a", 4), (1, "b", 1), (4, "a", 2), (4, "b", 1)}
+
+
+def test_vectors_are_made_where_they_are_searched(spark):
+    words = ["harbor", "lamp", "brine", "tallow", "quay", "x", ""]
+    rng = np.random.default_rng(11)
+    texts = [(f"c{i}", " ".join(words[j] for j in rng.integers(0, 7, 6))) for i in range(40)] + [("none", None)]
+    c = spark.createDataFrame(texts, "chunk_id string, text string")
+    q = EM.hash_vectors(spark.createDataFrame([(1, "lamp quay"), (2, "brine")], "id int, text string")).withColumnRenamed("id", "query_id")
+    read = lambda d: sorted((r["query_id"], r["rank"], r["chunk_id"], r["cosine"]) for r in d.collect())
+    seeds = EM.seeded(c)
+    got = R.vector_arm(q, seeds, limit=5, dense=EM.dense)
+    how = plan(got)
+    assert read(got) == read(R.vector_arm(q, Q.vectors_of(c), limit=5)) == read(R.vector_arm(q, seeds, limit=5, small_rows=1, dense=EM.dense)) and len(read(got)) == 10
+    # a dense vector of each text went to the JVM and back before
+    assert how.count("MapInArrow") == 1 and "MapInPandas" not in how

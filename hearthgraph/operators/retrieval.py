@@ -103,9 +103,11 @@ def _asked_in(chunks: DataFrame, words: list[str]) -> DataFrame:
             code = pc.fill_null(pc.index_in(said.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(said)), pc.list_value_length(said).to_numpy(zero_copy_only=False))
             key, tf = np.unique((row * len(vocabulary) + code)[code >= 0], return_counts=True)
-            some, first = np.unique(key // max(1, len(vocabulary)), return_index=True)
+            if not len(key):
+                continue
+            some, first = np.unique(key // len(vocabulary), return_index=True)
             ends = pa.array(np.append(first, len(key)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((key % max(1, len(vocabulary))).astype(np.int32), tf.astype(np.int64))]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((key % len(vocabulary)).astype(np.int32), tf.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(some)), *lists], names=["chunk_id", "terms", "tfs"])
 
     said = chunks.select("chunk_id", X.terms(F.coalesce("text", F.lit(""))).alias("said"))
@@ -173,7 +175,7 @@ def _best_matches(asked: DataFrame, idx: DataFrame, chunk_groups: DataFrame, ask
 
     def meet(vp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
         if vp.empty or qp.empty:
-            return pd.DataFrame({"ask": [], "chunk_id": [], "positions": [], "lexical": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("ask", "chunk_id", "positions", "lexical")})
         return _block_matches(vp, qp, limit)
 
     near = vs.groupBy(*at).cogroup(qs.groupBy(*at)).applyInPandas(meet, schema)
@@ -269,13 +271,13 @@ def _best(qids: np.ndarray, q: np.ndarray, ids: pd.Series, vecs: np.ndarray, lim
     return pd.DataFrame({"query_id": np.concatenate(who), "chunk_id": np.concatenate(what), "cosine": np.concatenate(how)})
 
 
-def _best_of_task(blocks, qm: np.ndarray, limit: int) -> pd.DataFrame | None:
-    """The `limit` best of all blocks (ids, matrix) of a task for each row of `qm`; what is kept so far bars weaker rows of later blocks."""
+def _best_of_task(batches, qm: np.ndarray, limit: int) -> pd.DataFrame | None:
+    """The `limit` best of all batches of a task for each row of `qm`; what is kept so far bars weaker rows of later batches."""
     kept, least, rows = None, np.full(len(qm), -np.inf), np.arange(len(qm))
-    for ids, vecs in blocks:
-        if ids.empty:
+    for pdf in batches:
+        if pdf.empty:
             continue
-        got = _best(rows, qm, ids, vecs, limit, least)
+        got = _best(rows, qm, pdf["chunk_id"], np.stack(pdf["embedding"].to_numpy()).astype(float), limit, least)
         if kept is not None:
             got = pd.concat([kept, got]).sort_values(["query_id", "cosine", "chunk_id"], ascending=[True, False, True]).groupby("query_id").head(limit)
         kept = got
@@ -289,18 +291,15 @@ def _near_some(local: pd.DataFrame, v: DataFrame, schema: str, limit: int, dense
     """(near, broadcast): the best of each task for the queries of a frame of checked size, which travels to the scan."""
     packed = v.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(), _unit(np.stack(local["embedding"].to_numpy()).astype(float))))
 
-    def best_of(blocks):
+    def scan(batches):
         qids, qm = packed.value
-        best = _best_of_task(blocks, qm, limit)
+        best = _best_of_task(batches, qm, limit)
         if best is not None:
             yield best.assign(query_id=qids[best["query_id"].to_numpy()])
 
-    def scan(batches):
-        yield from best_of((pdf["chunk_id"], np.stack(pdf["embedding"].to_numpy()).astype(float)) for pdf in batches if not pdf.empty)
-
     def make_and_scan(batches):
-        blocks = ((b.column("chunk_id").to_pandas(), dense(b).astype(float)) for b in spoken(batches))
-        yield from (pa.RecordBatch.from_pandas(best, preserve_index=False) for best in best_of(blocks))
+        made = (pd.DataFrame({"chunk_id": b.column("chunk_id").to_pandas(), "embedding": list(dense(b))}) for b in spoken(batches))
+        yield from (pa.RecordBatch.from_pandas(best, preserve_index=False) for best in scan(made))
 
     return v.mapInPandas(scan, schema) if dense is None else v.mapInArrow(make_and_scan, schema), packed
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import capture as P
-from ..session import materialize
+from ..session import fits, materialize
 
 FLOOR = 0.7
+# different words of the titles of one side, as many as may travel to the other side's titles
+VOCABULARY = 200_000
 # fixed values: words that do not make two titles alike
 DEDUP_STOP = ["the", "a", "an", "to", "for", "of", "at", "in", "on", "and", "with", "by", "is", "are", "be", "event", "day"]
 
@@ -19,6 +21,26 @@ def title_tokens(title: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(plain, " "), lambda w: (F.length(w) > 1) & ~w.isin(DEDUP_STOP))))
 
 
+def shared_words(ns: DataFrame, os: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """For both tables of (set, toks): (set, n, words, short), of each set its size and the words that some set of the other table has.
+
+    Words come in order of how many sets of the other table have them; those that none has would come first and are left
+    out, so that a long title travels as the few words it can share. The first `short` of them are what is left of its n - ceil(n * threshold) + 1 rarest words.
+    """
+
+    def ranked(sets: DataFrame, vocab: DataFrame) -> DataFrame:
+        # words of counted vocabularies are looked up where the titles are read
+        e = sets.select("set", F.size("toks").alias("n"), F.explode("toks").alias("tok")).join(F.broadcast(vocab) if fits(vocab, VOCABULARY) else vocab, "tok")
+        r = e.groupBy("set", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda s: s["tok"]).alias("words"))
+        need = F.ceil(F.col("n") * F.lit(threshold)).cast("int")
+        # of the rarest words of all, those that the other table lacks find nothing
+        return r.withColumn("short", F.greatest(F.size("words") - need + 1, F.lit(0)))
+
+    count = lambda d, words: d.select(F.explode(words).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    nr = materialize(ranked(ns, materialize(count(os, "toks"), "vocabulary")), "title_words")
+    return nr, materialize(ranked(os, materialize(count(nr, "words"), "vocabulary")), "title_words")
+
+
 def duplicate_titles(new: DataFrame, existing: DataFrame, threshold: float = 0.5, window_days: int = 3) -> DataFrame:
     """(new_id, open_id, score): the best open title for each new one, if it overlaps enough.
 
@@ -39,28 +61,16 @@ def duplicate_titles(new: DataFrame, existing: DataFrame, threshold: float = 0.5
     n = materialize(titles(new, "new_id"), "titles")
     o = materialize(titles(existing, "open_id").groupBy("set", "toks", "due").agg(F.max("open_id").alias("open_id")), "titles")
     ns, os = n.select("set", "toks").distinct(), o.select("set", "toks").distinct()
-    vocab = ns.union(os).distinct().select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-
-    def ranked(sets: DataFrame, side: str) -> DataFrame:
-        """Each set with its words from rare to common and the length of its rare prefix."""
-        e = sets.select("set", F.explode("toks").alias("tok")).join(vocab, "tok")
-        r = e.groupBy("set").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda s: s["tok"]).alias(f"{side}_words"))
-        need = F.ceil(F.size(f"{side}_words") * F.lit(threshold)).cast("int")
-        return r.select(F.col("set").alias(side), f"{side}_words", (F.size(f"{side}_words") - need + 1).alias("short"))
-
-    nr, orr = ranked(ns, "ns"), ranked(os, "os")
-    all_words = lambda r, side: r.select(side, f"{side}_words", F.explode(f"{side}_words").alias("tok"))
-    rare_words = lambda r, side: r.select(side, f"{side}_words", F.explode(F.slice(f"{side}_words", F.lit(1), F.col("short"))).alias("tok"))
-    cols = ["ns", "ns_words", "os", "os_words"]
-    pairs = rare_words(nr, "ns").join(all_words(orr, "os"), "tok").select(*cols).union(all_words(nr, "ns").join(rare_words(orr, "os"), "tok").select(*cols))
-    score = F.size(F.array_intersect("ns_words", "os_words")) / F.least(F.size("ns_words"), F.size("os_words"))
-    alike = pairs.withColumn("score", score).filter(F.col("score") >= threshold).select("ns", "os", "score").distinct()
-    # best open title per word set and open day
-    by_day = (
-        alike.join(o.select(F.col("set").alias("os"), "due", "open_id"), "os")
-        .groupBy("ns", F.col("due").alias("day"))
-        .agg(F.max(F.struct("score", "open_id")).alias("b"))
-    )
+    nr, orr = shared_words(ns, os, threshold)
+    # one open title for each day goes with its word set, so that pairs need not be moved to find it
+    orr = orr.join(o.groupBy("set").agg(F.collect_list(F.struct("due", "open_id")).alias("opens")), "set")
+    side = lambda r, name, words: r.select(*[F.col(c).alias(f"{name}_{c}") for c in r.columns if c != "short"], F.explode(words).alias("tok"))
+    rare = F.slice("words", F.lit(1), F.col("short"))
+    score = F.size(F.array_intersect("ns_words", "os_words")) / F.least("ns_n", "os_n")
+    alike = lambda a, b: side(nr, "ns", a).join(side(orr, "os", b), "tok").select("ns_set", "os_opens", score.alias("score")).filter(F.col("score") >= threshold)
+    # best open title per word set and open day; a pair may be found several times
+    every = alike(rare, F.col("words")).union(alike(F.col("words"), rare)).select(F.col("ns_set").alias("ns"), "score", F.explode("os_opens").alias("open"))
+    by_day = materialize(every.groupBy("ns", F.col("open.due").alias("day")).agg(F.max(F.struct("score", "open.open_id")).alias("b")), "alike")
     asked = n.select(F.col("set").alias("ns"), "due").distinct()
     days = F.sequence(F.date_sub("due", window_days), F.date_add("due", window_days))
     dated = asked.filter("due is not null").select("ns", "due", F.explode(days).alias("day")).join(by_day.filter("day is not null"), ["ns", "day"])
@@ -73,28 +83,34 @@ def duplicate_titles(new: DataFrame, existing: DataFrame, threshold: float = 0.5
     return j.select("new_id", "open_id", F.round("score", 3).alias("score"))
 
 
-def route(captures: DataFrame, open_tasks: DataFrame, org_names: DataFrame, today: Column) -> DataFrame:
+def route(captures: DataFrame, open_tasks: DataFrame, org_names: DataFrame, today: Column, folder: str | None = None) -> DataFrame:
     """(capture_id, part, target, action, title, tier, ...): the typed rows each capture becomes.
 
     captures(capture_id, text). A confident task that repeats an open one closes it when it reports
     completion and is flagged as a duplicate otherwise; compound and mixed captures give a second row;
     anything unclear is flagged as unfiled.
+
+    Classified captures are written, to `folder` if one is given, over what a call before left there: the rows of that call
+    must have been written by then. Only tasks meet the open ones and only interactions the organisations, so no other text is moved.
     """
     c = captures.select("capture_id", "text", P.classify(F.col("text")).alias("c"), P.completed(F.col("text")).alias("done")).select(
         "capture_id", "text", "c.*", "done"
     )
-    c = materialize(c, "captures")
+    c = materialize(c, "captures", folder)
     c = c.withColumn("due_day", P.due_or_null(F.col("due"), today)).withColumn("note", P.due_note(F.col("due"), today))
     dup = duplicate_titles(
         c.filter("type = 'task'").select(F.col("capture_id").alias("id"), "title", F.col("due_day").alias("due")), open_tasks
     ).select(F.col("new_id").alias("capture_id"), "open_id", "score")
     orgs = org_names.select(F.lower("name").alias("_low")).distinct().withColumn("_known", F.lit(True))
-    d = c.join(dup, "capture_id", "left").withColumn("_low", F.lower("name")).join(orgs, "_low", "left")
+    no_id, no_org = F.lit(None).cast(dict(open_tasks.dtypes)["id"]), F.lit(None).cast("boolean")
+    tasks = c.filter("type = 'task'").join(dup.drop("score"), "capture_id", "left").withColumn("_known", no_org)
+    met = c.filter("type = 'interaction'").withColumn("open_id", no_id).withColumn("_low", F.lower("name")).join(orgs, "_low", "left").drop("_low")
+    rest = c.filter("type not in ('task', 'interaction')").withColumns({"open_id": no_id, "_known": no_org})
+    d = tasks.unionByName(met).unionByName(rest)
     line = P.first_line(F.col("text"))
     halves = P.action_and_decision(F.col("text"))
     ok = (F.col("confidence") >= FLOOR) & (F.col("type") != "unknown")
     none = F.lit(None).cast("string")
-    no_id = F.lit(None).cast(dict(open_tasks.dtypes)["id"])
 
     def row(target, action, title, tier, status=none, ref=no_id):
         return F.struct(

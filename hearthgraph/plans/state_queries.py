@@ -376,13 +376,13 @@ def m05(spark, sf):
     return routed(spark, sf, capture_texts(spark, sf))
 
 
-def routed(spark, sf, captures):
+def routed(spark, sf, captures, folder=None):
     p = table(spark, sf, "part").filter("p_partkey % 3 = 0")
     open_t = p.select(
         F.col("p_partkey").alias("id"), F.concat(F.lit("pack and ship x"), "p_name", F.lit(" "), F.lower("p_brand")).alias("title"), F.lit(None).cast("date").alias("due")
     )
     orgs = B.orgs(spark, sf).select(F.col("canonical_name").alias("name"))
-    return K.route(captures, open_t, orgs, today()).select("capture_id", "part", "target", "action", "title", "tier", "status", "ref", "due_day")
+    return K.route(captures, open_t, orgs, today(), folder).select("capture_id", "part", "target", "action", "title", "tier", "status", "ref", "due_day")
 
 
 # ------------------------------------------------------------------ curation

@@ -23,7 +23,8 @@ def as_stream(spark, df, label, batches=3):
     """Write a table in as many pieces as it has, and read the folder as a stream in about `batches` steps."""
     path = new_folder(spark, label)
     files = max(batches, df.rdd.getNumPartitions())
-    df.repartition(files).write.parquet(path)
+    df = df.repartition(files) if df.rdd.getNumPartitions() < batches else df
+    df.write.option("compression", "zstd").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(path)
 
 
@@ -32,7 +33,8 @@ def p01(spark, sf):
     """Captures arrive in several batches; the rows left behind equal the batch routing."""
     arrivals = capture_texts(spark, sf).withColumn("path", F.concat(F.lit("inbox/"), "capture_id", F.lit(".txt")))
     out = new_folder(spark, "routed")
-    J.capture_stream(as_stream(spark, arrivals, "arrivals"), lambda b: routed(spark, sf, b), out, new_folder(spark, "cp"))
+    held = new_folder(spark, "captures")
+    J.capture_stream(as_stream(spark, arrivals, "arrivals"), lambda b: routed(spark, sf, b, held), out, new_folder(spark, "cp"))
     return spark.read.parquet(f"{out}/rows").drop("batch")
 
 

@@ -81,11 +81,14 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage with a written table, so a lost executor re-reads files instead of recomputing."""
+def materialize(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Cut lineage with a written table, so a lost executor re-reads files instead of recomputing.
+
+    A folder that is given is overwritten, so that of tables that follow one another only the last is kept.
+    """
     spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path)
+    path = folder or new_folder(spark, label)
+    (df.write.mode("overwrite").option("compression", "zstd") if folder else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..sources.merge import keyed_merge
 
 
@@ -25,9 +26,11 @@ def capture_stream(arrivals: DataFrame, route: Callable[[DataFrame], DataFrame],
     arrivals(path, capture_id, text). Paths seen before are dropped by the stream's own state, which is dealt out
     by path and restored with the checkpoint; a batch repeated after a failure sees the same rows and overwrites its
     own folder. So each path is decided exactly once. A row without text (its file is gone) is kept as rejected.
+    The new captures of a batch are written once, over those of the batch before, so that its state is asked once.
     """
 
     def step(batch: DataFrame, number: int) -> None:
+        batch = materialize(batch, "arrived", f"{out}/arrived")
         gone = batch.filter("text is null").select("capture_id", F.lit("file is gone").alias("reason"))
         gone.write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
         route(batch.filter("text is not null").drop("path")).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hearthgraph.functions import embed as EM
 from hearthgraph.operators import entities as E
 from hearthgraph.operators import evaluate as V
+from hearthgraph.operators import facts as FA
 from hearthgraph.operators import retrieval as R
 from hearthgraph.plans import retrieval_queries as Q
 from hearthgraph.streaming import jobs as J
@@ -182,3 +183,13 @@ def test_vectors_are_made_where_they_are_searched(spark):
     assert read(got) == read(R.vector_arm(q, Q.vectors_of(c), limit=5)) == read(R.vector_arm(q, seeds, limit=5, small_rows=1, dense=EM.dense)) and len(read(got)) == 10
     # a dense vector of each text went to the JVM and back before
     assert how.count("MapInArrow") == 1 and "MapInPandas" not in how
+
+
+def test_only_sentences_that_name_somebody_leave_the_scan(spark):
+    texts = [(1, "Nothing here at all. We saw pagg berg today.\n\nGrey days."), (2, "My manager is Anna Moe. Rain fell."), (3, "the pagg berg and the pagg berg"), (3, "the pagg berg and the pagg berg"), (4, None), (5, "all quiet")]
+    known = spark.createDataFrame([("person", "7", "Pagg Berg", 0, "Pagg Berg")], "type string, id string, name string, ord int, canonical string")
+    got = FA.sentence_facts(spark.createDataFrame(texts, "text_id int, text string"), known)
+    rows = sorted((r["text_id"], r["para"], r["sent"], [p["name"] for p in r["persons"]]) for r in got.collect())
+    assert rows == [(1, 0, 1, ["Pagg Berg"]), (2, 0, 0, ["Anna Moe"]), (3, 0, 0, ["Pagg Berg"]), (3, 0, 0, ["Pagg Berg"])]
+    # every sentence was shuffled to meet the names before
+    assert "NOT plain" in plan(got)

@@ -93,8 +93,12 @@ def scoped(candidates: DataFrame, scope: tuple[DataFrame, DataFrame] | None, typ
 
 
 def _asked_in(chunks: DataFrame, words: list[str]) -> DataFrame:
-    """(chunk_id, terms, tfs): which of the words each chunk row has, by their place in the list, and how often; found beside the scan."""
+    """(every column but text, terms, tfs): which of the words each chunk row has, by their place in the list, and how often; found beside the scan.
+
+    A row of each chunk row, with empty lists where it has none of the words.
+    """
     packed = chunks.sparkSession.sparkContext.broadcast(words)
+    rest = [c for c in chunks.columns if c != "text"]
 
     def found(batches):
         vocabulary = pa.array(packed.value, pa.string())
@@ -103,15 +107,25 @@ def _asked_in(chunks: DataFrame, words: list[str]) -> DataFrame:
             code = pc.fill_null(pc.index_in(said.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(said)), pc.list_value_length(said).to_numpy(zero_copy_only=False))
             key, tf = np.unique((row * len(vocabulary) + code)[code >= 0], return_counts=True)
-            if not len(key):
-                continue
-            some, first = np.unique(key // len(vocabulary), return_index=True)
-            ends = pa.array(np.append(first, len(key)).astype(np.int32))
+            ends = pa.array(np.searchsorted(key, np.arange(len(said) + 1) * len(vocabulary)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((key % len(vocabulary)).astype(np.int32), tf.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(some)), *lists], names=["chunk_id", "terms", "tfs"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *lists], names=[*rest, "terms", "tfs"])
+
+    said = chunks.select(*rest, X.terms(F.coalesce("text", F.lit(""))).alias("said"))
+    return said.mapInArrow(found, ", ".join(f"`{c}` {t}" for c, t in chunks.select(*rest).dtypes) + ", terms array<int>, tfs array<bigint>")
 
-    said = chunks.select("chunk_id", X.terms(F.coalesce("text", F.lit(""))).alias("said"))
-    return said.mapInArrow(found, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, terms array<int>, tfs array<bigint>")
+
+def _chunks_with(idx: DataFrame) -> DataFrame:
+    """(term, df): in how many chunks each term stands; rows of one chunk id are one chunk.
+
+    Rows are counted by term, and what the rows of repeated ids count too often is taken off again: only these rows are
+    brought together, so that no list of terms is shuffled.
+    """
+    said = idx.select("chunk_id", F.explode(F.array_distinct("terms")).alias("term"))
+    again = materialize(idx.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("chunk_id"), "repeated")
+    over = said.join(again, "chunk_id", "left_semi").groupBy("term", "chunk_id").agg((F.count(F.lit(1)) - 1).alias("n")).groupBy("term").agg(F.sum("n").alias("over"))
+    rows = said.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(over, "term", "left").select("term", (F.col("n") - F.coalesce("over", F.lit(0))).alias("df"))
 
 
 def _block_matches(chunks: pd.DataFrame, asked: pd.DataFrame, limit: int) -> pd.DataFrame:
@@ -201,7 +215,10 @@ def lexical_arm(
     words = asked.select("term").distinct()
     local = words.limit(vocabulary + 1).toPandas()["term"].tolist() if index is None and not stem else []
     if 0 < len(local) <= vocabulary:
-        idx = _asked_in(seen, local)
+        # written: chunks are counted, matched and told their parents from this table, and no text is read again
+        seen = materialize(_asked_in(seen, local), "asked_terms")
+        idx = seen.filter(F.size("terms") > 0).select("chunk_id", "terms", "tfs")
+        seen = seen.drop("terms", "tfs")
         coded = seen.sparkSession.createDataFrame(pd.DataFrame({"term": local, "code": np.arange(len(local), dtype=np.int32)}), "term string, code int")
         asked = asked.join(coded, "term").select("query_id", F.col("code").alias("term"))
     else:
@@ -211,11 +228,11 @@ def lexical_arm(
         idx = rows.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("t")).select("chunk_id", F.col("t.term").alias("terms"), F.col("t.tf").alias("tfs"))
     gain = F.lit(None).cast("double")
     if idf or common is not None:
-        # counted before it is matched: written, so that no text is cut into terms twice; one row a chunk, which counts once
-        one = idx.groupBy("chunk_id").agg(F.collect_list(F.struct("terms", "tfs")).alias("r"))
-        idx = materialize(one.select("chunk_id", F.flatten("r.terms").alias("terms"), F.flatten("r.tfs").alias("tfs")), "asked_terms")
+        if "text" in seen.columns:
+            # counted before it is matched: written, so that no text is cut into terms twice
+            idx = materialize(idx, "asked_terms")
         total = seen.agg(F.count(F.lit(1))).scalar()
-        stats = idx.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("total", total)
+        stats = _chunks_with(idx).withColumn("total", total)
         if common is not None:
             stats = stats.filter(F.col("df") <= common * F.col("total"))
         asked = asked.join(stats, "term")

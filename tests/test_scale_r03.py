@@ -193,3 +193,22 @@ def test_only_sentences_that_name_somebody_leave_the_scan(spark):
     assert rows == [(1, 0, 1, ["Pagg Berg"]), (2, 0, 0, ["Anna Moe"]), (3, 0, 0, ["Pagg Berg"]), (3, 0, 0, ["Pagg Berg"])]
     # every sentence was shuffled to meet the names before
     assert "NOT plain" in plan(got)
+
+
+@pytest.mark.parametrize("idf", [False, True])
+def test_lexical_arm_reads_the_texts_once(spark, tmp_path, idf):
+    rows = [("c0", 0, "lamp harbor lamp"), ("c0", 1, "brine lamp"), ("c1", 2, "harbor"), ("c2", 3, "nothing"), ("c3", 4, None), (None, 5, "lamp")]
+    c = spark.createDataFrame(rows, "chunk_id string, parent_id int, text string").selectExpr("*", "'page' as parent_type", "0 as ord", "1 as tier")
+    c.write.parquet(f"{tmp_path}/texts")
+    got = R.lexical_arm(spark.createDataFrame([(1, "lamp harbor brine"), (2, "nobody")], "query_id int, query string"), spark.read.parquet(f"{tmp_path}/texts"), idf=idf)
+    # texts were read again to count the chunks and to find the parents of the best
+    assert not [x for x in got.inputFiles() if "/texts/" in x]
+    ln = lambda n: round(n, 6)
+    # rows of a chunk id are one chunk: harbor and lamp stand in two and one, of the five rows that have an id
+    c0, c1 = (ln(np.log(5 / 2) + 2 * np.log(5)), ln(np.log(5 / 2))) if idf else (0.5, 0.1)
+    assert {(r["chunk_id"], r["parent_id"], r["positions"], r["lexical"]) for r in got.collect()} == {("c0", 0, 5, c0), ("c0", 1, 5, c0), ("c1", 2, 1, c1)}
+
+
+def test_chunks_with_a_term(spark):
+    idx = spark.createDataFrame([("a", [1, 2]), ("a", [2, 3]), ("a", [2]), ("b", [2, 2]), ("c", [4])], "chunk_id string, terms array<int>")
+    assert {tuple(r) for r in R._chunks_with(idx).select("term", "df").collect()} == {(1, 1), (2, 2), (3, 1), (4, 1)}

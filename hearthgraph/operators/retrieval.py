@@ -215,10 +215,13 @@ def lexical_arm(
     words = asked.select("term").distinct()
     local = words.limit(vocabulary + 1).toPandas()["term"].tolist() if index is None and not stem else []
     if 0 < len(local) <= vocabulary:
-        # written: chunks are counted, matched and told their parents from this table, and no text is read again
-        seen = materialize(_asked_in(seen, local), "asked_terms")
-        idx = seen.filter(F.size("terms") > 0).select("chunk_id", "terms", "tfs")
-        seen = seen.drop("terms", "tfs")
+        counted = idf or common is not None
+        idx = _asked_in(seen if counted else seen.select("chunk_id", "text"), local)
+        if counted:
+            # counted before it is matched: written, so that chunks are counted, matched and told their parents from it and no text is read again
+            idx = materialize(idx, "asked_terms")
+            seen = idx.drop("terms", "tfs")
+        idx = idx.filter(F.size("terms") > 0).select("chunk_id", "terms", "tfs")
         coded = seen.sparkSession.createDataFrame(pd.DataFrame({"term": local, "code": np.arange(len(local), dtype=np.int32)}), "term string, code int")
         asked = asked.join(coded, "term").select("query_id", F.col("code").alias("term"))
     else:
@@ -229,7 +232,7 @@ def lexical_arm(
     gain = F.lit(None).cast("double")
     if idf or common is not None:
         if "text" in seen.columns:
-            # counted before it is matched: written, so that no text is cut into terms twice
+            # the same for terms that meet by a join
             idx = materialize(idx, "asked_terms")
         total = seen.agg(F.count(F.lit(1))).scalar()
         stats = _chunks_with(idx).withColumn("total", total)

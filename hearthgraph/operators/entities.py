@@ -20,6 +20,8 @@ ORG_NAME_CUES = (
 PRONOUNS = ["he", "she", "they", "him", "her", "them", "it", "we", "you", "i"]
 # words that open names, as many as may travel to the texts at a time
 HEADS = 100_000
+# types of rows, as many as nodes are filtered by before they are joined
+KINDS = 100
 
 
 def names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -34,6 +36,36 @@ def _words(col: Column) -> Column:
     return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def _grams(col: Column, n: Column) -> Column:
+    """Code-point windows of length n over a lowercased text, told by their hash: what they find is verified."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(col, i, n))))
+
+
+def _gram_keys(words: DataFrame, longest: int = 32) -> DataFrame:
+    """(*scope, name, n, gram): the gram that each lowercased name is looked up by; words(*scope, name) are different, a name is not empty.
+
+    A gram is as long as the greatest power of two that the name is long enough for, up to `longest`; of a name's grams it
+    is the one that the fewest names of its scope have. Written, since it tells the lengths that texts are cut to and is
+    met by the grams of these.
+    """
+    sizes = [1]
+    while 2 * sizes[-1] <= longest:
+        sizes.append(2 * sizes[-1])
+    scope = [c for c in words.columns if c != "name"]
+    words = words.withColumn("n", F.greatest(*[F.when(F.length("name") >= n, n) for n in sizes]))
+    grams = words.withColumn("gram", F.explode(_grams(F.col("name"), F.col("n"))))
+    freq = grams.groupBy(*scope, "gram").agg(F.count(F.lit(1)).alias("names"))
+    key = grams.join(freq, [*scope, "gram"]).groupBy(*scope, "name").agg(F.min_by(F.struct("n", "gram"), F.struct("names", "gram")).alias("k"))
+    return materialize(key.select(*scope, "name", "k.n", "k.gram"), "grams")
+
+
+def _with_grams(texts: DataFrame, text: str, key: DataFrame) -> DataFrame:
+    """The texts' rows once for each gram of a length that a key has."""
+    used = sorted(r["n"] for r in key.select("n").distinct().collect())
+    by = texts.withColumn("n", F.explode(F.array(*[F.lit(n) for n in used]).cast("array<int>"))).filter(F.length(text) >= F.col("n"))
+    return by.withColumn("gram", F.explode(_grams(F.col(text), F.col("n"))))
+
+
 def named_in(queries: DataFrame, lexicon: DataFrame, longest: int = 32) -> DataFrame:
     """(query_id, type, id) where the lowercased query contains a name anywhere, word boundaries or not.
 
@@ -42,28 +74,12 @@ def named_in(queries: DataFrame, lexicon: DataFrame, longest: int = 32) -> DataF
     the name is long enough for, up to `longest`, so that a long name is met by little else than itself and none is missed.
     The gram chosen for a name is its rarest one, which keeps a gram shared by many names from becoming a hot key.
     """
-
-    def grams(col: Column, n: Column) -> Column:
-        # code-point windows of length n over the lowercased text, told by their hash: what they find is verified
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(col, i, n))))
-
-    sizes = [1]
-    while 2 * sizes[-1] <= longest:
-        sizes.append(2 * sizes[-1])
     lex = lexicon.select("type", "id", F.lower("name").alias("name")).filter(F.length("name") > 0).distinct()
-    words = lex.select("name").distinct()  # a name shared by many rows is looked up once
-    words = words.withColumn("n", F.greatest(*[F.when(F.length("name") >= n, n) for n in sizes]))
-    name_grams = words.withColumn("gram", F.explode(grams(F.col("name"), F.col("n"))))
-    freq = name_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
-    key = name_grams.join(freq, "gram").groupBy("name").agg(F.min_by(F.struct("n", "gram"), F.struct("names", "gram")).alias("k"))
-    # written, since it tells the lengths that queries are cut to and is met by the grams of these
-    key = materialize(key.select("name", "k.n", "k.gram"), "grams")
-    used = [n for n in sizes if key.filter(F.col("n") == n).limit(1).count()]
+    # a name shared by many rows is looked up once
+    key = _gram_keys(lex.select("name").distinct(), longest)
     q = queries.select("query_id", F.lower("query").alias("q"))
-    q_grams = q.withColumn("n", F.explode(F.array(*[F.lit(n) for n in used]).cast("array<int>"))).filter(F.length("q") >= F.col("n")).select(
-        "query_id", "n", F.explode(grams(F.col("q"), F.col("n"))).alias("gram")
-    )
-    hits = q_grams.join(key, ["n", "gram"]).select("query_id", "name")
+    q_grams = _with_grams(q, "q", key)
+    hits = q_grams.select("query_id", "n", "gram").join(key, ["n", "gram"]).select("query_id", "name")
     found = hits.join(q, "query_id").filter(F.col("q").contains(F.col("name"))).select("query_id", "name")
     return found.join(lex, "name").select("query_id", "type", "id").distinct()
 
@@ -205,20 +221,32 @@ def recent_interactions(interactions: DataFrame, key: str, allowed: int = 2, lim
 
 def relation_answers(questions: DataFrame, lexicon: DataFrame, edges: DataFrame, nodes: DataFrame, allowed: int = 1) -> DataFrame:
     """(query_id, name): titles of the rows one hop around whatever a question names."""
-    named = named_in(questions, lexicon).withColumnRenamed("query_id", "key")
-    around = neighbors(named, edges, allowed)
+    # written, since three branches read it and its size then tells Spark how to join
+    named = materialize(named_in(questions, lexicon).withColumnRenamed("query_id", "key"), "named")
+    # written as well: the few types that are there say which nodes are read
+    around = materialize(neighbors(named, edges, allowed), "around")
+    kinds = [r["type"] for r in around.select("type").filter("type is not null").distinct().limit(KINDS + 1).collect()]
+    if len(kinds) <= KINDS:
+        nodes = nodes.filter(F.col("type").isin(kinds))
     return parent_meta(around, nodes, allowed).select(F.col("key").alias("query_id"), F.col("title").alias("name")).distinct()
 
 
 def answer_check(answers: DataFrame, expected: DataFrame) -> DataFrame:
-    """Per question: does every expected name occur inside one of the answers?"""
-    found = (
-        expected.join(answers, "query_id")
-        .filter(F.lower("name").contains(F.lower("expect")))
-        .select("query_id", "expect")
-        .distinct()
-        .withColumn("found", F.lit(1))
-    )
+    """Per question: does every expected name occur inside one of the answers?
+
+    An expected name meets the answers of its own question that have one of its grams (see named_in), and no more of
+    them than it takes to find it: questions pool any number of names and answers, and no pair of these is made.
+    """
+    asked = expected.select("query_id", "expect", F.lower("expect").alias("name"))
+    said = answers.select("query_id", F.lower("name").alias("said")).filter(F.col("said").isNotNull())
+    key = _gram_keys(asked.select("query_id", "name").filter((F.length("name") > 0) & F.col("query_id").isNotNull()).distinct())
+    at = _with_grams(said, "said", key).withColumnRenamed("query_id", "asker").withColumnsRenamed({"n": "_n", "gram": "_gram"})
+    named = key.join(
+        at, (F.col("query_id") == F.col("asker")) & (F.col("n") == F.col("_n")) & (F.col("gram") == F.col("_gram")) & F.col("said").contains(F.col("name")), "left_semi"
+    ).select("query_id", "name")
+    # an empty name is inside any answer
+    blank = asked.filter(F.col("name") == "").join(said, "query_id", "left_semi").select("query_id", "name")
+    found = asked.join(named.unionByName(blank).distinct(), ["query_id", "name"], "left_semi").select("query_id", "expect").distinct().withColumn("found", F.lit(1))
     return (
         expected.join(found, ["query_id", "expect"], "left")
         .groupBy("query_id")

@@ -46,8 +46,10 @@ def f03(spark, sf):
 def proper_orgs(spark, sf):
     """Documents' opening words as extractor-made organisation names, to screen for personal names."""
     d = table(spark, sf, "documents")
-    w = F.split(F.regexp_replace("text", r"[^A-Za-z ]", " "), " +")
-    name = F.concat_ws(" ", F.initcap(F.get(w, F.lit(0))), F.initcap(F.get(w, F.lit(1))))
+    # the runs of letters that open the text and that follow its first other characters, as splitting the whole text tells them
+    first, rest = r"^([A-Za-z]*)", r"^[A-Za-z]*[^A-Za-z]+([A-Za-z]*)"
+    second = F.when(F.col("text").rlike(rest), F.regexp_extract("text", rest, 1))
+    name = F.concat_ws(" ", F.initcap(F.regexp_extract("text", first, 1)), F.initcap(second))
     return d.select(
         F.col("doc_id").alias("id"), name.alias("canonical_name"), (F.col("n_chars") < 200).alias("retired"),
         F.lit("system:extract").alias("created_by"),

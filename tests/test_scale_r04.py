@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthgraph.operators import entities as E
+from hearthgraph.plans import entity_queries as Q
 
 
 def plan(df):
@@ -41,3 +42,38 @@ def test_answers_read_only_nodes_of_types_that_are_there(spark):
     assert {tuple(r) for r in got.collect()} == {(1, "Ann"), (1, "Quay Works")}
     # a node of a type that nothing around has was joined before
     assert "type#" in plan(got) and "IN (org,person)" in plan(got).replace("IN (person,org)", "IN (org,person)")
+
+
+def test_degrees_read_the_sides_that_can_have_the_type(spark):
+    cols = "edge_id string, src_type string, src_id int, rel string, dst_type string, dst_id int"
+    rows = [("a", "org", 1, "x", "org", 1), ("b", "org", 1, "x", "org", 2), ("c", "person", 1, "x", "org", 1), ("d", "org", None, "x", "org", None), ("e", None, 1, "x", "org", 1), ("f", "org", 1, "x", None, 1), ("g", "person", 2, "works_at", "org", 1)]
+    got = {r["id"]: r["edges"] for r in E.edge_degree(spark.createDataFrame(rows, cols), "org").collect()}
+    want = {}
+    for _, st, si, _, dt, di in rows:
+        for t, i in {(st, si), (dt, di)}:
+            if t == "org":
+                want[i] = want.get(i, 0) + 1
+    assert got == want
+    # edges of a kind that cannot touch the type are left out of the plan; both sides of all edges were exploded before
+    some = spark.createDataFrame(rows, cols)
+    kinds = some.select("edge_id", F.lit("person").alias("src_type"), "src_id", "rel", F.lit("task").alias("dst_type"), "dst_id")
+    assert "LocalTableScan <empty>" in plan(E.edge_degree(kinds, "org")) and "Generate" not in plan(E.edge_degree(some, "org"))
+
+
+def test_opening_words_do_not_need_the_whole_text(spark, tmp_path):
+    texts = [None, "", "abc", "abc dEF", " abc", "  abc de", "abc ", "abc-", "-", "a1b2c3", "ÅB cd", "x\ny z", "\n\n", "aB😀cD", "ab  \r\n"]
+    spark.createDataFrame([(i, t, 500) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    w = F.split(F.regexp_replace("text", r"[^A-Za-z ]", " "), " +")
+    want = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", F.concat_ws(" ", F.initcap(F.get(w, F.lit(0))), F.initcap(F.get(w, F.lit(1)))).alias("n"))
+    got = Q.proper_orgs(spark, str(tmp_path))
+    assert {(r["id"], r["canonical_name"]) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    assert "regexp_replace" not in plan(got)
+
+
+def test_mistyped_tells_edges_and_pronouns(spark):
+    orgs = spark.createDataFrame([(1, "Ann Berg", False, "system:extract"), (2, "Bo Moe", False, "system:extract"), (3, "Eva Lie", False, "system:extract"), (4, "Quay Tech", False, "system:extract"), (5, "Per Dal", False, "system:extract")], "id int, canonical_name string, retired boolean, created_by string")
+    people = spark.createDataFrame([(1, "She", "system:extract"), (2, "Ann", "system:extract"), (3, "it", "human")], "id int, canonical_name string, created_by string")
+    rows = [("a", "person", 1, "works_at", "org", 2), ("b", "person", 2, "works_at", "org", 2), ("c", "person", 1, "works_at", "org", 1), ("d", "page", 1, "mentions", "org", 1)]
+    edges = spark.createDataFrame(rows, "edge_id string, src_type string, src_id int, rel string, dst_type string, dst_id int")
+    got = E.mistyped(orgs, people, edges, spark.createDataFrame([("per dal",)], "name string"))
+    assert {(r["kind"], r["type"], r["id"], r["name"], r["edges"]) for r in got.collect()} == {("org_should_be_person", "org", 1, "Ann Berg", 2), ("org_should_be_person", "org", 3, "Eva Lie", 0), ("person_from_pronoun", "person", 1, "She", 2)}

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.embed import spoken
-from ..functions.stem import stemmed
+from ..functions.stem import stemmed, stemmed_texts
 from ..model import visible
 from ..session import fits, materialize, new_folder
 
@@ -42,14 +42,19 @@ VOCABULARY = 200_000
 
 
 def term_table(chunks: DataFrame, stop: list[str] | None = None, stem: bool = False) -> DataFrame:
-    """(chunk_id, term, tf, first_pos): the searchable index, one row per chunk and term or stem."""
+    """(chunk_id, term, tf, first_pos): the searchable index, one row per chunk and term or stem.
+
+    Texts are dealt out by chunk id, once; their terms are counted where they arrive and stay there, since the
+    terms of a text with their places are more than the text.
+    """
     stop = X.ENGLISH_STOP if stop is None else stop
-    exploded = chunks.select("chunk_id", F.posexplode(X.terms(F.col("text"))).alias("pos", "term"))
-    kept = exploded.filter(~F.col("term").isin(stop)) if stop else exploded
-    table = kept.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
-    if not stem:
-        return table
-    return stemmed(table).groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos"))
+    said = X.terms(F.col("text"))
+    if stem:
+        said, chunks = F.split("said", " "), stemmed_texts(chunks.select("chunk_id", said.alias("said")), stop)
+    # the outer form, since of the plain one Spark tells which lists are empty, finding the terms once more
+    exploded = chunks.repartition("chunk_id").select("chunk_id", F.posexplode_outer(said).alias("pos", "term")).filter(F.col("term") != "")
+    kept = exploded.filter(~F.col("term").isin(stop)) if stop and not stem else exploded
+    return kept.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
 
 
 def query_terms(queries: DataFrame, stop: list[str] | None = None, stem: bool = False) -> DataFrame:
@@ -225,8 +230,7 @@ def lexical_arm(
         coded = seen.sparkSession.createDataFrame(pd.DataFrame({"term": local, "code": np.arange(len(local), dtype=np.int32)}), "term string, code int")
         asked = asked.join(coded, "term").select("query_id", F.col("code").alias("term"))
     else:
-        # a chunk's terms stay where its text is dealt to, so the text is moved once and its terms never
-        rows = index if index is not None else term_table(seen.repartition("chunk_id"), stop, stem)
+        rows = index if index is not None else term_table(seen, stop, stem)
         rows = rows.select("chunk_id", "term", "tf").join(words, "term", "left_semi")
         idx = rows.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("t")).select("chunk_id", F.col("t.term").alias("terms"), F.col("t.tf").alias("tfs"))
     gain = F.lit(None).cast("double")

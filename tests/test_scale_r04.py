@@ -6,7 +6,10 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
+from hearthgraph.functions import text as X
+from hearthgraph.functions.stem import stem
 from hearthgraph.operators import entities as E
+from hearthgraph.operators import retrieval as R
 from hearthgraph.plans import entity_queries as Q
 
 
@@ -77,3 +80,19 @@ def test_mistyped_tells_edges_and_pronouns(spark):
     edges = spark.createDataFrame(rows, "edge_id string, src_type string, src_id int, rel string, dst_type string, dst_id int")
     got = E.mistyped(orgs, people, edges, spark.createDataFrame([("per dal",)], "name string"))
     assert {(r["kind"], r["type"], r["id"], r["name"], r["edges"]) for r in got.collect()} == {("org_should_be_person", "org", 1, "Ann Berg", 2), ("org_should_be_person", "org", 3, "Eva Lie", 0), ("person_from_pronoun", "person", 1, "She", 2)}
+
+
+def test_stems_are_counted_where_the_text_is_dealt_to(spark):
+    texts = [("a", "The dogs running, the dog ran"), ("a", "dogs the"), ("b", ""), ("b", None), ("c", "the"), (None, "lamps lamp"), ("d", "漢字漢 dogs x1")]
+    c = spark.createDataFrame(texts, "chunk_id string, text string").repartition(3)
+    want = {}
+    for i, t in texts:
+        for at, w in enumerate(spark.createDataFrame([(t,)], "t string").select(X.terms(F.col("t"))).first()[0] or []):
+            if w not in X.ENGLISH_STOP:
+                n, first = want.get((i, stem(w)), (0, 99))
+                want[i, stem(w)] = n + 1, min(first, at)
+    got = R.term_table(c, stem=True)
+    shuffles = plan(got).count("hashpartitioning"), plan(R.term_table(c)).count("hashpartitioning")
+    assert {(r["chunk_id"], r["term"]): (r["tf"], r["first_pos"]) for r in got.collect()} == want
+    # terms were shuffled to be counted, to meet their stems, and to be counted again
+    assert shuffles == (1, 1)

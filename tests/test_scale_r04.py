@@ -3,12 +3,13 @@
 import contextlib
 import io
 
-import pytest
 from pyspark.sql import functions as F
 
 from hearthgraph.functions import text as X
 from hearthgraph.functions.stem import stem
 from hearthgraph.operators import entities as E
+from hearthgraph.operators import extraction as EX
+from hearthgraph.operators import facts as FA
 from hearthgraph.operators import retrieval as R
 from hearthgraph.plans import entity_queries as Q
 
@@ -96,3 +97,40 @@ def test_stems_are_counted_where_the_text_is_dealt_to(spark):
     assert {(r["chunk_id"], r["term"]): (r["tf"], r["first_pos"]) for r in got.collect()} == want
     # terms were shuffled to be counted, to meet their stems, and to be counted again
     assert shuffles == (1, 1)
+
+
+WORDS = ["work", "Working", "job", "jobs", "ad job.", "coaCh", "ſervice", "worK", "jobıng", "İnsure", "vet", "velvet", "GP", "xgp", "gp_", "at Oslo", "at\x0bÅs", "at Oslo", "cat Oslo", "with 3", "for x", "joın", "Joining", "AS", "was", "kLinikk", "Bil", "mobile", "Dr. Moe, my dad", "lead; leader", "é job é", "", "😀boss😀"]
+
+
+def test_hints_find_all_that_the_patterns_find(spark):
+    d = spark.createDataFrame([(i, [w, f"So {w} it is", f"{w}{w}"]) for i, w in enumerate(WORDS)], "i int, said array<string>")
+    got = EX.hinted(d).select("i", F.explode(F.arrays_zip("said", "hints")).alias("x")).select("i", "x.said", "x.hints")
+    c = F.col("said")
+    rows = got.select("said", "hints", EX.has_work_cue(c).alias("cue"), c.rlike(EX.PERSON_GATE).alias("who"), c.rlike(EX.ORG_GATE).alias("org")).collect()
+    assert len(rows) == 3 * len(WORDS) and any(r["cue"] for r in rows) and any(r["who"] for r in rows) and any(r["org"] for r in rows)
+    for r in rows:
+        for flag, bit in (("cue", EX.HINT_CUE), ("who", EX.HINT_PERSON), ("org", EX.HINT_ORG)):
+            assert r["hints"] & bit or not r[flag], (r["said"], flag)
+
+
+def test_sentences_are_matched_only_where_a_hint_is(spark):
+    texts = [(1, "My manager is Ann Berg. She joined Quay AS. Nothing here.\n\nNobody. The lead, Bo Moe, left."), (2, None), (3, ""), (4, "Plain words only.\n- bullet one\n- my dad Per Dal"), (5, "Dr. Eva Lie at Bay Clinic. Mr. X."), (6, "The Job is done. İnsured Advisor")]
+    d = spark.createDataFrame(texts, "text_id int, text string")
+    got = FA.sentence_table(d)
+    low, c = F.lower("paragraph"), F.col("sentence")
+    p = d.select("text_id", F.posexplode(EX.paragraphs(F.col("text"))).alias("para", "paragraph"))
+    s = p.select("text_id", "para", "paragraph", F.posexplode(EX.sentences_of(F.col("paragraph"))).alias("sent", "sentence")).withColumn("cue", EX.has_work_cue(c))
+    titled = F.when((F.col("sent") == 0) & low.rlike(EX.any_word(EX.TITLES)), low)
+    want = s.select("text_id", "para", "sent", "sentence", "cue", EX.has_work_cue(F.col("paragraph")).alias("para_cue"), titled.alias("titled"), FA._people(EX.person_array(c)).alias("who"), EX.org_candidates(c, F.col("cue")).alias("cands"))
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    # every word of the patterns was tried at every letter before
+    assert "MapInArrow" in plan(got) and got.filter("cue").count() == 5
+
+
+def test_opening_words_are_told_beside_the_scan(spark):
+    lex = [("person", "1", "Ada Moe"), ("person", "2", "Bob"), ("org", "3", "Cyl Works Ltd."), ("person", "4", "(Eli)"), ("person", "5", "日本 Ann")]
+    texts = [(1, "Ada Moe, Bob"), (2, None), (3, ""), (4, "cyl works ltd. and cyl works"), (5, "(eli)"), (5, "x(eli)"), (6, "日本 ann"), (None, "bob"), (7, "ada"), (8, " ... ")]
+    df = E.known_mentions(spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(lex, "type string, id string, name string"))
+    # a run of pieces was made for each word of the texts before
+    assert "MapInArrow" in plan(df)
+    assert {(r["text_id"], r["id"]) for r in df.collect()} == {(1, "1"), (1, "2"), (4, "3"), (5, "4"), (6, "5"), (None, "2")}

@@ -29,13 +29,19 @@ def _mul32(a: Column, b: Column) -> Column:
     return (low + high).bitwiseAND(F.lit(MASK))
 
 
-def fnv1a(token: Column) -> Column:
-    chars = F.filter(F.split(token, ""), lambda c: c != "")
-    return F.aggregate(
-        chars,
-        F.lit(FNV_OFFSET).cast("bigint"),
-        lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("bigint")) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK).cast("bigint")),
-    )
+def fnv1a(words: list[str]) -> np.ndarray:
+    """The 32-bit FNV-1a hash of each word, over its characters; all words take a step at a time."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    order = np.argsort(-size, kind="stable")
+    start, size = (np.cumsum(size) - size)[order], size[order]
+    seeds = np.full(len(words), FNV_OFFSET, np.uint64)
+    # the longest stand first, so that those with a next character are the first `n`
+    for i, n in enumerate(np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")):
+        seeds[:n] = ((seeds[:n] ^ chars[start[:n] + i]) * np.uint64(FNV_PRIME)) & np.uint64(MASK)
+    out = np.empty_like(seeds)
+    out[order] = seeds
+    return out
 
 
 def with_draw(df: DataFrame, seed: str, k: Column, out: str) -> DataFrame:
@@ -72,8 +78,9 @@ def _rows(batch: pa.RecordBatch, dims: int):
     """(row, dimension, weight) of every draw of a batch, and its number of rows."""
     seeds = batch.column("seeds")
     n = np.diff(seeds.offsets.to_numpy())
-    every, at = np.unique(seeds.flatten().to_numpy().astype(np.uint64), return_inverse=True)
-    where, weight = _draws(every, dims)
+    said = seeds.flatten().dictionary_encode()
+    where, weight = _draws(fnv1a(said.dictionary.to_pylist()), dims)
+    at = said.indices.to_numpy()
     return np.repeat(np.arange(len(n)), n * DRAWS), where[at].ravel(), weight[at].ravel()
 
 
@@ -84,10 +91,6 @@ def _few(batches, rows: int = 2048):
             yield batch.slice(lo, rows)
 
 
-def _seeds(tokens: Column) -> Column:
-    return F.transform(tokens, fnv1a).alias("seeds")
-
-
 def hash_weights(texts: DataFrame, dims: int = 768) -> DataFrame:
     """(id, text) -> (id, dim, weight): the sparse vector in units of 2^-32, zero sums kept out.
 
@@ -109,14 +112,14 @@ def hash_weights(texts: DataFrame, dims: int = 768) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "dim", "weight"])
 
     tokens = F.flatten(F.collect_list(embed_tokens(F.col("text"))))
-    seeds = texts.groupBy("id").agg(tokens.alias("tokens")).select("id", _seeds(F.col("tokens"))).filter(F.size("seeds") > 0)
+    seeds = texts.groupBy("id").agg(tokens.alias("tokens")).select("id", F.col("tokens").alias("seeds")).filter(F.size("seeds") > 0)
     sums = seeds.mapInArrow(summed, f"id {dict(texts.dtypes)['id']}, dim array<int>, weight array<bigint>")
     return sums.select("id", F.explode(F.arrays_zip("dim", "weight")).alias("w")).select("id", "w.dim", "w.weight")
 
 
 def seeded(texts: DataFrame) -> DataFrame:
-    """(..., text) -> (..., seeds): what a text's vector is made of, a number for each of its tokens."""
-    return texts.select(*[c for c in texts.columns if c != "text"], _seeds(embed_tokens(F.coalesce("text", F.lit("")))))
+    """(..., text) -> (..., seeds): what a text's vector is made of, its tokens; each different one of a batch is hashed where vectors are made."""
+    return texts.select(*[c for c in texts.columns if c != "text"], embed_tokens(F.coalesce("text", F.lit(""))).alias("seeds"))
 
 
 def dense(batch: pa.RecordBatch, dims: int = 768) -> np.ndarray:
@@ -143,7 +146,7 @@ def hash_vectors(texts: DataFrame, dims: int = 768) -> DataFrame:
     """(id, text) -> (id, embedding array<double>) normalized; texts without a token have no vector.
 
     Columns beside id and text come along. A text's vector depends on its own tokens only, so this is a projection:
-    seeds are computed beside the scan and an Arrow batch turns them into vectors, without any shuffle.
+    tokens are cut beside the scan and an Arrow batch turns them into vectors, without any shuffle.
     """
     rest = [c for c in texts.columns if c != "text"]
 

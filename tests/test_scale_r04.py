@@ -5,6 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
+from hearthgraph.functions import embed as EM
 from hearthgraph.functions import text as X
 from hearthgraph.functions.stem import stem
 from hearthgraph.operators import entities as E
@@ -134,3 +135,19 @@ def test_opening_words_are_told_beside_the_scan(spark):
     # a run of pieces was made for each word of the texts before
     assert "MapInArrow" in plan(df)
     assert {(r["text_id"], r["id"]) for r in df.collect()} == {(1, "1"), (1, "2"), (4, "3"), (5, "4"), (6, "5"), (None, "2")}
+
+
+def test_tokens_are_hashed_where_vectors_are_made(spark):
+    def plain(word):
+        h = EM.FNV_OFFSET
+        for c in word:
+            h = ((h ^ ord(c)) * EM.FNV_PRIME) & EM.MASK
+        return h
+
+    words = ["harbor", "a1", "漢字", "x" * 300, "", "lamp", "harbour", "漢"]
+    assert EM.fnv1a(words).tolist() == [plain(w) for w in words] and EM.fnv1a([]).tolist() == []
+    d = spark.createDataFrame([(1, "Harbor lamp harbor"), (2, "漢字漢 x"), (3, None), (4, "")], "id int, text string")
+    # every character of a text was a step of a loop that Spark interprets before
+    how = plan(EM.hash_vectors(d)), plan(EM.hash_weights(d))
+    assert not any("aggregate(" in x.replace("Aggregate(", "") for x in how)
+    assert {r["id"] for r in EM.hash_vectors(d).collect()} == {1, 2} == {r["id"] for r in EM.hash_weights(d).collect()}
